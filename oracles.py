@@ -38,7 +38,7 @@ quotes AS (
 
 FORMS_RAW = """
 forms_src AS (
-  SELECT o_orderkey AS _key, o_orderstatus, o_orderpriority, o_orderdate,
+  SELECT o_orderkey AS _key, o_orderstatus, o_orderpriority, o_orderdate, o_custkey,
          CAST(o_totalprice AS DECIMAL(18,2)) AS price,
          CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents
   FROM orders),
@@ -60,7 +60,8 @@ forms_raw AS (
     CASE WHEN _key % 23 = 0 THEN '  '
          WHEN _key % 19 = 0 THEN '\u3000' || o_orderpriority || '\u00a0'
          ELSE o_orderpriority END AS project_raw,
-    'status ' || o_orderstatus AS remark_raw
+    'status ' || o_orderstatus AS remark_raw,
+    CAST(o_custkey AS VARCHAR) AS customer_raw
   FROM forms_src),
 forms AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY source_file ORDER BY _key) + 1 AS BIGINT) AS source_row
@@ -73,7 +74,7 @@ typed0 AS (
     upper({blank_null('currency_raw')}) AS currency,
     {blank_null('date_raw')} AS date_t,
     {trim('project_raw')} AS project,
-    {trim('remark_raw')} AS description
+    CASE WHEN source_file = 'orders_cn' THEN {trim('remark_raw')} END AS description
   FROM forms),
 typed AS (
   SELECT source_file, source_row, _key, currency, project, description,
@@ -186,3 +187,88 @@ oracle("rate_lookup_asof", q(forms_converted(), """SELECT source_file, source_ro
 oracle("outcome_counts", q(forms_validated(), """SELECT count(*) FILTER (WHERE status = 'ok') AS ok_rows,
   count(*) FILTER (WHERE status <> 'ok') AS rejected_rows,
   count(*) FILTER (WHERE status = 'ok' AND need_confirm) AS need_confirm_rows FROM validated"""))
+
+VALID = forms_validated()
+CONV = forms_converted()
+
+oracle("required_check", q(CONV, """SELECT source_file, source_row,
+  concat_ws('; ', CASE WHEN amount IS NULL THEN 'missing_amount' END,
+    CASE WHEN currency IS NULL THEN 'missing_currency' END,
+    CASE WHEN date IS NULL THEN 'missing_date' END,
+    CASE WHEN project IS NULL OR project = '' THEN 'missing_project' END) AS issues,
+  (amount IS NULL OR currency IS NULL OR date IS NULL OR project IS NULL OR project = '') AS rejected
+FROM conv2"""))
+
+oracle("non_negative_check", q(CONV, """SELECT source_file, source_row, amount,
+  concat_ws('; ', CASE WHEN amount < 0 THEN 'negative_amount' END) AS issues,
+  COALESCE(amount < 0, FALSE) AS rejected FROM conv2"""))
+
+oracle("rate_missing_check", q(CONV, """SELECT source_file, source_row, rate_issue,
+  CASE WHEN amount IS NOT NULL AND base_pre IS NULL AND COALESCE(rate_issue, '') <> 'rate_unavailable'
+       THEN 'missing_base_amount' END AS base_issue,
+  (COALESCE(rate_issue = 'rate_unavailable', FALSE) OR (amount IS NOT NULL AND base_pre IS NULL)) AS rejected
+FROM conv2"""))
+
+oracle("confirm_threshold", q(VALID, "SELECT source_file, source_row, base_amount, status FROM validated WHERE need_confirm"))
+
+oracle("status_split", q(VALID, """SELECT CASE WHEN status = 'ok' THEN 'accepted' ELSE 'rejected' END AS output_set,
+  count(*) AS row_count, count(*) FILTER (WHERE status = 'ok' AND need_confirm) AS need_confirm_rows
+FROM validated GROUP BY 1"""))
+
+oracle("convert_amount", q(CONV, "SELECT source_file, source_row, amount, exchange_rate, base_pre AS base_amount FROM conv2"))
+
+oracle("round_columns", q(VALID, "SELECT source_file, source_row, amount, base_amount FROM validated"))
+
+oracle("issues_append", q(VALID, "SELECT source_file, source_row, issues FROM validated"))
+
+oracle("rate_lookup_static", q(FORMS_TYPED, """, s AS (
+  SELECT source_file, source_row, currency, amount,
+    CASE WHEN amount IS NULL OR currency IS NULL OR date IS NULL THEN NULL
+         WHEN currency = 'CNY' THEN CAST(1 AS DECIMAL(18,6))
+         WHEN currency = 'USD' THEN CAST(7.1 AS DECIMAL(18,6))
+         WHEN currency = 'EUR' THEN CAST(7.8 AS DECIMAL(18,6))
+         ELSE CAST(1 AS DECIMAL(18,6)) END AS exchange_rate
+  FROM typed)
+SELECT source_file, source_row, currency, exchange_rate,
+  CAST(round(amount * exchange_rate, 2) AS DECIMAL(38,6)) AS base_amount FROM s""".replace("\n", "\n", 1)))
+
+oracle("confirm_decisions", q(forms_validated(decisions=True),
+       "SELECT source_file, source_row, base_amount, issues, status, need_confirm FROM validated"))
+
+oracle("export_accepted", q(VALID, """SELECT project, date, currency, amount, base_currency, base_amount,
+  exchange_rate, rate_date_used, need_confirm, source_file, source_row FROM validated WHERE status = 'ok'"""))
+
+oracle("export_rejects", q(VALID, f"SELECT {PROCESSED_COLS} FROM validated WHERE status <> 'ok'"))
+
+oracle("export_confirm", q(VALID, f"SELECT {PROCESSED_COLS} FROM validated WHERE status = 'ok' AND need_confirm"))
+
+oracle("process_report", q(VALID, """SELECT 'outcome' AS section, CAST(NULL AS VARCHAR) AS file, item, value FROM (
+  SELECT 'accepted' AS item, count(*) FILTER (WHERE status = 'ok') AS value FROM validated
+  UNION ALL SELECT 'rejected', count(*) FILTER (WHERE status <> 'ok') FROM validated
+  UNION ALL SELECT 'need_confirm', count(*) FILTER (WHERE status = 'ok' AND need_confirm) FROM validated)
+UNION ALL SELECT 'missing_column', 'orders_en', 'description', CAST(NULL AS BIGINT)
+UNION ALL SELECT 'unmapped_column', 'orders_en', 'Customer', CAST(NULL AS BIGINT)"""))
+
+oracle("column_mapping", q(FORMS_RAW, """SELECT amount_raw AS amount, currency_raw AS currency, date_raw AS date,
+  project_raw AS project, CAST(NULL AS VARCHAR) AS description, customer_raw AS Customer, source_file, source_row
+FROM forms WHERE source_file = 'orders_en'"""))
+
+oracle("constant_columns", q(FORMS_RAW, """SELECT source_file, source_row, 'CNY' AS base_currency,
+  'MockProvider' AS exchange_rate_source FROM forms"""))
+
+oracle("lineage", q(FORMS_RAW, "SELECT source_file, source_row, _key AS order_key FROM forms"))
+
+oracle("source_rows", """SELECT l_suppkey AS source_file, l_orderkey, l_linenumber,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 100 + l_linenumber) + 1 AS source_row
+FROM lineitem""")
+
+oracle("forms_union", q(FORMS_RAW, """SELECT source_file, source_row, amount_raw AS amount, currency_raw AS currency,
+  date_raw AS date, project_raw AS project,
+  CASE WHEN source_file = 'orders_cn' THEN remark_raw END AS description,
+  CASE WHEN source_file = 'orders_en' THEN customer_raw END AS Customer
+FROM forms"""))
+
+oracle("drop_fill", q(FORMS_RAW, """SELECT source_file, source_row, amount_raw AS amount, currency_raw AS currency,
+  COALESCE(CASE WHEN source_file = 'orders_cn' THEN remark_raw END, 'n/a') AS description,
+  COALESCE(CASE WHEN source_file = 'orders_en' THEN customer_raw END, 'none') AS Customer
+FROM forms WHERE amount_raw IS NOT NULL"""))

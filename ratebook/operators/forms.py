@@ -8,7 +8,7 @@ missing_base_amount, confirmation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,67 @@ def convert(df: DataFrame, base_currency: str = "CNY", round_digits: int = 2, ra
             .drop("_rate", "_rate_day"))
 
 
+def required_issues(df: DataFrame, required) -> tuple[Column, Column]:
+    """(issues in rule order, failed) for missing required columns."""
+    cols = set(df.columns)
+    misses = [(is_missing(F.col(c)) if c in cols else F.lit(True), c) for c in required]
+    issues = [F.when(m, F.lit(f"missing_{c}")) for m, c in misses]
+    failed = F.lit(False)
+    for m, _ in misses:
+        failed = failed | m
+    return issues, failed
+
+
+def negative_issues(df: DataFrame, non_negative) -> tuple[list, Column]:
+    """(issues, failed) for decimal columns below zero; nulls ignored."""
+    decimal_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+    checked = [c for c in non_negative if c in decimal_cols]
+    issues = [F.when(F.col(c) < 0, F.lit(f"negative_{c}")) for c in checked]
+    failed = F.lit(False)
+    for c in checked:
+        failed = failed | F.coalesce(F.col(c) < 0, F.lit(False))
+    return issues, failed
+
+
+def rate_check() -> tuple[Column, Column]:
+    """(missing_base_amount issue, failed). Reject on ``rate_unavailable`` or on a
+    set amount without base amount; the issue is added only without ``rate_unavailable``."""
+    unavailable = F.coalesce(F.col("_rate_issue") == "rate_unavailable", F.lit(False))
+    no_base = F.col("amount").isNotNull() & F.col("base_amount").isNull()
+    return F.when(no_base & ~unavailable, F.lit("missing_base_amount")), unavailable | no_base
+
+
+def confirm_state(threshold) -> tuple[Column, Column, Column]:
+    """(over threshold, declined, cleared) from the pre-rounding base amount."""
+    over = F.coalesce(F.col("base_amount") >= F.lit(threshold).cast("decimal(38,6)"), F.lit(False))
+    declined = over & F.coalesce(~F.col("_confirmed"), F.lit(False))
+    cleared = over & F.coalesce(F.col("_confirmed"), F.lit(False))
+    return over, declined, cleared
+
+
+def attach_decisions(df: DataFrame, decisions: DataFrame | None) -> DataFrame:
+    """Join a decisions table (source_file, source_row, confirmed) in place of prompts."""
+    if decisions is None:
+        return df.withColumn("_confirmed", F.lit(None).cast("boolean"))
+    d = decisions.select("source_file", "source_row", F.col("confirmed").alias("_confirmed"))
+    return df.join(d, ["source_file", "source_row"], "left")
+
+
+def round_columns(df: DataFrame, rules: dict, round_digits: int, over: Column) -> DataFrame:
+    """X11: half-up rounding per rule; rows over the threshold get base_amount
+    rewritten from its pre-rule value at ``round_digits``."""
+    decimal_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+    out = df.withColumn("_over", over)
+    for c, digits in rules.items():
+        if c in decimal_cols:
+            dtype = out.schema[c].dataType
+            rounded = F.round(F.col(c), digits).cast(dtype)
+            if c == "base_amount":
+                rounded = F.when(F.col("_over"), F.round(F.col(c), round_digits).cast(dtype)).otherwise(rounded)
+            out = out.withColumn(c, rounded)
+    return out.drop("_over")
+
+
 def validate(df: DataFrame, config: MappingConfig, round_digits: int = 2, threshold=None,
              decisions: DataFrame | None = None) -> DataFrame:
     """Issues (ordered array), status and need_confirm.
@@ -84,24 +145,11 @@ def validate(df: DataFrame, config: MappingConfig, round_digits: int = 2, thresh
     """
     if threshold is None:
         threshold = config.confirm_over_amount if config.confirm_over_amount is not None else 20000
-    out = df
-    if decisions is not None:
-        d = decisions.select("source_file", "source_row", F.col("confirmed").alias("_confirmed"))
-        out = out.join(d, ["source_file", "source_row"], "left")
-    else:
-        out = out.withColumn("_confirmed", F.lit(None).cast("boolean"))
-    cols = set(out.columns)
-    decimal_cols = {f.name for f in out.schema.fields if isinstance(f.dataType, T.DecimalType)}
-
-    required = [F.when(is_missing(F.col(c)) if c in cols else F.lit(True), F.lit(f"missing_{c}"))
-                for c in config.required]
-    negative = [F.when(F.col(c) < 0, F.lit(f"negative_{c}")) for c in config.non_negative
-                if c in decimal_cols]
-    rate_unavailable = F.coalesce(F.col("_rate_issue") == "rate_unavailable", F.lit(False))
-    no_base = F.col("amount").isNotNull() & F.col("base_amount").isNull()
-    over = F.coalesce(F.col("base_amount") >= F.lit(threshold).cast("decimal(38,6)"), F.lit(False))
-    declined = over & F.coalesce(~F.col("_confirmed"), F.lit(False))
-    cleared = over & F.coalesce(F.col("_confirmed"), F.lit(False))
+    out = attach_decisions(df, decisions)
+    req_issues, req_failed = required_issues(out, config.required)
+    neg_issues, neg_failed = negative_issues(out, config.non_negative)
+    base_issue, rate_failed = rate_check()
+    over, declined, cleared = confirm_state(threshold)
     confirm_issue = (F.when(declined, F.lit("confirmation_declined"))
                      .when(over & ~cleared, F.lit("requires_confirmation")))
     issues = F.array_compact(F.array(
@@ -109,26 +157,10 @@ def validate(df: DataFrame, config: MappingConfig, round_digits: int = 2, thresh
         F.when(F.col("_bad_currency"), F.lit("invalid_currency")),
         F.when(F.col("_bad_date"), F.lit("invalid_date")),
         F.col("_rate_issue"),
-        *required, *negative,
-        F.when(no_base & ~rate_unavailable, F.lit("missing_base_amount")),
-        confirm_issue))
-    reject = F.lit(False)
-    for c in config.required:
-        reject = reject | (is_missing(F.col(c)) if c in cols else F.lit(True))
-    for c in config.non_negative:
-        if c in decimal_cols:
-            reject = reject | F.coalesce(F.col(c) < 0, F.lit(False))
-    reject = reject | rate_unavailable | no_base
-    out = out.withColumn("issues", issues) \
-        .withColumn("status", F.when(reject, F.lit("reject")).otherwise(F.lit("ok"))) \
-        .withColumn("need_confirm", over & ~cleared)
-    # X11: half-up rounding per rule; rows over the threshold get base_amount
-    # rewritten from its pre-rule value at round_digits.
-    for c, digits in config.round.items():
-        if c in decimal_cols:
-            dtype = out.schema[c].dataType
-            rounded = F.round(F.col(c), digits).cast(dtype)
-            if c == "base_amount":
-                rounded = F.when(over, F.round(F.col(c), round_digits).cast(dtype)).otherwise(rounded)
-            out = out.withColumn(c, rounded)
+        *req_issues, *neg_issues, base_issue, confirm_issue))
+    reject = req_failed | neg_failed | rate_failed
+    out = (out.withColumn("issues", issues)
+           .withColumn("status", F.when(reject, F.lit("reject")).otherwise(F.lit("ok")))
+           .withColumn("need_confirm", over & ~cleared))
+    out = round_columns(out, config.round, round_digits, over)
     return out.drop("_bad_amount", "_bad_currency", "_bad_date", "_rate_issue", "_confirmed")

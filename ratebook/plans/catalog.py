@@ -14,7 +14,7 @@ from ratebook.functions.numbers import parse_amount
 from ratebook.functions.text import blank_to_null, strip_unicode
 from ratebook.operators.forms import clean_forms, convert
 from ratebook.plans.process_forms import map_files, outcome_counts, process_forms
-from ratebook.sources.bindings import form_files, forms_raw, rates_view
+from ratebook.sources.bindings import form_files, forms_raw, rates_view, table
 
 REGISTRY: dict = {}
 
@@ -99,3 +99,184 @@ def q_rate_lookup_asof(spark, sf_dir):
 def q_outcome_counts(spark, sf_dir):
     """A3: accepted / rejected / need-confirm counts."""
     return outcome_counts(_processed(spark, sf_dir))
+
+
+# ---- form rules, each on the converted forms ---------------------------------------------
+
+from ratebook.operators import forms as fo  # noqa: E402
+from ratebook.operators.mapping import DEFAULT_MAPPING, apply_column_mapping, add_constants  # noqa: E402
+
+
+def _converted(spark, sf_dir, rates=True, overrides=None):
+    r = rates_view(spark, sf_dir) if rates else None
+    return convert(_typed(spark, sf_dir), "CNY", 2, r, 7, overrides)
+
+
+@register("required_check")
+def q_required_check(spark, sf_dir):
+    """missing required columns in rule order."""
+    df = _converted(spark, sf_dir)
+    issues, failed = fo.required_issues(df, DEFAULT_MAPPING.required)
+    return df.select("source_file", "source_row",
+                     F.array_join(F.array_compact(F.array(*issues)), "; ").alias("issues"),
+                     failed.alias("rejected"))
+
+
+@register("non_negative_check")
+def q_non_negative_check(spark, sf_dir):
+    """negative decimal amounts."""
+    df = _converted(spark, sf_dir)
+    issues, failed = fo.negative_issues(df, DEFAULT_MAPPING.non_negative)
+    return df.select("source_file", "source_row", "amount",
+                     F.array_join(F.array_compact(F.array(*issues)), "; ").alias("issues"),
+                     failed.alias("rejected"))
+
+
+@register("rate_missing_check")
+def q_rate_missing_check(spark, sf_dir):
+    """rate unavailable or base amount missing."""
+    df = _converted(spark, sf_dir)
+    issue, failed = fo.rate_check()
+    return df.select("source_file", "source_row", F.col("_rate_issue").alias("rate_issue"),
+                     issue.alias("base_issue"), failed.alias("rejected"))
+
+
+@register("confirm_threshold")
+def q_confirm_threshold(spark, sf_dir):
+    """rows at or over the confirmation threshold (flag also on rejected rows)."""
+    df = _processed(spark, sf_dir)
+    return df.where(F.col("need_confirm")).select("source_file", "source_row", "base_amount", "status")
+
+
+@register("status_split")
+def q_status_split(spark, sf_dir):
+    """accepted / rejected sets and the need-confirm subset of accepted, as counts per set."""
+    df = _processed(spark, sf_dir)
+    out_set = F.when(F.col("status") == "ok", F.lit("accepted")).otherwise(F.lit("rejected"))
+    return df.groupBy(out_set.alias("output_set")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if((F.col("status") == "ok") & F.col("need_confirm")).alias("need_confirm_rows"))
+
+
+@register("convert_amount")
+def q_convert_amount(spark, sf_dir):
+    """Base amount = half-up(amount x rate, 2) before validation rounding."""
+    df = _converted(spark, sf_dir)
+    return df.select("source_file", "source_row", "amount", "exchange_rate", "base_amount")
+
+
+@register("round_columns")
+def q_round_columns(spark, sf_dir):
+    """X11: amounts after the rounding rules."""
+    return _processed(spark, sf_dir).select("source_file", "source_row", "amount", "base_amount")
+
+
+@register("issues_append")
+def q_issues_append(spark, sf_dir):
+    """The ordered issue list per row."""
+    return _report(_processed(spark, sf_dir)).select("source_file", "source_row", "issues")
+
+
+# Fixed parameters of the static-rate query.
+STATIC_OVERRIDES = {("USD", "CNY"): "7.1000", ("EUR", "CNY"): "7.8000"}
+
+
+@register("rate_lookup_static")
+def q_rate_lookup_static(spark, sf_dir):
+    """Identity 1, pair overrides, else default rate 1."""
+    df = _converted(spark, sf_dir, rates=False, overrides=STATIC_OVERRIDES)
+    return df.select("source_file", "source_row", "currency", "exchange_rate", "base_amount")
+
+
+def decisions_view(spark, sf_dir):
+    """Confirmation answers for part of the rows: declined when key % 4 == 1."""
+    raw = forms_raw(spark, sf_dir)
+    k = F.col("_key")
+    return raw.where((k % 2 == 1) | (k % 4 == 0)).select(
+        "source_file", "source_row", (k % 4 != 1).alias("confirmed"))
+
+
+@register("confirm_decisions")
+def q_confirm_decisions(spark, sf_dir):
+    """Answers joined in place of the prompt."""
+    df = _processed(spark, sf_dir, decisions=decisions_view(spark, sf_dir))
+    return _report(df).select("source_file", "source_row", "base_amount", "issues", "status", "need_confirm")
+
+
+@register("export_accepted")
+def q_export_accepted(spark, sf_dir):
+    """K3: accepted rows in the 11 export columns."""
+    from ratebook.sinks.forms import export_frame
+    return export_frame(_processed(spark, sf_dir))
+
+
+@register("export_rejects")
+def q_export_rejects(spark, sf_dir):
+    """K4: rejected rows, all columns, issues joined."""
+    from ratebook.sinks.forms import rejects_frame
+    return rejects_frame(_processed(spark, sf_dir)).select(*PROCESSED_COLS)
+
+
+@register("export_confirm")
+def q_export_confirm(spark, sf_dir):
+    """K5: accepted rows needing confirmation, issues joined."""
+    from ratebook.sinks.forms import confirm_frame
+    return confirm_frame(_processed(spark, sf_dir)).select(*PROCESSED_COLS)
+
+
+@register("process_report")
+def q_process_report(spark, sf_dir):
+    """K6: outcome counts and per-file mapping diagnostics as one long table."""
+    from ratebook.sinks.forms import report_frame
+    res = process_forms(form_files(spark, sf_dir), rates=rates_view(spark, sf_dir))
+    return report_frame(spark, res)
+
+
+@register("column_mapping")
+def q_column_mapping(spark, sf_dir):
+    """The English file mapped to canonical columns (remark missing, customer unmatched)."""
+    name, frame = form_files(spark, sf_dir)[0]
+    res = apply_column_mapping(frame, DEFAULT_MAPPING, passthrough=("_key", "source_file", "source_row"))
+    return res.frame.drop("_key")
+
+
+@register("constant_columns")
+def q_constant_columns(spark, sf_dir):
+    """P5: constants from the mapping config on every row."""
+    combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
+    return combined.select("source_file", "source_row", "base_currency", "exchange_rate_source")
+
+
+@register("lineage")
+def q_lineage(spark, sf_dir):
+    """File name and data-row number (header is row 1) of every row."""
+    combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
+    return combined.select("source_file", "source_row", F.col("_key").alias("order_key"))
+
+
+@register("source_rows")
+def q_source_rows(spark, sf_dir):
+    """1-based position per file plus one, numbered without a per-file task."""
+    from ratebook.operators.ordinal import number_rows
+    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    keyed = raw.withColumn("_ord", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    numbered = number_rows(keyed, ["_ord"], ["l_suppkey"], out="_n")
+    return numbered.select(F.col("l_suppkey").alias("source_file"), "l_orderkey", "l_linenumber",
+                           (F.col("_n") + 1).alias("source_row"))
+
+
+@register("forms_union")
+def q_forms_union(spark, sf_dir):
+    """Both mapped files concatenated by name (absent columns null)."""
+    combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
+    return combined.select("source_file", "source_row", "amount", "currency", "date", "project",
+                           "description", "Customer")
+
+
+@register("drop_fill")
+def q_drop_fill(spark, sf_dir):
+    """F8: drop rows null in amount, then fill nulls (description per column, others by value)."""
+    from ratebook.operators.layout import drop_fill
+    combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
+    df = combined.select("source_file", "source_row", "amount", "currency", "description", "Customer")
+    return drop_fill(df, ["amount"], {"description": "n/a", "Customer": "none"})

@@ -19,7 +19,7 @@ STATUS_CURRENCY = (("O", "USD"), ("F", "EUR"), ("P", "HKD"))
 # Source name given to each currency when rates stand in for quotes.
 CURRENCY_SOURCE = (("USD", "pbc"), ("EUR", "cfets"), ("HKD", "safe"))
 # Headers of the two derived form files (English and Chinese layouts).
-EN_HEADERS = ("Amount", "Currency", "Date", "Project", "Remark")
+EN_HEADERS = ("Amount", "Currency", "Date", "Project", "Customer")
 CN_HEADERS = ("金额", "币种", "日期", "项目名称", "备注")
 
 
@@ -68,9 +68,9 @@ def _amount_text(k, price):
 def forms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw form row per order, all text, with lineage (source_file, source_row).
 
-    Even keys come from file ``orders_en`` (English headers), odd keys from
-    ``orders_cn`` (Chinese headers); both layouts are returned in one frame
-    with the canonical-free raw names so callers can split by file.
+    Even keys come from file ``orders_en`` (English headers, an extra
+    customer column, no remark), odd keys from ``orders_cn`` (Chinese
+    headers); both are returned in one frame with neutral raw names.
     """
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -95,7 +95,8 @@ def forms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         currency.alias("currency_raw"),
         date.alias("date_raw"),
         project.alias("project_raw"),
-        F.concat(F.lit("status "), st).alias("remark_raw"))
+        F.concat(F.lit("status "), st).alias("remark_raw"),
+        F.col("o_custkey").cast("string").alias("customer_raw"))
     numbered = number_rows(rows, ["_key"], ["source_file"], out="_n")
     return numbered.withColumn("source_row", F.col("_n") + 1).drop("_n")
 
@@ -104,11 +105,12 @@ def form_files(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     """The two derived form files with their own header layouts (as read from disk)."""
     raw = forms_raw(spark, sf_dir)
     out = []
+    cells = {"orders_en": ("amount_raw", "currency_raw", "date_raw", "project_raw", "customer_raw"),
+             "orders_cn": ("amount_raw", "currency_raw", "date_raw", "project_raw", "remark_raw")}
     for name, headers in (("orders_en", EN_HEADERS), ("orders_cn", CN_HEADERS)):
         part = raw.where(F.col("source_file") == name).select(
             "_key", "source_file", "source_row",
-            *[F.col(src).alias(h) for src, h in zip(
-                ("amount_raw", "currency_raw", "date_raw", "project_raw", "remark_raw"), headers)])
+            *[F.col(src).alias(h) for src, h in zip(cells[name], headers)])
         out.append((name, part))
     return out
 
