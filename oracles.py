@@ -272,3 +272,211 @@ oracle("drop_fill", q(FORMS_RAW, """SELECT source_file, source_row, amount_raw A
   COALESCE(CASE WHEN source_file = 'orders_cn' THEN remark_raw END, 'n/a') AS description,
   COALESCE(CASE WHEN source_file = 'orders_en' THEN customer_raw END, 'none') AS Customer
 FROM forms WHERE amount_raw IS NOT NULL"""))
+
+
+# ---- rate store ---------------------------------------------------------------------------
+
+ISO_DATE = r"^(\d{4}-\d{2}-\d{2})$"
+ISO_BASIC = r"^(\d{4})(\d{2})(\d{2})$"
+ISO_DT = r"^(\d{4}-\d{2}-\d{2})[T](\d{2}):(\d{2})(?::(\d{2})(?:\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?$"
+
+
+def store_date(t: str) -> str:
+    """X5 on an already blank-nulled text expression."""
+    return f"""(CASE WHEN regexp_matches({t}, '{ISO_DATE}') THEN TRY_CAST({t} AS DATE)
+  WHEN regexp_matches({t}, '{ISO_BASIC}') THEN CAST(try_strptime({t}, '%Y%m%d') AS DATE)
+  WHEN regexp_matches({t}, '{ISO_DT}') THEN TRY_CAST(regexp_extract({t}, '{ISO_DT}', 1) AS DATE) END)"""
+
+
+def fetch_ts(t: str, fb: str) -> str:
+    """X6 on a blank-nulled text and a fallback date expression."""
+    g = lambda i: f"regexp_extract({t}, '{ISO_DT}', {i})"
+    ss = f"(CASE WHEN {g(4)} = '' THEN '00' ELSE {g(4)} END)"
+    off = (f"(CASE WHEN {g(5)} IN ('', 'Z') THEN '+00:00' WHEN length({g(5)}) = 5 "
+           f"THEN substr({g(5)}, 1, 3) || ':' || substr({g(5)}, 4, 2) ELSE {g(5)} END)")
+    return f"""(CASE WHEN {t} IS NULL THEN strftime({fb}, '%Y-%m-%d') || 'T00:00:00+00:00'
+  WHEN regexp_matches({t}, '{ISO_DATE}') AND TRY_CAST({t} AS DATE) IS NOT NULL THEN {t} || 'T00:00:00+00:00'
+  WHEN regexp_matches({t}, '{ISO_DT}') AND TRY_CAST({g(1)} AS DATE) IS NOT NULL
+       AND TRY_CAST({g(2)} AS INT) < 24 AND TRY_CAST({g(3)} AS INT) < 60 AND TRY_CAST({ss} AS INT) < 60
+  THEN {g(1)} || 'T' || {g(2)} || ':' || {g(3)} || ':' || {ss} || {off} END)"""
+
+
+def rate_text(t: str, mode: str) -> str:
+    fn = "round_even" if mode == "half_even" else "round"
+    return f"CAST({fn}(TRY_CAST({blank_null(t)} AS DECIMAL(30,10)), 4) AS DECIMAL(18,4))"
+
+
+RECORDS_RAW = RATES + """,
+recs_src AS (
+  SELECT *, dayofmonth(rate_date) AS dn, strftime(rate_date, '%Y-%m-%d') AS iso,
+    CASE base_currency WHEN 'USD' THEN 0 WHEN 'EUR' THEN 1 ELSE 2 END AS idx,
+    CASE base_currency WHEN 'USD' THEN 'pbc' WHEN 'EUR' THEN 'cfets' WHEN 'HKD' THEN 'safe' END AS src
+  FROM rates),
+records_raw AS (
+  SELECT CAST((date_diff('day', DATE '1990-01-01', rate_date) * 10 + idx) * 2 AS BIGINT) AS record_no, dn,
+    CASE WHEN dn % 5 = 0 THEN lower(base_currency) ELSE base_currency END AS base_currency,
+    CASE WHEN dn % 3 = 0 THEN 'cny' ELSE quote_currency END AS quote_currency,
+    CASE WHEN dn % 2 = 0 THEN CAST(rate_mid AS VARCHAR) || '5' ELSE CAST(rate_mid AS VARCHAR) END AS rate_mid,
+    CASE WHEN dn % 7 = 0 THEN iso || 'T08:30:00+08:00' WHEN dn % 11 = 0 THEN 'bad-' || iso ELSE iso END AS rate_date,
+    CASE WHEN dn % 4 = 0 THEN '' WHEN dn % 4 = 1 THEN iso || 'T10:11:12'
+         WHEN dn % 4 = 2 THEN iso || 'T10:11:12.123456Z' ELSE iso || 'T23:59:59+0800' END AS fetch_date,
+    CASE WHEN dn % 13 = 0 THEN ' ' ELSE src END AS source,
+    CASE WHEN dn % 6 = 0 THEN 'forward' END AS fallback_strategy,
+    CASE WHEN dn % 8 = 0 THEN 'http://rates.example/' || iso END AS download_url,
+    CASE WHEN dn % 9 = 0 THEN '2023-06-01T00:00:00+00:00' END AS created_at,
+    CAST(NULL AS VARCHAR) AS updated_at
+  FROM recs_src)"""
+
+
+def normalized(src: str, out: str, rounding: str = "half_even", url: str | None = None) -> str:
+    req = ["base_currency", "quote_currency", "rate_mid", "rate_date", "fetch_date", "source"]
+    checks = "\n".join(f"    WHEN {blank_null(c)} IS NULL THEN 'Missing required field: {c}'" for c in req)
+    url_expr = f"'{url}'" if url is not None else f"COALESCE({blank_null('download_url')}, '')"
+    return f""",
+{out}_0 AS (
+  SELECT *, {rate_text('rate_mid', rounding)} AS n_rate, {store_date(blank_null('rate_date'))} AS n_date
+  FROM {src}),
+{out}_1 AS (SELECT *, {fetch_ts(blank_null('fetch_date'), 'n_date')} AS n_fetch FROM {out}_0),
+{out} AS (
+  SELECT * EXCLUDE (base_currency, quote_currency, rate_mid, rate_date, fetch_date, source, fallback_strategy,
+                    download_url, created_at, updated_at, n_rate, n_date, n_fetch),
+    upper(base_currency) AS base_currency, upper(quote_currency) AS quote_currency,
+    n_rate AS rate_mid, n_date AS rate_date, n_fetch AS fetch_date, source,
+    COALESCE({blank_null('fallback_strategy')}, '') AS fallback_strategy,
+    CAST(year(n_date) AS INTEGER) AS year, CAST(month(n_date) AS INTEGER) AS month,
+    {url_expr} AS download_url,
+    {blank_null('created_at')} AS created_at, {blank_null('updated_at')} AS updated_at,
+    CASE
+{checks}
+    WHEN n_rate IS NULL THEN 'Invalid rate_mid: ' || {trim('rate_mid')}
+    WHEN n_date IS NULL THEN 'Invalid rate_date: ' || {trim('rate_date')}
+    WHEN n_fetch IS NULL THEN 'Invalid fetch_date: ' || {trim('fetch_date')}
+    END AS error
+  FROM {out}_1)"""
+
+
+RATES_COLS = ("base_currency, quote_currency, rate_mid, rate_date, fetch_date, source, fallback_strategy, "
+              "year, month, download_url, created_at, updated_at")
+
+STORED = """,
+stored AS (
+  SELECT base_currency, quote_currency, rate_mid, rate_date,
+    strftime(rate_date, '%Y-%m-%d') || 'T00:00:00+00:00' AS fetch_date,
+    CASE base_currency WHEN 'USD' THEN 'pbc' WHEN 'EUR' THEN 'cfets' WHEN 'HKD' THEN 'safe' END AS source,
+    '' AS fallback_strategy, CAST(year(rate_date) AS INTEGER) AS year, CAST(month(rate_date) AS INTEGER) AS month,
+    '' AS download_url, '2024-01-01T00:00:00+00:00' AS created_at, '2024-01-01T00:00:00+00:00' AS updated_at,
+    dayofmonth(rate_date) % 2 = 0 AS even_day
+  FROM rates)"""
+
+BATCH = RECORDS_RAW + """,
+batch_raw AS (
+  SELECT * EXCLUDE (record_no), record_no AS _ordinal FROM records_raw WHERE dn % 3 = 0
+  UNION ALL BY NAME
+  SELECT * EXCLUDE (record_no, rate_mid, created_at), record_no + 1 AS _ordinal, '1' || rate_mid AS rate_mid,
+         CAST(NULL AS VARCHAR) AS created_at
+  FROM records_raw WHERE dn % 9 = 0)""" + normalized("batch_raw", "batch_n") + """,
+batch AS (SELECT * FROM batch_n WHERE error IS NULL),
+deduped AS (
+  SELECT base_currency, quote_currency, rate_date,
+    arg_max(rate_mid, _ordinal) AS rate_mid, arg_max(fetch_date, _ordinal) AS fetch_date,
+    arg_max(source, _ordinal) AS source, arg_max(fallback_strategy, _ordinal) AS fallback_strategy,
+    arg_max(year, _ordinal) AS year, arg_max(month, _ordinal) AS month,
+    arg_max(download_url, _ordinal) AS download_url,
+    arg_max(created_at, _ordinal) FILTER (WHERE created_at IS NOT NULL) AS created_at,
+    arg_max(updated_at, _ordinal) AS updated_at
+  FROM batch GROUP BY 1, 2, 3)"""
+
+oracle("rates_normalize", q(RECORDS_RAW + normalized("records_raw", "normalized"),
+                            f"SELECT record_no, {RATES_COLS}, error FROM normalized"))
+
+oracle("parse_store_date", q(RECORDS_RAW, f"SELECT record_no, {store_date(blank_null('rate_date'))} AS rate_date FROM records_raw"))
+
+oracle("normalize_fetch_ts", q(RECORDS_RAW, f"""SELECT record_no,
+  {fetch_ts(blank_null('fetch_date'), store_date(blank_null('rate_date')))} AS fetch_ts FROM records_raw"""))
+
+oracle("round_rate_even", q(RECORDS_RAW, f"SELECT record_no, {rate_text('rate_mid', 'half_even')} AS rate_mid FROM records_raw"))
+
+oracle("round_rate_up", q(RECORDS_RAW, f"""SELECT record_no, {rate_text('rate_mid', 'half_up')} AS rate_mid,
+  CAST({rate_text('rate_mid', 'half_up')} AS VARCHAR) AS rate_text FROM records_raw"""))
+
+oracle("year_month_derive", q(RATES + STORED, """SELECT base_currency, quote_currency, rate_date,
+  CAST(year(rate_date) AS INTEGER) AS year, CAST(month(rate_date) AS INTEGER) AS month FROM stored WHERE even_day"""))
+
+oracle("fallback_default", q(RECORDS_RAW, f"""SELECT record_no,
+  COALESCE({blank_null('source')}, 'manual') AS source,
+  COALESCE({blank_null('fallback_strategy')}, '') AS fallback_strategy,
+  COALESCE({blank_null('fallback_strategy')}, 'none') AS fallback_used FROM records_raw"""))
+
+oracle("last_wins", q(BATCH, f"SELECT {RATES_COLS} FROM deduped"))
+
+MERGE = """,
+merged AS (
+  SELECT COALESCE(d.base_currency, s.base_currency) AS base_currency,
+    COALESCE(d.quote_currency, s.quote_currency) AS quote_currency,
+    COALESCE(d.rate_date, s.rate_date) AS rate_date,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.rate_mid ELSE s.rate_mid END AS rate_mid,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.fetch_date ELSE s.fetch_date END AS fetch_date,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.source ELSE s.source END AS source,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.fallback_strategy ELSE s.fallback_strategy END AS fallback_strategy,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.year ELSE s.year END AS year,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.month ELSE s.month END AS month,
+    CASE WHEN d.base_currency IS NOT NULL THEN d.download_url ELSE s.download_url END AS download_url,
+    CASE WHEN d.base_currency IS NOT NULL THEN COALESCE(d.created_at, s.created_at, '{now}')
+         ELSE s.created_at END AS created_at,
+    CASE WHEN d.base_currency IS NOT NULL THEN '{now}' ELSE s.updated_at END AS updated_at
+  FROM deduped d FULL OUTER JOIN (SELECT * FROM stored WHERE even_day) s
+    ON d.base_currency = s.base_currency AND d.quote_currency = s.quote_currency AND d.rate_date = s.rate_date)"""
+MERGE_NOW = "2025-01-01T00:00:00+00:00"
+
+oracle("rates_upsert", q(BATCH + STORED + MERGE.replace("{now}", MERGE_NOW), f"SELECT {RATES_COLS} FROM merged"))
+
+oracle("rates_range_query", q(RATES, """SELECT base_currency, quote_currency, rate_mid, rate_date FROM rates
+  WHERE base_currency = 'USD' AND quote_currency = 'CNY' AND rate_date BETWEEN DATE '1997-03-15' AND DATE '1999-10-20'"""))
+
+oracle("pair_filter", q(RATES, """SELECT base_currency, quote_currency, rate_mid, rate_date FROM rates
+  WHERE base_currency = 'EUR' AND quote_currency = 'CNY'"""))
+
+oracle("rates_sorted", q(RATES, "SELECT base_currency, quote_currency, rate_mid, rate_date FROM rates ORDER BY rate_date NULLS LAST, 1, 2"))
+
+oracle("rates_preview", q(RATES, """SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR) AS rate_mid, rate_date
+  FROM rates WHERE base_currency = 'HKD' AND quote_currency = 'CNY' ORDER BY rate_date NULLS LAST, 1, 2 LIMIT 5"""))
+
+oracle("store_write", q(RATES + STORED, f"SELECT {RATES_COLS} FROM stored"))
+
+RATES_CSV = RATES + """,
+rates_csv AS (
+  SELECT rate_date AS d, dayofmonth(rate_date) AS dn, strftime(rate_date, '%Y-%m-%d') AS iso,
+    CASE WHEN dayofmonth(rate_date) % 2 = 0 THEN CAST(rate_mid AS VARCHAR) || '5' ELSE CAST(rate_mid AS VARCHAR) END AS rate_text
+  FROM rates WHERE base_currency = 'USD'),
+csv_records AS (
+  SELECT 'USD' AS base_currency, 'CNY' AS quote_currency,
+    CAST(round_even(CAST(rate_text AS DECIMAL(30,10)), 4) AS DECIMAL(18,4)) AS rate_mid,
+    d AS rate_date,
+    iso || 'T00:00:00+00:00' AS fetch_date,
+    CASE WHEN dn % 4 = 0 THEN 'csv_import' ELSE 'pbc_notice' END AS source,
+    CASE WHEN dn % 3 = 0 THEN 'forward' ELSE 'none' END AS fallback_strategy,
+    CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+    '' AS download_url, CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS VARCHAR) AS updated_at
+  FROM rates_csv)"""
+
+oracle("rates_csv_scan", q(RATES_CSV, f"SELECT {RATES_COLS}, CAST(NULL AS VARCHAR) AS error FROM csv_records"))
+
+oracle("alias_rates", q(RATES_CSV, """SELECT CAST(year(d) AS VARCHAR) AS year, CAST(month(d) AS VARCHAR) AS month,
+  rate_text AS rate_mid, CASE WHEN dn = 1 THEN NULL ELSE iso END AS rate_date, iso AS fetch_date,
+  CASE WHEN dn % 4 = 0 THEN NULL ELSE 'pbc_notice' END AS source,
+  CASE WHEN dn % 3 = 0 THEN 'forward' END AS fallback_strategy FROM rates_csv"""))
+
+oracle("import_rates", q(RATES_CSV + STORED + """,
+deduped AS (SELECT * FROM csv_records)""" + MERGE.replace("{now}", MERGE_NOW), f"SELECT {RATES_COLS} FROM merged"))
+
+oracle("upsert_one", q(RATES + STORED + """,
+latest AS (
+  SELECT base_currency, quote_currency, max(rate_date) AS rate_date, arg_max(rate_mid, rate_date) AS rate_mid
+  FROM rates GROUP BY 1, 2),
+deduped AS (
+  SELECT base_currency, quote_currency, rate_date,
+    CAST(round(CAST(CAST(rate_mid + 0.00005 AS DECIMAL(18,5)) AS DECIMAL(30,10)), 4) AS DECIMAL(18,4)) AS rate_mid,
+    strftime(rate_date, '%Y-%m-%d') || 'T09:15:00+00:00' AS fetch_date, 'manual' AS source,
+    '' AS fallback_strategy, CAST(year(rate_date) AS INTEGER) AS year, CAST(month(rate_date) AS INTEGER) AS month,
+    'http://rates.example/manual' AS download_url, CAST(NULL AS VARCHAR) AS created_at
+  FROM latest)""" + MERGE.replace("{now}", MERGE_NOW), f"SELECT {RATES_COLS} FROM merged"))

@@ -58,7 +58,7 @@ def parse_store_date(c) -> Column:
 
 
 def _valid_clock(h: Column, m: Column, s: Column) -> Column:
-    return (h.cast("int") < 24) & (m.cast("int") < 60) & (s.cast("int") < 60)
+    return (try_cast(h, "int") < 24) & (try_cast(m, "int") < 60) & (try_cast(s, "int") < 60)
 
 
 def normalize_fetch_ts(c, fallback_date) -> Column:

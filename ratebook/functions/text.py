@@ -34,8 +34,7 @@ def strip_unicode(c) -> Column:
 
 def blank_to_null(c) -> Column:
     """Null for null or whitespace-only text, else the stripped text."""
-    s = strip_unicode(c)
-    return F.when(s == "", F.lit(None).cast("string")).otherwise(s)
+    return F.nullif(strip_unicode(c), F.lit(""))
 
 
 def is_missing(c) -> Column:

@@ -63,9 +63,9 @@ def last_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:
     """
     ordinal_col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     value_cols = [c for c in df.columns if c not in key_cols]
-    packed = F.struct(*[F.col(c) for c in value_cols])
+    packed = F.struct(ordinal_col.alias("_o"), *[F.col(c) for c in value_cols])
     return (df.groupBy(*key_cols)
-            .agg(F.max_by(packed, ordinal_col).alias("_row"))
+            .agg(F.max(packed).alias("_row"))
             .select(*key_cols, *[F.col("_row")[c].alias(c) for c in value_cols]))
 
 
@@ -73,9 +73,9 @@ def first_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:
     """Keep, per key, the row with the smallest ordinal."""
     ordinal_col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     value_cols = [c for c in df.columns if c not in key_cols]
-    packed = F.struct(*[F.col(c) for c in value_cols])
+    packed = F.struct(ordinal_col.alias("_o"), *[F.col(c) for c in value_cols])
     return (df.groupBy(*key_cols)
-            .agg(F.min_by(packed, ordinal_col).alias("_row"))
+            .agg(F.min(packed).alias("_row"))
             .select(*key_cols, *[F.col("_row")[c].alias(c) for c in value_cols]))
 
 

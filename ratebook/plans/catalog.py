@@ -280,3 +280,197 @@ def q_drop_fill(spark, sf_dir):
     combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
     df = combined.select("source_file", "source_row", "amount", "currency", "description", "Customer")
     return drop_fill(df, ["amount"], {"description": "n/a", "Customer": "none"})
+
+
+# ---- rate store -------------------------------------------------------------------------
+
+from ratebook.operators import store as st  # noqa: E402
+from ratebook.sources import bindings as bd  # noqa: E402
+
+
+def _records(spark, sf_dir):
+    return bd.rate_records_raw(spark, sf_dir).withColumnRenamed("_ordinal", "record_no")
+
+
+@register("rates_normalize")
+def q_rates_normalize(spark, sf_dir):
+    """Records normalised to the store's columns, with the first error per record."""
+    return st.normalize_records(_records(spark, sf_dir))
+
+
+@register("parse_store_date")
+def q_parse_store_date(spark, sf_dir):
+    """Strict ISO dates (datetime text gives its local date)."""
+    from ratebook.functions.dates import parse_store_date
+    r = _records(spark, sf_dir)
+    return r.select("record_no", parse_store_date("rate_date").alias("rate_date"))
+
+
+@register("normalize_fetch_ts")
+def q_normalize_fetch_ts(spark, sf_dir):
+    """Fetch timestamps as ISO text with offset, blank -> midnight of the rate date."""
+    from ratebook.functions.dates import normalize_fetch_ts, parse_store_date
+    r = _records(spark, sf_dir)
+    return r.select("record_no", normalize_fetch_ts("fetch_date", parse_store_date("rate_date")).alias("fetch_ts"))
+
+
+@register("round_rate_even")
+def q_round_rate_even(spark, sf_dir):
+    """4 decimals, half-even (dict and CSV path)."""
+    r = _records(spark, sf_dir)
+    return r.select("record_no", st.rate_from_text("rate_mid", "half_even").alias("rate_mid"))
+
+
+@register("round_rate_up")
+def q_round_rate_up(spark, sf_dir):
+    """4 decimals, half-up (typed records, monthly rows), with its fixed-point text."""
+    r = _records(spark, sf_dir)
+    rate = st.rate_from_text("rate_mid", "half_up")
+    return r.select("record_no", rate.alias("rate_mid"), rate.cast("string").alias("rate_text"))
+
+
+@register("year_month_derive")
+def q_year_month_derive(spark, sf_dir):
+    """year/month recomputed from the date over stored values that drifted."""
+    s = bd.stored_rates(spark, sf_dir).withColumn("year", F.col("year") + 1).withColumn("month", F.lit(0))
+    return st.derive_year_month(s).select("base_currency", "quote_currency", "rate_date", "year", "month")
+
+
+@register("fallback_default")
+def q_fallback_default(spark, sf_dir):
+    """Blank source -> argument; blank fallback -> '' (store) or 'none' (monthly)."""
+    r = _records(spark, sf_dir)
+    return r.select("record_no",
+                    st.fallback_default("source", "manual").alias("source"),
+                    st.fallback_default("fallback_strategy", None, "").alias("fallback_strategy"),
+                    st.fallback_default("fallback_strategy", None, "none").alias("fallback_used"))
+
+
+def _valid_batch(spark, sf_dir):
+    norm = st.normalize_records(bd.rate_batch(spark, sf_dir))
+    return norm.where(F.col("error").isNull()).drop("error")
+
+
+@register("last_wins")
+def q_last_wins(spark, sf_dir):
+    """Per key the last record of the batch; created_at the last one given."""
+    return st.dedupe_batch(_valid_batch(spark, sf_dir), "_ordinal").drop("_consumed")
+
+
+@register("rates_upsert")
+def q_rates_upsert(spark, sf_dir):
+    """One merge of the batch into the stored table at a fixed clock."""
+    return st.upsert(bd.stored_rates(spark, sf_dir), _valid_batch(spark, sf_dir), bd.MERGE_NOW)
+
+
+def _store_table(spark, sf_dir):
+    return bd.stored_rates(spark, sf_dir, even_days=False)
+
+
+@register("rates_range_query")
+def q_rates_range_query(spark, sf_dir):
+    """usd/cny between two dates, inclusive."""
+    return st.range_query(_store_table(spark, sf_dir), "usd", "cny", "1997-03-15", "1999-10-20") \
+        .select("base_currency", "quote_currency", "rate_mid", "rate_date")
+
+
+@register("pair_filter")
+def q_pair_filter(spark, sf_dir):
+    """'eur/cny' split into base and quote, then F1 without dates."""
+    base, quote = st.parse_pair("eur/cny")
+    return st.range_query(_store_table(spark, sf_dir), base, quote) \
+        .select("base_currency", "quote_currency", "rate_mid", "rate_date")
+
+
+@register("rates_sorted")
+def q_rates_sorted(spark, sf_dir):
+    """O1: ascending by date, nulls last."""
+    return st.sorted_rates(_store_table(spark, sf_dir)).select(
+        "base_currency", "quote_currency", "rate_mid", "rate_date")
+
+
+@register("rates_preview")
+def q_rates_preview(spark, sf_dir):
+    """O2: first five rows of the ordered hkd result, rate as 4-decimal text."""
+    return st.preview(st.range_query(_store_table(spark, sf_dir), "hkd", "cny"), 5).select(
+        "base_currency", "quote_currency", "rate_mid", "rate_date")
+
+
+@register("store_write")
+def q_store_write(spark, sf_dir):
+    """K1: the table written as a new version, read back from that version."""
+    from ratebook.session import scratch_dir
+    from ratebook.sinks.store import RateStore
+    store = RateStore(spark, scratch_dir(spark, "store"))
+    store.write(_store_table(spark, sf_dir))
+    return store.read()
+
+
+def _write_rates_csv(spark, sf_dir) -> str:
+    """USD rates landed as a CSV with the monthly cache's Chinese headers."""
+    from ratebook.session import scratch_dir
+    path = scratch_dir(spark, "rates-csv")
+    r = bd.rates_view(spark, sf_dir).where(F.col("base_currency") == "USD")
+    dn = F.dayofmonth("rate_date")
+    iso = F.date_format("rate_date", "yyyy-MM-dd")
+    out = r.select(
+        F.year("rate_date").cast("string").alias("年份"),
+        F.month("rate_date").cast("string").alias("月份"),
+        F.when(dn % 2 == 0, F.concat(F.col("rate_mid").cast("string"), F.lit("5")))
+        .otherwise(F.col("rate_mid").cast("string")).alias("中间价"),
+        F.when(dn == 1, F.lit("")).otherwise(iso).alias("查询日期"),
+        iso.alias("来源日期"),
+        F.when(dn % 4 == 0, F.lit("")).otherwise(F.lit("pbc_notice")).alias("数据源"),
+        F.when(dn % 3 == 0, F.lit("forward")).otherwise(F.lit("")).alias("回退策略"))
+    out.write.option("header", True).csv(path)
+    return path
+
+
+@register("rates_csv_scan")
+def q_rates_csv_scan(spark, sf_dir):
+    """S3: CSV rows -> records (base/quote from arguments, source/fallback from rows first)."""
+    from ratebook.sources.tables import read_csv_text
+    raw = read_csv_text(spark, _write_rates_csv(spark, sf_dir))
+    return st.load_csv_records(raw, "USD", "CNY", "csv_import", "none")
+
+
+@register("alias_rates")
+def q_alias_rates(spark, sf_dir):
+    """CSV headers mapped to canonical names (unknown names pass through trimmed)."""
+    from ratebook.operators.mapping import RATES_CSV_ALIASES, alias_columns
+    from ratebook.sources.tables import read_csv_text
+    raw = read_csv_text(spark, _write_rates_csv(spark, sf_dir))
+    return alias_columns(raw, RATES_CSV_ALIASES, keep_unknown=True)
+
+
+@register("import_rates")
+def q_import_rates(spark, sf_dir):
+    """CSV import merged into the store of even days, written as a new version."""
+    from ratebook.plans.import_rates import import_csv
+    from ratebook.session import scratch_dir
+    from ratebook.sinks.store import RateStore
+    store = RateStore(spark, scratch_dir(spark, "import"))
+    store.write(bd.stored_rates(spark, sf_dir))
+    _, table_now = import_csv(spark, store, _write_rates_csv(spark, sf_dir), "USD", "CNY", "csv_import",
+                              "none", now=bd.MERGE_NOW)
+    return table_now
+
+
+@register("upsert_one")
+def q_upsert_one(spark, sf_dir):
+    """One corrected record per pair (its latest day) merged into the store."""
+    from ratebook.plans.import_rates import upsert_records
+    from ratebook.session import scratch_dir
+    from ratebook.sinks.store import RateStore
+    store = RateStore(spark, scratch_dir(spark, "upsert"))
+    store.write(bd.stored_rates(spark, sf_dir))
+    latest = bd.rates_view(spark, sf_dir).groupBy("base_currency", "quote_currency").agg(
+        F.max("rate_date").alias("rate_date"), F.max_by("rate_mid", "rate_date").alias("rate_mid"))
+    rec = latest.select(
+        F.lit(0).cast("bigint").alias("_ordinal"),
+        F.lower("base_currency").alias("base_currency"), "quote_currency",
+        (F.col("rate_mid") + F.lit(0.00005)).cast("decimal(18,5)").cast("string").alias("rate_mid"),
+        F.date_format("rate_date", "yyyy-MM-dd").alias("rate_date"),
+        F.concat(F.date_format("rate_date", "yyyy-MM-dd"), F.lit("T09:15:00")).alias("fetch_date"),
+        F.lit("manual").alias("source"))
+    return upsert_records(store, rec, download_url="http://rates.example/manual", now=bd.MERGE_NOW)

@@ -124,3 +124,76 @@ def quotes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             src.when(F.col("base_currency") == ccy, F.lit(name))
     return r.select(src.alias("source"), F.col("rate_date").alias("quote_date"),
                     F.col("rate_mid").alias("rate"))
+
+
+def _ccy_index(base):
+    return F.when(base == "USD", 0).when(base == "EUR", 1).otherwise(2)
+
+
+def rate_records_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate records as text, the way callers hand them to the store.
+
+    Variants by day of month exercise upper-casing, five-decimal rates (the
+    two rounding modes), ISO dates with time and offset, blank required
+    fields and unparsable dates. ``_ordinal`` is the record's input order.
+    """
+    r = rates_view(spark, sf_dir)
+    d = F.col("rate_date")
+    dn = F.dayofmonth(d)
+    iso = F.date_format(d, "yyyy-MM-dd")
+    base = F.col("base_currency")
+    ordinal = (F.datediff(d, F.lit("1990-01-01").cast("date")) * 10 + _ccy_index(base)) * 2
+    src = None
+    for ccy, name in CURRENCY_SOURCE:
+        src = F.when(base == ccy, F.lit(name)) if src is None else src.when(base == ccy, F.lit(name))
+    return r.select(
+        ordinal.cast("bigint").alias("_ordinal"),
+        F.when(dn % 5 == 0, F.lower(base)).otherwise(base).alias("base_currency"),
+        F.when(dn % 3 == 0, F.lit("cny")).otherwise(F.col("quote_currency")).alias("quote_currency"),
+        F.when(dn % 2 == 0, F.concat(F.col("rate_mid").cast("string"), F.lit("5")))
+        .otherwise(F.col("rate_mid").cast("string")).alias("rate_mid"),
+        F.when(dn % 7 == 0, F.concat(iso, F.lit("T08:30:00+08:00")))
+        .when(dn % 11 == 0, F.concat(F.lit("bad-"), iso)).otherwise(iso).alias("rate_date"),
+        F.when(dn % 4 == 0, F.lit(""))
+        .when(dn % 4 == 1, F.concat(iso, F.lit("T10:11:12")))
+        .when(dn % 4 == 2, F.concat(iso, F.lit("T10:11:12.123456Z")))
+        .otherwise(F.concat(iso, F.lit("T23:59:59+0800"))).alias("fetch_date"),
+        F.when(dn % 13 == 0, F.lit(" ")).otherwise(src).alias("source"),
+        F.when(dn % 6 == 0, F.lit("forward")).alias("fallback_strategy"),
+        F.when(dn % 8 == 0, F.concat(F.lit("http://rates.example/"), iso)).alias("download_url"),
+        F.when(dn % 9 == 0, F.lit("2023-06-01T00:00:00+00:00")).alias("created_at"))
+
+
+# Timestamps of the derived store and of the merge.
+STORE_CREATED = "2024-01-01T00:00:00+00:00"
+MERGE_NOW = "2025-01-01T00:00:00+00:00"
+
+
+def stored_rates(spark: SparkSession, sf_dir: str, even_days: bool = True) -> DataFrame:
+    """A store (RATES schema) holding the rates (of even days of month by default)."""
+    r = rates_view(spark, sf_dir)
+    if even_days:
+        r = r.where(F.dayofmonth("rate_date") % 2 == 0)
+    src = None
+    for ccy, name in CURRENCY_SOURCE:
+        src = F.when(F.col("base_currency") == ccy, F.lit(name)) if src is None else \
+            src.when(F.col("base_currency") == ccy, F.lit(name))
+    return r.select(
+        "base_currency", "quote_currency", "rate_mid", "rate_date",
+        F.concat(F.date_format("rate_date", "yyyy-MM-dd"), F.lit("T00:00:00+00:00")).alias("fetch_date"),
+        src.alias("source"), F.lit("").alias("fallback_strategy"),
+        F.year("rate_date").alias("year"), F.month("rate_date").alias("month"),
+        F.lit("").alias("download_url"), F.lit(STORE_CREATED).alias("created_at"),
+        F.lit(STORE_CREATED).alias("updated_at"))
+
+
+def rate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of days divisible by 3, plus a later corrected copy of days divisible by 9."""
+    raw = rate_records_raw(spark, sf_dir)
+    day = F.substring(F.regexp_extract("rate_date", r"(\d{4}-\d{2}-\d{2})", 1), 9, 2).cast("int")
+    first = raw.where(day % 3 == 0)
+    again = (raw.where(day % 9 == 0)
+             .withColumn("_ordinal", F.col("_ordinal") + 1)
+             .withColumn("rate_mid", F.concat(F.lit("1"), F.col("rate_mid")))
+             .withColumn("created_at", F.lit(None).cast("string")))
+    return first.unionByName(again)
