@@ -480,3 +480,193 @@ deduped AS (
     '' AS fallback_strategy, CAST(year(rate_date) AS INTEGER) AS year, CAST(month(rate_date) AS INTEGER) AS month,
     'http://rates.example/manual' AS download_url, CAST(NULL AS VARCHAR) AS created_at
   FROM latest)""" + MERGE.replace("{now}", MERGE_NOW), f"SELECT {RATES_COLS} FROM merged"))
+
+
+# ---- calendar, routing, monthly cache -----------------------------------------------------
+
+from ratebook.operators.calendar import rule_calendar  # noqa: E402
+from ratebook.sources.bindings import REFRESH_MONTHS  # noqa: E402
+
+_HOL, _WORK = rule_calendar()
+CAL = ",\ncal_raw AS (SELECT * FROM (VALUES " + ", ".join(
+    [f"(DATE '{d}', 'holiday')" for d in _HOL] + [f"(DATE '{d}', 'workday')" for d in _WORK]) + """) t(day, kind)),
+cal AS (SELECT day, bool_or(kind = 'holiday') AS is_holiday, bool_or(kind = 'workday') AS is_workday
+        FROM cal_raw GROUP BY day),
+span AS (SELECT min(rate_date) AS a, max(rate_date) AS b FROM rates),
+months AS (
+  SELECT CAST(unnest(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP), CAST(date_trunc('month', b) AS TIMESTAMP),
+         INTERVAL 1 MONTH)) AS DATE) AS month_start FROM span),
+safe_q AS (SELECT quote_date, rate, CAST(date_trunc('month', quote_date) AS DATE) AS ms FROM quotes WHERE source = 'safe'),
+safe_win AS (
+  SELECT ms AS month_start, CASE dayofweek(ms) WHEN 6 THEN ms + 2 WHEN 0 THEN ms + 1 ELSE ms END AS window_start
+  FROM (SELECT DISTINCT ms FROM safe_q)),
+safe_best AS (
+  SELECT w.month_start, w.window_start, least(w.window_start + 10, last_day(w.month_start)) AS window_end,
+         arg_min(q.rate, q.quote_date) AS safe_rate, min(q.quote_date) AS safe_date
+  FROM safe_win w JOIN safe_q q ON q.ms = w.month_start
+  WHERE q.quote_date BETWEEN w.window_start AND least(w.window_start + 10, last_day(w.month_start))
+  GROUP BY 1, 2, 3)"""
+
+MONTHLY_BASE = QUOTES + CAL
+
+
+def business(day: str) -> str:
+    return (f"CASE WHEN COALESCE(c.is_holiday, FALSE) THEN FALSE WHEN dayofweek({day}) IN (0, 6) "
+            f"THEN COALESCE(c.is_workday, FALSE) ELSE TRUE END")
+
+
+def candidates(n: str, months: str) -> str:
+    return f""",
+{n}_days AS (
+  SELECT d.month_start, d.day, {business('d.day')} AS is_business
+  FROM (SELECT month_start, CAST(unnest(generate_series(CAST(month_start AS TIMESTAMP), CAST(last_day(month_start) AS TIMESTAMP),
+        INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT month_start FROM {months})) d
+  LEFT JOIN cal c ON c.day = d.day),
+{n}_fbd AS (SELECT month_start, min(day) FILTER (WHERE is_business) AS query_date FROM {n}_days GROUP BY 1),
+{n}_cands AS (
+  SELECT d.month_start, f.query_date, 0 AS cand_rank, d.day AS target_date
+  FROM {n}_days d JOIN {n}_fbd f USING (month_start) WHERE d.day = f.query_date
+  UNION ALL
+  SELECT month_start, query_date, cand_rank, target_date FROM (
+    SELECT d.month_start, f.query_date, row_number() OVER (PARTITION BY d.month_start ORDER BY d.day) AS cand_rank,
+           d.day AS target_date
+    FROM {n}_days d JOIN {n}_fbd f USING (month_start) WHERE d.day > f.query_date AND d.is_business)
+  WHERE cand_rank <= 3
+  UNION ALL
+  SELECT d.month_start, f.query_date, 3 + date_diff('day', d.day, f.query_date), d.day
+  FROM {n}_days d JOIN {n}_fbd f USING (month_start) WHERE d.day < f.query_date)"""
+
+
+ORDERS_SQL = {"auto": ("pbc", "cfets", "safe"), "cfets": ("cfets", "safe")}
+
+
+def route_sql(n: str, targets: str, group: str, order: str = "", prefer: str = "auto") -> str:
+    vals = ", ".join(f"('{s}', {i})" for i, s in enumerate(ORDERS_SQL[prefer]))
+    order_by = (order + ", " if order else "") + "src_rank"
+    return f""",
+{n}_src AS (SELECT * FROM (VALUES {vals}) s(source, src_rank)),
+{n}_tries AS (
+  SELECT t.*, s.source, s.src_rank,
+    CASE WHEN s.source = 'safe' THEN sb.safe_rate ELSE q.rate END AS rate,
+    CASE WHEN s.source = 'safe' THEN sb.safe_date ELSE q.quote_date END AS source_date
+  FROM {targets} t CROSS JOIN {n}_src s
+  LEFT JOIN quotes q ON s.source IN ('pbc', 'cfets') AND q.source = s.source AND q.quote_date = t.target_date
+  LEFT JOIN safe_best sb ON s.source = 'safe' AND sb.month_start = CAST(date_trunc('month', t.target_date) AS DATE)),
+{n}_best AS (
+  SELECT *, target_date AS request_date,
+    CASE source WHEN 'pbc' THEN 'pbc_notice' WHEN 'cfets' THEN 'cfets_notice' ELSE 'safe_portal' END AS rate_source,
+    CASE WHEN source = 'safe' AND source_date <> target_date THEN 'forward'
+         WHEN src_rank = 0 THEN 'none' ELSE source END AS fallback_used
+  FROM {n}_tries WHERE rate IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY {order_by}) = 1)"""
+
+
+def monthly_results(n: str, months: str) -> str:
+    return candidates(n, months) + route_sql(n, f"{n}_cands", "month_start, query_date", "cand_rank") + f""",
+{n}_res AS (
+  SELECT CAST(year(month_start) AS INTEGER) AS year, CAST(month(month_start) AS INTEGER) AS month, query_date,
+    request_date, CAST(round(rate, 4) AS DECIMAL(18,4)) AS mid_rate, source_date, rate_source, fallback_used
+  FROM {n}_best)"""
+
+
+MON_EXIST = """,
+mon_exist AS (
+  SELECT CAST(y AS VARCHAR) AS year, lpad(CAST(m AS VARCHAR), 2, '0') AS month, CAST(r AS VARCHAR) AS mid_rate,
+    strftime(d, '%Y-%m-%d') AS query_date, strftime(d, '%Y-%m-%d') AS source_date,
+    'pbc_notice' AS rate_source, 'none' AS fallback_used
+  FROM (SELECT year(rate_date) AS y, month(rate_date) AS m, min(rate_date) AS d, arg_min(rate_mid, rate_date) AS r
+        FROM rates WHERE base_currency = 'USD' GROUP BY 1, 2) WHERE m % 3 <> 0),
+mon_scanned AS (
+  SELECT * FROM mon_exist WHERE NOT (CAST(year AS INTEGER) > 1997 AND CAST(month AS INTEGER) IN (5, 7)))"""
+
+REFRESH_VALUES = ", ".join(f"({int(r[:4])}, {int(r[5:])})" for r in REFRESH_MONTHS)
+
+
+def todo_sql(n: str, existing: str) -> str:
+    return f""",
+{n}_todo AS (
+  SELECT DISTINCT year, month, make_date(year, month, 1) AS month_start FROM (
+    SELECT CAST(year(month_start) AS INTEGER) AS year, CAST(month(month_start) AS INTEGER) AS month FROM months
+    WHERE (year(month_start), month(month_start)) NOT IN
+          (SELECT (CAST(year AS INTEGER), CAST(month AS INTEGER)) FROM {existing})
+    UNION ALL SELECT * FROM (VALUES {REFRESH_VALUES}) r(year, month)))"""
+
+
+def merge_sql(n: str, existing: str) -> str:
+    return todo_sql(n, existing) + monthly_results(n, f"{n}_todo") + f""",
+{n}_rows AS (
+  SELECT CAST(year AS VARCHAR) AS year, lpad(CAST(month AS VARCHAR), 2, '0') AS month, CAST(mid_rate AS VARCHAR) AS mid_rate,
+    strftime(query_date, '%Y-%m-%d') AS query_date, strftime(source_date, '%Y-%m-%d') AS source_date,
+    rate_source, fallback_used
+  FROM {n}_res),
+{n}_table AS (
+  SELECT * FROM {existing} e WHERE NOT EXISTS (SELECT 1 FROM {n}_rows r WHERE r.year = e.year AND r.month = e.month)
+  UNION ALL SELECT * FROM {n}_rows),
+{n}_stats AS (
+  SELECT (SELECT count(*) FROM {n}_rows) AS consumed,
+    (SELECT count(*) FROM {n}_rows r LEFT JOIN {existing} e ON r.year = e.year AND r.month = e.month
+     WHERE e.year IS NULL OR NOT (r.mid_rate = e.mid_rate AND r.query_date = e.query_date AND r.source_date = e.source_date
+       AND r.rate_source = e.rate_source AND r.fallback_used = e.fallback_used)) AS changed,
+    (SELECT count(*) FROM {n}_table) AS total_rows)"""
+
+
+MONTHLY_COLS = "year, month, mid_rate, query_date, source_date, rate_source, fallback_used"
+
+oracle("first_business_day", q(MONTHLY_BASE + candidates("m", "months"), """SELECT CAST(year(month_start) AS INTEGER) AS year,
+  CAST(month(month_start) AS INTEGER) AS month, query_date AS first_business_day FROM m_fbd"""))
+
+oracle("month_series", q(MONTHLY_BASE, """SELECT month_start, CAST(year(month_start) AS INTEGER) AS year,
+  CAST(month(month_start) AS INTEGER) AS month, last_day(month_start) AS month_end FROM months"""))
+
+oracle("calendar_membership", q(MONTHLY_BASE, f"""SELECT d.day, {business('d.day')} AS is_business
+  FROM (SELECT DISTINCT rate_date AS day FROM rates) d LEFT JOIN cal c ON c.day = d.day"""))
+
+oracle("missing_months", q(MONTHLY_BASE + MON_EXIST, """SELECT CAST(year(month_start) AS INTEGER) AS year,
+  CAST(month(month_start) AS INTEGER) AS month FROM months
+  WHERE (year(month_start), month(month_start)) NOT IN (SELECT (CAST(year AS INTEGER), CAST(month AS INTEGER)) FROM mon_exist)"""))
+
+oracle("months_to_process", q(MONTHLY_BASE + MON_EXIST + todo_sql("t", "mon_exist"), "SELECT year, month FROM t_todo"))
+
+oracle("monthly_rate_lookup", q(MONTHLY_BASE + monthly_results("m", "months"),
+       "SELECT year, month, query_date, request_date, mid_rate, source_date, rate_source, fallback_used FROM m_res"))
+
+oracle("pending_months", q(MONTHLY_BASE + MON_EXIST + todo_sql("t", "mon_exist") + monthly_results("t", "t_todo"),
+       """SELECT t.year, t.month, CASE WHEN r.year IS NULL THEN 'pending' ELSE 'success' END AS status,
+  CASE WHEN r.year IS NULL THEN 'USD/CNY rate unavailable for ' || CAST(t.year AS VARCHAR) || '-' || lpad(CAST(t.month AS VARCHAR), 2, '0') END AS reason,
+  'auto' AS prefer_source
+FROM t_todo t LEFT JOIN t_res r ON r.year = t.year AND r.month = t.month"""))
+
+oracle("source_routing", q(MONTHLY_BASE + """,
+all_days AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS target_date FROM span)"""
+       + route_sql("r", "all_days", "target_date"),
+       "SELECT target_date, request_date, rate, source_date, rate_source, fallback_used FROM r_best"))
+
+oracle("forward_window_lookup", q(MONTHLY_BASE, "SELECT month_start, window_start, window_end, safe_rate, safe_date FROM safe_best"))
+
+oracle("single_rate", q(MONTHLY_BASE + """,
+order_days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS target_date FROM orders)"""
+       + route_sql("r", "order_days", "target_date", prefer="cfets"),
+       "SELECT target_date, request_date, rate, source_date, rate_source, fallback_used FROM r_best"))
+
+oracle("monthly_upsert", q(MONTHLY_BASE + MON_EXIST + merge_sql("u", "mon_exist"), f"SELECT {MONTHLY_COLS} FROM u_table"))
+
+oracle("upsert_stats", q(MONTHLY_BASE + MON_EXIST + merge_sql("u", "mon_exist"), "SELECT consumed, changed, total_rows FROM u_stats"))
+
+oracle("monthly_normalize", q(MONTHLY_BASE + monthly_results("m", "months"), """SELECT CAST(year AS VARCHAR) AS year,
+  lpad(CAST(month AS VARCHAR), 2, '0') AS month, CAST(mid_rate AS VARCHAR) AS mid_rate,
+  CASE WHEN month % 4 = 0 THEN strftime(source_date, '%Y-%m-%d') ELSE strftime(query_date, '%Y-%m-%d') END AS query_date,
+  strftime(source_date, '%Y-%m-%d') AS source_date, rate_source, fallback_used FROM m_res"""))
+
+oracle("monthly_csv_scan", q(MONTHLY_BASE + MON_EXIST, f"SELECT {MONTHLY_COLS} FROM mon_scanned"))
+
+oracle("monthly_write", q(MONTHLY_BASE + MON_EXIST + merge_sql("u", "mon_exist"), """SELECT year AS "年份", month AS "月份",
+  mid_rate AS "中间价", query_date AS "查询日期", source_date AS "来源日期", rate_source AS "数据源", fallback_used AS "回退策略"
+FROM u_table"""))
+
+oracle("months_sorted", q(MONTHLY_BASE + MON_EXIST + merge_sql("u", "mon_exist"),
+       "SELECT year, month FROM u_table ORDER BY CAST(year AS INTEGER), CAST(month AS INTEGER)"))
+
+oracle("alias_monthly", q(MONTHLY_BASE + MON_EXIST,
+       "SELECT year, month, mid_rate, source_date, rate_source, query_date FROM mon_exist"))
+
+oracle("build_monthly_rates", q(MONTHLY_BASE + MON_EXIST + merge_sql("b", "mon_scanned"), f"SELECT {MONTHLY_COLS} FROM b_table"))

@@ -474,3 +474,208 @@ def q_upsert_one(spark, sf_dir):
         F.concat(F.date_format("rate_date", "yyyy-MM-dd"), F.lit("T09:15:00")).alias("fetch_date"),
         F.lit("manual").alias("source"))
     return upsert_records(store, rec, download_url="http://rates.example/manual", now=bd.MERGE_NOW)
+
+
+# ---- calendar, routing and the monthly cache -------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from ratebook.operators import calendar as cal  # noqa: E402
+from ratebook.operators import monthly as mo  # noqa: E402
+from ratebook.operators import routing as ro  # noqa: E402
+
+
+def _calendar(spark):
+    holidays, workdays = cal.rule_calendar()
+    return cal.calendar_frame(spark, holidays, workdays)
+
+
+def _months(spark, sf_dir):
+    a, b = bd.rate_span(spark, sf_dir)
+    return cal.months_between(spark, a, b)
+
+
+def _span_months(spark, sf_dir):
+    a, b = bd.rate_span(spark, sf_dir)
+    return a[:7], b[:7]
+
+
+@register("first_business_day")
+def q_first_business_day(spark, sf_dir):
+    """First business day of every month in the rate span."""
+    months = _months(spark, sf_dir)
+    fbd = cal.first_business_days(months, _calendar(spark))
+    return months.join(fbd, "month_start").select("year", "month", "first_business_day")
+
+
+@register("month_series")
+def q_month_series(spark, sf_dir):
+    """Month starts and ends over the rate span."""
+    return _months(spark, sf_dir).select("month_start", "year", "month", "month_end")
+
+
+@register("calendar_membership")
+def q_calendar_membership(spark, sf_dir):
+    """Business-day flag of every rate day."""
+    days = bd.rates_view(spark, sf_dir).select(F.col("rate_date").alias("day")).distinct()
+    return cal.with_business_flag(days, "day", _calendar(spark))
+
+
+@register("missing_months")
+def q_missing_months(spark, sf_dir):
+    """Months of the span missing from the stored cache."""
+    a, b = bd.rate_span(spark, sf_dir)
+    return mo.missing_months(spark, bd.monthly_existing(spark, sf_dir), _dt.date.fromisoformat(a),
+                             _dt.date.fromisoformat(b)).select("year", "month")
+
+
+def _todo(spark, sf_dir):
+    a, b = _span_months(spark, sf_dir)
+    return mo.months_to_process(spark, bd.monthly_existing(spark, sf_dir), a, b, bd.REFRESH_MONTHS,
+                                today=_dt.date.fromisoformat(bd.MONTHLY_TODAY))
+
+
+@register("months_to_process")
+def q_months_to_process(spark, sf_dir):
+    """Missing months plus refresh months, distinct."""
+    return _todo(spark, sf_dir).select("year", "month")
+
+
+@register("monthly_rate_lookup")
+def q_monthly_rate_lookup(spark, sf_dir):
+    """One rate per month of the span, first business day with date and source fallbacks."""
+    return ro.monthly_lookup(_months(spark, sf_dir), bd.quotes_view(spark, sf_dir), _calendar(spark))
+
+
+@register("pending_months")
+def q_pending_months(spark, sf_dir):
+    """A4: requested months as success or pending with a reason."""
+    todo = _todo(spark, sf_dir)
+    res = ro.monthly_lookup(todo, bd.quotes_view(spark, sf_dir), _calendar(spark))
+    return mo.pending_report(todo, res)
+
+
+def _all_days(spark, sf_dir):
+    a, b = bd.rate_span(spark, sf_dir)
+    return spark.range(1).select(F.explode(F.sequence(F.lit(a).cast("date"), F.lit(b).cast("date")))
+                                 .alias("target_date"))
+
+
+@register("source_routing")
+def q_source_routing(spark, sf_dir):
+    """Every day of the span routed pbc -> cfets -> safe."""
+    return ro.route(_all_days(spark, sf_dir), bd.quotes_view(spark, sf_dir), "auto")
+
+
+@register("forward_window_lookup")
+def q_forward_window_lookup(spark, sf_dir):
+    """Per month, the earliest safe quote in [first weekday, +10 days] cut at month end."""
+    return ro.forward_window(bd.quotes_view(spark, sf_dir), _months(spark, sf_dir))
+
+
+@register("single_rate")
+def q_single_rate(spark, sf_dir):
+    """A table of dates (every order date) routed with cfets preferred."""
+    dates = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("target_date")).distinct()
+    return ro.route(dates, bd.quotes_view(spark, sf_dir), "cfets")
+
+
+def _build(spark, sf_dir, existing=None):
+    from ratebook.plans.monthly_rates import build_monthly_rates
+    a, b = _span_months(spark, sf_dir)
+    existing = bd.monthly_existing(spark, sf_dir) if existing is None else existing
+    return build_monthly_rates(spark, existing, bd.quotes_view(spark, sf_dir), _calendar(spark), a, b,
+                               bd.REFRESH_MONTHS, today=_dt.date.fromisoformat(bd.MONTHLY_TODAY))
+
+
+@register("monthly_upsert")
+def q_monthly_upsert(spark, sf_dir):
+    """The cache after merging the month results (whole-record replace)."""
+    return _build(spark, sf_dir).table
+
+
+@register("upsert_stats")
+def q_upsert_stats(spark, sf_dir):
+    """A5: rows consumed, changed and total after the merge."""
+    return _build(spark, sf_dir).stats
+
+
+@register("monthly_normalize")
+def q_monthly_normalize(spark, sf_dir):
+    """Month results handed in two key layouts (English and Chinese), normalised."""
+    rows = mo.result_rows(ro.monthly_lookup(_months(spark, sf_dir), bd.quotes_view(spark, sf_dir),
+                                            _calendar(spark)))
+    even = rows.where(F.col("month").cast("int") % 2 == 0).select(
+        F.concat(F.lit(" "), F.col("year")).alias("year"), F.col("month").cast("int").cast("string").alias("month"),
+        F.col("mid_rate").alias("mid_rate"),
+        F.when(F.col("month").cast("int") % 4 == 0, F.lit("")).otherwise(F.col("query_date")).alias("query_date"),
+        "source_date", "rate_source",
+        F.when(F.col("fallback_used") == "none", F.lit("")).otherwise(F.col("fallback_used")).alias("fallback"))
+    odd = rows.where(F.col("month").cast("int") % 2 == 1).select(
+        F.col("year").alias("年份"), F.col("month").alias("月份"), F.col("mid_rate").alias("中间价"),
+        F.col("query_date").alias("首个工作日"), F.col("source_date").alias("公告日期"),
+        F.col("rate_source").alias("来源渠道"), F.col("fallback_used").alias("回退策略"),
+        F.lit("x").alias("note"))
+    return mo.normalize_monthly(even).unionByName(mo.normalize_monthly(odd)).drop("error")
+
+
+def _write_monthly_csv(spark, sf_dir):
+    """The stored cache landed as CSV: one folder with a Chinese header, one headerless,
+    with blank rows and rows without a usable year."""
+    from ratebook.schemas import MONTHLY_OUTPUT_HEADER
+    from ratebook.session import scratch_dir
+    root = scratch_dir(spark, "monthly-csv")
+    ex = bd.monthly_existing(spark, sf_dir)
+    early = ex.where(F.col("year").cast("int") <= 1997).select(
+        *[F.col(f).alias(MONTHLY_OUTPUT_HEADER[f]) for f in ex.columns])
+    early.write.option("header", True).csv(f"{root}/with_header")
+    late = ex.where(F.col("year").cast("int") > 1997)
+    m = F.col("month").cast("int")
+    late = late.select(
+        F.when(m == 5, F.lit("")).when(m == 7, F.lit("n/a")).otherwise(F.col("year")).alias("year"),
+        *[F.when(m == 5, F.lit("")).otherwise(F.col(c)).alias(c) for c in ex.columns[1:]])
+    late.write.option("header", False).csv(f"{root}/positional")
+    return [f"{root}/with_header", f"{root}/positional"]
+
+
+@register("monthly_csv_scan")
+def q_monthly_csv_scan(spark, sf_dir):
+    """Header detected per file; blank rows dropped; rows without year/month skipped."""
+    from ratebook.sources.monthly_csv import scan_monthly
+    return scan_monthly(spark, _write_monthly_csv(spark, sf_dir))
+
+
+@register("monthly_write")
+def q_monthly_write(spark, sf_dir):
+    """K2: the merged cache written with Chinese headers and read back as text."""
+    from ratebook.session import scratch_dir
+    from ratebook.sinks.monthly import write_monthly
+    from ratebook.sources.tables import read_csv_text
+    path = write_monthly(_build(spark, sf_dir).table, scratch_dir(spark, "monthly-out"))
+    return read_csv_text(spark, path)
+
+
+@register("months_sorted")
+def q_months_sorted(spark, sf_dir):
+    """O3: cache months in ascending order."""
+    return _build(spark, sf_dir).table.orderBy(F.col("year").cast("int"), F.col("month").cast("int")) \
+        .select("year", "month")
+
+
+@register("alias_monthly")
+def q_alias_monthly(spark, sf_dir):
+    """Cache headers in mixed spellings -> canonical names; unknown headers dropped."""
+    from ratebook.operators.mapping import MONTHLY_ALIASES, alias_columns
+    ex = bd.monthly_existing(spark, sf_dir)
+    mixed = ex.select(F.col("year").alias("年份"), F.col("month").alias("Month"), F.col("mid_rate").alias(" 中间价 "),
+                      F.col("source_date").alias("公告日期"), "rate_source", F.lit("x").alias("extra"),
+                      F.col("query_date").alias("首个工作日"))
+    return alias_columns(mixed, MONTHLY_ALIASES, keep_unknown=False)
+
+
+@register("build_monthly_rates")
+def q_build_monthly_rates(spark, sf_dir):
+    """The monthly job end to end (existing cache read from CSV), final cache rows."""
+    from ratebook.sources.monthly_csv import scan_monthly
+    existing = scan_monthly(spark, _write_monthly_csv(spark, sf_dir))
+    return _build(spark, sf_dir, existing).table

@@ -13,8 +13,8 @@ from ratebook.sources.tables import read_csv_text
 def csv_ordinal() -> F.Column:
     """Input order of CSV rows: (file, block, position in the task). A multi-line CSV
     file is read by one task, so the order inside a file is stable."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                    F.monotonically_increasing_id())
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                    F.monotonically_increasing_id().alias("i"))
 
 
 def import_csv(spark: SparkSession, store: RateStore, csv_path: str, base: str, quote: str, source: str,

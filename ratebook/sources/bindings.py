@@ -197,3 +197,26 @@ def rate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("rate_mid", F.concat(F.lit("1"), F.col("rate_mid")))
              .withColumn("created_at", F.lit(None).cast("string")))
     return first.unionByName(again)
+
+
+# The monthly job's clock and refresh months.
+MONTHLY_TODAY = "2026-01-01"
+REFRESH_MONTHS = ("1996-05", "1999-07", "2003-01")
+
+
+def rate_span(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """First and last rate day (one aggregate row)."""
+    row = rates_view(spark, sf_dir).agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b")).first()
+    return row["a"].isoformat(), row["b"].isoformat()
+
+
+def monthly_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored monthly cache: the first USD rate of each month whose number is not divisible by 3."""
+    usd = rates_view(spark, sf_dir).where(F.col("base_currency") == "USD")
+    first = usd.groupBy(F.year("rate_date").alias("y"), F.month("rate_date").alias("m")).agg(
+        F.min(F.struct("rate_date", "rate_mid")).alias("f")).where(F.col("m") % 3 != 0)
+    iso = F.date_format("f.rate_date", "yyyy-MM-dd")
+    return first.select(
+        F.col("y").cast("string").alias("year"), F.lpad(F.col("m").cast("string"), 2, "0").alias("month"),
+        F.col("f.rate_mid").cast("string").alias("mid_rate"), iso.alias("query_date"), iso.alias("source_date"),
+        F.lit("pbc_notice").alias("rate_source"), F.lit("none").alias("fallback_used"))
