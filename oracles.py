@@ -670,3 +670,139 @@ oracle("alias_monthly", q(MONTHLY_BASE + MON_EXIST,
        "SELECT year, month, mid_rate, source_date, rate_source, query_date FROM mon_exist"))
 
 oracle("build_monthly_rates", q(MONTHLY_BASE + MON_EXIST + merge_sql("b", "mon_scanned"), f"SELECT {MONTHLY_COLS} FROM b_table"))
+
+
+# ---- HTML extraction ----------------------------------------------------------------------
+# Derived pages (notices, key chart, portal tables) are checked against the values they were
+# generated from; links on the real pages are parsed with DuckDB's regex functions.
+
+from ratebook.functions.html import ANCHOR_PATTERN, ENTITIES  # noqa: E402
+
+USD_DAYS = RATES + """,
+usd AS (SELECT rate_date AS d, rate_mid AS r, dayofmonth(rate_date) AS dn FROM rates WHERE base_currency = 'USD'),
+notice_truth AS (
+  SELECT CAST(date_diff('day', DATE '1990-01-01', d) AS BIGINT) AS page_id, d AS target_date,
+    CASE WHEN dn % 7 = 0 THEN NULL ELSE d END AS notice_date,
+    CASE WHEN dn % 5 = 0 OR dn % 9 = 0 THEN NULL
+         WHEN dn % 4 = 0 THEN CAST(CAST(round(r, 2) AS DECIMAL(18,2)) AS DECIMAL(18,6))
+         ELSE CAST(r AS DECIMAL(18,6)) END AS rate_a,
+    CASE WHEN dn % 5 = 0 OR dn % 9 = 0 OR dn % 4 = 0 THEN NULL ELSE r END AS rate_b,
+    d AS date_b
+  FROM usd),
+chart_truth AS (
+  SELECT CAST(year(d) * 100 + month(d) AS BIGINT) AS page_id, d, CAST(r AS DECIMAL(18,6)) AS rate
+  FROM usd WHERE dn % 6 <> 0),
+hkd AS (SELECT rate_date AS d, rate_mid AS r, dayofmonth(rate_date) AS dn, month(rate_date) AS mon,
+               CAST(year(rate_date) * 100 + month(rate_date) AS BIGINT) AS page_id FROM rates WHERE base_currency = 'HKD'),
+portal_rows AS (
+  SELECT page_id, mon, d AS quote_date, dn,
+    CAST(row_number() OVER (PARTITION BY page_id ORDER BY d) - 1 AS INTEGER) AS row_pos,
+    CASE WHEN mon % 2 = 0 OR mon % 3 = 0 THEN CAST(CAST(r * 100 AS DECIMAL(18,2)) AS DECIMAL(30,10))
+         ELSE CAST(r AS DECIMAL(30,10)) END AS raw_rate
+  FROM hkd),
+portal_valid AS (SELECT * FROM portal_rows WHERE dn % 7 <> 0),
+portal_pages AS (
+  SELECT page_id, (bool_or(raw_rate >= 50) OR any_value(mon) % 2 = 0
+                   OR (any_value(mon) % 2 = 1 AND any_value(mon) % 5 = 0)) AS per100
+  FROM portal_valid GROUP BY page_id),
+portal_scaled AS (
+  SELECT v.page_id, v.quote_date, v.row_pos, v.raw_rate, p.per100,
+    CAST(round(CASE WHEN p.per100 THEN v.raw_rate / 100 ELSE v.raw_rate END, 4) AS DECIMAL(18,4)) AS rate
+  FROM portal_valid v JOIN portal_pages p USING (page_id))"""
+
+oracle("notice_parse", q(USD_DAYS, "SELECT page_id, target_date, notice_date, rate_a, rate_b, date_b FROM notice_truth"))
+
+oracle("keychart_rows", q(USD_DAYS, """SELECT u.d AS target_date, c.rate FROM (SELECT DISTINCT d FROM usd) u
+  JOIN chart_truth c ON c.d = u.d"""))
+
+oracle("notice_then_chart", q(USD_DAYS + """,
+span AS (SELECT min(rate_date) AS a, max(rate_date) AS b FROM rates),
+all_days AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS target_date FROM span),
+first_notice AS (
+  SELECT notice_date, arg_min(rate_a, page_id) AS rate_a FROM notice_truth
+  WHERE notice_date IS NOT NULL AND rate_a IS NOT NULL GROUP BY notice_date)""",
+       """SELECT t.target_date, CAST(COALESCE(n.rate_a, c.rate) AS DECIMAL(18,6)) AS rate,
+  CASE WHEN COALESCE(n.rate_a, c.rate) IS NOT NULL THEN t.target_date END AS source_date,
+  CASE WHEN n.rate_a IS NOT NULL THEN 'pbc_notice' WHEN c.rate IS NOT NULL THEN 'pbc_keychart' END AS rate_source
+FROM all_days t LEFT JOIN first_notice n ON n.notice_date = t.target_date LEFT JOIN chart_truth c ON c.d = t.target_date"""))
+
+oracle("table_rows", q(USD_DAYS, "SELECT page_id, row_pos, quote_date, raw_rate FROM portal_valid"))
+oracle("parse_table_date", q(USD_DAYS, "SELECT page_id, row_pos, quote_date FROM portal_valid"))
+oracle("per100_detect", q(USD_DAYS, "SELECT page_id, per100 FROM portal_pages"))
+oracle("scale_per100", q(USD_DAYS, "SELECT page_id, quote_date, rate FROM portal_scaled"))
+
+oracle("extract_quotes", q(USD_DAYS, """
+SELECT 'pbc_notice' AS source, page_id, notice_date AS quote_date, rate_a AS rate FROM notice_truth
+  WHERE notice_date IS NOT NULL AND rate_a IS NOT NULL
+UNION ALL SELECT 'cfets_notice', page_id, date_b, CAST(rate_b AS DECIMAL(18,6)) FROM notice_truth WHERE rate_b IS NOT NULL
+UNION ALL SELECT 'pbc_keychart', page_id, d, rate FROM chart_truth
+UNION ALL SELECT 'safe_portal', page_id, quote_date, CAST(rate AS DECIMAL(18,6)) FROM portal_scaled"""))
+
+oracle("pages_scan", """SELECT page_id, url, CAST(octet_length(encode(html)) AS INTEGER) AS html_bytes,
+  CAST(least(octet_length(encode(html)), 200000) AS INTEGER) AS snapshot_bytes FROM pages""")
+
+
+def decode_sql(x: str) -> str:
+    out = x
+    for ent, ch in ENTITIES:
+        out = "replace(%s, '%s', '%s')" % (out, ent, ch.replace("'", "''"))
+    return out
+
+
+DROP_BLOCKS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+
+
+def nodes_sql(x: str) -> str:
+    split = (f"string_split(regexp_replace(regexp_replace({x}, '{DROP_BLOCKS}', chr(1), 'g'), "
+             f"'(?s)<[^>]*>', chr(1), 'g'), chr(1))")
+    return f"list_filter(list_transform({split}, lambda t: {trim(decode_sql('t'))}), lambda t: t <> '')"
+
+
+ANCHOR_SQL = ANCHOR_PATTERN.replace("'", "''")
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
+
+
+def fold_sql(p: str) -> str:
+    out = f"regexp_replace({p}, '/(\\./)+', '/', 'g')"
+    for _ in range(4):
+        out = f"regexp_replace({out}, '/[^/]+/\\.\\./', '/', 'g')"
+    return f"regexp_replace({out}, '^(/\\.\\.)+/', '/', 'g')"
+
+
+def resolve_sql(b: str, h: str) -> str:
+    scheme = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)"
+    origin = f"regexp_extract({b}, '{ORIGIN}', 1)"
+    no_frag = f"regexp_replace({b}, '#.*$', '')"
+    no_query = f"regexp_replace({no_frag}, '\\?.*$', '')"
+    base_dir = f"regexp_replace({no_query}, '[^/]*$', '')"
+    base_path = f"substr({base_dir}, length({origin}) + 1)"
+    return f"""(CASE WHEN {h} = '' THEN {no_frag}
+  WHEN regexp_matches({h}, '{SCHEME}') THEN {h}
+  WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h}
+  WHEN starts_with({h}, '/') THEN {origin} || {fold_sql(h)}
+  WHEN starts_with({h}, '?') THEN {no_query} || {h}
+  WHEN starts_with({h}, '#') THEN {no_frag} || {h}
+  ELSE {origin} || {fold_sql(f"(CASE WHEN {base_path} = '' THEN '/' ELSE {base_path} END) || {h}")} END)"""
+
+
+LINKS = f"""
+anchors AS (
+  SELECT page_id, url, unnest(h) AS href_raw, unnest(t) AS inner_html, unnest(range(1, len(h) + 1)) AS pos
+  FROM (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR_SQL}', 1) AS h,
+               regexp_extract_all(html, '{ANCHOR_SQL}', 2) AS t FROM pages)),
+links0 AS (
+  SELECT page_id, url, CAST(pos AS INTEGER) AS pos, {trim(decode_sql('href_raw'))} AS href,
+    array_to_string({nodes_sql('inner_html')}, '') AS text FROM anchors),
+links AS (SELECT page_id, pos, text, href, {resolve_sql('url', 'href')} AS link FROM links0),
+rate_links AS (SELECT * FROM links WHERE text <> '' AND href <> '' AND contains(text, 'the'))"""
+
+oracle("extract_links", q(LINKS, "SELECT page_id, pos, text, href, link FROM links"))
+oracle("rate_link_filter", q(LINKS, "SELECT page_id, pos, text, link FROM rate_links"))
+oracle("link_dedupe", q(LINKS, """SELECT link, arg_min(page_id, (page_id, pos)) AS page_id, arg_min(pos, (page_id, pos)) AS pos
+FROM rate_links GROUP BY link"""))
+
+oracle("strip_query", "SELECT page_id, split_part(url, '?', 1) AS url FROM pages")
+oracle("mask_digits", f"""SELECT doc_id, {trim("replace(regexp_replace(text, '\\p{Nd}{3,}', '***', 'g'), chr(10), ' ')")} AS text
+FROM documents""")
+oracle("text_preview", "SELECT doc_id, substr(COALESCE(text, ''), 1, 1000) AS preview FROM documents")

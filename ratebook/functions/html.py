@@ -139,4 +139,4 @@ def locate_column(header, keywords) -> Column:
         F.array(*[F.lit(k.lower()) for k in keywords]),
         lambda k: F.contains(F.lower(strip_unicode(h)), k)))
     pos = F.array_position(hit, F.lit(True))
-    return F.when(pos > 0, pos - 1)
+    return F.when(pos > 0, (pos - 1).cast("int"))

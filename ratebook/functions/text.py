@@ -45,7 +45,7 @@ def is_missing(c) -> Column:
 
 def mask_digits(c) -> Column:
     """Runs of three or more digits -> ``***``; newlines -> space; trimmed."""
-    masked = F.regexp_replace(col_(c), r"\d{3,}", "***")
+    masked = F.regexp_replace(col_(c), r"\p{Nd}{3,}", "***")
     return strip_unicode(F.regexp_replace(masked, "\n", " "))
 
 

