@@ -806,3 +806,114 @@ oracle("strip_query", "SELECT page_id, split_part(url, '?', 1) AS url FROM pages
 oracle("mask_digits", f"""SELECT doc_id, {trim("replace(regexp_replace(text, '\\p{Nd}{3,}', '***', 'g'), chr(10), ' ')")} AS text
 FROM documents""")
 oracle("text_preview", "SELECT doc_id, substr(COALESCE(text, ''), 1, 1000) AS preview FROM documents")
+
+
+# ---- drive listings, paths, uploads -------------------------------------------------------
+
+LISTING_TRUTH = """
+truth AS (
+  SELECT event_id,
+    CASE WHEN event_id % 2 = 0 THEN 'e' || CAST(event_id AS VARCHAR) ELSE 'f' || CAST(event_id AS VARCHAR) END AS id,
+    'item_' || CAST(event_id AS VARCHAR) AS name,
+    CASE WHEN event_type = 'view' THEN 'folder' ELSE 'file' END AS item_type,
+    'u' || CAST(user_id AS VARCHAR) AS parent_id,
+    CASE event_id % 4 WHEN 0 THEN ts WHEN 2 THEN date_trunc('second', ts) - INTERVAL 8 HOUR
+         ELSE date_trunc('second', ts) END AS created_at,
+    date_trunc('second', ts) AS updated_at,
+    CASE WHEN event_type <> 'view' AND event_id % 5 <> 0 AND CAST(trunc(value * 100) AS BIGINT) <> 0
+         THEN CAST(trunc(value * 100) AS BIGINT) END AS size,
+    CASE WHEN event_type <> 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'application/pdf' ELSE 'text/csv' END END AS mime_type,
+    event_type
+  FROM events)"""
+
+oracle("drive_listing", q(LISTING_TRUTH, """SELECT event_id, id, name, item_type, parent_id, created_at, updated_at, size,
+  mime_type FROM truth WHERE event_type <> 'error'"""))
+oracle("parse_api_time", q(LISTING_TRUTH, "SELECT event_id, created_at FROM truth"))
+
+GEO = """
+geo AS (
+  SELECT c_custkey, c_name, c_nationkey, c_mktsegment, n_name, n_regionkey, r_name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+oracle("path_validate", q(GEO, """SELECT c_custkey,
+  CASE WHEN c_custkey % 19 = 0 THEN ''
+       WHEN c_custkey % 7 = 0 THEN '企业盘/' || r_name || '/' || n_name || '/' || c_mktsegment || '/'
+       WHEN c_custkey % 11 = 0 THEN '企业盘//' || n_name
+       WHEN c_custkey % 13 = 0 THEN '企业盘/' || r_name || '/' || n_name || '/' || c_mktsegment || '/财务?'
+       WHEN c_custkey % 17 = 0 THEN '企业盘/' || n_name || '/' || n_name
+       ELSE '企业盘/' || r_name || '/' || n_name || '/' || c_mktsegment END AS path,
+  c_custkey % 19 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 17 <> 0 AS valid,
+  CASE WHEN c_custkey % 19 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0
+            AND c_custkey % 17 <> 0 THEN '企业盘' END AS space_label,
+  CASE WHEN c_custkey % 19 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0
+            AND c_custkey % 17 <> 0 THEN r_name || '/' || n_name || '/' || c_mktsegment END AS folders,
+  CASE WHEN c_custkey % 19 = 0 THEN '路径不能为空' WHEN c_custkey % 7 = 0 THEN '路径尾部存在空段'
+       WHEN c_custkey % 11 = 0 THEN '路径包含空段' WHEN c_custkey % 13 = 0 THEN '路径段包含非法字符: 财务?'
+       WHEN c_custkey % 17 = 0 THEN '路径存在重复段: ' || n_name END AS error
+FROM geo"""))
+
+oracle("path_normalize", q(GEO, """SELECT c_custkey,
+  CASE WHEN c_custkey % 5 = 4 THEN 'n' || CAST(c_nationkey AS VARCHAR) ELSE 'root' END AS parent_id,
+  CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS item_name,
+  CASE WHEN c_custkey % 9 = 0 THEN 'Drive item name must not be empty' END AS name_error,
+  CASE WHEN c_custkey % 4 = 0 THEN r_name || '/' || n_name ELSE r_name || '/' || n_name || '/' || c_mktsegment END AS drive_path
+FROM geo"""))
+
+oracle("folder_resolve", q(GEO, """SELECT DISTINCT
+  CASE WHEN c_custkey % 25 = 0 THEN 'root/' || r_name || '/NOPE/' || c_mktsegment
+       WHEN c_custkey % 10 = 0 THEN r_name || '/' || n_name || '/' || c_mktsegment || '/archive_' || CAST(c_custkey % 3 AS VARCHAR)
+       ELSE r_name || '/' || n_name || '/' || c_mktsegment END AS path,
+  CASE WHEN c_custkey % 10 <> 0 AND c_custkey % 25 <> 0
+       THEN 's' || CAST(c_nationkey AS VARCHAR) || '_' || c_mktsegment END AS folder_id,
+  CASE WHEN c_custkey % 25 = 0 THEN r_name || '/NOPE'
+       WHEN c_custkey % 10 = 0 THEN r_name || '/' || n_name || '/' || c_mktsegment || '/archive_' || CAST(c_custkey % 3 AS VARCHAR)
+       END AS missing_prefix
+FROM geo"""))
+
+oracle("conflict_policy", q(GEO, """SELECT c_custkey, 's' || CAST(c_nationkey AS VARCHAR) || '_' || c_mktsegment AS folder_id,
+  CASE WHEN c_custkey % 2 = 0 THEN c_name || '.xlsx' ELSE 'new_' || c_name || '.xlsx' END AS requested_name,
+  CASE c_custkey % 3 WHEN 0 THEN 'skip' WHEN 1 THEN 'overwrite' ELSE 'rename' END AS strategy,
+  CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'skipped' ELSE 'uploaded' END AS status,
+  CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 2 THEN c_name || '_20250102-030405.xlsx'
+       WHEN c_custkey % 2 = 0 THEN c_name || '.xlsx' ELSE 'new_' || c_name || '.xlsx' END AS final_name
+FROM geo"""))
+
+ATTEMPTS = f"""
+attempts AS (
+  SELECT user_id AS batch_id, 'doc_' || CAST(event_id % 7 AS VARCHAR) AS item, event_id AS ordinal,
+    CASE WHEN event_type IN ('purchase', 'click') THEN 'uploaded' WHEN event_type = 'view' THEN 'skipped'
+         ELSE 'failed' END AS status,
+    'doc_' || CAST(event_id % 7 AS VARCHAR) || '.xlsx' AS requested_name,
+    CASE WHEN event_type = 'click' THEN 'doc_' || CAST(event_id % 7 AS VARCHAR) || '_' || strftime(ts, '%Y%m%d-%H%M%S') || '.xlsx'
+         WHEN event_type IN ('purchase', 'view') THEN 'doc_' || CAST(event_id % 7 AS VARCHAR) || '.xlsx' END AS final_name,
+    event_type = 'error' AS retryable,
+    CASE WHEN event_type = 'error' THEN 'upload Timeout for ***.xlsx please retry'
+         WHEN event_type = 'signup' THEN 'permission denied: ***.xlsx' END AS reason
+  FROM events),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY batch_id, item ORDER BY ordinal) AS attempt_no FROM attempts),
+chosen AS (
+  SELECT *, (status <> 'failed' OR NOT retryable OR attempt_no > 2) AS ends FROM numbered
+  QUALIFY row_number() OVER (PARTITION BY batch_id, item
+    ORDER BY CASE WHEN (status <> 'failed' OR NOT retryable OR attempt_no > 2) THEN 0 ELSE 1 END,
+             CASE WHEN (status <> 'failed' OR NOT retryable OR attempt_no > 2) THEN attempt_no ELSE -attempt_no END) = 1)"""
+
+oracle("retryable", q(ATTEMPTS, "SELECT ordinal, retryable FROM attempts"))
+oracle("mask_names", q(ATTEMPTS, "SELECT ordinal, '***.xlsx' AS masked_name, reason FROM attempts"))
+oracle("upload_outcomes", q(ATTEMPTS, """SELECT batch_id, item, CAST(attempt_no AS BIGINT) AS attempts, status, final_name,
+  CASE WHEN status = 'failed' THEN reason END AS reason FROM chosen"""))
+oracle("batch_report", q(ATTEMPTS, """SELECT batch_id, count(*) AS total,
+  count(*) FILTER (WHERE status = 'uploaded') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed,
+  count(*) FILTER (WHERE status = 'skipped') AS skipped,
+  count(*) FILTER (WHERE status = 'uploaded' AND final_name IS NOT NULL AND final_name <> requested_name) AS renamed,
+  CAST(sum(attempt_no) AS BIGINT) AS attempts
+FROM chosen GROUP BY batch_id"""))
+
+import mimetypes as _mt  # noqa: E402
+
+_mt.init()
+_MIME_ROWS = sorted({(e.lstrip(".").lower(), t) for e, t in _mt.types_map.items()})
+oracle("mime_type", q(GEO + ",\nmime(ext, mime_type) AS (VALUES " + ", ".join(
+    "('%s', '%s')" % (e, t) for e, t in _MIME_ROWS) + ")",
+    """SELECT g.c_name || '.xlsx' AS file_name, COALESCE(m.mime_type, 'application/octet-stream') AS mime_type
+FROM geo g LEFT JOIN mime m ON m.ext = 'xlsx'"""))

@@ -796,3 +796,126 @@ def q_text_preview(spark, sf_dir):
     """The first 1000 characters of every document (the preview is the feature)."""
     from ratebook.functions.text import text_preview
     return table(spark, sf_dir, "documents").select("doc_id", text_preview("text", 1000).alias("preview"))
+
+
+# ---- drive listings, paths, uploads, file index ------------------------------------------
+
+from ratebook.operators import inventory as iv  # noqa: E402
+
+
+@register("drive_listing")
+def q_drive_listing(spark, sf_dir):
+    """P10: listing JSON normalised to drive items (unknown types dropped)."""
+    return iv.parse_listing(bd.listing_json(spark, sf_dir))
+
+
+@register("parse_api_time")
+def q_parse_api_time(spark, sf_dir):
+    """Listing creation times by the first of four ISO layouts."""
+    from ratebook.functions.dates import parse_api_time
+    j = bd.listing_json(spark, sf_dir)
+    text = F.coalesce(F.get_json_object("json", "$.createdAt"), F.get_json_object("json", "$.gmtCreate"))
+    return j.select("event_id", parse_api_time(text).cast("timestamp_ntz").alias("created_at"))
+
+
+@register("path_validate")
+def q_path_validate(spark, sf_dir):
+    """upload paths checked (empty, trailing slash, blank, illegal, repeated)."""
+    p = bd.upload_paths(spark, sf_dir)
+    return p.select("c_custkey", "path", iv.validate_path("path").alias("v")).select("c_custkey", "path", "v.*")
+
+
+@register("path_normalize")
+def q_path_normalize(spark, sf_dir):
+    """parent ids, item names and joined drive paths."""
+    f = bd.drive_fragments(spark, sf_dir)
+    name, err = iv.normalize_item_name("name_raw")
+    return f.select("c_custkey", iv.normalize_parent_id("parent_raw").alias("parent_id"), name.alias("item_name"),
+                    err.alias("name_error"), iv.join_drive_path("part1", "part2", "part3").alias("drive_path"))
+
+
+@register("folder_resolve")
+def q_folder_resolve(spark, sf_dir):
+    """Requested folder paths resolved against the tree (id or first missing prefix)."""
+    listing = bd.drive_listing(spark, sf_dir)
+    return iv.resolve_folders(bd.folder_requests(spark, sf_dir), iv.folder_paths(listing))
+
+
+@register("conflict_policy")
+def q_conflict_policy(spark, sf_dir):
+    """Planned action and final name of every upload given the destination listing."""
+    return iv.plan_conflicts(bd.upload_items(spark, sf_dir), bd.drive_listing(spark, sf_dir), bd.UPLOAD_CLOCK)
+
+
+@register("retryable")
+def q_retryable(spark, sf_dir):
+    """Transient failures by message words or error class."""
+    from ratebook.functions.text import retryable
+    a = bd.upload_attempts(spark, sf_dir)
+    return a.select("ordinal", retryable("message", "error_class").alias("retryable"))
+
+
+@register("mask_names")
+def q_mask_names(spark, sf_dir):
+    """Masked file names and sanitised failure reasons."""
+    from ratebook.functions.text import mask_filename, sanitize_reason
+    a = bd.upload_attempts(spark, sf_dir)
+    return a.select("ordinal", mask_filename("requested_name").alias("masked_name"),
+                    sanitize_reason("message", "file_path", "requested_name").alias("reason"))
+
+
+def _outcomes(spark, sf_dir):
+    return iv.attempt_outcomes(bd.upload_attempts(spark, sf_dir), max_retries=2)
+
+
+@register("batch_report")
+def q_batch_report(spark, sf_dir):
+    """Per batch, items by outcome after retries (the deciding attempt per item)."""
+    return iv.batch_report(_outcomes(spark, sf_dir))
+
+
+@register("upload_outcomes")
+def q_upload_outcomes(spark, sf_dir):
+    """A7 detail: the deciding attempt of every item with its redacted reason."""
+    return _outcomes(spark, sf_dir).select("batch_id", "item", "attempts", "status", "final_name", "reason")
+
+
+def _glob(sf_dir):
+    return f"{sf_dir}/*.parquet"
+
+
+@register("file_index")
+def q_file_index(spark, sf_dir):
+    """S9 + X30: every table file with size, sha256 and MIME type."""
+    return iv.file_index(spark, _glob(sf_dir))
+
+
+@register("prefix_hash")
+def q_prefix_hash(spark, sf_dir):
+    """sha256 of the first 8192 bytes of every table file."""
+    return iv.prefix_hash(spark, _glob(sf_dir))
+
+
+@register("mime_type")
+def q_mime_type(spark, sf_dir):
+    """MIME type of every drive file name (and table file)."""
+    names = bd.drive_listing(spark, sf_dir).where(F.col("item_type") == "file").select(F.col("name").alias("file_name"))
+    return iv.with_mime_type(spark, names, "file_name")
+
+
+@register("table_index")
+def q_table_index(spark, sf_dir):
+    """Per table file: hash, path, table name, row count, mapping version."""
+    idx = iv.file_index(spark, _glob(sf_dir)).select("path", "sha256", "file_name")
+    counts = spark.read.parquet(_glob(sf_dir)).groupBy(F.col("_metadata.file_path").alias("path")).count()
+    return idx.join(counts, "path", "left").select(
+        "sha256", "path", F.regexp_replace("file_name", r"\.parquet$", "").alias("sheet"),
+        F.coalesce("count", F.lit(0)).alias("row_count"), F.lit("v1").alias("mapping_version"))
+
+
+@register("download_verify")
+def q_download_verify(spark, sf_dir):
+    """Listed size (file listing) against the bytes actually read."""
+    manifest = spark.read.format("binaryFile").load(_glob(sf_dir)).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("listed_size"))
+    return iv.download_verify(manifest, spark, _glob(sf_dir))

@@ -297,3 +297,135 @@ def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.transform("rows", lambda x: x["tr"]), ""),
                     F.lit("<tr><td>注</td></tr></table></body></html>"))
     return pages.select((F.year("m") * 100 + F.month("m")).cast("bigint").alias("page_id"), html.alias("html"))
+
+
+# ---- drive listings, paths and upload attempts -------------------------------------------
+
+def _cust_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    # nation and region are dimension tables of fixed, tiny size
+    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+
+
+def drive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drive tree: region / nation / market segment folders, one file per customer."""
+    g = _cust_geo(spark, sf_dir)
+    seg_id = F.concat(F.lit("s"), F.col("c_nationkey").cast("string"), F.lit("_"), F.col("c_mktsegment"))
+    regions = g.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"),
+                       F.col("r_name").alias("name"), F.lit("root").alias("parent_id")).distinct()
+    nations = g.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
+                       F.col("n_name").alias("name"),
+                       F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id")).distinct()
+    segs = g.select(seg_id.alias("id"), F.col("c_mktsegment").alias("name"),
+                    F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id")).distinct()
+    folders = regions.unionByName(nations).unionByName(segs).withColumn("item_type", F.lit("folder")) \
+        .withColumn("size", F.lit(None).cast("bigint"))
+    files = g.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+                     F.concat(F.col("c_name"), F.lit(".xlsx")).alias("name"), seg_id.alias("parent_id"),
+                     F.lit("file").alias("item_type"), (F.col("c_custkey") * 100).alias("size"))
+    return folders.unionByName(files)
+
+
+def folder_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested folder paths per customer, some with missing tails or middles."""
+    g = _cust_geo(spark, sf_dir)
+    k = F.col("c_custkey")
+    base = F.concat_ws("/", "r_name", "n_name", "c_mktsegment")
+    path = (F.when(k % 25 == 0, F.concat(F.lit("root/"), F.col("r_name"), F.lit("/NOPE/"), F.col("c_mktsegment")))
+            .when(k % 10 == 0, F.concat(base, F.lit("/archive_"), (k % 3).cast("string")))
+            .otherwise(base))
+    return g.select(path.alias("path"))
+
+
+def upload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload destination paths per customer with the invalid shapes."""
+    g = _cust_geo(spark, sf_dir)
+    k = F.col("c_custkey")
+    good = F.concat_ws("/", F.lit("企业盘"), "r_name", "n_name", "c_mktsegment")
+    path = (F.when(k % 19 == 0, F.lit(""))
+            .when(k % 7 == 0, F.concat(good, F.lit("/")))
+            .when(k % 11 == 0, F.concat(F.lit("企业盘//"), F.col("n_name")))
+            .when(k % 13 == 0, F.concat(good, F.lit("/财务?")))
+            .when(k % 17 == 0, F.concat_ws("/", F.lit("企业盘"), "n_name", "n_name"))
+            .otherwise(good))
+    return g.select("c_custkey", path.alias("path"))
+
+
+def drive_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent ids, item names and path fragments as users type them."""
+    g = _cust_geo(spark, sf_dir)
+    k = F.col("c_custkey")
+    parent = (F.when(k % 5 == 0, F.lit(" root ")).when(k % 5 == 1, F.lit("/")).when(k % 5 == 2, F.lit(None))
+              .when(k % 5 == 3, F.lit("ROOT"))
+              .otherwise(F.concat(F.lit(" n"), F.col("c_nationkey").cast("string"), F.lit(" "))))
+    name = F.when(k % 9 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")))
+    return g.select("c_custkey", parent.alias("parent_raw"), name.alias("name_raw"),
+                    F.concat(F.lit("/"), F.col("r_name"), F.lit("/")).alias("part1"),
+                    F.concat(F.col("n_name"), F.lit("//./")).alias("part2"),
+                    F.when(k % 4 == 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("part3"))
+
+
+# Fixed value: the clock of the rename strategy.
+UPLOAD_CLOCK = "2025-01-02 03:04:05"
+STRATEGIES = ("skip", "overwrite", "rename")
+
+
+def upload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work items: each customer's file uploaded again (a conflict) or a new file."""
+    g = _cust_geo(spark, sf_dir)
+    k = F.col("c_custkey")
+    seg_id = F.concat(F.lit("s"), F.col("c_nationkey").cast("string"), F.lit("_"), F.col("c_mktsegment"))
+    name = F.when(k % 2 == 0, F.concat(F.col("c_name"), F.lit(".xlsx"))).otherwise(
+        F.concat(F.lit("new_"), F.col("c_name"), F.lit(".xlsx")))
+    strategy = F.element_at(F.array(*[F.lit(s) for s in STRATEGIES]), (k % 3 + 1).cast("int"))
+    return g.select("c_custkey", seg_id.alias("folder_id"), name.alias("requested_name"), strategy.alias("strategy"))
+
+
+def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw drive-listing JSON per event, with the API's alternative key spellings."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    t = F.col("event_type")
+    q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    kind = (F.when(t == "view", F.lit('"type":"folder"')).when(t == "click", F.lit('"fileType":"file"'))
+            .when(t == "purchase", F.lit('"nodeType":"file"')).when(t == "signup", F.lit('"type":"file"'))
+            .otherwise(F.lit('"type":"link"')))
+    ident = F.when(i % 2 == 0, F.concat(F.lit('"id":'), q(F.concat(F.lit("e"), i.cast("string"))))).otherwise(
+        F.concat(F.when(t == "view", F.lit('"folderId":')).otherwise(F.lit('"fileId":')),
+                 q(F.concat(F.lit("f"), i.cast("string")))))
+    ts = F.col("ts")
+    created = (F.when(i % 4 == 0, F.concat(F.lit('"createdAt":'), q(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))))
+               .when(i % 4 == 1, F.concat(F.lit('"createdAt":'), q(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))))
+               .when(i % 4 == 2, F.concat(F.lit('"gmtCreate":'), q(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+08:00'"))))
+               .otherwise(F.concat(F.lit('"gmtCreate":'), q(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")))))
+    updated = F.concat(F.lit('"updatedAt":"","gmtModified":'), q(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")))
+    size = F.when(i % 5 == 0, F.lit('"size":0')).otherwise(
+        F.concat(F.lit('"fileSize":'), (F.col("value") * 100).cast("bigint").cast("string")))
+    mime = F.when(i % 3 == 0, F.lit('"mimeType":"application/pdf"')).otherwise(F.lit('"contentType":"text/csv"'))
+    body = F.concat(F.lit("{"), kind, F.lit(","), ident, F.lit(',"name":'), q(F.concat(F.lit("item_"), i.cast("string"))),
+                    F.lit(',"parentId":'), q(F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.lit(","),
+                    created, F.lit(","), updated, F.lit(","), size, F.lit(","), mime, F.lit("}"))
+    return e.select("event_id", body.alias("json"))
+
+
+def upload_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload attempt log: batch = user, item = one of seven documents, order = event id."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    t = F.col("event_type")
+    doc = F.concat(F.lit("doc_"), (i % 7).cast("string"))
+    name = F.concat(doc, F.lit(".xlsx"))
+    path = F.concat(F.lit("/data/u"), F.col("user_id").cast("string"), F.lit("/"), name)
+    status = (F.when(t.isin("purchase", "click"), F.lit("uploaded")).when(t == "view", F.lit("skipped"))
+              .otherwise(F.lit("failed")))
+    final = (F.when(t == "click", F.concat(doc, F.lit("_"), F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit(".xlsx")))
+             .when(t.isin("purchase", "view"), name))
+    message = (F.when(t == "error", F.concat(F.lit("upload Timeout for "), path, F.lit("\nplease retry")))
+               .when(t == "signup", F.concat(F.lit("permission denied: "), name, F.lit(" "))))
+    error_class = F.when(t == "error", F.when(i % 2 == 0, F.lit("TimeoutError")).otherwise(F.lit("UploadFlowError"))) \
+        .when(t == "signup", F.lit("UploadFlowError"))
+    return e.select(F.col("user_id").alias("batch_id"), doc.alias("item"), i.alias("ordinal"), status.alias("status"),
+                    name.alias("requested_name"), final.alias("final_name"), message.alias("message"),
+                    error_class.alias("error_class"), path.alias("file_path"))
