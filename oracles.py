@@ -259,7 +259,7 @@ oracle("constant_columns", q(FORMS_RAW, """SELECT source_file, source_row, 'CNY'
 oracle("lineage", q(FORMS_RAW, "SELECT source_file, source_row, _key AS order_key FROM forms"))
 
 oracle("source_rows", """SELECT l_suppkey AS source_file, l_orderkey, l_linenumber,
-  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 100 + l_linenumber) + 1 AS source_row
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 100 + l_linenumber, l_partkey) + 1 AS source_row
 FROM lineitem""")
 
 oracle("forms_union", q(FORMS_RAW, """SELECT source_file, source_row, amount_raw AS amount, currency_raw AS currency,
@@ -917,3 +917,64 @@ oracle("mime_type", q(GEO + ",\nmime(ext, mime_type) AS (VALUES " + ", ".join(
     "('%s', '%s')" % (e, t) for e, t in _MIME_ROWS) + ")",
     """SELECT g.c_name || '.xlsx' AS file_name, COALESCE(m.mime_type, 'application/octet-stream') AS mime_type
 FROM geo g LEFT JOIN mime m ON m.ext = 'xlsx'"""))
+
+
+# ---- template filling, layout and scans ------------------------------------------------------
+
+FILES = FORMS_RAW + """,
+files AS (SELECT DISTINCT source_file FROM forms)"""
+
+
+def cells_sql(kinds: list[str]) -> str:
+    parts = []
+    if "sum" in kinds:
+        parts.append("""SELECT source_file, 'B2' AS cell,
+  printf('%.2f', CASE WHEN source_file = 'orders_en'
+                      THEN COALESCE(sum(COALESCE(TRY_CAST(amount_raw AS DOUBLE), 0)), 0) ELSE 0 END) AS value
+FROM forms GROUP BY source_file""")
+    if "first" in kinds:
+        parts.append("""SELECT source_file, 'B3' AS cell,
+  CASE WHEN source_file = 'orders_en' THEN arg_min(project_raw, source_row) FILTER (WHERE project_raw IS NOT NULL) END AS value
+FROM forms GROUP BY source_file""")
+    if "literals" in kinds:
+        parts.append("""SELECT f.source_file, c.cell, c.value FROM files f CROSS JOIN (VALUES
+  ('B4', '2025-01-31'), ('B5', 'acme'), ('B6', '0.06'), ('B7', NULL), ('B8', '42'), ('B9', 'Invoice'), ('B10', NULL)) c(cell, value)""")
+    return "\nUNION ALL\n".join(parts)
+
+
+oracle("cell_sum", q(FILES, cells_sql(["sum"])))
+oracle("cell_first", q(FILES, cells_sql(["first"])))
+oracle("cell_literals", q(FILES, cells_sql(["literals"])))
+oracle("fill_template", q(FILES, cells_sql(["sum", "first", "literals"])))
+
+PAGED = """
+paged AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS z
+  FROM lineitem)"""
+
+oracle("page_index", q(PAGED, """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(z // 3 AS BIGINT) AS page,
+  CAST(z % 3 AS BIGINT) AS "offset" FROM paged"""))
+
+oracle("cell_layout", q(PAGED + """,
+parts AS (
+  SELECT *, CASE WHEN z // 3 = 0 THEN 'invoice.xlsx' ELSE 'invoice_part' || CAST(z // 3 + 1 AS VARCHAR) || '.xlsx' END AS part_name,
+         CAST(z % 3 + 10 AS VARCHAR) AS r FROM paged)""", """
+SELECT l_orderkey, part_name, 'A' || r AS cell_ref, CAST(l_partkey AS VARCHAR) AS value FROM parts
+UNION ALL SELECT l_orderkey, part_name, 'B' || r, CAST(l_suppkey AS VARCHAR) FROM parts
+UNION ALL SELECT l_orderkey, part_name, 'C' || r, l_returnflag FROM parts"""))
+
+oracle("forms_scan", q(FORMS_RAW, """SELECT source_file AS folder, _key AS order_key, amount_raw AS amount,
+  currency_raw AS currency, date_raw AS date, project_raw AS project,
+  CASE WHEN source_file = 'orders_cn' THEN remark_raw END AS description FROM forms"""))
+
+oracle("multi_path_scan", q(FORMS_RAW, "SELECT source_file AS folder, _key AS order_key FROM forms"))
+
+oracle("scan_usecols", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+
+oracle("sheet_conform", q(FORMS_RAW, """SELECT COALESCE(amount_raw, '') AS "金额", COALESCE(currency_raw, '') AS "币种",
+  COALESCE(date_raw, '') AS " 日期 ", COALESCE(project_raw, '') AS "项目名称", '' AS "附件",
+  CAST(source_row AS VARCHAR) AS source_row FROM forms WHERE source_file = 'orders_cn'"""))
+
+oracle("schema_migrate", q(RATES + STORED, """SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR) AS rate_mid,
+  CAST(rate_date AS VARCHAR) AS rate_date, fetch_date, source, '' AS fallback_strategy, CAST(year AS VARCHAR) AS year,
+  CAST(month AS VARCHAR) AS month, '' AS download_url, '' AS created_at, '' AS updated_at FROM stored"""))

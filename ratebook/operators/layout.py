@@ -66,7 +66,7 @@ def cell_expr(expr, columns, ordinal: str, profile=None, today: dt.date | None =
     if s.lower() == "today":
         return F.lit((today or dt.date.today()).isoformat())
     if s.startswith("sum:"):
-        return cell_sum(s[4:], columns).cast("string")
+        return F.format_string("%.2f", cell_sum(s[4:], columns))  # numbers as fixed 2-decimal text
     if s.startswith("first:"):
         return cell_first(s[6:], columns, ordinal)
     if s.startswith("$profile."):

@@ -258,9 +258,9 @@ def q_lineage(spark, sf_dir):
 def q_source_rows(spark, sf_dir):
     """1-based position per file plus one, numbered without a per-file task."""
     from ratebook.operators.ordinal import number_rows
-    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     keyed = raw.withColumn("_ord", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    numbered = number_rows(keyed, ["_ord"], ["l_suppkey"], out="_n")
+    numbered = number_rows(keyed, ["_ord", "l_partkey"], ["l_suppkey"], out="_n")
     return numbered.select(F.col("l_suppkey").alias("source_file"), "l_orderkey", "l_linenumber",
                            (F.col("_n") + 1).alias("source_row"))
 
@@ -919,3 +919,135 @@ def q_download_verify(spark, sf_dir):
     manifest = spark.read.format("binaryFile").load(_glob(sf_dir)).select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("listed_size"))
     return iv.download_verify(manifest, spark, _glob(sf_dir))
+
+
+# ---- template filling and layout ---------------------------------------------------------
+
+from ratebook.operators import layout as la  # noqa: E402
+
+# Fixed parameters of the template queries.
+TEMPLATE_TODAY = _dt.date(2025, 1, 31)
+TEMPLATE_PROFILE = {"name": "acme", "tax": {"rate": 0.06}}
+TEMPLATE_CELLS = {"B2": "sum:Amount", "B3": "first:Project", "B4": "today", "B5": "$profile.name",
+                  "B6": "$profile.tax.rate", "B7": "$profile.nope", "B8": 42, "B9": "Invoice", "B10": None}
+LAYOUT = la.FixedMapping.from_dict({"sheet": "Invoice", "start_row": 10, "max_rows_per_sheet": 3,
+                                    "columns": {"l_partkey": "A", "l_suppkey": "B", "l_returnflag": "C"}})
+
+
+def _per_file_cells(spark, sf_dir, cells, clean=None):
+    parts = []
+    for name, frame in form_files(spark, sf_dir):
+        parts.append(la.fill_cells(frame.drop("_key"), cells, ("source_file",), "source_row", TEMPLATE_PROFILE,
+                                   TEMPLATE_TODAY, clean))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("cell_sum")
+def q_cell_sum(spark, sf_dir):
+    """A1: sum:Amount per form file (text coerced, bad -> 0; commas are not stripped)."""
+    return _per_file_cells(spark, sf_dir, {"B2": "sum:Amount"})
+
+
+@register("cell_first")
+def q_cell_first(spark, sf_dir):
+    """A2: first:Project per form file (first non-null in row order)."""
+    return _per_file_cells(spark, sf_dir, {"B3": "first:Project"})
+
+
+@register("cell_literals")
+def q_cell_literals(spark, sf_dir):
+    """Literal, date and profile cells of each form file's template."""
+    lit_cells = {k: v for k, v in TEMPLATE_CELLS.items() if not (isinstance(v, str) and ":" in v)}
+    return _per_file_cells(spark, sf_dir, lit_cells)
+
+
+@register("fill_template")
+def q_fill_template(spark, sf_dir):
+    """Every template cell of every form file in one aggregate per file (after clean-up)."""
+    return _per_file_cells(spark, sf_dir, TEMPLATE_CELLS, {"fillna": {"Customer": "none"}})
+
+
+@register("page_index")
+def q_page_index(spark, sf_dir):
+    """Line items paged per order, three lines per page, in line-number order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return la.page_index(li, ["l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey"], 3).drop("_row_no")
+
+
+@register("cell_layout")
+def q_cell_layout(spark, sf_dir):
+    """K7: line items placed in template cells per order, pages of three rows from row 10."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_returnflag")
+    return la.cell_layout(li, LAYOUT, "invoice.xlsx", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey"])
+
+
+# ---- scans ------------------------------------------------------------------------------
+
+def _write_form_csvs(spark, sf_dir) -> str:
+    """The derived form files landed as CSV, English and Chinese layouts in two folders,
+    each with an order-key column."""
+    from ratebook.session import scratch_dir
+    root = scratch_dir(spark, "forms-csv")
+    for (name, frame), key_header in zip(form_files(spark, sf_dir), ("Order", "订单")):
+        (frame.drop("source_file", "source_row").withColumnRenamed("_key", key_header)
+         .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{name}"))
+    return root
+
+
+def _scan_union(spark, root, patterns):
+    from ratebook.plans.process_forms import map_files
+    from ratebook.sources.forms import scan_forms
+    groups = scan_forms(spark, [f"{root}/{p}" for p in patterns])
+    combined, _ = map_files(groups, DEFAULT_MAPPING)
+    key = F.coalesce(*[F.col(c) for c in ("Order", "订单") if c in combined.columns])
+    folder = F.element_at(F.split(F.col("_path"), "/"), -2)
+    return combined.select(folder.alias("folder"), key.cast("bigint").alias("order_key"), "amount", "currency",
+                           "date", "project", "description")
+
+
+@register("forms_scan")
+def q_forms_scan(spark, sf_dir):
+    """CSV form files grouped by header, each group read once, mapped and unioned."""
+    root = _write_form_csvs(spark, sf_dir)
+    return _scan_union(spark, root, ["orders_en/*.csv", "orders_cn/*.csv"])
+
+
+@register("multi_path_scan")
+def q_multi_path_scan(spark, sf_dir):
+    """Overlapping glob patterns expanded, directories skipped, files deduplicated."""
+    root = _write_form_csvs(spark, sf_dir)
+    return _scan_union(spark, root, ["orders_en/*.csv", "orders_*/part-*", "orders_cn/*"]).select(
+        "folder", "order_key")
+
+
+@register("scan_usecols")
+def q_scan_usecols(spark, sf_dir):
+    """One table with a column subset (pruned at the Parquet scan)."""
+    from ratebook.sources.tables import read_table
+    return read_table(spark, f"{sf_dir}/lineitem.parquet", usecols=["l_orderkey", "l_partkey", "l_quantity"])
+
+
+@register("sheet_conform")
+def q_sheet_conform(spark, sf_dir):
+    """The Chinese form file conformed to a column list (trimmed names, missing -> '')."""
+    from ratebook.operators.mapping import conform
+    name, frame = form_files(spark, sf_dir)[1]
+    return conform(frame.drop("_key", "source_file"), ["金额", "币种", " 日期 ", "项目名称", "附件", "source_row"])
+
+
+@register("schema_migrate")
+def q_schema_migrate(spark, sf_dir):
+    """A stored table with a drifted header rewritten in the target column order."""
+    from ratebook.operators.mapping import conform
+    from ratebook.schemas import RATES_COLUMNS
+    s = bd.stored_rates(spark, sf_dir, even_days=False)
+    drifted = s.select(F.col("rate_date").cast("string").alias(" rate_date"), "source",
+                       F.col("rate_mid").cast("string").alias("rate_mid"), "base_currency", "quote_currency",
+                       "fetch_date", F.col("year").cast("string").alias("year"),
+                       F.col("month").cast("string").alias("month"), F.lit("x").alias("legacy"))
+    return conform(drifted, list(RATES_COLUMNS))
