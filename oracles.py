@@ -978,3 +978,13 @@ oracle("sheet_conform", q(FORMS_RAW, """SELECT COALESCE(amount_raw, '') AS "金
 oracle("schema_migrate", q(RATES + STORED, """SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR) AS rate_mid,
   CAST(rate_date AS VARCHAR) AS rate_date, fetch_date, source, '' AS fallback_strategy, CAST(year AS VARCHAR) AS year,
   CAST(month AS VARCHAR) AS month, '' AS download_url, '' AS created_at, '' AS updated_at FROM stored"""))
+
+oracle("date_from_year_month", q(RATES, """SELECT base_currency, rate_date,
+  CASE WHEN dayofmonth(rate_date) % 10 <> 0 THEN rate_date
+       WHEN dayofmonth(rate_date) = 20 THEN NULL
+       ELSE make_date(year(rate_date), month(rate_date), 1) END AS resolved_date FROM rates"""))
+
+oracle("mapping_diagnostics", q(FORMS_RAW, """SELECT source_file AS file, count(*) AS rows,
+  CASE WHEN source_file = 'orders_en' THEN 'description' ELSE '' END AS missing_columns,
+  CASE WHEN source_file = 'orders_en' THEN 'Customer' ELSE '' END AS unmatched_columns
+FROM forms GROUP BY source_file"""))

@@ -129,9 +129,12 @@ def load_csv_records(df: DataFrame, base: str, quote: str, source: str,
 
 
 def require_valid(records: DataFrame) -> DataFrame:
-    """Strict mode: fail the job on the first invalid record, before anything is written."""
-    return records.withColumn(
-        "error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).cast("string")).drop("error")
+    """Strict mode: fail the job on the first invalid record, before anything is written.
+
+    The check is a filter (not a dropped column), so the optimizer cannot prune it.
+    """
+    check = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.lit(True))
+    return records.where(check.cast("boolean")).drop("error")
 
 
 def dedupe_batch(batch: DataFrame, ordinal: str) -> DataFrame:

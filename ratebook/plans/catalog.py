@@ -1051,3 +1051,35 @@ def q_schema_migrate(spark, sf_dir):
                        "fetch_date", F.col("year").cast("string").alias("year"),
                        F.col("month").cast("string").alias("month"), F.lit("x").alias("legacy"))
     return conform(drifted, list(RATES_COLUMNS))
+
+
+@register("date_from_year_month")
+def q_date_from_year_month(spark, sf_dir):
+    """A blank rate date falls back to year-month-01 (a bad month gives null)."""
+    from ratebook.functions.dates import date_from_year_month, parse_store_date
+    r = bd.rates_view(spark, sf_dir)
+    dn = F.dayofmonth("rate_date")
+    text = F.when(dn % 10 == 0, F.lit("")).otherwise(F.date_format("rate_date", "yyyy-MM-dd"))
+    month = F.when(dn == 20, F.lit("13")).otherwise(F.month("rate_date").cast("string"))
+    rows = r.select("base_currency", "rate_date", text.alias("date_text"),
+                    F.year("rate_date").cast("string").alias("year_text"), month.alias("month_text"))
+    return rows.select("base_currency", "rate_date",
+                       date_from_year_month(parse_store_date("date_text"), F.col("year_text"), F.col("month_text"))
+                       .alias("resolved_date"))
+
+
+@register("mapping_diagnostics")
+def q_mapping_diagnostics(spark, sf_dir):
+    """Per form file, rows read plus missing and unmatched columns of its header."""
+    from ratebook.operators.mapping import apply_column_mapping
+    parts = []
+    for name, frame in form_files(spark, sf_dir):
+        res = apply_column_mapping(frame, DEFAULT_MAPPING, passthrough=("_key", "source_file", "source_row"))
+        parts.append(frame.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows")).select(
+            F.col("source_file").alias("file"), "rows",
+            F.lit(", ".join(res.missing)).alias("missing_columns"),
+            F.lit(", ".join(res.unmatched)).alias("unmatched_columns")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
