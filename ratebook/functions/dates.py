@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from ratebook.functions.text import blank_to_null, col_, try_cast
 
 # Layouts tried in order for free-form dates on fee forms
-# (month-first for slashed day/month, as pandas does).
+# (month-first for slashed day/month, as pandas does), each with the text
+# shape it can parse. A value is parsed only with the layout whose shape it
+# has, so failing layouts are never attempted (a failed parse is costly).
 FORM_DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
-    "M/d/yyyy",
-    "yyyyMMdd",
-    "MMM d, yyyy",
-    "d MMM yyyy",
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
 )
 
 # Timestamp layouts of the drive listing API, tried in order.
@@ -37,7 +39,11 @@ def _first_parse(text: Column, formats) -> Column:
 def parse_form_date(c) -> tuple[Column, Column]:
     """(date, invalid flag). Missing -> (null, false); time part dropped."""
     text = blank_to_null(c)
-    parsed = _first_parse(text, FORM_DATE_FORMATS).cast("date")
+    parsed = None
+    for shape, fmt in FORM_DATE_FORMATS:
+        branch = F.try_to_timestamp(text, F.lit(fmt))
+        parsed = F.when(text.rlike(shape), branch) if parsed is None else parsed.when(text.rlike(shape), branch)
+    parsed = parsed.cast("date")
     return parsed, text.isNotNull() & parsed.isNull()
 
 

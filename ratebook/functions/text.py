@@ -27,9 +27,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+WHITESPACE_CHARS = "".join(WHITESPACE)
+
+
 def strip_unicode(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (``trim`` only strips U+0020)."""
-    return F.regexp_replace(col_(c), TRIM_PATTERN, "")
+    """Strip leading/trailing Unicode whitespace (``trim`` only strips U+0020).
+
+    ``btrim`` with the character set: no regex, same result as the pattern
+    ``TRIM_PATTERN``."""
+    return F.btrim(col_(c), F.lit(WHITESPACE_CHARS))
 
 
 def blank_to_null(c) -> Column:

@@ -16,6 +16,7 @@ from ratebook.functions.dates import parse_form_date
 from ratebook.functions.numbers import parse_amount
 from ratebook.functions.text import blank_to_null, is_missing, strip_unicode
 from ratebook.operators.mapping import MappingConfig
+from ratebook.operators.staging import barrier
 from ratebook.operators.rates_lookup import lookup_asof, lookup_static
 from ratebook.schemas import AMOUNT, BASE_AMOUNT, EXCHANGE_RATE
 
@@ -32,26 +33,29 @@ def trim_strings(df: DataFrame, skip=("issues",)) -> DataFrame:
 
 
 def clean_forms(df: DataFrame) -> DataFrame:
-    """Trimmed text; typed amount, currency and date with issue flags."""
+    """Trimmed text; typed amount, currency and date with issue flags.
+
+    Values are parsed once; the flags are computed from the parsed columns
+    after a barrier, so no parse runs twice.
+    """
     out = trim_strings(df)
     cols = set(out.columns)
-    if "amount" in cols:
-        amount, bad = parse_amount(F.col("amount"))
-        out = out.withColumn("_bad_amount", bad).withColumn("amount", amount)
-    else:
-        out = out.withColumn("_bad_amount", F.lit(False))
-    if "currency" in cols:
-        ccy = F.upper(blank_to_null(F.col("currency")))
-        out = (out.withColumn("currency", ccy)
-               .withColumn("_bad_currency", F.coalesce(~F.length(ccy).isin(2, 3), F.lit(False))))
-    else:
-        out = out.withColumn("_bad_currency", F.lit(False))
-    if "date" in cols:
-        d, bad_d = parse_form_date(F.col("date"))
-        out = out.withColumn("_bad_date", bad_d).withColumn("date", d)
-    else:
-        out = out.withColumn("_bad_date", F.lit(False))
-    return out
+    none = F.lit(None).cast("string")
+    amount, _ = parse_amount(F.col("amount")) if "amount" in cols else (F.lit(None).cast(AMOUNT), None)
+    ccy = F.upper(blank_to_null(F.col("currency"))) if "currency" in cols else none
+    d, _ = parse_form_date(F.col("date")) if "date" in cols else (F.lit(None).cast("date"), None)
+    staged = barrier(out.select(
+        "*",
+        (blank_to_null(F.col("amount")) if "amount" in cols else none).alias("_amount_t"),
+        (blank_to_null(F.col("date")) if "date" in cols else none).alias("_date_t"),
+        amount.alias("_amount_v"), ccy.alias("_ccy_v"), d.alias("_date_v")))
+    return (staged
+            .withColumn("_bad_amount", F.col("_amount_t").isNotNull() & F.col("_amount_v").isNull())
+            .withColumn("_bad_currency", F.coalesce(~F.length("_ccy_v").isin(2, 3), F.lit(False)))
+            .withColumn("_bad_date", F.col("_date_t").isNotNull() & F.col("_date_v").isNull())
+            .withColumn("amount", F.col("_amount_v")).withColumn("currency", F.col("_ccy_v"))
+            .withColumn("date", F.col("_date_v"))
+            .drop("_amount_t", "_date_t", "_amount_v", "_ccy_v", "_date_v"))
 
 
 def convert(df: DataFrame, base_currency: str = "CNY", round_digits: int = 2, rates: DataFrame | None = None,

@@ -13,6 +13,7 @@ from ratebook.functions.dates import parse_table_date
 from ratebook.functions.html import (NOTICE_RATE_PATTERN, anchors, extract_group, first_table, locate_column,
                                      notice_date, notice_rate, page_text, resolve_url, table_rows)
 from ratebook.functions.text import strip_unicode, try_cast
+from ratebook.operators.staging import barrier
 from ratebook.schemas import RATE
 
 SNAPSHOT_BYTES = 200_000  # fixed value: size cap of a stored page snapshot
@@ -99,7 +100,7 @@ def portal_tables(pages: DataFrame) -> DataFrame:
         F.slice(F.col("_rows"), 2, 1_000_000).alias("data"))
     t = t.withColumn("date_idx", locate_column(F.col("header"), DATE_HEADER_KEYWORDS)) \
          .withColumn("usd_idx", locate_column(F.col("header"), USD_HEADER_KEYWORDS))
-    t = t.where(F.col("date_idx").isNotNull() & F.col("usd_idx").isNotNull())
+    t = barrier(t.where(F.col("date_idx").isNotNull() & F.col("usd_idx").isNotNull()))
     need = F.greatest("date_idx", "usd_idx")
 
     def parse_row(cells, pos):

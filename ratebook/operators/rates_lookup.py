@@ -33,11 +33,10 @@ def daily_effective_rates(rates: DataFrame, quote: str, window_days: int = 7) ->
                       F.explode(F.sequence(F.lit(0), F.lit(int(window_days)))).alias("_off"))
     spread = spread.select("from_ccy", F.date_add("rate_date", F.col("_off")).alias("day"),
                            "rate_date", "rate_mid")
+    # primitive aggregation buffers keep this a hash aggregate with map-side combining
     best = spread.groupBy("from_ccy", "day").agg(
-        F.max_by(F.struct("rate_mid", "rate_date"), F.col("rate_date")).alias("_b"))
-    return best.select("from_ccy", "day",
-                       F.col("_b.rate_mid").cast(EXCHANGE_RATE).alias("rate"),
-                       F.col("_b.rate_date").alias("rate_day"))
+        F.max_by("rate_mid", "rate_date").alias("rate"), F.max("rate_date").alias("rate_day"))
+    return best.select("from_ccy", "day", F.col("rate").cast(EXCHANGE_RATE).alias("rate"), "rate_day")
 
 
 def lookup_asof(df: DataFrame, rates: DataFrame, base_currency: str, window_days: int = 7,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ratebook.functions.dates import date_from_year_month, normalize_fetch_ts, parse_store_date
 from ratebook.functions.text import blank_to_null, col_, strip_unicode, try_cast
 from ratebook.operators.mapping import RATES_CSV_ALIASES, alias_columns
+from ratebook.operators.staging import barrier
 from ratebook.schemas import RATE, RATES_COLUMNS
 
 KEY = ("base_currency", "quote_currency", "rate_date")
@@ -51,9 +52,10 @@ def normalize_records(df: DataFrame, download_url: str | None = None,
     trimmed = df.select(*[F.col(c) for c in extra],
                         *[_text(df, c).alias(f"_r_{c}") for c in RATES_COLUMNS],
                         *[blank_to_null(_text(df, c)).alias(f"_t_{c}") for c in RATES_COLUMNS])
-    parsed = trimmed.select("*", rate_from_text(F.col("_t_rate_mid"), rounding).alias("_rate"),
-                            parse_store_date(F.col("_t_rate_date")).alias("_date"))
-    fetched = parsed.select("*", normalize_fetch_ts(F.col("_t_fetch_date"), F.col("_date")).alias("_fetch"))
+    parsed = barrier(trimmed).select("*", rate_from_text(F.col("_t_rate_mid"), rounding).alias("_rate"),
+                                     parse_store_date(F.col("_t_rate_date")).alias("_date"))
+    fetched = barrier(barrier(parsed).select(
+        "*", normalize_fetch_ts(F.col("_t_fetch_date"), F.col("_date")).alias("_fetch")))
     checks = [(F.col(f"_t_{c}").isNull(), F.lit(f"Missing required field: {c}")) for c in REQUIRED]
     checks += [
         (F.col("_rate").isNull(), F.concat(F.lit("Invalid rate_mid: "), F.col("_t_rate_mid"))),
@@ -102,7 +104,8 @@ def load_csv_records(df: DataFrame, base: str, quote: str, source: str,
     staged = staged.select("*", F.when(f.isNotNull() & (f != ""), f).otherwise(F.col("_date_text")).alias("_fetch_text"),
                            parse_store_date(F.col("_date_text")).alias("_date"),
                            rate_from_text(F.col("_r_rate_mid"), "half_even").alias("_rate"))
-    staged = staged.select("*", normalize_fetch_ts(F.col("_fetch_text"), F.col("_date")).alias("_fetch"))
+    staged = barrier(barrier(staged).select(
+        "*", normalize_fetch_ts(F.col("_fetch_text"), F.col("_date")).alias("_fetch")))
     error = _first_error([
         (blank_to_null(F.col("_r_rate_mid")).isNull(), F.lit("rate_mid is required")),
         (F.col("_rate").isNull(), F.concat(F.lit("Invalid rate_mid: "), F.col("_r_rate_mid"))),
