@@ -55,12 +55,16 @@ class RateStore:
         df = self.spark.read.schema(RATES).parquet(path)
         return df.select(*RATES_COLUMNS)
 
-    def write(self, df: DataFrame) -> str:
-        """K1: write ``df`` as the next version; returns its path."""
+    def has_tag(self, tag: str) -> bool:
+        """Whether a committed version carries ``tag`` (e.g. a stream epoch)."""
+        return any(v.endswith(f"-{tag}") for v in committed_versions(self.spark, self.root))
+
+    def write(self, df: DataFrame, tag: str | None = None) -> str:
+        """K1: write ``df`` as the next version (optionally tagged); returns its path."""
         versions = committed_versions(self.spark, self.root)
-        last = int(versions[-1][2:]) if versions else 0
+        last = int(versions[-1][2:17]) if versions else 0
         nxt = max(last + 1, int(time.time() * 1000))
-        path = f"{self.root}/v={nxt:015d}"
+        path = f"{self.root}/v={nxt:015d}" + (f"-{tag}" if tag else "")
         (df.select(*RATES_COLUMNS).write.mode("errorifexists")
          .partitionBy("year", "month").parquet(path))
         return path
