@@ -23,27 +23,30 @@ FORM_DATE_FORMATS = (
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
 )
 
-# Timestamp layouts of the drive listing API, tried in order.
+# Timestamp layouts of the drive listing API, tried in order,
+# each with the text shape it parses (a value is parsed with one layout only).
+_T = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 API_TIME_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
-    "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    (_T + r"\.\d{6}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+    (_T + r"Z$", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    (_T + r"[+-]\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ssXXX"),
+    (_T + r"[+-]\d{4}$", "yyyy-MM-dd'T'HH:mm:ssXX"),
+    (_T + r"$", "yyyy-MM-dd'T'HH:mm:ss"),
 )
 
 
-def _first_parse(text: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats])
+def _shape_parse(text: Column, formats) -> Column:
+    out = None
+    for shape, fmt in formats:
+        branch = F.try_to_timestamp(text, F.lit(fmt))
+        out = F.when(text.rlike(shape), branch) if out is None else out.when(text.rlike(shape), branch)
+    return out
 
 
 def parse_form_date(c) -> tuple[Column, Column]:
     """(date, invalid flag). Missing -> (null, false); time part dropped."""
     text = blank_to_null(c)
-    parsed = None
-    for shape, fmt in FORM_DATE_FORMATS:
-        branch = F.try_to_timestamp(text, F.lit(fmt))
-        parsed = F.when(text.rlike(shape), branch) if parsed is None else parsed.when(text.rlike(shape), branch)
-    parsed = parsed.cast("date")
+    parsed = _shape_parse(text, FORM_DATE_FORMATS).cast("date")
     return parsed, text.isNotNull() & parsed.isNull()
 
 
@@ -119,7 +122,7 @@ def parse_table_date(c) -> Column:
 def parse_api_time(c) -> Column:
     """First of four ISO layouts that parses, else null."""
     text = F.nullif(col_(c), F.lit(""))
-    return _first_parse(text, API_TIME_FORMATS)
+    return _shape_parse(text, API_TIME_FORMATS)
 
 
 def month_start(c) -> Column:
