@@ -127,7 +127,7 @@ def resolve_folders(requests: DataFrame, paths: DataFrame, path_col: str = "path
     equi join; the longest existing prefix decides.
     """
     segs = F.filter(F.transform(F.split(F.col(path_col), "/"), lambda s: F.trim(s)), lambda s: s != "")
-    r = requests.select("*", segs.alias("_segs"))
+    r = requests.select(path_col).distinct().select("*", segs.alias("_segs"))
     r = r.withColumn("_segs", F.when(F.lower(F.element_at("_segs", 1)).isin("root"),
                                      F.slice("_segs", 2, 1_000_000)).otherwise(F.col("_segs")))
     pre = r.select(path_col, "_segs", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_segs"), F.lit(1))))

@@ -89,9 +89,11 @@ def upsert_monthly(existing: DataFrame, batch: DataFrame, ordinal: str = "_ordin
     new_rows = last.select("_y", "_m", *[F.col(f"_l._rec.{f}").alias(f) for f in rec])
     kept = key_cols(existing).join(last.select("_y", "_m"), ["_y", "_m"], "left_anti")
     table = kept.select("_y", "_m", *rec).unionByName(new_rows)
-    stats_rows = b.agg(F.count(F.lit(1)).alias("consumed"), F.count_if("_changed").alias("changed"))
-    total = table.agg(F.count(F.lit(1)).alias("total_rows"))
-    stats = stats_rows.crossJoin(total)  # both sides are single aggregate rows
+    tagged = b.select(F.lit(1).alias("_in_batch"), F.col("_changed"), F.lit(0).alias("_in_table")).unionByName(
+        table.select(F.lit(0).alias("_in_batch"), F.lit(False).alias("_changed"), F.lit(1).alias("_in_table")))
+    stats = tagged.agg(F.sum("_in_batch").cast("bigint").alias("consumed"),
+                       F.count_if("_changed").alias("changed"),
+                       F.sum("_in_table").cast("bigint").alias("total_rows"))
     return table.orderBy("_y", "_m").drop("_y", "_m"), stats
 
 
