@@ -65,6 +65,8 @@ class RateStore:
         last = int(versions[-1][2:17]) if versions else 0
         nxt = max(last + 1, int(time.time() * 1000))
         path = f"{self.root}/v={nxt:015d}" + (f"-{tag}" if tag else "")
-        (df.select(*RATES_COLUMNS).write.mode("errorifexists")
+        # one shuffle by the partition columns: each (year, month) folder gets one
+        # file instead of one small file per task
+        (df.select(*RATES_COLUMNS).repartition("year", "month").write.mode("errorifexists")
          .partitionBy("year", "month").parquet(path))
         return path
