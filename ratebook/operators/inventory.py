@@ -123,25 +123,37 @@ def folder_paths(listing: DataFrame, max_depth: int = 64) -> DataFrame:
 def resolve_folders(requests: DataFrame, paths: DataFrame, path_col: str = "path") -> DataFrame:
     """For each requested folder path, the id when it exists, else the first missing prefix.
 
-    Every prefix of the request is matched against the folder paths with one
-    equi join; the longest existing prefix decides.
+    Segments are trimmed and blanks dropped; a leading ``root`` is skipped and a
+    leading ``id:<folder>`` anchors the rest under that folder. Every prefix
+    of the request is matched against the folder paths with one equi join;
+    the longest existing prefix decides.
     """
     segs = F.filter(F.transform(F.split(F.col(path_col), "/"), lambda s: F.trim(s)), lambda s: s != "")
     r = requests.select(path_col).distinct().select("*", segs.alias("_segs"))
-    r = r.withColumn("_segs", F.when(F.lower(F.element_at("_segs", 1)).isin("root"),
+    first = F.try_element_at("_segs", F.lit(1))
+    anchored = F.coalesce(first.startswith("id:") & (F.length(first) > 3), F.lit(False))
+    r = r.withColumn("_anchor", F.when(anchored, F.substring(first, 4, 1_000_000)))
+    r = r.withColumn("_segs", F.when(anchored | F.coalesce(F.lower(first).isin("root", "/"), F.lit(False)),
                                      F.slice("_segs", 2, 1_000_000)).otherwise(F.col("_segs")))
-    pre = r.select(path_col, "_segs", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_segs"), F.lit(1))))
-                   .alias("_k"))
-    pre = pre.select(path_col, "_segs", "_k", F.array_join(F.slice("_segs", 1, F.col("_k")), "/").alias("_prefix"))
+    anchors = paths.select(F.col("id").alias("_anchor"), F.split(F.col("path"), "/").alias("_base"))
+    r = r.join(anchors, "_anchor", "left").withColumn(
+        "_full", F.when(F.col("_anchor").isNull(), F.col("_segs"))
+        .otherwise(F.concat(F.col("_base"), F.col("_segs"))))
+    base_n = F.coalesce(F.size("_base"), F.lit(0))
+    pre = r.select(path_col, "_segs", "_full", base_n.alias("_b"),
+                   F.explode(F.sequence(F.lit(1), F.greatest(F.size("_full"), F.lit(1)))).alias("_k"))
+    pre = pre.select(path_col, "_segs", "_full", "_b", "_k",
+                     F.array_join(F.slice("_full", 1, F.col("_k")), "/").alias("_prefix"))
     hit = pre.join(paths.select(F.col("path").alias("_prefix"), F.col("id").alias("_id")), "_prefix", "left")
-    best = hit.groupBy(path_col, "_segs").agg(
-        F.max(F.when(F.col("_id").isNotNull(), F.struct("_k", "_id"))).alias("_b"))
-    found = F.coalesce(F.col("_b._k"), F.lit(0))
-    full = found == F.size("_segs")
+    best = hit.groupBy(path_col, "_segs", "_full", "_b").agg(
+        F.max(F.when(F.col("_id").isNotNull(), F.struct("_k", "_id"))).alias("_h"))
+    found = F.coalesce(F.col("_h._k"), F.lit(0)) - F.col("_b")
+    n = F.size("_segs")
+    full = found >= n
     return best.select(
         path_col,
-        F.when(F.size("_segs") == 0, F.lit("root")).when(full, F.col("_b._id")).alias("folder_id"),
-        F.when(~full & (F.size("_segs") > 0), F.array_join(F.slice("_segs", 1, found + 1), "/"))
+        F.when(n == 0, F.lit("root")).when(full, F.col("_h._id")).alias("folder_id"),
+        F.when(~full & (n > 0), F.array_join(F.slice("_segs", 1, F.greatest(found, F.lit(0)) + 1), "/"))
         .alias("missing_prefix"))
 
 

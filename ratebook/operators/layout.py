@@ -152,3 +152,11 @@ def cell_layout(df: DataFrame, mapping: FixedMapping, base_name: str, order_cols
     return out.select(*group_cols, "part_name",
                       F.concat(F.col("c.letter"), F.col("row_ref").cast("string")).alias("cell_ref"),
                       F.col("c.value").alias("value"))
+
+
+def write_layout(cells: DataFrame, out_dir: str, dry_run: bool = False) -> DataFrame:
+    """K7 output: one folder per part (page); a dry run returns the planned parts only."""
+    parts = cells.select("part_name").distinct()
+    if not dry_run:
+        cells.write.mode("errorifexists").partitionBy("part_name").parquet(out_dir)
+    return parts

@@ -101,6 +101,8 @@ def write_outcomes(result, out_dir: str) -> dict:
                      F.count_if(F.col("status") != "ok").alias("rejected"),
                      F.count_if((F.col("status") == "ok") & F.col("need_confirm")).alias("need_confirm")).first()
     counts = row.asDict()
+    if counts["accepted"] + counts["rejected"] == 0:
+        raise ValueError("no data rows found in inputs")
     paths = {"processed": table_dir}
     export_frame(stored).write.mode("overwrite").option("header", True).csv(
         os.path.join(out_dir, "processed_forms_export"))

@@ -70,10 +70,37 @@ def read_form_group(spark: SparkSession, files: list[str]) -> DataFrame:
             .drop("_i", "_first"))  # _path stays: the full path of the row's file
 
 
+def read_parquet_group(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Parquet forms sharing one schema; source_row from the physical row index (+2)."""
+    df = spark.read.parquet(*files)
+    cols = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
+    return df.select(*cols, F.col("_metadata.file_path").alias("_path"),
+                     F.col("_metadata.file_name").alias("source_file"),
+                     (F.col("_metadata.row_index") + 2).alias("source_row"))
+
+
 def scan_forms(spark: SparkSession, patterns) -> list[tuple[str, DataFrame]]:
-    """(layout name, frame) per distinct header; map each with P3 and union."""
+    """(layout name, frame) per distinct header; map each with P3 and union.
+
+    The suffix picks the reader: CSV files are grouped by header line; Parquet
+    files by schema (read from each footer on the driver); any other suffix is
+    an error.
+    """
     files = expand_paths(spark, patterns)
     if not files:
         raise ValueError("no input files provided")
-    groups = header_signatures(spark, files)
-    return [(header, read_form_group(spark, fs)) for header, fs in sorted(groups.items())]
+    csv = [f for f in files if f.lower().endswith(".csv")]
+    pq = [f for f in files if f.lower().endswith(".parquet")]
+    other = [f for f in files if f not in csv and f not in pq]
+    if other:
+        raise ValueError(f"unsupported input file: {other[0]}")
+    out = []
+    if csv:
+        groups = header_signatures(spark, csv)
+        out += [(header, read_form_group(spark, fs)) for header, fs in sorted(groups.items())]
+    if pq:
+        by_schema: dict[str, list[str]] = {}
+        for f in pq:
+            by_schema.setdefault(spark.read.parquet(f).schema.simpleString(), []).append(f)
+        out += [(sig, read_parquet_group(spark, fs)) for sig, fs in sorted(by_schema.items())]
+    return out

@@ -266,3 +266,29 @@ def test_text_preview(spark):
     assert [r[0] for r in df.select(text_preview("t", 3)).collect()] == ["abc", ""]
     with pytest.raises(ValueError):
         text_preview("t", 0)
+
+
+def test_folder_resolve_with_anchor(spark):
+    listing = spark.createDataFrame([("a", "A", "root", "folder"), ("b", "B", "a", "folder"), ("c", "C", "b", "folder")],
+                                    "id string, name string, parent_id string, item_type string")
+    req = spark.createDataFrame([("A/B/C",), ("id:b/C",), ("root/A/X/C",), ("id:a/B/Z",), ("",)], "path string")
+    out = {r["path"]: (r["folder_id"], r["missing_prefix"])
+           for r in iv.resolve_folders(req, iv.folder_paths(listing)).collect()}
+    assert out["A/B/C"] == ("c", None)
+    assert out["id:b/C"] == ("c", None)
+    assert out["root/A/X/C"] == (None, "A/X")
+    assert out["id:a/B/Z"] == (None, "B/Z")
+    assert out[""] == ("root", None)
+
+
+def test_forms_from_parquet_and_bad_suffix(spark, tmp_path):
+    from ratebook.plans.process_forms import process_forms
+    from ratebook.sources.forms import scan_forms
+    df = spark.createDataFrame([("10", "CNY", "2024-05-11", "P")], "`金额` string, `币种` string, `日期` string, `项目名称` string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pq"))
+    files = scan_forms(spark, [str(tmp_path / "pq" / "*.parquet")])
+    row = process_forms(files).processed.first()
+    assert (row["amount"], row["status"], row["source_row"]) == (Decimal("10.000000"), "ok", 2)
+    (tmp_path / "x.txt").write_text("a")
+    with pytest.raises(ValueError):
+        scan_forms(spark, [str(tmp_path / "x.txt")])
