@@ -15,8 +15,9 @@ from ratebook.sources.tables import NA_TOKENS
 
 
 def expand_paths(spark: SparkSession, patterns) -> list[str]:
-    """Expand glob patterns; a pattern without match is an error; directories are
-    skipped; resolved paths are deduplicated in order."""
+    """Expand glob patterns; a pattern without match is an error; directories and
+    hidden files (``_SUCCESS``, ``.crc``: names starting with ``_`` or ``.``, as Spark's
+    readers skip them) are skipped; resolved paths are deduplicated in order."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     seen, out = set(), []
@@ -27,7 +28,7 @@ def expand_paths(spark: SparkSession, patterns) -> list[str]:
         if matches is None or len(matches) == 0:
             raise FileNotFoundError(f"no input matches: {pattern}")
         for st in sorted(matches, key=lambda s: s.getPath().toString()):
-            if st.isDirectory():
+            if st.isDirectory() or st.getPath().getName()[:1] in ("_", "."):
                 continue
             p = st.getPath().toString()
             if p not in seen:
