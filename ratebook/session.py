@@ -18,6 +18,20 @@ BASE_CONF = {
 }
 
 
+# Suggested settings for a large cluster (applied by the deployment, not forced here):
+# AQE sizes shuffle partitions from runtime statistics starting high, splits skewed
+# join partitions, and only broadcasts sides whose runtime size is small.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app_name: str = "ratebook",
               extra: dict | None = None) -> SparkSession:
     """Build (or fetch) a session with the engine's settings."""

@@ -80,3 +80,17 @@ def test_numbering_ignores_input_order(spark):
     assert a == b
     first = number_rows(df, ["k"], ["g"]).where("row_no = 1").orderBy("g").collect()
     assert [r["k"] for r in first] == list(range(7))
+
+
+def test_numbering_with_a_hot_group(spark):
+    """One group holds a third of all rows: numbers stay exact and every window
+    partition (group, bucket) stays near n / buckets rows."""
+    from ratebook.operators.ordinal import number_rows, quantile_buckets
+    n, buckets = 30000, 12
+    df = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("g"),
+                                  F.col("id").alias("k"))
+    out = number_rows(df, ["k"], ["g"], num_buckets=buckets)
+    hot = out.where("g = 0").agg(F.min("row_no"), F.max("row_no"), F.count("*")).first()
+    assert tuple(hot) == (1, n // 3, n // 3)
+    sizes = quantile_buckets(df, "k", buckets).groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
+    assert sizes <= 1.2 * n / buckets
