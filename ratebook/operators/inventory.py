@@ -28,25 +28,32 @@ def _first_nonempty(*cols) -> Column:
 
 def parse_listing(df: DataFrame, json_col: str = "json") -> DataFrame:
     """P10 + X18: listing JSON -> DRIVE_ITEM columns; unknown types dropped; size 0 -> null;
-    size and MIME for files only; times by the first of four ISO layouts."""
-    j = df.select("*", F.from_json(F.col(json_col), LISTING_SCHEMA).alias("_j"))
+    size and MIME for files only; times by the first of four ISO layouts.
+
+    Three stages separated by barriers: parse the JSON once, pick the fields
+    once, parse each time once.
+    """
+    from ratebook.operators.staging import barrier
+    keep = [c for c in df.columns if c != json_col]
+    j = barrier(df.select(*keep, F.from_json(F.col(json_col), LISTING_SCHEMA).alias("_j")))
     g = lambda k: F.col(f"_j.{k}")
     kind = _first_nonempty(g("type"), g("fileType"), g("nodeType"))
-    is_file = kind == "file"
-    ident = F.when(kind == "folder", _first_nonempty(g("id"), g("folderId"))) \
-        .otherwise(_first_nonempty(g("id"), g("fileId")))
-    size = F.coalesce(_first_nonempty(g("size"), g("fileSize")).try_cast("bigint"), F.lit(0))
-    out = j.where(kind.isin("folder", "file")).select(
-        *[c for c in df.columns if c != json_col],
-        ident.alias("id"),
-        F.coalesce(g("name"), F.lit("")).alias("name"),
-        kind.alias("item_type"),
-        g("parentId").alias("parent_id"),
-        parse_api_time(_first_nonempty(g("createdAt"), g("gmtCreate"))).cast("timestamp_ntz").alias("created_at"),
-        parse_api_time(_first_nonempty(g("updatedAt"), g("gmtModified"))).cast("timestamp_ntz").alias("updated_at"),
-        F.when(is_file & (size != 0), size).alias("size"),
-        F.when(is_file, _first_nonempty(g("mimeType"), g("contentType"))).alias("mime_type"))
-    return out
+    fields = barrier(j.select(
+        *keep, kind.alias("item_type"),
+        F.when(kind == "folder", _first_nonempty(g("id"), g("folderId")))
+        .otherwise(_first_nonempty(g("id"), g("fileId"))).alias("id"),
+        F.coalesce(g("name"), F.lit("")).alias("name"), g("parentId").alias("parent_id"),
+        _first_nonempty(g("createdAt"), g("gmtCreate")).alias("_created"),
+        _first_nonempty(g("updatedAt"), g("gmtModified")).alias("_updated"),
+        F.coalesce(_first_nonempty(g("size"), g("fileSize")).try_cast("bigint"), F.lit(0)).alias("_size"),
+        _first_nonempty(g("mimeType"), g("contentType")).alias("_mime")).where(F.col("item_type").isin("folder", "file")))
+    is_file = F.col("item_type") == "file"
+    return fields.select(
+        *keep, "id", "name", "item_type", "parent_id",
+        parse_api_time(F.col("_created")).cast("timestamp_ntz").alias("created_at"),
+        parse_api_time(F.col("_updated")).cast("timestamp_ntz").alias("updated_at"),
+        F.when(is_file & (F.col("_size") != 0), F.col("_size")).alias("size"),
+        F.when(is_file, F.col("_mime")).alias("mime_type"))
 
 
 ILLEGAL = r'[<>:"|?*]'
