@@ -57,6 +57,7 @@ def q_trim_unicode(spark, sf_dir):
 
 @register("parse_amount")
 def q_parse_amount(spark, sf_dir):
+    """Amounts without thousands commas as DECIMAL(19,6), with the invalid flag."""
     raw = forms_raw(spark, sf_dir)
     value, bad = parse_amount(F.col("amount_raw"))
     return raw.select("source_file", "source_row", value.alias("amount"), bad.alias("invalid_amount"))
@@ -64,6 +65,7 @@ def q_parse_amount(spark, sf_dir):
 
 @register("normalize_currency")
 def q_normalize_currency(spark, sf_dir):
+    """Trimmed upper-case currency; flagged (not rejected) when not 2-3 letters."""
     raw = forms_raw(spark, sf_dir)
     ccy = F.upper(blank_to_null("currency_raw"))
     return raw.select("source_file", "source_row", ccy.alias("currency"),
@@ -72,6 +74,7 @@ def q_normalize_currency(spark, sf_dir):
 
 @register("parse_form_date")
 def q_parse_form_date(spark, sf_dir):
+    """Lenient date parse over the accepted layouts, with the invalid flag."""
     raw = forms_raw(spark, sf_dir)
     d, bad = parse_form_date(F.col("date_raw"))
     return raw.select("source_file", "source_row", d.alias("date"), bad.alias("invalid_date"))
