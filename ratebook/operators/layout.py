@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ratebook.functions.text import try_cast
 from ratebook.operators.mapping import check_fixed_mapping

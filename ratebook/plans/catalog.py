@@ -13,6 +13,7 @@ from ratebook.functions.dates import parse_form_date
 from ratebook.functions.numbers import parse_amount
 from ratebook.functions.text import blank_to_null, strip_unicode
 from ratebook.operators.forms import clean_forms, convert
+from ratebook.operators.mapping import DEFAULT_MAPPING, apply_column_mapping
 from ratebook.plans.process_forms import map_files, outcome_counts, process_forms
 from ratebook.sources.bindings import form_files, forms_raw, rates_view, table
 
@@ -81,15 +82,10 @@ def q_parse_form_date(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    combined, _ = map_files(form_files(spark, sf_dir), _default_mapping())
+    combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
     return clean_forms(combined)
 
 
-def _default_mapping():
-    from ratebook.operators.mapping import DEFAULT_MAPPING
-    return DEFAULT_MAPPING
-
-
 @register("rate_lookup_asof")
 def q_rate_lookup_asof(spark, sf_dir):
     """Rate, day used and issue per form row (7-day backward window)."""
@@ -107,7 +103,6 @@ def q_outcome_counts(spark, sf_dir):
 # ---- form rules, each on the converted forms ---------------------------------------------
 
 from ratebook.operators import forms as fo  # noqa: E402
-from ratebook.operators.mapping import DEFAULT_MAPPING, apply_column_mapping, add_constants  # noqa: E402
 
 
 def _converted(spark, sf_dir, rates=True, overrides=None):
