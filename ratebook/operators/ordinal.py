@@ -79,11 +79,13 @@ def first_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:
             .select(*key_cols, *[F.col("_row")[c].alias(c) for c in value_cols]))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it holds at most ``max_rows`` rows.
+def sized_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it small: at most ``max_rows`` rows and an
+    estimated ``rows x row width`` (from the schema's default sizes) of at most ``max_bytes``.
 
     Beyond the bound the frame is returned as is and the join shuffles (AQE may
     still convert it from runtime sizes).
     """
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = sum(f.dataType.defaultSize() for f in df.schema.fields) + 8
+    return F.broadcast(df) if n <= max_rows and n * width <= max_bytes else df
