@@ -87,5 +87,21 @@ def sized_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) ->
     still convert it from runtime sizes).
     """
     n = df.count()
-    width = sum(f.dataType.defaultSize() for f in df.schema.fields) + 8
+    width = sum(_width(f.dataType) for f in df.schema.fields) + 8
     return F.broadcast(df) if n <= max_rows and n * width <= max_bytes else df
+
+
+def _width(dtype) -> int:
+    """Estimated bytes of one value (strings and binaries counted at 20, like Spark's default)."""
+    from pyspark.sql import types as T
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return 20
+    if isinstance(dtype, T.DecimalType):
+        return 16
+    if isinstance(dtype, T.BooleanType):
+        return 1
+    if isinstance(dtype, T.StructType):
+        return sum(_width(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        return 100
+    return 8
