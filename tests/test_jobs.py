@@ -83,3 +83,16 @@ def test_oracle_sample(spark, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_batch_reports_written_per_batch(spark, tmp_path):
+    from ratebook.operators.inventory import attempt_outcomes
+    from ratebook.sinks.uploads import write_batch_reports
+    from ratebook.sources.bindings import upload_attempts
+    out = write_batch_reports(attempt_outcomes(upload_attempts(spark, SMALL)), str(tmp_path / "reports"))
+    items = spark.read.json(out["items"])
+    summary = spark.read.json(out["summary"])
+    assert items.select("batch_id").distinct().count() == summary.count()
+    assert set(r["list"] for r in items.select("list").distinct().collect()) <= {"success", "failed", "skipped"}
+    assert items.where("list = 'failed'").where("reason like '%***.xlsx%'").count() == \
+        items.where("list = 'failed'").count()
