@@ -152,3 +152,14 @@ def to_output(table: DataFrame) -> DataFrame:
     """K2 projection: the seven Chinese headers in canonical order, ordered by (year, month)."""
     return (table.orderBy(F.col("year").cast("int"), F.col("month").cast("int"))
             .select(*[F.col(f).alias(MONTHLY_OUTPUT_HEADER[f]) for f in MONTHLY_FIELDS]))
+
+
+def monthly_typed(table: DataFrame) -> DataFrame:
+    """The cache's text rows as the typed ``MONTHLY`` schema (int year/month, DECIMAL rate, dates)."""
+    from ratebook.schemas import MONTHLY
+    return table.select(
+        try_cast(F.col("year"), "int").alias("year"), try_cast(F.col("month"), "int").alias("month"),
+        try_cast(F.col("mid_rate"), "decimal(18,4)").alias("mid_rate"),
+        try_cast(F.col("query_date"), "date").alias("query_date"),
+        try_cast(F.col("source_date"), "date").alias("source_date"),
+        F.col("rate_source"), F.col("fallback_used")).select(*[f.name for f in MONTHLY.fields])
