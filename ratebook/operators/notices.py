@@ -70,9 +70,13 @@ def keychart_lookup(targets: DataFrame, pages: DataFrame) -> DataFrame:
         .select("target_date", F.col("_b.rate").alias("rate"))
 
 
-def notice_then_chart(targets: DataFrame, notices: DataFrame, chart_pages: DataFrame) -> DataFrame:
+def notice_then_chart(targets: DataFrame, notices: DataFrame, chart_pages: DataFrame,
+                      from_ccy: str = "USD", to_ccy: str = "CNY") -> DataFrame:
     """Exact day only - first notice (link order) dated that day with a rate, else the
-    key chart row, else a miss. Returns every target with rate/source_date/rate_source."""
+    key chart row, else a miss. Returns every target with rate/source_date/rate_source.
+    USD/CNY only."""
+    from ratebook.operators.routing import require_usd_cny
+    require_usd_cny(from_ccy, to_ccy)
     parsed = parse_notices(notices).where(F.col("notice_date").isNotNull() & F.col("rate_a").isNotNull())
     first = parsed.groupBy(F.col("notice_date").alias("target_date")).agg(
         F.min(F.struct("page_id", "rate_a")).alias("_n"))

@@ -103,3 +103,16 @@ def monthly_lookup(months: DataFrame, quotes: DataFrame, calendar: DataFrame, pr
     return hit.select(F.year("month_start").alias("year"), F.month("month_start").alias("month"),
                       "query_date", "request_date", F.round("rate", 4).cast(RATE).alias("mid_rate"),
                       "source_date", "rate_source", "fallback_used")
+
+
+def require_usd_cny(from_ccy: str, to_ccy: str) -> None:
+    """The published mid rates are USD/CNY only; other pairs are an error."""
+    if (from_ccy.upper(), to_ccy.upper()) != ("USD", "CNY"):
+        raise NotImplementedError("only USD/CNY mid rates are published")
+
+
+def single_rate(dates: DataFrame, quotes: DataFrame, from_ccy: str = "USD", to_ccy: str = "CNY",
+                prefer: str = "auto") -> DataFrame:
+    """Rate for a table of dates at once (``target_date``), routed by preference."""
+    require_usd_cny(from_ccy, to_ccy)
+    return route(dates, quotes, prefer)

@@ -575,7 +575,7 @@ def q_forward_window_lookup(spark, sf_dir):
 def q_single_rate(spark, sf_dir):
     """A table of dates (every order date) routed with cfets preferred."""
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("target_date")).distinct()
-    return ro.route(dates, bd.quotes_view(spark, sf_dir), "cfets")
+    return ro.single_rate(dates, bd.quotes_view(spark, sf_dir), "usd", "cny", "cfets")
 
 
 def _build(spark, sf_dir, existing=None):

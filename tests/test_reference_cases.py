@@ -292,3 +292,11 @@ def test_forms_from_parquet_and_bad_suffix(spark, tmp_path):
     (tmp_path / "x.txt").write_text("a")
     with pytest.raises(ValueError):
         scan_forms(spark, [str(tmp_path / "x.txt")])
+
+
+def test_only_usd_cny_mid_rates(spark):
+    t = spark.createDataFrame([(D("2025-09-15"),)], "target_date date")
+    q = quotes(spark, [("cfets", "2025-09-15", "7.1056")])
+    assert ro.single_rate(t, q, "usd", "cny").first()["rate"] == Decimal("7.1056")
+    with pytest.raises(NotImplementedError):
+        ro.single_rate(t, q, "EUR", "CNY")
