@@ -27,10 +27,10 @@ def round_half_up(c, digits: int = 4) -> Column:
     return F.round(col_(c), digits)
 
 
-def parse_decimal_text(c, dtype=RATE.simpleString()) -> Column:
+def parse_decimal_text(c, dtype: str = "decimal(30,10)") -> Column:
     """Decimal from text with thousands commas removed; null when unparsable."""
     text = blank_to_null(c)
-    return try_cast(F.replace(text, F.lit(","), F.lit("")), "decimal(30,10)")
+    return try_cast(F.replace(text, F.lit(","), F.lit("")), dtype)
 
 
 def scale_per100(raw, per100) -> Column:
