@@ -61,7 +61,9 @@ def _rows(df):
     return sorted(tuple(str(v) for v in r) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["process_forms", "rates_upsert", "monthly_upsert", "batch_report", "page_index"])
+@pytest.mark.parametrize("name", ["process_forms", "rates_upsert", "monthly_upsert", "batch_report", "page_index",
+                                  "source_routing", "link_dedupe", "folder_resolve", "cell_layout",
+                                  "monthly_rate_lookup", "extract_quotes"])
 def test_same_result_for_1_and_16_partitions(spark, name):
     q = entry.queries()[name]
     spark.conf.set("spark.sql.shuffle.partitions", "1")
