@@ -27,7 +27,7 @@ rates AS (
          'CNY' AS quote_currency,
          CAST(o_orderdate AS DATE) AS rate_date,
          CAST(CAST(60000 + MIN(o_orderkey) % 20000 AS DECIMAL(18,4)) / 10000 AS DECIMAL(18,4)) AS rate_mid
-  FROM orders WHERE o_orderkey % 7 = 0
+  FROM orders WHERE dayofweek(o_orderdate) NOT IN (0, 6)
   GROUP BY 1, 2, 3)"""
 
 QUOTES = RATES + """,
@@ -370,7 +370,7 @@ stored AS (
 
 BATCH = RECORDS_RAW + """,
 batch_raw AS (
-  SELECT * EXCLUDE (record_no), record_no AS _ordinal FROM records_raw WHERE dn % 3 = 0
+  SELECT * EXCLUDE (record_no), record_no AS _ordinal FROM records_raw
   UNION ALL BY NAME
   SELECT * EXCLUDE (record_no, rate_mid, created_at), record_no + 1 AS _ordinal, '1' || rate_mid AS rate_mid,
          CAST(NULL AS VARCHAR) AS created_at

@@ -36,13 +36,14 @@ def _status_currency(status):
 
 
 def rates_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rate per (order status, day) over orders with key divisible by 7.
+    """One rate per (order status, weekday) over all orders.
 
-    The divisibility rule leaves gaps between rate days, so exact, fallback
-    and unavailable lookups all occur; every order is still read.
+    Rates are published on weekdays only, so weekend dates fall back to an
+    earlier day and days without orders of a status leave gaps: exact,
+    fallback and unavailable lookups all occur.
     """
     o = table(spark, sf_dir, "orders")
-    return (o.where(F.col("o_orderkey") % 7 == 0)
+    return (o.where(~F.dayofweek("o_orderdate").isin(1, 7))
             .groupBy(_status_currency(F.col("o_orderstatus")).alias("base_currency"),
                      F.lit("CNY").alias("quote_currency"),
                      F.col("o_orderdate").cast("date").alias("rate_date"))
@@ -188,10 +189,10 @@ def stored_rates(spark: SparkSession, sf_dir: str, even_days: bool = True) -> Da
 
 
 def rate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of days divisible by 3, plus a later corrected copy of days divisible by 9."""
+    """Every record, plus a later corrected copy of the records of days divisible by 9."""
     raw = rate_records_raw(spark, sf_dir)
     day = F.substring(F.regexp_extract("rate_date", r"(\d{4}-\d{2}-\d{2})", 1), 9, 2).cast("int")
-    first = raw.where(day % 3 == 0)
+    first = raw
     again = (raw.where(day % 9 == 0)
              .withColumn("_ordinal", F.col("_ordinal") + 1)
              .withColumn("rate_mid", F.concat(F.lit("1"), F.col("rate_mid")))
