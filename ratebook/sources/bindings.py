@@ -205,10 +205,16 @@ MONTHLY_TODAY = "2026-01-01"
 REFRESH_MONTHS = ("1996-05", "1999-07", "2003-01")
 
 
+_SPANS: dict = {}
+
+
 def rate_span(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """First and last rate day (one aggregate row)."""
-    row = rates_view(spark, sf_dir).agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b")).first()
-    return row["a"].isoformat(), row["b"].isoformat()
+    """First and last rate day (one aggregate row), remembered per input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SPANS:
+        row = rates_view(spark, sf_dir).agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b")).first()
+        _SPANS[key] = (row["a"].isoformat(), row["b"].isoformat())
+    return _SPANS[key]
 
 
 def monthly_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
