@@ -66,8 +66,8 @@ def keychart_lookup(targets: DataFrame, pages: DataFrame) -> DataFrame:
     rows = keychart_rows(pages).withColumn("_prefix", F.substring("first_cell", 1, 10))
     t = targets.select("target_date", F.date_format("target_date", "yyyy-MM-dd").alias("_prefix"))
     hit = t.join(rows.where(F.col("rate").isNotNull()), "_prefix")
-    return hit.groupBy("target_date").agg(F.min(F.struct("page_id", "row_pos", "rate")).alias("_b")) \
-        .select("target_date", F.col("_b.rate").alias("rate"))
+    order = F.shiftleft(F.col("page_id").cast("long"), POS_BITS) + F.col("row_pos").cast("long")
+    return hit.groupBy("target_date").agg(F.min_by("rate", order).alias("rate"))
 
 
 def notice_then_chart(targets: DataFrame, notices: DataFrame, chart_pages: DataFrame,
@@ -79,11 +79,12 @@ def notice_then_chart(targets: DataFrame, notices: DataFrame, chart_pages: DataF
     require_usd_cny(from_ccy, to_ccy)
     parsed = parse_notices(notices).where(F.col("notice_date").isNotNull() & F.col("rate_a").isNotNull())
     first = parsed.groupBy(F.col("notice_date").alias("target_date")).agg(
-        F.min(F.struct("page_id", "rate_a")).alias("_n"))
+        F.min_by("rate_a", "page_id").alias("_notice"))
     chart = keychart_lookup(targets, chart_pages).withColumnRenamed("rate", "_chart")
     j = targets.select("target_date").join(first, "target_date", "left").join(chart, "target_date", "left")
-    rate = F.coalesce(F.col("_n.rate_a"), F.col("_chart"))
-    src = F.when(F.col("_n").isNotNull(), F.lit("pbc_notice")).when(F.col("_chart").isNotNull(), F.lit("pbc_keychart"))
+    rate = F.coalesce(F.col("_notice"), F.col("_chart"))
+    src = F.when(F.col("_notice").isNotNull(), F.lit("pbc_notice")).when(F.col("_chart").isNotNull(),
+                                                                        F.lit("pbc_keychart"))
     return j.select("target_date", rate.cast("decimal(18,6)").alias("rate"),
                     F.when(rate.isNotNull(), F.col("target_date")).alias("source_date"), src.alias("rate_source"))
 
@@ -132,8 +133,7 @@ def portal_quotes(pages: DataFrame) -> DataFrame:
     rows = portal_tables(pages)
     scaled = F.round(F.when(F.col("per100"), F.col("raw_rate") / F.lit(100)).otherwise(F.col("raw_rate")), 4)
     rows = rows.withColumn("rate", scaled.cast(RATE))
-    last = rows.groupBy("page_id", "quote_date").agg(F.max(F.struct("row_pos", "rate")).alias("_l"))
-    return last.select("page_id", "quote_date", F.col("_l.rate").alias("rate"))
+    return rows.groupBy("page_id", "quote_date").agg(F.max_by("rate", "row_pos").alias("rate"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -47,10 +47,11 @@ def forward_window(quotes: DataFrame, months: DataFrame | None = None, source: s
     q = q.where((F.col("quote_date") >= F.col("window_start")) & (F.col("quote_date") <= F.col("window_end")))
     if months is not None:
         q = q.join(months.select("month_start").distinct(), "month_start", "left_semi")
+    # primitive buffers (date, decimal): a hash aggregate with map-side combining
     best = q.groupBy("month_start", "window_start", "window_end").agg(
-        F.min(F.struct("quote_date", "rate")).alias("_b"))
+        F.min("quote_date").alias("safe_date"), F.min_by("rate", "quote_date").alias("_rate"))
     return best.select("month_start", "window_start", "window_end",
-                       F.col("_b.rate").cast(RATE).alias("safe_rate"), F.col("_b.quote_date").alias("safe_date"))
+                       F.col("_rate").cast(RATE).alias("safe_rate"), "safe_date")
 
 
 def route(targets: DataFrame, quotes: DataFrame, prefer: str = "auto", group_cols=("target_date",),
@@ -76,18 +77,22 @@ def route(targets: DataFrame, quotes: DataFrame, prefer: str = "auto", group_col
     rate = F.when(F.col("source") == "safe", F.col("safe_rate")).otherwise(F.col("_q_rate"))
     sdate = F.when(F.col("source") == "safe", F.col("safe_date")).otherwise(F.col("_q_date"))
     hits = t.withColumn("_rate", rate).withColumn("_sdate", sdate).where(F.col("_rate").isNotNull())
-    packed = F.struct(*[F.col(c) for c in order_cols], F.col("src_rank"),
-                      F.col("target_date").alias("request_date"), F.col("_rate").alias("rate"),
-                      F.col("_sdate").alias("source_date"), F.col("source"))
-    best = hits.groupBy(*group_cols).agg(F.min(packed).alias("_b"))
+    # The try order is one long: (order columns..., source rank). min / min_by over it keep
+    # every aggregation buffer primitive, so this is a hash aggregate combined map-side.
+    rank = F.col("src_rank").cast("long")
+    for c in reversed(order_cols):
+        rank = rank + F.col(c).cast("long") * F.lit(len(order))
+    best = hits.withColumn("_rank", rank).groupBy(*group_cols).agg(
+        F.min("_rank").alias("_rank"), F.min_by("target_date", "_rank").alias("request_date"),
+        F.min_by("_rate", "_rank").alias("rate"), F.min_by("_sdate", "_rank").alias("source_date"))
+    src_rank = (F.col("_rank") % F.lit(len(order))).cast("int")
+    source = F.element_at(F.array(*[F.lit(s) for s in order]), src_rank + 1)
     label = F.create_map(*[x for k, v in RATE_SOURCE.items() for x in (F.lit(k), F.lit(v))])
-    fallback = (F.when((F.col("_b.source") == "safe") & (F.col("_b.source_date") != F.col("_b.request_date")),
-                       F.lit("forward"))
-                .when(F.col("_b.src_rank") == 0, F.lit("none"))
-                .otherwise(F.col("_b.source")))
-    return best.select(*group_cols, F.col("_b.request_date").alias("request_date"),
-                       F.col("_b.rate").cast(RATE).alias("rate"), F.col("_b.source_date").alias("source_date"),
-                       label[F.col("_b.source")].alias("rate_source"), fallback.alias("fallback_used"))
+    fallback = (F.when((source == "safe") & (F.col("source_date") != F.col("request_date")), F.lit("forward"))
+                .when(src_rank == 0, F.lit("none"))
+                .otherwise(source))
+    return best.select(*group_cols, "request_date", F.col("rate").cast(RATE).alias("rate"), "source_date",
+                       label[source].alias("rate_source"), fallback.alias("fallback_used"))
 
 
 def monthly_lookup(months: DataFrame, quotes: DataFrame, calendar: DataFrame, prefer: str = "auto") -> DataFrame:
