@@ -221,11 +221,11 @@ def monthly_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored monthly cache: the first USD rate of each month whose number is not divisible by 3."""
     usd = rates_view(spark, sf_dir).where(F.col("base_currency") == "USD")
     first = usd.groupBy(F.year("rate_date").alias("y"), F.month("rate_date").alias("m")).agg(
-        F.min(F.struct("rate_date", "rate_mid")).alias("f")).where(F.col("m") % 3 != 0)
-    iso = F.date_format("f.rate_date", "yyyy-MM-dd")
+        F.min("rate_date").alias("d"), F.min_by("rate_mid", "rate_date").alias("r")).where(F.col("m") % 3 != 0)
+    iso = F.date_format("d", "yyyy-MM-dd")
     return first.select(
         F.col("y").cast("string").alias("year"), F.lpad(F.col("m").cast("string"), 2, "0").alias("month"),
-        F.col("f.rate_mid").cast("string").alias("mid_rate"), iso.alias("query_date"), iso.alias("source_date"),
+        F.col("r").cast("string").alias("mid_rate"), iso.alias("query_date"), iso.alias("source_date"),
         F.lit("pbc_notice").alias("rate_source"), F.lit("none").alias("fallback_used"))
 
 
