@@ -96,3 +96,11 @@ def test_numbering_with_a_hot_group(spark):
     assert tuple(hot) == (1, n // 3, n // 3)
     sizes = quantile_buckets(df, "k", buckets).groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
     assert sizes <= 1.2 * n / buckets
+
+
+def test_rate_lookup_is_a_broadcast_equi_join(spark):
+    """J4 joins forms to the size-checked daily rate table by (currency, day) without shuffling forms."""
+    df = entry.queries()["rate_lookup_asof"](spark, SMALL)
+    plan = _plan(df)
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+    assert "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" not in plan
