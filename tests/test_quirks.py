@@ -76,3 +76,26 @@ def test_drive_path_helpers(spark):
     assert (row["p"], row["n"], row["j"]) == ("root", "a.xlsx", "x/y/z")
     stem, suffix = iv.split_name(F.lit(".bashrc"))
     assert spark.range(1).select(stem, suffix).first() == ("", ".bashrc")
+
+
+def test_layout_write_and_dry_run(spark, tmp_path):
+    from ratebook.operators import layout as la
+    df = spark.range(0, 5).selectExpr("id as n", "cast(id as string) as v")
+    m = la.FixedMapping.from_dict({"sheet": "S", "start_row": 2, "max_rows_per_sheet": 2, "columns": {"v": "A"}})
+    cells = la.cell_layout(df, m, "out.xlsx", ["n"])
+    planned = sorted(r[0] for r in la.write_layout(cells, str(tmp_path / "dry"), dry_run=True).collect())
+    assert planned == ["out.xlsx", "out_part2.xlsx", "out_part3.xlsx"]
+    assert not (tmp_path / "dry").exists()
+    la.write_layout(cells, str(tmp_path / "real"))
+    assert (tmp_path / "real" / "part_name=out_part3.xlsx").exists()
+
+
+def test_monthly_typed(spark):
+    from decimal import Decimal
+    from ratebook.operators.monthly import monthly_typed
+    t = spark.createDataFrame([("2023", "01", "6.9600", "2023-01-02", "2023-01-03", "cfets_notice", "cfets")],
+                              "year string, month string, mid_rate string, query_date string, source_date string, "
+                              "rate_source string, fallback_used string")
+    r = monthly_typed(t).first()
+    assert (r["year"], r["month"], r["mid_rate"], r["query_date"]) == (2023, 1, Decimal("6.9600"),
+                                                                         dt.date(2023, 1, 2))
