@@ -104,3 +104,15 @@ def test_rate_lookup_is_a_broadcast_equi_join(spark):
     plan = _plan(df)
     assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_form_job_ignores_input_partitioning(spark):
+    """Forms shuffled into other partitions give the same processed rows."""
+    from ratebook.plans.process_forms import process_forms
+    from ratebook.sources.bindings import form_files, rates_view
+    files = form_files(spark, SMALL)
+    rates = rates_view(spark, SMALL)
+    a = _rows(process_forms(files, rates=rates).processed.drop("issues"))
+    shuffled = [(n, f.repartition(7, F.rand(3))) for n, f in files]
+    b = _rows(process_forms(shuffled, rates=rates.repartition(5)).processed.drop("issues"))
+    assert a == b
