@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import table
+from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
 from ratebook.llm.pu_classifier import THRESHOLD, fit_pu, pu_scores
 from ratebook.llm.quality_rules import fit_rules, quality_rules
+from ratebook.llm.simhash import simhash_groups
 from ratebook.llm.textstats import BASE
 from ratebook.llm.token_counts import token_counts
 
@@ -49,3 +51,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = fit_rules(docs, table(spark, sf_dir, "labels"))
     return quality_rules(docs, forest, keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
+
+
+@register("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    spans = F.col("pii")
+    return found.select("doc_id", *[F.size(of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+                        F.sha2(digest(of_kind(spans, *BASE_KINDS)), 256).alias("base_sha256"),
+                        digest(spans).alias("spans"))
+
+
+@register("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                       "component_id")
