@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import table
+from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
 from ratebook.llm.pu_classifier import THRESHOLD, fit_pu, pu_scores
 from ratebook.llm.quality_rules import fit_rules, quality_rules
@@ -53,6 +54,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, forest, keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
 
 
+@register("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 @register("op7_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
