@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import table
+from ratebook.llm.hilbert_ann import nearest_neighbours
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
 from ratebook.llm.pu_classifier import THRESHOLD, fit_pu, pu_scores
@@ -54,6 +55,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, forest, keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
 
 
+@register("op4_hilbert_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @register("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
