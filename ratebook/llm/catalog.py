@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratebook.llm.common import table
+from ratebook.llm.common import staged, table
 from ratebook.llm.hilbert_ann import nearest_neighbours
+from ratebook.llm.mixing import budgeted_copies, source_weights
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
 from ratebook.llm.pu_classifier import THRESHOLD, fit_pu, pu_scores
@@ -80,3 +81,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                        "component_id")
+
+
+@register("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    counted = staged(token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "source"])
+                     .select("doc_id", "source", "n_tokens"), "counted")
+    weights = source_weights(counted, "source", "n_tokens", evenness=0.5, max_epochs=4.0)
+    return budgeted_copies(counted, counted, weights, "doc_id", "source", "n_tokens")
