@@ -69,7 +69,8 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
-    src = df.select(*[col(c) for c in kept], col(text_col).alias("__text"))
+    src = df.select(*[col(c) for c in kept], *([] if text_col in kept else [col(text_col).alias("__text")]))
+    text_at = kept.index(text_col) if text_col in kept else len(kept)
     schema = T.StructType([src.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(schema)
     types = [f.type for f in arrow][len(kept):]
@@ -77,8 +78,8 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in batches:
-            for part in text_runs(batch, len(kept), max_chars):
-                values = score(part.column(len(kept)).to_pylist())
+            for part in text_runs(batch, text_at, max_chars):
+                values = score(part.column(text_at).to_pylist())
                 new_cols = [pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) for c, f in zip(part.columns[:len(kept)], arrow)] + new_cols, schema=arrow)

@@ -165,8 +165,8 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 2, text_col: str = "t
     ship(df.sparkSession)
     first = staged(src.mapInArrow(pack, schema), "packed")
     tails = first.where("tier is null").withColumn("group", F.floor(F.col("part") / TASKS_TOGETHER).cast("long"))
-    second = _apply_arrow(tails, pack_tails, schema)
-    return _numbered(staged(first.where("tier is not null").unionByName(second), "pieces"), keep, with_ids)
+    second = staged(_apply_arrow(tails, pack_tails, schema), "tails")
+    return _numbered(first.where("tier is not null").unionByName(second), keep, with_ids)
 
 
 def _apply_arrow(tails: DataFrame, fn, schema) -> DataFrame:

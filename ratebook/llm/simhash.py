@@ -165,7 +165,8 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def simhash_groups(df: DataFrame, shingle: int = 4, max_bits: int = 4, text_col: str = "text",
                    id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: the id) with fp and component_id, the smallest id reachable over links."""
+    """``keep`` columns (default: the id) with fp, component_id (the smallest id reachable over links) and
+    component_fp, which names the component also where ids repeat or are null."""
     keep = [id_col] if keep is None else keep
     carried = list(dict.fromkeys([*keep, id_col]))
     fps = staged(fingerprints(df, shingle, text_col, carried), "fingerprints")
@@ -175,8 +176,9 @@ def simhash_groups(df: DataFrame, shingle: int = 4, max_bits: int = 4, text_col:
     own = first.select(F.col("fp").alias("root"), F.col("first").alias("own"))
     roots = roots.join(own, "root").select("root", F.least("own", "least").alias("cid"))
     linked = parts.select(F.col("node").alias("fp"), "root").unionByName(
-        roots.select(F.col("root").alias("fp"), "root")).join(roots, "root").select("fp", "cid")
+        roots.select(F.col("root").alias("fp"), "root")).join(roots, "root").select("fp", "root", "cid")
     named = staged(first.join(linked, "fp", "left")
-                   .select("fp", F.coalesce("cid", "first").alias("component_id")), "components")
-    kept = [c for c in keep if c.lower() not in ("fp", "component_id")]
-    return fps.join(named, "fp").select(*[fps[f"`{c}`"] for c in kept], "fp", "component_id")
+                   .select("fp", F.coalesce("cid", "first").alias("component_id"),
+                           F.coalesce("root", "fp").alias("component_fp")), "components")
+    kept = [c for c in keep if c.lower() not in ("fp", "component_id", "component_fp")]
+    return fps.join(named, "fp").select(*[fps[f"`{c}`"] for c in kept], "fp", "component_id", "component_fp")
