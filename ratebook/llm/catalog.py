@@ -14,6 +14,7 @@ from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
 from ratebook.llm.pu_classifier import THRESHOLD, fit_pu, pu_scores
 from ratebook.llm.quality_rules import fit_rules, quality_rules
 from ratebook.llm.simhash import simhash_groups
+from ratebook.llm.suffix_dedup import repeated_strings
 from ratebook.llm.textstats import BASE
 from ratebook.llm.token_counts import token_counts
 
@@ -90,3 +91,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .select("doc_id", "source", "n_tokens"), "counted")
     weights = source_weights(counted, "source", "n_tokens", evenness=0.5, max_epochs=4.0)
     return budgeted_copies(counted, counted, weights, "doc_id", "source", "n_tokens")
+
+
+@register("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                                         "kept_sha256")
