@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ratebook.llm.common import staged, table
 from ratebook.llm.hilbert_ann import nearest_neighbours
+from ratebook.llm.licenses import oracle as license_sql
+from ratebook.llm.licenses import scan_licenses
 from ratebook.llm.mixing import budgeted_copies, source_weights
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
@@ -98,3 +100,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                                          "kept_sha256")
+
+
+@register("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the file /source/lang/doc_id of a tree."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    return scan_licenses(docs, path, keep=["doc_id"])
+
+
+SQL["op9_license_scan"] = license_sql("doc_id", "'/' || source || '/' || lang || '/' || cast(doc_id as varchar)", "documents")
