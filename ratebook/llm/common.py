@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -46,10 +48,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     by ``spark.checkpoint.dir``, which every executor sees.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``staged``, as an external table bucketed by ``key``: grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    table_name = "ratebook_" + re.sub("[^a-z0-9]", "_", path.rsplit("/", 1)[1].lower())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_dropped(spark):
+        df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within this block, a finished query's shuffle files go at once: its result has been written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -12,17 +12,18 @@ before the next length.
    sorted across documents; those of one document only drop out, and all
    windows on such an anchor with them.
 2. The windows on one surviving anchor are a unit, and their bytes a strip of
-   fewer than two windows' length. Strips are sorted by name: a name with one
-   variant answers all its windows at once with its smallest document. The
-   windows of several variants are ranked by pairs of half-window names at
-   the full length.
-3. Each document compares its id with the answers, and the covered bytes go.
-
-Documents travel in blocks of about ``BLOCK_BYTES`` of text. A block's names
-and strips are distinct with the smallest document before they are shuffled,
-so a passage that a third of all rows share is one entry a block. What is
-shuffled beside two passes of the texts is packed arrays. All names that
-decide are 128 bits.
+   fewer than two windows' length. Strips are named and sorted: an anchor name
+   with one strip answers all its windows at once with its smallest document.
+3. Where an anchor name has several strips, their windows are ranked by pairs
+   of half-window names at the full length.
+4. Each document compares its id with the answers, and the covered bytes go.
+
+Documents lie in blocks of about ``BLOCK_BYTES`` of text, in a scratch table
+bucketed by block, so answers meet their texts without a shuffle of texts. A
+block's names and strips are distinct with the smallest document before they
+are shuffled, so a passage that a third of all rows share is one entry a
+block. What is shuffled is packed arrays. Names that decide have 96 bits for
+strips (of one anchor name) and 128 bits for windows.
 
 Null texts are empty. Rows with a null id neither lose bytes nor make others
 lose any. Repeated rows are judged alike, and rows of one id do not remove
@@ -39,10 +40,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from ratebook.llm.common import col, ship, staged, text_runs
+from ratebook.llm.common import bucketed, col, ship, staged, text_runs
 from ratebook.llm.repeats import Run, least_documents, same_as_before, shared_keys, strip_names
 
 BLOCK_BYTES = 8_000_000
@@ -67,7 +66,7 @@ def text_blocks(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 block += 1
 
     ship(df.sparkSession)
-    return staged(src.mapInArrow(number, "block long, row int, id long, raw binary"), "blocks")
+    return bucketed(src.mapInArrow(number, "block long, row int, id long, raw binary"), "block", "blocks")
 
 
 def _runs(raws: list[bytes], least: int, gram: int) -> Iterator[tuple[int, Run]]:
@@ -136,63 +135,149 @@ def shared_rows(group):
     return pa.table({"block": pa.array(out[0], pa.int64()), "shared": pa.array(out[1], pa.binary())})
 
 
-UNIT = np.dtype([("row", "<u4"), ("place", "<u4"), ("strip", "<u4"), ("count", "u1"), ("doc", "<i8")])
-STRIP = np.dtype([("key", "<u8"), ("doc", "<i8"), ("count", "u1"), ("offset", "u1")])
-UNIT_ROWS = T.StructType([
-    T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("strips", T.BinaryType()),
-    T.StructField("bytes", T.BinaryType()), T.StructField("units", T.BinaryType()), T.StructField("row", T.IntegerType()),
-    T.StructField("raw", T.BinaryType())])
+STRIP_NAME = np.dtype([("key", "<u4"), ("name", "<u8"), ("doc", "<i8")])
 
 
-def unit_rows(least: int, gram: int, buckets: int):
-    """Step 2, map side: a block's distinct strips and its units, by bucket, and the texts that have units."""
-    width = 2 * least - gram
-    schema = to_arrow_schema(UNIT_ROWS)
+class Units:
+    """The units of a block, sorted by strip: (key, name), then text order."""
 
-    def run(texts, replies):
-        if not texts.num_rows or not replies.num_rows:
-            return schema.empty_table()
-        shared = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in replies["shared"].to_pylist()]))
-        raws, rows = texts["raw"].to_pylist(), texts["row"].to_numpy()
-        ids = texts["id"].fill_null(NO_DOCUMENT).to_numpy()
+    def __init__(self, texts, shared: np.ndarray, least: int, gram: int):
+        self.least, self.width = least, 2 * least - gram
+        raws = texts["raw"].to_pylist()
         has_id = texts["id"].is_valid().to_numpy(zero_copy_only=False)
-        found = []
+        ids = texts["id"].fill_null(NO_DOCUMENT).to_numpy()
+        self.rows = texts["row"].to_numpy()
+        self.runs, found = [], []
         for at, r in _runs(raws, least, gram):
             place, count, offset, key = r.units(shared)
             doc = r.document(place)
-            known = has_id[at + doc]
+            known = np.flatnonzero(has_id[at + doc])
             place, count, offset, key, doc = (x[known] for x in (place, count, offset, key, doc))
-            strips = r.strips(place, count, width)
-            found.append((key, *strip_names(strips, count, offset), count, offset, at + doc, place - r.starts[doc], strips))
-        key, h1, h2, count, offset, doc, place, strips = (np.concatenate(x) for x in zip(*found))
-        if not len(key):
-            return schema.empty_table()
-        order = np.lexsort((h2, h1, key))
-        key, count, offset, doc, place, strips = (x[order] for x in (key, count, offset, doc, place, strips))
-        new = ~same_as_before(key, h1[order], h2[order])
-        first = np.flatnonzero(new)
-        own = np.cumsum(new) - 1
-        table = np.empty(len(first), dtype=STRIP)
-        table["key"], table["count"], table["offset"] = key[first], count[first], offset[first]
-        table["doc"] = np.minimum.reduceat(ids[doc], first)
-        units = np.empty(len(key), dtype=UNIT)
-        units["row"], units["place"], units["count"], units["doc"] = rows[doc], place, count, ids[doc]
-        bytes_ = strips[first]
-        block = texts["block"][0].as_py()
+            name = strip_names(r.strips(place, count, self.width), count, offset)[0]
+            number = np.full(len(key), len(self.runs))
+            self.runs.append(r)
+            found.append((key, name, count, offset, at + doc, place - r.starts[doc], place, number))
+        key, name, *others = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((name, key))
+        self.key, self.name = key[order], name[order]
+        self.count, self.offset, doc, self.place, self.at, self.number = (x[order] for x in others)
+        self.row, self.id = self.rows[doc], ids[doc]
+        new = ~same_as_before(self.key, self.name)
+        self.first = np.flatnonzero(new)
+        self.strip = np.cumsum(new) - 1
+        self.best = np.minimum.reduceat(self.id, self.first) if len(self.first) else self.id
+
+    def bytes(self, units: np.ndarray) -> np.ndarray:
+        """The padded strips of some units."""
+        out = np.empty((len(units), self.width), dtype=np.uint8)
+        for number, r in enumerate(self.runs):
+            mine = np.flatnonzero(self.number[units] == number)
+            out[mine] = r.strips(self.at[units[mine]], self.count[units[mine]], self.width)
+        return out
+
+
+def _joined(chunks, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=dtype) for x in chunks] or [np.zeros(0, dtype=dtype)])
+
+
+def strip_rows(least: int, gram: int, buckets: int):
+    """Step 2, map side: a block's distinct strips by name, with their smallest documents, by bucket."""
+    def run(texts, replies):
         out = []
-        for b, s in _slices(_bucket(table["key"], buckets), buckets):
-            u = slice(first[s.start], first[s.stop] if s.stop < len(first) else len(key))
-            mine = units[u].copy()
-            mine["strip"] = own[u] - s.start
-            out.append((block, b, table[s].tobytes(), bytes_[s].tobytes(), mine.tobytes(), None, None))
-        for i in np.unique(doc):
-            out.append((block, None, None, None, None, int(rows[i]), raws[i]))
-        return pa.Table.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*out), schema)], schema=schema)
+        if texts.num_rows and replies.num_rows:
+            u = Units(texts, np.unique(_joined(replies["shared"].to_pylist(), np.uint64)), least, gram)
+            table = np.empty(len(u.first), dtype=STRIP_NAME)
+            table["key"] = u.key[u.first].astype(np.uint32)
+            table["name"], table["doc"] = u.name[u.first], u.best
+            block = texts["block"][0].as_py()
+            out = [(b, block, table[s].tobytes()) for b, s in _slices(_bucket(u.key[u.first], buckets), buckets)]
+        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()),
+                         "block": pa.array([o[1] for o in out], pa.int64()),
+                         "strips": pa.array([o[2] for o in out], pa.binary())})
     return run
 
 
-def answer_rows(least: int, gram: int):
-    """Step 2, reduce side: each strip's smallest documents."""
+def answer_rows(group):
+    """Step 2, reduce side: each strip's smallest document, and whether its key has several strips."""
+    tables = [np.frombuffer(x, dtype=STRIP_NAME) for x in group["strips"].to_pylist()]
+    every = np.concatenate(tables)
+    order = np.lexsort((every["name"], every["key"]))
+    key, name = every["key"][order], every["name"][order]
+    first = np.flatnonzero(~same_as_before(key, name))
+    size = np.diff(np.append(first, len(key)))
+    start = np.flatnonzero(~same_as_before(key[first]))
+    variants = np.diff(np.append(start, len(first)))
+    best, several = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=bool)
+    best[order] = np.repeat(np.minimum.reduceat(every["doc"][order], first), size)
+    several[order] = np.repeat(np.repeat(variants > 1, variants), size)
+    ends = np.cumsum([len(t) for t in tables])
+    return pa.table({
+        "block": group["block"].cast(pa.int64()), "bucket": group["bucket"].cast(pa.int32()),
+        "best": pa.array([best[e - len(t):e].tobytes() for t, e in zip(tables, ends)], pa.binary()),
+        "several": pa.array([np.packbits(several[e - len(t):e]).tobytes() for t, e in zip(tables, ends)], pa.binary())})
+
+
+UNIT = np.dtype([("row", "<u4"), ("place", "<u4"), ("strip", "<u4"), ("count", "u1"), ("doc", "<i8")])
+STRIP = np.dtype([("key", "<u8"), ("doc", "<i8"), ("count", "u1"), ("offset", "u1")])
+COVER = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
+WINDOW_ROWS = "block long, bucket int, strips binary, bytes binary, units binary, cover binary"
+
+
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The union of byte runs, per row, as COVER records."""
+    order = np.lexsort((start, row))
+    row, start, end = (x[order].astype(np.int64) for x in (row, start, end))
+    # a running end that cannot reach over to the next row
+    reach = np.maximum.accumulate(end + (row << 33)) if len(row) else end
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (start[1:] + (row[1:] << 33)) > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    out = np.empty(len(first), dtype=COVER)
+    out["row"], out["start"] = row[first], start[first]
+    out["end"] = reach[last] - (row[last] << 33) if len(row) else 0
+    return out
+
+
+def window_rows(least: int, gram: int, buckets: int):
+    """Step 2's answers applied, and step 3's map side: strips and units of keys with several strips."""
+    def run(texts, replies):
+        out = []
+        if texts.num_rows and replies.num_rows:
+            block = texts["block"][0].as_py()
+            u = Units(texts, np.unique(_joined(replies["shared"].drop_null().to_pylist(), np.uint64)), least, gram)
+            answered = sorted((b, best, s) for b, best, s in zip(*(replies[c].to_pylist() for c in ("bucket", "best", "several")))
+                              if best is not None)
+            best = _joined([x[1] for x in answered], np.int64)
+            several = np.concatenate([np.unpackbits(np.frombuffer(s, dtype=np.uint8), count=len(x) // 8).astype(bool)
+                                      for _, x, s in answered] or [np.zeros(0, dtype=bool)])
+            open_ = several[u.strip]
+            sure = np.flatnonzero(~open_ & (best[u.strip] < u.id))
+            cover = merged(u.row[sure], u.place[sure], u.place[sure] + u.count[sure] + least - 1)
+            if len(cover):
+                out.append((block, None, None, None, None, cover.tobytes()))
+            strips = np.flatnonzero(several)
+            one = u.first[strips]
+            table = np.empty(len(one), dtype=STRIP)
+            table["key"], table["doc"], table["count"], table["offset"] = u.key[one], u.best[strips], u.count[one], u.offset[one]
+            shown = u.bytes(one)
+            mine = np.flatnonzero(open_)
+            units = np.empty(len(mine), dtype=UNIT)
+            units["row"], units["place"], units["count"], units["doc"] = u.row[mine], u.place[mine], u.count[mine], u.id[mine]
+            owner = np.searchsorted(strips, u.strip[mine])
+            for b, s in _slices(_bucket(table["key"], buckets), buckets):
+                a, z = np.searchsorted(owner, [s.start, s.stop])
+                part = units[a:z].copy()
+                part["strip"] = owner[a:z] - s.start
+                out.append((block, b, table[s].tobytes(), shown[s].tobytes(), part.tobytes(), None))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                    names=["block", "bucket", "strips", "bytes", "units", "cover"])
+    return run
+
+
+def window_answers(least: int, gram: int):
+    """Step 3, reduce side: the smallest document of each window of each strip."""
     width = 2 * least - gram
 
     def run(group):
@@ -201,45 +286,33 @@ def answer_rows(least: int, gram: int):
         every = np.concatenate(tables)
         answer, by_window, windows = least_documents(every["key"], strips, every["count"], every["offset"],
                                                      every["doc"], least)
-        each = np.where(by_window, every["count"], 0).astype(np.int64)
-        out, at, w = [], 0, 0
-        for t in tables:
-            n = int(each[at:at + len(t)].sum())
-            out.append((answer[at:at + len(t)].tobytes(), np.packbits(by_window[at:at + len(t)]).tobytes(),
-                        each[at:at + len(t)].astype(np.uint8).tobytes(), windows[w:w + n].tobytes()))
-            at, w = at + len(t), w + n
-        return pa.table({"block": group["block"].cast(pa.int64()), "bucket": group["bucket"].cast(pa.int32())} | {
-            c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("answer", "by_window", "each", "windows"))})
+        # a strip alone with its whole key here has one answer for all its windows
+        each = every["count"].astype(np.int64)
+        full = np.repeat(answer, each)
+        full[np.repeat(by_window, each)] = windows
+        ends = np.cumsum([int(t["count"].sum(dtype=np.int64)) for t in tables])
+        return pa.table({"block": group["block"].cast(pa.int64()), "bucket": group["bucket"].cast(pa.int32()),
+                         "windows": pa.array([full[e - int(t["count"].sum(dtype=np.int64)):e].tobytes()
+                                              for t, e in zip(tables, ends)], pa.binary())})
     return run
 
 
-COVER = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
-
-
 def cover_rows(least: int):
-    """Step 3: the byte runs that each unit's repeated windows cover."""
+    """Step 4: the byte runs that each open unit's repeated windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], []]
-            for block, units, answer, by_window, each, windows in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, strips, units, windows in zip(*(c.to_pylist() for c in batch.columns)):
                 u = np.frombuffer(units, dtype=UNIT)
-                best = np.frombuffer(answer, dtype=np.int64)
-                split = np.unpackbits(np.frombuffer(by_window, dtype=np.uint8), count=len(best)).astype(bool)
-                sizes = np.frombuffer(each, dtype=np.uint8).astype(np.int64)
                 per = np.frombuffer(windows, dtype=np.int64)
+                sizes = np.frombuffer(strips, dtype=STRIP)["count"].astype(np.int64)
                 begin = np.cumsum(sizes) - sizes
-                whole = ~split[u["strip"]]
-                low = np.zeros(len(u), dtype=np.int64)
-                high = u["count"].astype(np.int64) - 1
-                hit = whole & (best[u["strip"]] < u["doc"])
-                for i in np.flatnonzero(~whole):
-                    s = u["strip"][i]
-                    at = np.flatnonzero(per[begin[s]:begin[s] + sizes[s]] < u["doc"][i])
-                    if len(at):  # windows overlap, so first to last is one run
-                        hit[i], low[i], high[i] = True, at[0], at[-1]
-                cover = np.empty(int(hit.sum()), dtype=COVER)
-                cover["row"], cover["start"] = u["row"][hit], u["place"][hit] + low[hit]
-                cover["end"] = u["place"][hit] + high[hit] + least
+                n = u["count"].astype(np.int64)
+                own = np.repeat(np.arange(len(u)), n)
+                w = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                hit = np.flatnonzero(per[begin[u["strip"]][own] + w] < u["doc"][own])
+                start = u["place"][own[hit]] + w[hit]
+                cover = merged(u["row"][own[hit]], start, start + least)
                 if len(cover):
                     out[0].append(block)
                     out[1].append(cover.tobytes())
@@ -248,59 +321,55 @@ def cover_rows(least: int):
     return run
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
 def cut_rows(texts, covers):
-    """Step 3: the removed runs and what is kept of a block's texts."""
-    out = [[], [], [], [], []]
-    if texts.num_rows and covers.num_rows:
-        cover = np.concatenate([np.frombuffer(x, dtype=COVER) for x in covers["cover"].to_pylist()])
-        cover = cover[np.argsort(cover["row"], kind="stable")]
-        ends = np.searchsorted(cover["row"], np.array(texts["row"].to_pylist()), side="right")
-        begins = np.searchsorted(cover["row"], np.array(texts["row"].to_pylist()), side="left")
-        for block, row, raw, a, b in zip(texts["block"].to_pylist(), texts["row"].to_pylist(), texts["raw"].to_pylist(),
-                                         begins, ends):
-            if a == b:
-                continue
-            depth = (np.bincount(cover["start"][a:b], minlength=len(raw) + 1)
-                     - np.bincount(cover["end"][a:b], minlength=len(raw) + 1))
-            gone = np.cumsum(depth)[:len(raw)] > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-            out[0].append(block)
-            out[1].append(row)
-            out[2].append(int(gone.sum()))
-            out[3].append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
-            out[4].append(hashlib.sha256(kept).hexdigest())
-    return pa.Table.from_arrays(
-        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()),
-         pa.array(out[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out[4], pa.string())],
-        names=["block", "row", "n_removed", "spans", "kept_sha256"])
+    """Step 4: the removed runs and what is kept of a block's texts."""
+    out = [[] for _ in range(5)]
+    if texts.num_rows:
+        cover = _joined(covers["cover"].to_pylist(), COVER)
+        cover = merged(cover["row"], cover["start"], cover["end"])
+        rows = texts["row"].to_numpy()
+        begins, ends = (np.searchsorted(cover["row"], rows, side=s) for s in ("left", "right"))
+        for i, raw, a, b in zip(texts["id"].to_pylist(), texts["raw"].to_pylist(), begins, ends):
+            spans = list(zip(cover["start"][a:b].tolist(), cover["end"][a:b].tolist()))
+            edges = [0, *[x for s in spans for x in s], len(raw)]
+            kept = hashlib.sha256()
+            for x, y in zip(edges[::2], edges[1::2]):
+                kept.update(raw[x:y])
+            for values, v in zip(out, (i, len(raw), sum(y - x for x, y in spans),
+                                       [{"start": x, "end": y} for x, y in spans], kept.hexdigest())):
+                values.append(v)
+    return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), SPANS, pa.string()))],
+                                names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
 def repeated_strings(df: DataFrame, least: int = 50, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are byte runs, end exclusive."""
     gram = max(1, least // 2)
     texts = text_blocks(df, text_col, id_col)
-    spark = df.sparkSession
     n_blocks = texts.select("block").distinct().count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_blocks * BLOCK_BYTES / BUCKET_BYTES))
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                  math.ceil(n_blocks * BLOCK_BYTES / BUCKET_BYTES))
+
+    def with_texts(replies: DataFrame, fn, schema: str) -> DataFrame:
+        return (texts.groupBy("block").cogroup(replies.withColumnRenamed("block", "at").groupBy("at"))
+                .applyInArrow(fn, schema))
+
     anchors = texts.select("block", "raw").mapInArrow(
         anchor_rows(least, gram, buckets), "bucket int, block long, keys binary, several binary")
     shared = staged(anchors.groupBy("bucket").applyInArrow(shared_rows, "block long, shared binary"), "shared")
-    units = staged(texts.groupBy("block").cogroup(shared.withColumnRenamed("block", "at").groupBy("at"))
-                   .applyInArrow(unit_rows(least, gram, buckets), UNIT_ROWS), "units")
-    packed = units.where("bucket is not null")
-    answers = staged(packed.select("block", "bucket", "strips", "bytes").groupBy("bucket").applyInArrow(
-        answer_rows(least, gram), "block long, bucket int, answer binary, by_window binary, each binary, windows binary"),
-        "answers")
-    covers = packed.select("block", "bucket", "units").join(answers, ["block", "bucket"]).select(
-        "block", "units", "answer", "by_window", "each", "windows").mapInArrow(cover_rows(least), "block long, cover binary")
-    held = units.where("row is not null").select("block", "row", "raw")
-    cut = (held.groupBy("block").cogroup(covers.withColumnRenamed("block", "at").groupBy("at"))
-           .applyInArrow(cut_rows, "block long, row int, n_removed long, spans array<struct<start:int,end:int>>, "
-                                   "kept_sha256 string"))
-    whole = texts.select("block", "row", "id", F.octet_length("raw").cast("long").alias("n_bytes"),
-                         F.sha2("raw", 256).alias("whole_sha256"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return whole.join(cut, ["block", "row"], "left").select(
-        F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    strips = with_texts(shared, strip_rows(least, gram, buckets), "bucket int, block long, strips binary")
+    answers = staged(strips.groupBy("bucket").applyInArrow(
+        answer_rows, "block long, bucket int, best binary, several binary"), "answers")
+    windows = staged(with_texts(shared.unionByName(answers, allowMissingColumns=True),
+                                window_rows(least, gram, buckets), WINDOW_ROWS), "windows")
+    opened = windows.where("bucket is not null")
+    ranked = staged(opened.select("block", "bucket", "strips", "bytes").groupBy("bucket").applyInArrow(
+        window_answers(least, gram), "block long, bucket int, windows binary"), "ranked")
+    late = (opened.select("block", "bucket", "strips", "units").join(ranked, ["block", "bucket"])
+            .select("block", "strips", "units", "windows").mapInArrow(cover_rows(least), "block long, cover binary"))
+    covers = staged(windows.where("cover is not null").select("block", "cover").unionByName(late), "covers")
+    return with_texts(covers, cut_rows, "id long, n_bytes long, n_removed long, "
+                      "spans array<struct<start:int,end:int>>, kept_sha256 string").withColumnRenamed("id", id_col)
