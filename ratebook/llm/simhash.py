@@ -89,9 +89,9 @@ def posting_links(entries: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     part[near] = pivot
     links = [(int(entries[pivot]), int(x)) for i, x in enumerate(entries) if near[i] and i != pivot]
     for i in np.flatnonzero(~near):
-        met = np.unique(part[differ(entries[i]) <= max_bits])
-        others = met[met != part[i]]
-        links += [(int(entries[i]), int(entries[p])) for p in others]
+        met = np.flatnonzero((differ(entries[i]) <= max_bits) & (part != part[i]))
+        others, one = np.unique(part[met], return_index=True)
+        links += [(int(entries[i]), int(entries[j])) for j in met[one]]
         if len(others):
             part[np.isin(part, others)] = part[i]
     return links
@@ -168,7 +168,8 @@ def simhash_groups(df: DataFrame, shingle: int = 4, max_bits: int = 4, text_col:
     """``keep`` columns (default: the id) with fp, component_id (the smallest id reachable over links) and
     component_fp, which names the component also where ids repeat or are null."""
     keep = [id_col] if keep is None else keep
-    carried = list(dict.fromkeys([*keep, id_col]))
+    kept = [c for c in keep if c.lower() not in ("fp", "component_id", "component_fp")]
+    carried = list(dict.fromkeys([*kept, id_col]))
     fps = staged(fingerprints(df, shingle, text_col, carried), "fingerprints")
     first = staged(fps.groupBy("fp").agg(F.min(col(id_col)).alias("first")), "first")
     parts = components(near_links(first, max_bits))
@@ -180,5 +181,4 @@ def simhash_groups(df: DataFrame, shingle: int = 4, max_bits: int = 4, text_col:
     named = staged(first.join(linked, "fp", "left")
                    .select("fp", F.coalesce("cid", "first").alias("component_id"),
                            F.coalesce("root", "fp").alias("component_fp")), "components")
-    kept = [c for c in keep if c.lower() not in ("fp", "component_id", "component_fp")]
     return fps.join(named, "fp").select(*[fps[f"`{c}`"] for c in kept], "fp", "component_id", "component_fp")
