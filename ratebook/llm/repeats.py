@@ -10,6 +10,8 @@ import numpy as np
 
 _RNG = np.random.default_rng(20)
 U64 = np.uint64
+#: Strips handled together: their names take some 600 bytes each while they are made.
+ROWS_AT_ONCE = 8_192
 
 
 def _odd(n: int) -> np.ndarray:
@@ -122,17 +124,22 @@ class Run:
         """The bytes that units span, padded with zeros to ``width``."""
         out = np.zeros((len(place), width), dtype=np.uint8)
         step = np.arange(width)
-        for a in range(0, len(place), 100_000):
-            at = place[a:a + 100_000, None] + step
-            held = step < (count[a:a + 100_000, None] + self.least - 1)
-            out[a:a + 100_000] = np.where(held, self.raw[np.minimum(at, len(self.raw) - 1)], 0)
+        for a in range(0, len(place), ROWS_AT_ONCE):
+            at = place[a:a + ROWS_AT_ONCE, None] + step
+            held = step < (count[a:a + ROWS_AT_ONCE, None] + self.least - 1)
+            out[a:a + ROWS_AT_ONCE] = np.where(held, self.raw[np.minimum(at, len(self.raw) - 1)], 0)
         return out
 
 
-def strip_names(strips: np.ndarray, count: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two names per padded strip, of its bytes, window count and anchor offset."""
+def strip_names(strips: np.ndarray, count: np.ndarray, offset: np.ndarray, kinds=(0, 1)) -> list[np.ndarray]:
+    """Names per padded strip, of its bytes, window count and anchor offset."""
     tail = (count.astype(U64) << U64(32)) | offset.astype(U64)
-    return tuple(mixed(names(strips, strips.shape[1], w)[:, 0] + mixed(tail + U64(w))) for w in (0, 1))
+    out = [np.empty(len(strips), dtype=U64) for _ in kinds]
+    for a in range(0, len(strips), ROWS_AT_ONCE):
+        part = slice(a, a + ROWS_AT_ONCE)
+        for h, which in zip(out, kinds):
+            h[part] = mixed(names(strips[part], strips.shape[1], which)[:, 0] + mixed(tail[part] + U64(which)))
+    return out
 
 
 def same_as_before(*columns: np.ndarray) -> np.ndarray:
@@ -186,9 +193,9 @@ def least_documents(key, strips, count, offset, doc, least: int):
     n_windows = count[one].astype(np.int64)
     half = least // 2
     found = [[], [], [], [], []]
-    for a in range(0, len(one), 50_000):
-        part = one[a:a + 50_000]
-        here = n_windows[a:a + 50_000]
+    for a in range(0, len(one), ROWS_AT_ONCE):
+        part = one[a:a + ROWS_AT_ONCE]
+        here = n_windows[a:a + ROWS_AT_ONCE]
         own = np.repeat(np.arange(len(part)), here)
         w = np.arange(len(own)) - np.repeat(np.cumsum(here) - here, here)
         for which in (0, 1):
@@ -197,7 +204,7 @@ def least_documents(key, strips, count, offset, doc, least: int):
             found[which].append(gram[own, w] * _power(which, least - half) + rest[own, w + half])
         found[2].append(key[part][own])
         found[3].append(offset[part][own].astype(np.int64) - w)
-        found[4].append(best[wanted[a:a + 50_000]][own])
+        found[4].append(best[wanted[a:a + ROWS_AT_ONCE]][own])
     w1, w2, k, o, d = (np.concatenate(f) for f in found)
     order = np.lexsort((o, w2, w1, k))
     new = ~same_as_before(k[order], w1[order], w2[order], o[order])

@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from ratebook.llm.common import bucketed, col, ship, staged, text_runs
 from ratebook.llm.repeats import Run, least_documents, same_as_before, shared_keys, strip_names
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 RUN_BYTES = 1_000_000
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 16_000_000
 NO_DOCUMENT = np.iinfo(np.int64).max
 
 
@@ -153,7 +153,7 @@ class Units:
             doc = r.document(place)
             known = np.flatnonzero(has_id[at + doc])
             place, count, offset, key, doc = (x[known] for x in (place, count, offset, key, doc))
-            name = strip_names(r.strips(place, count, self.width), count, offset)[0]
+            name, = strip_names(r.strips(place, count, self.width), count, offset, kinds=(0,))
             number = np.full(len(key), len(self.runs))
             self.runs.append(r)
             found.append((key, name, count, offset, at + doc, place - r.starts[doc], place, number))
