@@ -764,10 +764,13 @@ ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
 def fold_sql(p: str) -> str:
-    out = f"regexp_replace({p}, '/(\\./)+', '/', 'g')"
-    for _ in range(4):
-        out = f"regexp_replace({out}, '/[^/]+/\\.\\./', '/', 'g')"
-    return f"regexp_replace({out}, '^(/\\.\\.)+/', '/', 'g')"
+    """Dot segments of a path applied one by one; query and fragment stay."""
+    bare = f"regexp_extract({p}, '^([^?#]*)', 1)"
+    parts = f"list_concat([[]::VARCHAR[]], list_transform(string_split({bare}, '/')[2:], lambda s: [s]))"
+    kept = (f"list_reduce({parts}, lambda a, b: CASE WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] "
+            f"WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END)")
+    slash = f"CASE WHEN string_split({bare}, '/')[-1] IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END"
+    return f"('/' || array_to_string({kept}, '/') || {slash} || substr({p}, length({bare}) + 1))"
 
 
 def resolve_sql(b: str, h: str) -> str:
@@ -911,8 +914,7 @@ FROM chosen GROUP BY batch_id"""))
 
 import mimetypes as _mt  # noqa: E402
 
-_mt.init()
-_MIME_ROWS = sorted({(e.lstrip(".").lower(), t) for e, t in _mt.types_map.items()})
+_MIME_ROWS = sorted({(e.lstrip(".").lower(), t) for e, t in _mt.MimeTypes().types_map[True].items()})
 oracle("mime_type", q(GEO + ",\nmime(ext, mime_type) AS (VALUES " + ", ".join(
     "('%s', '%s')" % (e, t) for e, t in _MIME_ROWS) + ")",
     """SELECT g.c_name || '.xlsx' AS file_name, COALESCE(m.mime_type, 'application/octet-stream') AS mime_type
@@ -928,16 +930,17 @@ files AS (SELECT DISTINCT source_file FROM forms)"""
 def cells_sql(kinds: list[str]) -> str:
     parts = []
     if "sum" in kinds:
-        parts.append("""SELECT source_file, 'B2' AS cell,
-  printf('%.2f', CASE WHEN source_file = 'orders_en'
-                      THEN COALESCE(sum(COALESCE(TRY_CAST(amount_raw AS DOUBLE), 0)), 0) ELSE 0 END) AS value
+        parts.append("""SELECT source_file, 'B2' AS cell, CAST(NULL AS VARCHAR) AS value,
+  round(CASE WHEN source_file = 'orders_en'
+             THEN COALESCE(sum(COALESCE(TRY_CAST(amount_raw AS DOUBLE), 0)), 0) ELSE 0 END, 4) AS number
 FROM forms GROUP BY source_file""")
     if "first" in kinds:
         parts.append("""SELECT source_file, 'B3' AS cell,
-  CASE WHEN source_file = 'orders_en' THEN arg_min(project_raw, source_row) FILTER (WHERE project_raw IS NOT NULL) END AS value
+  CASE WHEN source_file = 'orders_en' THEN arg_min(project_raw, source_row) FILTER (WHERE project_raw IS NOT NULL) END AS value,
+  CAST(NULL AS DOUBLE) AS number
 FROM forms GROUP BY source_file""")
     if "literals" in kinds:
-        parts.append("""SELECT f.source_file, c.cell, c.value FROM files f CROSS JOIN (VALUES
+        parts.append("""SELECT f.source_file, c.cell, c.value, CAST(NULL AS DOUBLE) AS number FROM files f CROSS JOIN (VALUES
   ('B4', '2025-01-31'), ('B5', 'acme'), ('B6', '0.06'), ('B7', NULL), ('B8', '42'), ('B9', 'Invoice'), ('B10', NULL)) c(cell, value)""")
     return "\nUNION ALL\n".join(parts)
 

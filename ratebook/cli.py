@@ -15,6 +15,8 @@ import sys
 
 from pyspark.sql import functions as F
 
+from ratebook.sources.tables import csv_reader
+
 
 def _spark():
     from ratebook.session import get_spark
@@ -23,7 +25,7 @@ def _spark():
 
 def _read(spark, path: str):
     return spark.read.parquet(path) if path.endswith(".parquet") or "." not in path.rsplit("/", 1)[-1] \
-        else spark.read.option("header", True).csv(path)
+        else csv_reader(spark).csv(path)
 
 
 def cmd_process_forms(a) -> int:

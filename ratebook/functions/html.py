@@ -88,11 +88,20 @@ _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
 
 def _fold_dots(path: Column) -> Column:
-    """Remove ``./`` segments and fold ``seg/../`` pairs (bounded passes)."""
-    out = F.regexp_replace(path, r"/(\./)+", "/")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"/[^/]+/\.\./", "/")
-    return F.regexp_replace(out, r"^(/\.\.)+/", "/")
+    """Drop ``.`` segments and let ``..`` remove the segment before it, at any depth.
+
+    Only the path is folded; a query or fragment behind it stays as it is. A
+    dot segment at the end leaves its slash.
+    """
+    bare = F.regexp_extract(path, r"^([^?#]*)", 1)
+    rest = F.substr(path, F.length(bare) + 1)
+    segments = F.split(bare, "/")
+    folded = F.aggregate(
+        F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))))
+        .when(s == ".", out).otherwise(F.concat(out, F.array(s))))
+    open_end = F.element_at(segments, -1).isin(".", "..") & (F.size(folded) > 0)
+    return F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(open_end, "/").otherwise(""), rest)
 
 
 def resolve_url(base, href) -> Column:
@@ -104,7 +113,7 @@ def resolve_url(base, href) -> Column:
     base_no_frag = F.regexp_replace(b, r"#.*$", "")
     base_no_query = F.regexp_replace(base_no_frag, r"\?.*$", "")
     base_dir = F.regexp_replace(base_no_query, r"[^/]*$", "")
-    base_path = F.substring(base_dir, F.length(origin) + 1, 100000)
+    base_path = F.substr(base_dir, F.length(origin) + 1)
     return (F.when(h == "", base_no_frag)
             .when(h.rlike(_SCHEME), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))

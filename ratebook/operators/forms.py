@@ -70,6 +70,8 @@ def convert(df: DataFrame, base_currency: str = "CNY", round_digits: int = 2, ra
         out = lookup_asof(df, rates, base_currency, window_days, eligible=eligible)
     else:
         out = lookup_static(df, base_currency, static_overrides, default_rate, eligible=eligible)
+    if round_digits > BASE_AMOUNT.scale:
+        raise ValueError(f"round_digits must be at most {BASE_AMOUNT.scale}")
     base = F.round(F.col("amount").cast(AMOUNT) * F.col("_rate"), round_digits).cast(BASE_AMOUNT)
     return (out.withColumn("base_currency", F.lit(base_currency))
             .withColumn("exchange_rate", F.col("_rate").cast(EXCHANGE_RATE))

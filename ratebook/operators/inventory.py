@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ratebook.functions.dates import parse_api_time
 from ratebook.functions.text import col_, mask_filename, retryable, sanitize_reason, strip_unicode
 
-# Listing JSON keys read as text; alternatives are tried left to right.
+# Listing JSON keys read as text; alternatives are tried left to right.
 LISTING_KEYS = ("type", "fileType", "nodeType", "id", "folderId", "fileId", "name", "parentId", "createdAt",
                 "gmtCreate", "updatedAt", "gmtModified", "size", "fileSize", "mimeType", "contentType")
 LISTING_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in LISTING_KEYS])
@@ -45,7 +45,8 @@ def parse_listing(df: DataFrame, json_col: str = "json") -> DataFrame:
         F.coalesce(g("name"), F.lit("")).alias("name"), g("parentId").alias("parent_id"),
         _first_nonempty(g("createdAt"), g("gmtCreate")).alias("_created"),
         _first_nonempty(g("updatedAt"), g("gmtModified")).alias("_updated"),
-        F.coalesce(_first_nonempty(g("size"), g("fileSize")).try_cast("bigint"), F.lit(0)).alias("_size"),
+        F.coalesce(*[F.nullif(g(k).try_cast("bigint"), F.lit(0).cast("bigint")) for k in ("size", "fileSize")],
+                   F.lit(0).cast("bigint")).alias("_size"),
         _first_nonempty(g("mimeType"), g("contentType")).alias("_mime")).where(F.col("item_type").isin("folder", "file")))
     is_file = F.col("item_type") == "file"
     return fields.select(
@@ -56,6 +57,7 @@ def parse_listing(df: DataFrame, json_col: str = "json") -> DataFrame:
         F.when(is_file, F.col("_mime")).alias("mime_type"))
 
 
+# Fixed value: characters that a path segment must not hold.
 ILLEGAL = r'[<>:"|?*]'
 
 
@@ -83,7 +85,7 @@ def validate_path(path) -> Column:
              .when(bad["repeated"], F.concat(F.lit("路径存在重复段: "), bad_seg)))
     return F.struct(error.isNull().alias("valid"),
                     F.when(error.isNull(), F.element_at(segs, 1)).alias("space_label"),
-                    F.when(error.isNull(), F.array_join(F.slice(segs, 2, 1_000_000), "/")).alias("folders"),
+                    F.when(error.isNull(), F.array_join(F.slice(segs, 2, n), "/")).alias("folders"),
                     error.alias("error"))
 
 
@@ -107,24 +109,34 @@ def join_drive_path(*parts) -> Column:
     return F.when(joined == "", F.lit(".")).otherwise(joined)
 
 
-def folder_paths(listing: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Full name path of every folder: (id, path, depth), by a recursive CTE.
+def folder_paths(listing: DataFrame) -> DataFrame:
+    """Full name path of every folder below the root: (id, path, depth).
 
-    Spark runs the recursion as a union loop: each step is one equi join of
-    the folder table to the previous level; ``max_depth`` bounds the loop.
+    One equi join a level, each level written to the shared scratch folder,
+    until a level is empty; there is no depth limit. Folders on a cycle hang
+    from no root and so have no path.
     """
-    import uuid
+    from ratebook.session import scratch_dir
     spark = listing.sparkSession
-    view = f"_folders_{uuid.uuid4().hex[:12]}"
-    listing.where(F.col("item_type") == "folder").select("id", "name", "parent_id").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE tree(id, path, depth) AS (
-          SELECT id, name, 1 FROM {view} WHERE parent_id = 'root'
-          UNION ALL
-          SELECT c.id, concat(t.path, '/', c.name), t.depth + 1
-          FROM {view} c JOIN tree t ON c.parent_id = t.id
-          WHERE t.depth < {int(max_depth)})
-        SELECT id, path, depth FROM tree""")
+    folders = listing.where(F.col("item_type") == "folder").select("id", "name", "parent_id")
+    base = scratch_dir(spark, "folders")
+
+    def level(frame: DataFrame, depth: int) -> DataFrame:
+        path = f"{base}/depth={depth}"
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    folders = level(folders, 0)
+    now = level(folders.where(F.col("parent_id") == "root").select("id", F.col("name").alias("path")), 1)
+    out, depth = None, 1
+    while not now.isEmpty():
+        tagged = now.withColumn("depth", F.lit(depth))
+        out = tagged if out is None else out.unionByName(tagged)
+        depth += 1
+        step = folders.join(now.withColumnRenamed("id", "_above"), F.col("parent_id") == F.col("_above")).select(
+            "id", F.concat("path", F.lit("/"), "name").alias("path"))
+        now = level(step, depth)
+    return now.withColumn("depth", F.lit(0)) if out is None else out
 
 
 def resolve_folders(requests: DataFrame, paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -135,31 +147,31 @@ def resolve_folders(requests: DataFrame, paths: DataFrame, path_col: str = "path
     of the request is matched against the folder paths with one equi join;
     the longest existing prefix decides.
     """
-    segs = F.filter(F.transform(F.split(F.col(path_col), "/"), lambda s: F.trim(s)), lambda s: s != "")
+    segs = F.filter(F.transform(F.split(F.col(path_col), "/"), lambda s: strip_unicode(s)), lambda s: s != "")
     r = requests.select(path_col).distinct().select("*", segs.alias("_segs"))
     first = F.try_element_at("_segs", F.lit(1))
     anchored = F.coalesce(first.startswith("id:") & (F.length(first) > 3), F.lit(False))
-    r = r.withColumn("_anchor", F.when(anchored, F.substring(first, 4, 1_000_000)))
-    r = r.withColumn("_segs", F.when(anchored | F.coalesce(F.lower(first).isin("root", "/"), F.lit(False)),
-                                     F.slice("_segs", 2, 1_000_000)).otherwise(F.col("_segs")))
+    r = r.withColumn("_anchor", F.when(anchored, F.substr(first, F.lit(4))))
+    r = r.withColumn("_segs", F.when(anchored | F.coalesce(first.isin("root", "ROOT"), F.lit(False)),
+                                     F.slice("_segs", 2, F.size("_segs"))).otherwise(F.col("_segs")))
     anchors = paths.select(F.col("id").alias("_anchor"), F.split(F.col("path"), "/").alias("_base"))
     r = r.join(anchors, "_anchor", "left").withColumn(
         "_full", F.when(F.col("_anchor").isNull(), F.col("_segs"))
         .otherwise(F.concat(F.col("_base"), F.col("_segs"))))
     base_n = F.coalesce(F.size("_base"), F.lit(0))
-    pre = r.select(path_col, "_segs", "_full", base_n.alias("_b"),
+    pre = r.select(path_col, "_anchor", "_segs", "_full", base_n.alias("_b"),
                    F.explode(F.sequence(F.lit(1), F.greatest(F.size("_full"), F.lit(1)))).alias("_k"))
-    pre = pre.select(path_col, "_segs", "_full", "_b", "_k",
+    pre = pre.select(path_col, "_anchor", "_segs", "_full", "_b", "_k",
                      F.array_join(F.slice("_full", 1, F.col("_k")), "/").alias("_prefix"))
     hit = pre.join(paths.select(F.col("path").alias("_prefix"), F.col("id").alias("_id")), "_prefix", "left")
-    best = hit.groupBy(path_col, "_segs", "_full", "_b").agg(
+    best = hit.groupBy(path_col, "_anchor", "_segs", "_full", "_b").agg(
         F.max(F.when(F.col("_id").isNotNull(), F.struct("_k", "_id"))).alias("_h"))
     found = F.coalesce(F.col("_h._k"), F.lit(0)) - F.col("_b")
     n = F.size("_segs")
     full = found >= n
     return best.select(
         path_col,
-        F.when(n == 0, F.lit("root")).when(full, F.col("_h._id")).alias("folder_id"),
+        F.when(n == 0, F.coalesce("_anchor", F.lit("root"))).when(full, F.col("_h._id")).alias("folder_id"),
         F.when(~full & (n > 0), F.array_join(F.slice("_segs", 1, F.greatest(found, F.lit(0)) + 1), "/"))
         .alias("missing_prefix"))
 
@@ -251,18 +263,25 @@ def prefix_hash(spark: SparkSession, path_glob: str, n: int = 8192) -> DataFrame
 
 
 def mime_table(spark: SparkSession) -> DataFrame:
-    """Extension -> MIME type, taken from the platform's table (``mimetypes``)."""
-    mimetypes.init()
-    rows = sorted({(ext.lstrip(".").lower(), typ) for ext, typ in mimetypes.types_map.items()})
+    """Extension -> MIME type: Python's built-in table, without the files of this machine."""
+    rows = sorted({(ext.lstrip(".").lower(), typ) for ext, typ in mimetypes.MimeTypes().types_map[True].items()})
     return spark.createDataFrame(rows, "ext string, mime_type string")
 
 
 def with_mime_type(spark: SparkSession, df: DataFrame, name_col: str) -> DataFrame:
-    """MIME type by extension, default ``application/octet-stream`` (broadcast table
-    of a few hundred rows: the platform's extension map)."""
-    ext = F.lower(F.regexp_extract(F.col(name_col), r"\.([^./]+)$", 1))
-    m = F.broadcast(mime_table(spark))
-    return (df.withColumn("_ext", ext).join(m, F.col("_ext") == m["ext"], "left")
+    """MIME type by extension, default ``application/octet-stream``.
+
+    A short form such as ``.tgz`` stands for ``.tar.gz``, and one compression
+    suffix is left out before the type is looked up.
+    """
+    fixed = mimetypes.MimeTypes()
+    ext = F.regexp_extract(F.col(name_col), r"(\.[^./]+)$", 1)
+    short = F.create_map(*[F.lit(x) for pair in fixed.suffix_map.items() for x in pair])
+    long = F.concat(F.substr(F.col(name_col), F.lit(1), F.length(name_col) - F.length(ext)), F.coalesce(short[ext], ext))
+    suffix = F.regexp_extract(long, r"(\.[^./]+)$", 1)
+    plain = F.when(suffix.isin(*fixed.encodings_map), F.regexp_replace(long, r"\.[^./]+$", "")).otherwise(long)
+    m = mime_table(spark)
+    return (df.withColumn("_ext", F.lower(F.regexp_extract(plain, r"\.([^./]+)$", 1))).join(m, F.col("_ext") == m["ext"], "left")
             .withColumn("mime_type", F.coalesce(F.col("mime_type"), F.lit("application/octet-stream")))
             .drop("_ext", "ext"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,82 +14,104 @@ from ratebook.operators.mapping import check_fixed_mapping
 
 
 def drop_fill(df: DataFrame, dropna_columns=None, fillna=None) -> DataFrame:
-    """F8: drop rows null in the listed columns, then fill nulls (one value or per column)."""
-    out = df
-    if dropna_columns:
-        out = out.na.drop(subset=list(dropna_columns))
-    if fillna is not None:
-        if isinstance(fillna, dict):
-            out = out.na.fill({k: v for k, v in fillna.items() if k in out.columns})
-        else:
-            out = out.na.fill(fillna)
-    return out
-
-
-def cell_sum(col: str, columns) -> Column:
-    """A1: ``sum:Col`` - numbers coerced (bad/null -> 0), float; unknown column -> 0."""
-    if col not in columns:
-        return F.lit(0.0)
-    return F.coalesce(F.sum(F.coalesce(try_cast(F.col(f"`{col}`"), "double"), F.lit(0.0))), F.lit(0.0))
-
-
-def cell_first(col: str, columns, ordinal: str) -> Column:
-    """A2: ``first:Col`` - first non-null in row order, else null; unknown column -> null."""
-    if col not in columns:
-        return F.lit(None).cast("string")
-    c = F.col(f"`{col}`")
-    return F.min_by(F.when(c.isNotNull(), c.cast("string")),
-                    F.when(c.isNotNull(), F.col(ordinal))).cast("string")
-
-
-def _profile_value(profile, dotted: str):
-    cur = profile
-    for part in dotted.split("."):
-        if hasattr(cur, part):
-            cur = getattr(cur, part)
-        elif isinstance(cur, dict) and part in cur:
-            cur = cur[part]
-        else:
-            return None
-    return cur
-
-
-def cell_expr(expr, columns, ordinal: str, profile=None, today: dt.date | None = None) -> Column:
-    """One mapping expression -> an aggregate (or literal) Column, as text."""
-    if expr is None:
+    """F8: drop rows null in the listed columns, then fill nulls (one value or per column).
+
+    An empty fill value (0, ``""``, an empty table) means no filling.
+    """
+    out = df.na.drop(subset=list(dropna_columns)) if dropna_columns else df
+    if not fillna:
+        return out
+    if isinstance(fillna, dict):
+        return out.na.fill({k: v for k, v in fillna.items() if k in out.columns})
+    return out.na.fill(fillna)
+
+
+NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
+def as_number(col: str) -> Column:
+    """A cell as a double; what is not written like a number, and NaN, is 0."""
+    text = F.col(f"`{col}`").cast("string")
+    value = F.when(text.rlike(NUMBER), try_cast(F.trim(text), "double"))
+    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class Cell:
+    """A template cell, parsed once: how it is made and from what."""
+
+    kind: str
+    argument: object = None
+
+
+#: Fixed prefixes of computed cells.
+PREFIXES = {"sum:": "sum", "first:": "first", "$profile.": "profile"}
+
+
+def parse_cell(expr) -> Cell:
+    text = expr.strip() if isinstance(expr, str) else None
+    if text is None:
+        return Cell("literal", None if expr is None else str(expr))
+    if text.lower() == "today":
+        return Cell("today")
+    prefix = next((p for p in PREFIXES if text.startswith(p)), None)
+    return Cell(PREFIXES[prefix], text[len(prefix):]) if prefix else Cell("literal", text)
+
+
+def _look_up(profile, path: str):
+    """The value at a dotted path of attributes and keys, or None."""
+    def step(held, part):
+        return getattr(held, part, held.get(part) if isinstance(held, dict) else None)
+    return reduce(step, path.split("."), profile)
+
+
+def _sum_cell(argument, columns, **_):
+    """A1: numbers added (bad and null count 0); an unknown column sums to 0."""
+    return F.coalesce(F.sum(as_number(argument)), F.lit(0.0)) if argument in columns else F.lit(0.0)
+
+
+def _first_cell(argument, columns, ordinal, **_):
+    """A2: the first non-null in row order; null for an unknown column."""
+    if argument not in columns:
         return F.lit(None).cast("string")
-    if isinstance(expr, bool) or not isinstance(expr, (int, float, str)):
-        return F.lit(str(expr))
-    if isinstance(expr, (int, float)):
-        return F.lit(str(expr))
-    s = expr.strip()
-    if s.lower() == "today":
-        return F.lit((today or dt.date.today()).isoformat())
-    if s.startswith("sum:"):
-        return F.format_string("%.2f", cell_sum(s[4:], columns))  # numbers as fixed 2-decimal text
-    if s.startswith("first:"):
-        return cell_first(s[6:], columns, ordinal)
-    if s.startswith("$profile."):
-        v = _profile_value(profile, s[len("$profile."):])
-        return F.lit(None if v is None else str(v)).cast("string")
-    return F.lit(s)
+    value = F.col(f"`{argument}`").cast("string")
+    return F.min_by(value, F.when(value.isNotNull(), F.col(ordinal)))
+
+
+def _literal(value) -> Column:
+    return F.lit(None if value is None else str(value)).cast("string")
+
+
+CELL_KINDS = {
+    "sum": _sum_cell,
+    "first": _first_cell,
+    "today": lambda argument, today, **_: _literal((today or dt.date.today()).isoformat()),
+    "profile": lambda argument, profile, **_: _literal(_look_up(profile, argument)),
+    "literal": lambda argument, **_: _literal(argument),
+}
 
 
 def fill_cells(df: DataFrame, cells: dict, group_cols=("source_file",), ordinal: str = "source_row",
                profile=None, today: dt.date | None = None, clean: dict | None = None) -> DataFrame:
-    """Per input file, every template cell's value in ONE aggregate -> (file, cell, value).
+    """Per input file, every template cell in ONE aggregate -> (file, cell, value, number).
 
-    Partial aggregation keeps one row per (task, file) before the shuffle, so
-    a file holding a third of all rows is combined map-side.
+    Sums are in ``number`` as doubles, all else in ``value`` as text. Partial
+    aggregation keeps one row per (task, file) before the shuffle, so a file
+    holding a third of all rows is combined map-side.
     """
     clean = clean or {}
     src = drop_fill(df, clean.get("dropna_columns"), clean.get("fillna"))
-    cols = set(src.columns)
-    aggs = [cell_expr(e, cols, ordinal, profile, today).alias(f"c{i}") for i, e in enumerate(cells.values())]
-    agg = src.groupBy(*group_cols).agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(cell).alias("cell"), F.col(f"c{i}").alias("value"))
-                      for i, cell in enumerate(cells.keys())])
-    return agg.select(*group_cols, F.inline(pairs))
+    made = {name: parse_cell(expr) for name, expr in cells.items()}
+    around = dict(columns=set(src.columns), ordinal=ordinal, profile=profile, today=today)
+    agg = src.groupBy(*group_cols).agg(*[CELL_KINDS[c.kind](c.argument, **around).alias(f"c{i}")
+                                         for i, c in enumerate(made.values())])
+
+    def row(i, name, cell):
+        held, none = F.col(f"c{i}"), F.lit(None)
+        number = cell.kind == "sum"
+        return F.struct(F.lit(name).alias("cell"), (none.cast("string") if number else held).alias("value"),
+                        (held if number else none.cast("double")).alias("number"))
+    return agg.select(*group_cols, F.inline(F.array(*[row(i, n, c) for i, (n, c) in enumerate(made.items())])))
 
 
 @dataclass
@@ -154,7 +177,8 @@ def cell_layout(df: DataFrame, mapping: FixedMapping, base_name: str, order_cols
 
 
 def write_layout(cells: DataFrame, out_dir: str, dry_run: bool = False) -> DataFrame:
-    """K7 output: one folder per part (page); a dry run returns the planned parts only."""
+    """K7 output: one folder per part, as the template has one file per part; a dry run
+    returns the planned parts only."""
     parts = cells.select("part_name").distinct()
     if not dry_run:
         cells.write.mode("errorifexists").partitionBy("part_name").parquet(out_dir)

@@ -54,7 +54,7 @@ def keychart_rows(pages: DataFrame) -> DataFrame:
     ``rate`` is the first later cell matching the rate sentence (null when none).
     """
     rows = pages.select("page_id", F.posexplode(table_rows(first_table(F.col("html")))).alias("row_pos", "cells"))
-    later = F.filter(F.slice(F.col("cells"), 2, 1000), lambda c: c.rlike(NOTICE_RATE_PATTERN))
+    later = F.filter(F.slice(F.col("cells"), 2, F.size("cells")), lambda c: c.rlike(NOTICE_RATE_PATTERN))
     return rows.select(
         "page_id", "row_pos", F.col("cells")[0].alias("first_cell"),
         try_cast(extract_group(F.try_element_at(later, F.lit(1)), NOTICE_RATE_PATTERN, 1), "decimal(18,6)").alias("rate"))
@@ -66,8 +66,8 @@ def keychart_lookup(targets: DataFrame, pages: DataFrame) -> DataFrame:
     rows = keychart_rows(pages).withColumn("_prefix", F.substring("first_cell", 1, 10))
     t = targets.select("target_date", F.date_format("target_date", "yyyy-MM-dd").alias("_prefix"))
     hit = t.join(rows.where(F.col("rate").isNotNull()), "_prefix")
-    order = F.shiftleft(F.col("page_id").cast("long"), POS_BITS) + F.col("row_pos").cast("long")
-    return hit.groupBy("target_date").agg(F.min_by("rate", order).alias("rate"))
+    first = F.min(F.struct("page_id", "row_pos", "rate")).alias("_f")
+    return hit.groupBy("target_date").agg(first).select("target_date", F.col("_f.rate").alias("rate"))
 
 
 def notice_then_chart(targets: DataFrame, notices: DataFrame, chart_pages: DataFrame,
@@ -102,7 +102,7 @@ def portal_tables(pages: DataFrame) -> DataFrame:
                      page_text(F.col("html"), " ").alias("_text"))
     t = t.where(F.size("_rows") > 1).select(
         "page_id", "_text", F.col("_rows")[0].alias("header"),
-        F.slice(F.col("_rows"), 2, 1_000_000).alias("data"))
+        F.slice(F.col("_rows"), 2, F.size("_rows")).alias("data"))
     t = t.withColumn("date_idx", locate_column(F.col("header"), DATE_HEADER_KEYWORDS)) \
          .withColumn("usd_idx", locate_column(F.col("header"), USD_HEADER_KEYWORDS))
     t = barrier(t.where(F.col("date_idx").isNotNull() & F.col("usd_idx").isNotNull()))
@@ -149,17 +149,11 @@ def rate_links(pages: DataFrame, keyword: str) -> DataFrame:
     return links.where((F.col("text") != "") & (F.col("href") != "") & F.contains("text", F.lit(keyword)))
 
 
-POS_BITS = 20  # anchors per page below 2^20; page ids below 2^43
-
-
 def first_seen_links(links: DataFrame) -> DataFrame:
     """Unique URLs, each with its first (page_id, pos).
 
-    (page_id, pos) is packed into one long so the first sighting is a plain
-    ``min`` - a hash aggregate combined map-side, even for a URL that a third
-    of all pages link to.
+    The smallest (page_id, pos) is kept, combined map-side, also for a URL
+    that a third of all pages link to. Page ids may be of any ordered type.
     """
-    packed = F.shiftleft(F.col("page_id").cast("long"), POS_BITS) + F.col("pos").cast("long")
-    first = links.groupBy("link").agg(F.min(packed).alias("_f"))
-    return first.select("link", F.shiftright("_f", POS_BITS).alias("page_id"),
-                        (F.col("_f") % (1 << POS_BITS)).cast("int").alias("pos"))
+    first = links.groupBy("link").agg(F.min(F.struct("page_id", "pos")).alias("_f"))
+    return first.select("link", F.col("_f.page_id").alias("page_id"), F.col("_f.pos").alias("pos"))

@@ -50,9 +50,15 @@ def number_rows(df: DataFrame, order_cols, group_cols=(), out: str = "row_no",
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*group_names, "_bucket").orderBy(*order_cols)
     local = bucketed.withColumn("_rn", F.row_number().over(inside))
-    joined = local.join(offsets, [*group_names, "_bucket"])
+    # null-safe: a null group key is a group like any other
+    renamed = offsets.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group_names)],
+                             F.col("_bucket").alias("_gb"), "_off")
+    match = F.col("_bucket").eqNullSafe(F.col("_gb"))
+    for i, g in enumerate(group_names):
+        match = match & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
+    joined = local.join(renamed, match)
     return (joined.withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_bucket", "_rn", "_off"))
+            .drop("_bucket", "_rn", "_off", "_gb", *[f"_g{i}" for i in range(len(group_names))]))
 
 
 def last_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:
@@ -67,41 +73,3 @@ def last_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:
     return (df.groupBy(*key_cols)
             .agg(F.max(packed).alias("_row"))
             .select(*key_cols, *[F.col("_row")[c].alias(c) for c in value_cols]))
-
-
-def first_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:
-    """Keep, per key, the row with the smallest ordinal."""
-    ordinal_col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    value_cols = [c for c in df.columns if c not in key_cols]
-    packed = F.struct(ordinal_col.alias("_o"), *[F.col(c) for c in value_cols])
-    return (df.groupBy(*key_cols)
-            .agg(F.min(packed).alias("_row"))
-            .select(*key_cols, *[F.col("_row")[c].alias(c) for c in value_cols]))
-
-
-def sized_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small: at most ``max_rows`` rows and an
-    estimated ``rows x row width`` (from the schema's default sizes) of at most ``max_bytes``.
-
-    Beyond the bound the frame is returned as is and the join shuffles (AQE may
-    still convert it from runtime sizes).
-    """
-    n = df.count()
-    width = sum(_width(f.dataType) for f in df.schema.fields) + 8
-    return F.broadcast(df) if n <= max_rows and n * width <= max_bytes else df
-
-
-def _width(dtype) -> int:
-    """Estimated bytes of one value (strings and binaries counted at 20, like Spark's default)."""
-    from pyspark.sql import types as T
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        return 20
-    if isinstance(dtype, T.DecimalType):
-        return 16
-    if isinstance(dtype, T.BooleanType):
-        return 1
-    if isinstance(dtype, T.StructType):
-        return sum(_width(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, (T.ArrayType, T.MapType)):
-        return 100
-    return 8

@@ -13,12 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratebook.functions.text import try_cast
-from ratebook.operators.ordinal import sized_broadcast
 from ratebook.schemas import EXCHANGE_RATE
 
-# Daily rates up to this many rows are broadcast; beyond, the join shuffles.
-BROADCAST_RATE_ROWS = 4_000_000
-
 
 def daily_effective_rates(rates: DataFrame, quote: str, window_days: int = 7) -> DataFrame:
     """(from_ccy, day) -> (rate, rate_day) for lookups into ``quote``.
@@ -48,7 +44,7 @@ def lookup_asof(df: DataFrame, rates: DataFrame, base_currency: str, window_days
     Rows not eligible (missing amount, currency or date) get nulls and no issue.
     """
     base = base_currency.upper()
-    eff = sized_broadcast(daily_effective_rates(rates, base, window_days), BROADCAST_RATE_ROWS)
+    eff = daily_effective_rates(rates, base, window_days)  # joined by its runtime size
     ccy = F.upper(F.col(currency))
     elig = F.lit(True) if eligible is None else eligible
     elig = elig & F.col(currency).isNotNull() & F.col(date).isNotNull()

@@ -420,7 +420,7 @@ def _write_rates_csv(spark, sf_dir) -> str:
         iso.alias("来源日期"),
         F.when(dn % 4 == 0, F.lit("")).otherwise(F.lit("pbc_notice")).alias("数据源"),
         F.when(dn % 3 == 0, F.lit("forward")).otherwise(F.lit("")).alias("回退策略"))
-    out.write.option("header", True).csv(path)
+    out.write.option("escape", "\"").option("header", True).csv(path)
     return path
 
 
@@ -626,13 +626,13 @@ def _write_monthly_csv(spark, sf_dir):
     ex = bd.monthly_existing(spark, sf_dir)
     early = ex.where(F.col("year").cast("int") <= 1997).select(
         *[F.col(f).alias(MONTHLY_OUTPUT_HEADER[f]) for f in ex.columns])
-    early.write.option("header", True).csv(f"{root}/with_header")
+    early.write.option("escape", "\"").option("header", True).csv(f"{root}/with_header")
     late = ex.where(F.col("year").cast("int") > 1997)
     m = F.col("month").cast("int")
     late = late.select(
         F.when(m == 5, F.lit("")).when(m == 7, F.lit("n/a")).otherwise(F.col("year")).alias("year"),
         *[F.when(m == 5, F.lit("")).otherwise(F.col(c)).alias(c) for c in ex.columns[1:]])
-    late.write.option("header", False).csv(f"{root}/positional")
+    late.write.option("escape", "\"").option("header", False).csv(f"{root}/positional")
     return [f"{root}/with_header", f"{root}/positional"]
 
 
@@ -940,7 +940,7 @@ def _per_file_cells(spark, sf_dir, cells, clean=None):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumn("number", F.round("number", 4))
 
 
 @register("cell_sum")
@@ -992,7 +992,7 @@ def _write_form_csvs(spark, sf_dir) -> str:
     root = scratch_dir(spark, "forms-csv")
     for (name, frame), key_header in zip(form_files(spark, sf_dir), ("Order", "订单")):
         (frame.drop("source_file", "source_row").withColumnRenamed("_key", key_header)
-         .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .write.option("escape", "\"").option("header", True).option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{name}"))
     return root
 

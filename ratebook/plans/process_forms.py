@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratebook.operators.forms import clean_forms, convert, validate
 from ratebook.operators.mapping import (DEFAULT_MAPPING, MappingConfig, MappingResult, add_constants,
-                                        apply_column_mapping, mapping_diagnostics, union_by_name)
+                                        apply_column_mapping, union_by_name)
 
 LINEAGE = ("source_file", "source_row")
 
@@ -58,7 +58,7 @@ def map_files(files: list[tuple[str, DataFrame]], mapping: MappingConfig) -> tup
     for name, frame in files:
         passthrough = tuple(c for c in frame.columns if c in LINEAGE or c.startswith("_"))
         result = apply_column_mapping(frame, mapping, passthrough=passthrough)
-        diags.append((name, result))
+        diags += [(one, result) for one in (name if isinstance(name, tuple) else (name,))]
         mapped.append(add_constants(result.frame, mapping.computed))
     return union_by_name(mapped), diags
 
@@ -89,7 +89,3 @@ def outcome_counts(processed: DataFrame) -> DataFrame:
         F.count_if(ok).alias("ok_rows"),
         F.count_if(~ok).alias("rejected_rows"),
         F.count_if(ok & F.col("need_confirm")).alias("need_confirm_rows"))
-
-
-def diagnostics_frame(spark: SparkSession, result: FormsResult) -> DataFrame:
-    return mapping_diagnostics(spark, result.diagnostics)

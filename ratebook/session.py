@@ -32,18 +32,24 @@ CLUSTER_CONF = {
 }
 
 
-def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app_name: str = "ratebook",
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app_name: str = "ratebook",
               extra: dict | None = None) -> SparkSession:
-    """Build (or fetch) a session with the engine's settings."""
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """Build (or fetch) a session with the engine's settings.
+
+    Master and shuffle partitions are left to the deployment unless given, as
+    tests and the bench do; a value set in code would beat ``spark-submit``.
+    """
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -51,11 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured (shared storage) and is only read
-    here. Where it is unset, as in local tests, a private folder is set.
+    here; without it this raises. A local session, whose executors share the
+    driver's disk, gets a private folder.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ratebook-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)

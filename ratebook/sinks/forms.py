@@ -8,6 +8,7 @@ neither recomputed nor cached for its three consumers.
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,21 +75,36 @@ def report_frame(spark: SparkSession, result) -> DataFrame:
     return counts.unionByName(diags)
 
 
-def report_markdown(counts: dict, diagnostics) -> str:
-    lines = ["# Form Processing Report", "",
-             f"- Accepted rows: {counts['accepted']}",
-             f"- Rejected rows: {counts['rejected']}",
-             f"- Need confirm rows: {counts['need_confirm']}", ""]
-    if diagnostics:
-        lines.append("## Mapping diagnostics")
-        for name, res in diagnostics:
-            lines.append(f"- **{name}**")
-            if res.missing:
-                lines.append(f"  - Missing columns: {', '.join(res.missing)}")
-            if res.unmatched:
-                lines.append(f"  - Unmapped source columns: {', '.join(res.unmatched)}")
-        lines.append("")
-    return "\n".join(lines)
+#: Fixed texts of the report, by the section or item they show.
+REPORT_TITLE = "# Form Processing Report"
+REPORT_COUNTS = {"accepted": "- Accepted rows: {}", "rejected": "- Rejected rows: {}", "need_confirm": "- Need confirm rows: {}"}
+REPORT_FILES = "## Mapping diagnostics"
+REPORT_FILE = "- **{}**"
+REPORT_COLUMNS = {"missing_column": "  - Missing columns: {}", "unmapped_column": "  - Unmapped source columns: {}"}
+
+
+def report_text(rows: list[tuple]) -> str:
+    """The rows of ``report_frame`` as a text: counts, then each file with its columns."""
+    counts = {item: value for section, _, item, value in rows if section == "outcome"}
+    columns: dict[str, dict[str, list[str]]] = {}
+    for section, file, item, _ in rows:
+        if section in REPORT_COLUMNS:
+            columns.setdefault(file, {}).setdefault(section, []).append(item)
+    blocks = [[REPORT_TITLE], [line.format(counts[item]) for item, line in REPORT_COUNTS.items()]]
+    if columns:
+        blocks.append([REPORT_FILES, *(line for file, found in columns.items() for line in (
+            REPORT_FILE.format(file), *(REPORT_COLUMNS[s].format(", ".join(found[s])) for s in REPORT_COLUMNS if s in found)))])
+    return "\n\n".join("\n".join(block) for block in blocks) + "\n"
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file on whatever file system the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def write_outcomes(result, out_dir: str) -> dict:
@@ -104,18 +120,17 @@ def write_outcomes(result, out_dir: str) -> dict:
     if counts["accepted"] + counts["rejected"] == 0:
         raise ValueError("no data rows found in inputs")
     paths = {"processed": table_dir}
-    export_frame(stored).write.mode("overwrite").option("header", True).csv(
+    export_frame(stored).write.mode("overwrite").option("escape", "\"").option("header", True).csv(
         os.path.join(out_dir, "processed_forms_export"))
     paths["export"] = os.path.join(out_dir, "processed_forms_export")
     if counts["rejected"]:
         paths["rejects"] = os.path.join(out_dir, "processed_forms_rejects")
-        rejects_frame(stored).write.mode("overwrite").option("header", True).csv(paths["rejects"])
+        rejects_frame(stored).write.mode("overwrite").option("escape", "\"").option("header", True).csv(paths["rejects"])
     if counts["need_confirm"]:
         paths["need_confirm"] = os.path.join(out_dir, "processed_forms_need_confirm")
-        confirm_frame(stored).write.mode("overwrite").option("header", True).csv(paths["need_confirm"])
-    report = os.path.join(out_dir, "processed_forms_report.md")
-    with open(report, "w", encoding="utf-8") as fh:
-        fh.write(report_markdown(counts, result.diagnostics))
-    paths["report"] = report
+        confirm_frame(stored).write.mode("overwrite").option("escape", "\"").option("header", True).csv(paths["need_confirm"])
+    paths["report"] = os.path.join(out_dir, "processed_forms_report.md")
+    rows = [tuple(r) for r in report_frame(spark, replace(result, processed=stored)).collect()]
+    _write_text(spark, paths["report"], report_text(rows))
     paths["counts"] = counts
     return paths

@@ -14,5 +14,5 @@ from ratebook.operators.monthly import to_output
 
 def write_monthly(table: DataFrame, path: str) -> str:
     (to_output(table).coalesce(1).write.mode("errorifexists")
-     .option("header", True).option("encoding", "UTF-8").csv(path))
+     .option("escape", "\"").option("header", True).option("encoding", "UTF-8").csv(path))
     return path

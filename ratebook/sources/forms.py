@@ -1,17 +1,18 @@
 """Form files (S1, S7, P6 for CSV): many files, many header layouts.
 
 One CSV read over files with different headers would apply one file's
-header to all, so files are grouped by their header line first. Finding
-the header lines reads only the first split of each file, and only the
-distinct lines (one per layout) and their file lists reach the driver.
+header to all, so files are grouped by their header line first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ratebook.sources.tables import NA_TOKENS
+from ratebook.sources.tables import NA_TOKENS, csv_reader
 
 
 def expand_paths(spark: SparkSession, patterns) -> list[str]:
@@ -38,7 +39,12 @@ def expand_paths(spark: SparkSession, patterns) -> list[str]:
 
 
 def header_signatures(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """First line per file -> files sharing it (read from each file's first split only)."""
+    """First line per file -> files sharing it.
+
+    The text scan is cut to the files' first splits, so a large file costs one
+    split; the distinct lines and their file lists reach the driver, which
+    named the files in the first place.
+    """
     lines = (spark.read.text(files)
              .select("value", F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("start"),
@@ -51,24 +57,34 @@ def header_signatures(spark: SparkSession, files: list[str]) -> dict[str, list[s
     return groups
 
 
-def read_form_group(spark: SparkSession, files: list[str]) -> DataFrame:
+def header_names(line: str) -> list[str]:
+    """The columns of a header line; a repeated name gets ``.1``, ``.2``, as a pandas read names it."""
+    cells = next(csv.reader([line.lstrip("\ufeff")]), [])
+    taken: set[str] = set()
+    out = []
+    for i, cell in enumerate(cells):
+        base = cell or f"Unnamed: {i}"
+        name = next(n for n in (base, *(f"{base}.{k}" for k in range(1, len(cells) + 1))) if n not in taken)
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def read_form_group(spark: SparkSession, files: list[str], header: str) -> DataFrame:
     """All-string read of files sharing one header; pandas' NA tokens become null;
-    lineage: source_file (name) and source_row (data row number + 1)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("inferSchema", False)
-          .csv(files))
-    cols = df.columns
+    lineage: source_file (name) and source_row (the record's place in its file, the header being 1)."""
+    names = header_names(header)
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    df = csv_reader(spark, header=False).schema(schema).csv(files)
     na = list(NA_TOKENS)
-    clean = [F.when(F.col(f"`{c}`").isin(na), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`")).alias(c)
-             for c in cols]
-    tagged = df.select(*clean, F.col("_metadata.file_path").alias("_path"),
-                       F.col("_metadata.file_name").alias("source_file"),
-                       F.monotonically_increasing_id().alias("_i"))
-    # A multi-line CSV file is read whole by one task, so its rows carry consecutive
-    # ids: the row number is the id minus the file's first id (one small row per file).
-    first = tagged.groupBy("_path").agg(F.min("_i").alias("_first"))
-    return (tagged.join(first, "_path")
-            .withColumn("source_row", F.col("_i") - F.col("_first") + 2)
-            .drop("_i", "_first"))  # _path stays: the full path of the row's file
+    cells = [F.when(F.col(f"_c{i}").isin(na), F.lit(None).cast("string")).otherwise(F.col(f"_c{i}")).alias(c)
+             for i, c in enumerate(names)]
+    # A multi-line CSV file is read whole by one task, so ids ascend along the file;
+    # they are compared within this one scan only.
+    place = F.row_number().over(Window.partitionBy("_path").orderBy("_i"))
+    tagged = (df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
+                        F.monotonically_increasing_id().alias("_i")).withColumn("source_row", place.cast("bigint")))
+    return tagged.where("source_row > 1").select(*cells, "_path", "source_file", "source_row")
 
 
 def read_parquet_group(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -80,8 +96,8 @@ def read_parquet_group(spark: SparkSession, files: list[str]) -> DataFrame:
                      (F.col("_metadata.row_index") + 2).alias("source_row"))
 
 
-def scan_forms(spark: SparkSession, patterns) -> list[tuple[str, DataFrame]]:
-    """(layout name, frame) per distinct header; map each with P3 and union.
+def scan_forms(spark: SparkSession, patterns) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """(file names, frame) per distinct header; map each with P3 and union.
 
     The suffix picks the reader: CSV files are grouped by header line; Parquet
     files by schema (read from each footer on the driver); any other suffix is
@@ -90,18 +106,22 @@ def scan_forms(spark: SparkSession, patterns) -> list[tuple[str, DataFrame]]:
     files = expand_paths(spark, patterns)
     if not files:
         raise ValueError("no input files provided")
-    csv = [f for f in files if f.lower().endswith(".csv")]
+    text = [f for f in files if f.lower().endswith(".csv")]
     pq = [f for f in files if f.lower().endswith(".parquet")]
-    other = [f for f in files if f not in csv and f not in pq]
+    other = [f for f in files if f not in text and f not in pq]
     if other:
         raise ValueError(f"unsupported input file: {other[0]}")
     out = []
-    if csv:
-        groups = header_signatures(spark, csv)
-        out += [(header, read_form_group(spark, fs)) for header, fs in sorted(groups.items())]
+    if text:
+        groups = header_signatures(spark, text)
+        out += [(_names(fs), read_form_group(spark, fs, header)) for header, fs in sorted(groups.items())]
     if pq:
         by_schema: dict[str, list[str]] = {}
         for f in pq:
             by_schema.setdefault(spark.read.parquet(f).schema.simpleString(), []).append(f)
-        out += [(sig, read_parquet_group(spark, fs)) for sig, fs in sorted(by_schema.items())]
+        out += [(_names(fs), read_parquet_group(spark, fs)) for _, fs in sorted(by_schema.items())]
     return out
+
+
+def _names(files: list[str]) -> tuple[str, ...]:
+    return tuple(sorted(f.rsplit("/", 1)[-1] for f in files))

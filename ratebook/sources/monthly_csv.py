@@ -1,11 +1,13 @@
 """Read monthly cache CSV files whose first line may or may not be a header.
 
-Per file, only the first row reaches the driver (one small row per file);
-files are grouped by layout and each group is projected with one select.
+Files are grouped by layout and each group is projected with one select.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +17,7 @@ from ratebook.operators.mapping import MONTHLY_ALIASES, canonical_name
 from ratebook.operators.monthly import normalize_monthly
 from ratebook.operators.ordinal import last_wins
 from ratebook.schemas import MONTHLY_FIELDS
-
-MAX_CELLS = 16
-_CELLS = [f"_c{i}" for i in range(MAX_CELLS)]
-_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _CELLS])
-
+from ratebook.sources.tables import csv_reader
 
 def _layout(first_row: list) -> tuple:
     """('header', cells) when the first row is a header, else ('positional',)."""
@@ -50,34 +48,41 @@ def _project(rows: DataFrame, layout: tuple) -> DataFrame:
             if name:
                 chosen[name] = i
         pairs = sorted(chosen.items(), key=lambda kv: kv[1])
-    return rows.select("_file", "_ordinal", *[strip_unicode(F.col(_CELLS[i])).alias(f) for f, i in pairs])
+    held = [(f, i) for f, i in pairs if f"_c{i}" in rows.columns]
+    return rows.select("_ordinal", *[strip_unicode(F.col(f"_c{i}")).alias(f) for f, i in held])
+
+
+def _width(spark: SparkSession, paths) -> int:
+    """An upper bound of the cells of any row: the commas of the widest line, plus one."""
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    return (spark.read.text(paths).agg(F.max(commas)).first()[0] or 0) + 1
 
 
 def scan_monthly(spark: SparkSession, paths) -> DataFrame:
-    """Monthly records (text, normalised) with last-wins per (year, month)."""
-    raw = (spark.read.schema(_SCHEMA).option("header", False).option("multiLine", True)
-           .option("mode", "PERMISSIVE").csv(paths)
-           .select(*_CELLS, F.col("_metadata.file_path").alias("_file"),
+    """Monthly records (text, normalised) with last-wins per (year, month).
+
+    The files' first rows are compared in Spark; only the distinct ones reach
+    the driver. A header is dropped by its cells, so no row number of another
+    scan is needed.
+    """
+    names = [f"_c{i}" for i in range(_width(spark, paths))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = (csv_reader(spark, header=False).schema(schema).option("mode", "PERMISSIVE").csv(paths)
+           .select(*names, F.col("_metadata.file_path").alias("_file"),
                    F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                             F.monotonically_increasing_id().alias("i")).alias("_ordinal")))
-    firsts = raw.groupBy("_file").agg(F.min(F.struct("_ordinal", *_CELLS)).alias("_f")).collect()
+    firsts = raw.groupBy("_file").agg(F.min(F.struct("_ordinal", F.array(*names).alias("cells"))).alias("_f")).select(
+        F.col("_file").alias("_of"), F.col("_f.cells").alias("_head"))
+    tagged = raw.join(firsts, F.col("_file") == F.col("_of"))
     groups: dict = {}
-    first_ord = {}
-    for row in firsts:
-        cells = [row["_f"][c] for c in _CELLS]
-        lay = _layout(cells)
-        groups.setdefault(lay, []).append(row["_file"])
-        first_ord[row["_file"]] = row["_f"]["_ordinal"]
+    for row in firsts.select("_head").distinct().collect():
+        groups.setdefault(_layout(row["_head"]), []).append(row["_head"])
     parts = []
-    for lay, files in groups.items():
-        rows = raw.where(F.col("_file").isin(files))
+    for lay, heads in groups.items():
+        same = reduce(or_, [F.col("_head").eqNullSafe(F.array(*[F.lit(c).cast("string") for c in h])) for h in heads])
+        rows = tagged.where(same)
         if lay[0] == "header":
-            heads = [(F.col("_file") == f) & (F.col("_ordinal.b") == first_ord[f]["b"])
-                     & (F.col("_ordinal.i") == first_ord[f]["i"]) for f in files]
-            cond = heads[0]
-            for h in heads[1:]:
-                cond = cond | h
-            rows = rows.where(~cond)
+            rows = rows.where(~F.array(*names).eqNullSafe(F.col("_head")))
         parts.append(_project(rows, lay))
     if not parts:
         return spark.createDataFrame([], "year string, month string")

@@ -11,16 +11,18 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 def read_csv_text(spark: SparkSession, path, header: bool = True) -> DataFrame:
     """All-string CSV read (no inference), quoted line breaks allowed."""
-    return (spark.read.option("header", header).option("multiLine", True)
-            .option("inferSchema", False).option("encoding", "UTF-8").csv(path))
+    return csv_reader(spark, header).csv(path)
+
+
+def csv_reader(spark: SparkSession, header: bool = True):
+    """The one CSV dialect of the engine: text cells, quoted line breaks, quotes doubled inside quotes."""
+    return (spark.read.option("header", header).option("multiLine", True).option("escape", '"')
+            .option("inferSchema", False).option("encoding", "UTF-8"))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", usecols=None) -> DataFrame:
     """Read one table, optionally a column subset (a missing column is an analysis error)."""
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True)
-    df = reader.load(path)
+    df = csv_reader(spark).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
     if usecols:
         missing = [c for c in usecols if c not in df.columns]
         if missing:
