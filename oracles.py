@@ -7,9 +7,11 @@ pre-registered test tables.
 
 from __future__ import annotations
 
-from ratebook.functions.text import re2_whitespace_class
+import datetime as _dt
 
-WS = re2_whitespace_class()
+# The white space of Unicode in the basic plane, as a text strip takes it.
+WS = ("[\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}"
+      "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 TRIM_RE = f"^{WS}+|{WS}+$"
 
 
@@ -250,8 +252,9 @@ UNION ALL SELECT 'missing_column', 'orders_en', 'description', CAST(NULL AS BIGI
 UNION ALL SELECT 'unmapped_column', 'orders_en', 'Customer', CAST(NULL AS BIGINT)"""))
 
 oracle("column_mapping", q(FORMS_RAW, """SELECT amount_raw AS amount, currency_raw AS currency, date_raw AS date,
-  project_raw AS project, CAST(NULL AS VARCHAR) AS description, customer_raw AS Customer, source_file, source_row
-FROM forms WHERE source_file = 'orders_en'"""))
+  project_raw AS project, CASE WHEN source_file = 'orders_cn' THEN remark_raw END AS description,
+  CASE WHEN source_file = 'orders_en' THEN customer_raw END AS Customer, source_file, source_row
+FROM forms"""))
 
 oracle("constant_columns", q(FORMS_RAW, """SELECT source_file, source_row, 'CNY' AS base_currency,
   'MockProvider' AS exchange_rate_source FROM forms"""))
@@ -484,10 +487,10 @@ deduped AS (
 
 # ---- calendar, routing, monthly cache -----------------------------------------------------
 
-from ratebook.operators.calendar import rule_calendar  # noqa: E402
-from ratebook.sources.bindings import REFRESH_MONTHS  # noqa: E402
-
-_HOL, _WORK = rule_calendar()
+# The monthly job's refresh months, and its calendar: fixed holidays, and the last Sunday of September worked.
+REFRESH_MONTHS = ("1996-05", "1999-07", "2003-01")
+_HOL = [f"{y}-{d}" for y in range(1990, 2031) for d in ("01-01", "05-01", "10-01", "10-02", "10-03")]
+_WORK = [max(d for d in (_dt.date(y, 9, n) for n in range(24, 31)) if d.isoweekday() == 7).isoformat() for y in range(1990, 2031)]
 CAL = ",\ncal_raw AS (SELECT * FROM (VALUES " + ", ".join(
     [f"(DATE '{d}', 'holiday')" for d in _HOL] + [f"(DATE '{d}', 'workday')" for d in _WORK]) + """) t(day, kind)),
 cal AS (SELECT day, bool_or(kind = 'holiday') AS is_holiday, bool_or(kind = 'workday') AS is_workday
@@ -676,7 +679,9 @@ oracle("build_monthly_rates", q(MONTHLY_BASE + MON_EXIST + merge_sql("b", "mon_s
 # Derived pages (notices, key chart, portal tables) are checked against the values they were
 # generated from; links on the real pages are parsed with DuckDB's regex functions.
 
-from ratebook.functions.html import ANCHOR_PATTERN, ENTITIES  # noqa: E402
+# Anchors, and the character references decoded in text.
+ANCHOR_PATTERN = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 USD_DAYS = RATES + """,
 usd AS (SELECT rate_date AS d, rate_mid AS r, dayofmonth(rate_date) AS dn FROM rates WHERE base_currency = 'USD'),
@@ -974,9 +979,30 @@ oracle("multi_path_scan", q(FORMS_RAW, "SELECT source_file AS folder, _key AS or
 
 oracle("scan_usecols", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 
-oracle("sheet_conform", q(FORMS_RAW, """SELECT COALESCE(amount_raw, '') AS "金额", COALESCE(currency_raw, '') AS "币种",
-  COALESCE(date_raw, '') AS " 日期 ", COALESCE(project_raw, '') AS "项目名称", '' AS "附件",
-  CAST(source_row AS VARCHAR) AS source_row FROM forms WHERE source_file = 'orders_cn'"""))
+def _cn(column):
+    return f"CASE WHEN source_file = 'orders_cn' THEN COALESCE({column}, '') ELSE '' END"
+
+
+oracle("sheet_conform", q(FORMS_RAW, f"""SELECT {_cn('amount_raw')} AS "金额", {_cn('currency_raw')} AS "币种",
+  {_cn('date_raw')} AS " 日期 ", {_cn('project_raw')} AS "项目名称", '' AS "附件",
+  CASE WHEN source_file = 'orders_en' THEN COALESCE(amount_raw, '') ELSE '' END AS "Amount",
+  source_file, CAST(source_row AS VARCHAR) AS source_row FROM forms"""))
+
+LANDED = """
+landed AS (SELECT doc_id AS number, '/' || source || '/' || lang || '/' || doc_id ||
+    CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.csv.gz' ELSE '' END AS path,
+    encode(COALESCE(text, '')) AS content, CAST(strlen(COALESCE(text, '')) AS BIGINT) AS size FROM documents),
+named AS (SELECT *, string_split(path, '/')[-1] AS file_name FROM landed)"""
+
+oracle("file_index", q(LANDED, """SELECT path, file_name, size, sha256(content) AS sha256, false AS parsed,
+  CASE number % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/csv' ELSE 'application/octet-stream' END AS mime_type FROM named"""))
+oracle("prefix_hash", q(LANDED, """SELECT path, sha256(unhex(left(hex(content), 2 * 8192))) AS prefix_sha256,
+  least(size, 8192) AS sampled_bytes FROM named"""))
+oracle("download_verify", q(LANDED, """SELECT file_name, listed_size, actual_size,
+  CASE WHEN listed_size IS NOT NULL AND listed_size IS DISTINCT FROM actual_size
+       THEN 'size mismatch: expected ' || listed_size || ', got ' || COALESCE(CAST(actual_size AS VARCHAR), 'none') END AS error
+FROM (SELECT file_name, CASE WHEN number % 11 <> 0 THEN size + CASE WHEN number % 7 = 0 THEN 1 ELSE 0 END END AS listed_size,
+             CASE WHEN number % 13 <> 0 THEN size END AS actual_size FROM named)"""))
 
 oracle("schema_migrate", q(RATES + STORED, """SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR) AS rate_mid,
   CAST(rate_date AS VARCHAR) AS rate_date, fetch_date, source, '' AS fallback_strategy, CAST(year AS VARCHAR) AS year,

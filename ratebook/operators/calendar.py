@@ -42,7 +42,7 @@ def rule_calendar(first_year: int = 1990, last_year: int = 2030) -> tuple[list[s
 
 def with_business_flag(df: DataFrame, day_col: str, calendar: DataFrame, out: str = "is_business") -> DataFrame:
     """Holiday -> no (even if also a workday); weekend -> only when a workday; else yes."""
-    cal = F.broadcast(calendar.select(F.col("day").alias("_cal_day"), "is_holiday", "is_workday"))
+    cal = calendar.select(F.col("day").alias("_cal_day"), "is_holiday", "is_workday")
     joined = df.join(cal, F.col(day_col) == F.col("_cal_day"), "left")
     weekend = F.dayofweek(F.col(day_col)).isin(1, 7)
     flag = (F.when(F.coalesce(F.col("is_holiday"), F.lit(False)), F.lit(False))

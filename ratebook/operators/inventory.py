@@ -246,20 +246,29 @@ def batch_report(outcomes: DataFrame) -> DataFrame:
         F.sum("attempts").alias("attempts"))
 
 
-def file_index(spark: SparkSession, path_glob: str) -> DataFrame:
-    """S9 + X30: (path, file_name, size, sha256, mime_type, modified_at, parsed) per file."""
-    files = spark.read.format("binaryFile").load(path_glob)
+def index_rows(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """S9 + X30: (path, file_name, size, sha256, mime_type, modified_at, parsed) of each row of
+    ``files`` (path, content, length, modificationTime)."""
     out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
                        F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
                        F.col("modificationTime").alias("modified_at"), F.lit(False).alias("parsed"))
     return with_mime_type(spark, out, "file_name")
 
 
-def prefix_hash(spark: SparkSession, path_glob: str, n: int = 8192) -> DataFrame:
-    """sha256 of the first ``n`` bytes of each file."""
-    files = spark.read.format("binaryFile").load(path_glob)
+def file_index(spark: SparkSession, path_glob: str) -> DataFrame:
+    """S9 over stored files (each is one row, so of 2 GB at most; Spark's reader fails beyond)."""
+    return index_rows(spark, spark.read.format("binaryFile").load(path_glob))
+
+
+def prefix_rows(files: DataFrame, n: int = 8192) -> DataFrame:
+    """sha256 of the first ``n`` bytes of each row's content."""
     return files.select("path", F.sha2(F.substring("content", 1, n), 256).alias("prefix_sha256"),
-                        F.least(F.col("length"), F.lit(n)).alias("sampled_bytes"))
+                        F.least(F.col("length"), F.lit(n).cast("bigint")).alias("sampled_bytes"))
+
+
+def prefix_hash(spark: SparkSession, path_glob: str, n: int = 8192) -> DataFrame:
+    """X27 over stored files."""
+    return prefix_rows(spark.read.format("binaryFile").load(path_glob), n)
 
 
 def mime_table(spark: SparkSession) -> DataFrame:
@@ -286,17 +295,23 @@ def with_mime_type(spark: SparkSession, df: DataFrame, name_col: str) -> DataFra
             .drop("_ext", "ext"))
 
 
-def download_verify(manifest: DataFrame, spark: SparkSession, path_glob: str) -> DataFrame:
-    """Listed size vs downloaded size; a mismatch is an error (no listed size passes)."""
-    files = spark.read.format("binaryFile").load(path_glob).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("actual_size"))
+def verify_sizes(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Listed size (file_name, listed_size) vs bytes there (file_name, actual_size); a mismatch
+    is an error (no listed size passes)."""
     j = manifest.join(files, "file_name", "left")
-    ok = F.col("listed_size").isNull() | (F.col("listed_size") == F.col("actual_size"))
+    ok = F.col("listed_size").isNull() | F.col("listed_size").eqNullSafe(F.col("actual_size"))
     return j.withColumn("error", F.when(~ok, F.concat(F.lit("size mismatch: expected "),
                                                        F.col("listed_size").cast("string"), F.lit(", got "),
                                                        F.coalesce(F.col("actual_size").cast("string"), F.lit("none")))))
 
 
+def download_verify(manifest: DataFrame, spark: SparkSession, path_glob: str) -> DataFrame:
+    """J12 over stored files: the listing against the sizes the file system gives."""
+    files = spark.read.format("binaryFile").load(path_glob).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("actual_size"))
+    return verify_sizes(manifest, files)
+
+
 __all__ = ["parse_listing", "validate_path", "normalize_parent_id", "normalize_item_name", "join_drive_path",
            "folder_paths", "resolve_folders", "plan_conflicts", "attempt_outcomes", "batch_report", "file_index",
-           "prefix_hash", "with_mime_type", "download_verify", "mask_filename"]
+           "index_rows", "prefix_rows", "verify_sizes", "prefix_hash", "with_mime_type", "download_verify", "mask_filename"]

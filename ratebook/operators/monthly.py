@@ -79,22 +79,17 @@ def upsert_monthly(existing: DataFrame, batch: DataFrame, ordinal: str = "_ordin
     else the stored record), total rows after the merge.
     """
     rec = list(MONTHLY_FIELDS)
-    b = key_cols(batch)
-    e = key_cols(existing).select("_y", "_m", F.struct(*rec).alias("_old"))
-    w = Window.partitionBy("_y", "_m").orderBy(ordinal)  # rows of one month in one batch
-    b = b.withColumn("_rec", F.struct(*rec)).withColumn("_prev", F.lag("_rec").over(w))
-    b = b.join(e, ["_y", "_m"], "left").withColumn("_before", F.coalesce("_prev", "_old"))
-    b = b.withColumn("_changed", F.col("_before").isNull() | (F.col("_before") != F.col("_rec")))
-    last = b.groupBy("_y", "_m").agg(F.max(F.struct(F.col(ordinal).alias("_o"), "_rec")).alias("_l"))
-    new_rows = last.select("_y", "_m", *[F.col(f"_l._rec.{f}").alias(f) for f in rec])
-    kept = key_cols(existing).join(last.select("_y", "_m"), ["_y", "_m"], "left_anti")
-    table = kept.select("_y", "_m", *rec).unionByName(new_rows)
-    tagged = b.select(F.lit(1).alias("_in_batch"), F.col("_changed"), F.lit(0).alias("_in_table")).unionByName(
-        table.select(F.lit(0).alias("_in_batch"), F.lit(False).alias("_changed"), F.lit(1).alias("_in_table")))
-    stats = tagged.agg(F.sum("_in_batch").cast("bigint").alias("consumed"),
-                       F.count_if("_changed").alias("changed"),
-                       F.sum("_in_table").cast("bigint").alias("total_rows"))
-    return table.orderBy("_y", "_m").drop("_y", "_m"), stats
+    none = F.lit(None).cast(batch.schema[ordinal].dataType)
+    old = key_cols(existing).select("_y", "_m", F.lit(0).alias("_new"), none.alias("_o"), F.struct(*rec).alias("_rec"))
+    new = key_cols(batch).select("_y", "_m", F.lit(1).alias("_new"), F.col(ordinal).alias("_o"), F.struct(*rec).alias("_rec"))
+    w = Window.partitionBy("_y", "_m").orderBy("_new", "_o")  # the stored record, then one month's batch rows
+    rows = old.unionByName(new).select("*", F.lag("_rec").over(w).alias("_before"),
+                                       F.lead("_new").over(w).isNull().alias("_last"))
+    changed = (F.col("_new") == 1) & ~F.col("_before").eqNullSafe(F.col("_rec"))
+    stats = rows.agg(F.coalesce(F.sum("_new"), F.lit(0)).cast("bigint").alias("consumed"),
+                     F.count_if(changed).alias("changed"), F.count_if("_last").alias("total_rows"))
+    table = rows.where("_last").orderBy("_y", "_m").select(*[F.col(f"_rec.{f}").alias(f) for f in rec])
+    return table, stats
 
 
 def months_in_range(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:

@@ -15,5 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back: what several branches
+    of a job read is computed once, and a lost executor costs no more than a file read."""
+    from ratebook.session import scratch_dir
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def barrier(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

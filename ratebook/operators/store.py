@@ -167,8 +167,8 @@ def upsert(stored: DataFrame, batch: DataFrame, now: str, ordinal: str = "_ordin
     """
     b = dedupe_batch(batch, ordinal).drop("_consumed")
     months = b.select("year", "month").distinct()
-    touched = stored.join(F.broadcast(months), ["year", "month"], "left_semi")
-    untouched = stored.join(F.broadcast(months), ["year", "month"], "left_anti")
+    touched = stored.join(months, ["year", "month"], "left_semi")
+    untouched = stored.join(months, ["year", "month"], "left_anti")
     s = touched.select(*KEY, F.col("created_at").alias("_s_created"), F.lit(True).alias("_in_store"),
                        *[F.col(c).alias(f"_s_{c}") for c in RATES_COLUMNS if c not in KEY + ("created_at",)])
     j = b.withColumn("_in_batch", F.lit(True)).join(s, list(KEY), "full_outer")

@@ -232,10 +232,9 @@ def q_process_report(spark, sf_dir):
 
 @register("column_mapping")
 def q_column_mapping(spark, sf_dir):
-    """The English file mapped to canonical columns (remark missing, customer unmatched)."""
-    name, frame = form_files(spark, sf_dir)[0]
-    res = apply_column_mapping(frame, DEFAULT_MAPPING, passthrough=("_key", "source_file", "source_row"))
-    return res.frame.drop("_key")
+    """Both files mapped to canonical columns (English: remark missing, customer unmatched)."""
+    combined, _ = map_files(form_files(spark, sf_dir), DEFAULT_MAPPING)
+    return combined.select("amount", "currency", "date", "project", "description", "Customer", "source_file", "source_row")
 
 
 @register("constant_columns")
@@ -489,8 +488,9 @@ def _calendar(spark):
 
 
 def _months(spark, sf_dir):
-    a, b = bd.rate_span(spark, sf_dir)
-    return cal.months_between(spark, a, b)
+    firsts = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))
+    return cal.with_month_fields(bd.span_frame(spark, sf_dir).where("a is not null")
+                                 .select(F.explode(firsts).alias("month_start")))
 
 
 def _span_months(spark, sf_dir):
@@ -554,9 +554,8 @@ def q_pending_months(spark, sf_dir):
 
 
 def _all_days(spark, sf_dir):
-    a, b = bd.rate_span(spark, sf_dir)
-    return spark.range(1).select(F.explode(F.sequence(F.lit(a).cast("date"), F.lit(b).cast("date")))
-                                 .alias("target_date"))
+    span = bd.span_frame(spark, sf_dir).where("a is not null")
+    return span.select(F.explode(F.sequence("a", "b")).alias("target_date"))
 
 
 @register("source_routing")
@@ -882,16 +881,26 @@ def _glob(sf_dir):
     return f"{sf_dir}/*.parquet"
 
 
+def _landed(spark, sf_dir):
+    """The documents as files: path, content, length."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"),
+                    F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 3 == 1, ".csv.gz").otherwise(""))
+    return docs.select(F.col("doc_id").alias("number"), path.alias("path"), content.alias("content"),
+                       F.octet_length(content).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+
+
 @register("file_index")
 def q_file_index(spark, sf_dir):
-    """S9 + X30: every table file with size, sha256 and MIME type."""
-    return iv.file_index(spark, _glob(sf_dir))
+    """S9 + X30: every document as a landed file, with size, sha256 and MIME type."""
+    return iv.index_rows(spark, _landed(spark, sf_dir)).drop("modified_at")
 
 
 @register("prefix_hash")
 def q_prefix_hash(spark, sf_dir):
-    """sha256 of the first 8192 bytes of every table file."""
-    return iv.prefix_hash(spark, _glob(sf_dir))
+    """sha256 of the first 8192 bytes of every document."""
+    return iv.prefix_rows(_landed(spark, sf_dir))
 
 
 @register("mime_type")
@@ -913,10 +922,13 @@ def q_table_index(spark, sf_dir):
 
 @register("download_verify")
 def q_download_verify(spark, sf_dir):
-    """Listed size (file listing) against the bytes actually read."""
-    manifest = spark.read.format("binaryFile").load(_glob(sf_dir)).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("listed_size"))
-    return iv.download_verify(manifest, spark, _glob(sf_dir))
+    """A listing whose sizes are off by one, absent or of lost files, against the bytes there."""
+    files = _landed(spark, sf_dir)
+    name = F.element_at(F.split("path", "/"), -1)
+    size = F.col("length") + F.when(F.col("number") % 7 == 0, 1).otherwise(0)
+    manifest = files.select(name.alias("file_name"), F.when(F.col("number") % 11 != 0, size).alias("listed_size"))
+    there = files.where("number % 13 != 0").select(name.alias("file_name"), F.length("content").cast("bigint").alias("actual_size"))
+    return iv.verify_sizes(manifest, there)
 
 
 # ---- template filling and layout ---------------------------------------------------------
@@ -1032,10 +1044,10 @@ def q_scan_usecols(spark, sf_dir):
 
 @register("sheet_conform")
 def q_sheet_conform(spark, sf_dir):
-    """The Chinese form file conformed to a column list (trimmed names, missing -> '')."""
-    from ratebook.operators.mapping import conform
-    name, frame = form_files(spark, sf_dir)[1]
-    return conform(frame.drop("_key", "source_file"), ["金额", "币种", " 日期 ", "项目名称", "附件", "source_row"])
+    """Both form files conformed to a column list (trimmed names, missing -> '')."""
+    from ratebook.operators.mapping import conform, union_by_name
+    columns = ["金额", "币种", " 日期 ", "项目名称", "附件", "Amount", "source_file", "source_row"]
+    return union_by_name([conform(frame.drop("_key"), columns) for _, frame in form_files(spark, sf_dir)])
 
 
 @register("schema_migrate")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratebook.operators.monthly import (months_to_process, normalize_monthly, pending_report, result_rows,
                                         upsert_monthly)
 from ratebook.operators.routing import monthly_lookup
+from ratebook.operators.staging import written
 
 
 @dataclass
@@ -23,11 +24,14 @@ class MonthlyBuild:
 def build_monthly_rates(spark: SparkSession, existing: DataFrame, quotes: DataFrame, calendar: DataFrame,
                         start: str, end: str | None = None, refresh=(), rebuild: bool = False,
                         prefer: str = "auto", today: dt.date | None = None) -> MonthlyBuild:
-    """Lazy plan of the whole monthly job; ``existing`` is the scanned cache."""
-    if rebuild:
-        existing = spark.createDataFrame([], existing.schema)  # rebuild ignores what is stored
-    todo = months_to_process(spark, existing, start, end, refresh, rebuild, today)
-    results = monthly_lookup(todo, quotes, calendar, prefer)
+    """The whole monthly job; ``existing`` is the scanned cache.
+
+    The cache, the months and their results are calendar-sized and read by
+    several branches, so each is written once and the branches read tables.
+    """
+    existing = spark.createDataFrame([], existing.schema) if rebuild else written(existing, "monthly-existing")
+    todo = written(months_to_process(spark, existing, start, end, refresh, rebuild, today), "monthly-todo")
+    results = written(monthly_lookup(todo, quotes, calendar, prefer), "monthly-results")
     report = pending_report(todo, results, prefer)
     rows = result_rows(results).withColumn(
         "_ordinal", F.col("year").cast("int") * 100 + F.col("month").cast("int"))

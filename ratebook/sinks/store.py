@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratebook.schemas import RATES, RATES_COLUMNS
 
+KEY = ("base_currency", "quote_currency", "rate_date")
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -65,8 +67,8 @@ class RateStore:
         last = int(versions[-1][2:17]) if versions else 0
         nxt = max(last + 1, int(time.time() * 1000))
         path = f"{self.root}/v={nxt:015d}" + (f"-{tag}" if tag else "")
-        # one shuffle by the partition columns: each (year, month) folder gets one
-        # file instead of one small file per task
-        (df.select(*RATES_COLUMNS).repartition("year", "month").write.mode("errorifexists")
+        # ranged by month and key: a month lies in one file or in few neighbouring
+        # ones, and a month with very many rows is cut into several tasks
+        (df.select(*RATES_COLUMNS).repartitionByRange("year", "month", *KEY).write.mode("errorifexists")
          .partitionBy("year", "month").parquet(path))
         return path

@@ -205,16 +205,15 @@ MONTHLY_TODAY = "2026-01-01"
 REFRESH_MONTHS = ("1996-05", "1999-07", "2003-01")
 
 
-_SPANS: dict = {}
+def span_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the first and last rate day (``a``, ``b``)."""
+    return rates_view(spark, sf_dir).agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b"))
 
 
 def rate_span(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """First and last rate day (one aggregate row), remembered per input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SPANS:
-        row = rates_view(spark, sf_dir).agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b")).first()
-        _SPANS[key] = (row["a"].isoformat(), row["b"].isoformat())
-    return _SPANS[key]
+    """First and last rate day as text, for parameters that are text (one aggregate row)."""
+    row = span_frame(spark, sf_dir).first()
+    return row["a"].isoformat(), row["b"].isoformat()
 
 
 def monthly_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
