@@ -10,16 +10,39 @@ table, the others are encoded once per worker and remembered.
 from __future__ import annotations
 
 import re
+import struct
 
 # A space before white space (any kind, in the widest reading) or at the end: cut less there.
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 _PIECE_START = re.compile(r"(?= \S)")
 # Letters that neither NFC nor per-character lower-casing treats in a special way.
 _PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHED_CHARS = 64
 
 
+class Cache(dict):
+    """A dict of bounded size in two generations: a full one becomes the old one, and hits there are kept."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+
 def _byte_chars() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -56,34 +79,27 @@ def load(path: str):
     return _LOADED[path]
 
 
-class Lengths(dict):
+class Lengths(Cache):
     """Piece (behind one space) -> number of byte-level BPE tokens.
 
-    ``frequent`` is the first tier; a miss is encoded and remembered in the
-    second tier, which is emptied when it holds ``CACHE_ENTRIES``.
+    ``frequent`` is the first tier; a miss is encoded and remembered in the second.
     """
 
     def __init__(self, path: str, frequent: dict[str, int]):
-        super().__init__(frequent)
+        super().__init__()
         self.frequent, self.tok = frequent, load(path)
         self.model = self.tok.model
 
-    def __missing__(self, piece: str) -> int:
+    def make(self, piece: str) -> int:
+        known = self.frequent.get(piece)
+        if known is not None:
+            return known
         plain = _PLAIN_WORD.match(piece)
-        if plain:
-            word = plain[1]
-            n = self.get(word) if plain[2] else None
-            if n is None:
-                n = len(self.model.tokenize("Ġ" + byte_level(word)))
-            n += len(plain[2])
-        else:
-            n = self.exact(" " + piece)
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= len(self.frequent) + CACHE_ENTRIES:
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = n
-        return n
+        if not plain:
+            return self.exact(" " + piece)
+        if plain[2]:
+            return self[plain[1]] + 1
+        return len(self.model.tokenize("Ġ" + byte_level(piece)))
 
     def exact(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
@@ -95,38 +111,35 @@ class Lengths(dict):
         return self.exact(first) + sum(map(self.__getitem__, rest))
 
 
-class Ids(dict):
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _WordIds(Cache):
+    """Lower-case word of plain letters -> its ids."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.model = tok.model
+
+    def make(self, word: str) -> bytes:
+        return pack_ids([t.id for t in self.model.tokenize(byte_level(word))])
+
+
+class Ids(Cache):
     """Piece -> its ids as little-endian uint32 bytes, for the word-end BPE (lower case, white space dropped)."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.tok, self.words = load(path), {}
-        self.model = self.tok.model
-        self.marks = {m: self._pack(self.tok.encode(m, add_special_tokens=False).ids) for m in (".", ",")} | {"": b""}
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.tok = load(path)
+        self.words = _WordIds(self.tok)
+        self.marks = {m: pack_ids(self.tok.encode(m, add_special_tokens=False).ids) for m in (".", ",")} | {"": b""}
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         plain = _PLAIN_WORD.match(piece)
         if plain:
-            word = plain[1].lower()
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self._pack([t.id for t in self.model.tokenize(byte_level(word))])
-                if len(word) <= CACHED_CHARS:
-                    if len(self.words) >= CACHE_ENTRIES:
-                        self.words.clear()
-                    self.words[word] = ids
-            ids += self.marks[plain[2]]
-        else:
-            ids = self._pack(self.tok.encode(" " + piece, add_special_tokens=False).ids)
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+            return self.words[plain[1].lower()] + self.marks[plain[2]]
+        return pack_ids(self.tok.encode(" " + piece, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
