@@ -743,6 +743,19 @@ UNION ALL SELECT 'cfets_notice', page_id, date_b, CAST(rate_b AS DECIMAL(18,6))
 UNION ALL SELECT 'pbc_keychart', page_id, d, rate FROM chart_truth
 UNION ALL SELECT 'safe_portal', page_id, quote_date, CAST(rate AS DECIMAL(18,6)) FROM portal_scaled"""))
 
+PAGE_QUOTES = USD_DAYS + """,
+quotes AS (
+  SELECT 'pbc' AS source, quote_date, arg_min(rate, (o, page_id)) AS rate FROM (
+    SELECT 0 AS o, page_id, notice_date AS quote_date, rate_a AS rate FROM notice_truth
+      WHERE notice_date IS NOT NULL AND rate_a IS NOT NULL
+    UNION ALL SELECT 1, page_id, d, rate FROM chart_truth) GROUP BY quote_date
+  UNION ALL SELECT 'cfets', date_b, arg_min(CAST(rate_b AS DECIMAL(18,6)), page_id) FROM notice_truth
+    WHERE rate_b IS NOT NULL AND date_b IS NOT NULL GROUP BY date_b
+  UNION ALL SELECT 'safe', quote_date, arg_max(CAST(rate AS DECIMAL(18,6)), page_id) FROM portal_scaled GROUP BY quote_date)"""
+
+oracle("pages_to_monthly", q(PAGE_QUOTES + CAL + monthly_results("m", "months"),
+       "SELECT year, month, query_date, request_date, mid_rate, source_date, rate_source, fallback_used FROM m_res"))
+
 oracle("pages_scan", """SELECT page_id, url, CAST(octet_length(encode(html)) AS INTEGER) AS html_bytes,
   CAST(least(octet_length(encode(html)), 200000) AS INTEGER) AS snapshot_bytes FROM pages""")
 

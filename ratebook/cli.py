@@ -4,7 +4,9 @@
     import-rates         rate CSV -> new version of the rate store
     query-rates          range query on the rate store (first rows printed)
     build-monthly-rates  quotes + calendar -> monthly cache CSV, with pending months reported
-    extract-quotes       landed HTML pages -> quotes table
+    extract-quotes       landed HTML pages -> quotes table (what build-monthly-rates reads)
+    single-rate          rates of given days from a quotes table
+    upsert-rate          one rate record merged into the store
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -42,8 +45,14 @@ def cmd_process_forms(a) -> int:
         pair, value = item.split("=")
         f, t = pair.split(":")
         overrides[(f.upper(), t.upper())] = value
+    decisions = None
+    if a.decisions:
+        decisions = _read(spark, a.decisions).select(
+            "source_file", F.col("source_row").cast("bigint").alias("source_row"), F.col("confirmed").cast("boolean").alias("confirmed"))
+    if a.confirm_over is not None:
+        mapping = replace(mapping, confirm_over_amount=a.confirm_over)
     res = process_forms(files, mapping, FormsConfig(a.base_currency, a.round_digits, window_days=a.window),
-                        rates=rates, static_overrides=overrides, default_rate=a.default_rate)
+                        rates=rates, static_overrides=overrides, default_rate=a.default_rate, decisions=decisions)
     out = write_outcomes(res, a.output)
     print(json.dumps(out["counts"]))
     return 0
@@ -90,16 +99,32 @@ def cmd_build_monthly(a) -> int:
 
 
 def cmd_extract_quotes(a) -> int:
-    from ratebook.operators import notices as nt
+    from ratebook.plans.extract_quotes import extract_quotes
     spark = _spark()
-    pages = _read(spark, a.pages)
-    if a.kind == "portal":
-        out = nt.portal_quotes(pages)
-    elif a.kind == "notice":
-        out = nt.parse_notices(pages)
-    else:
-        out = nt.keychart_rows(pages)
-    out.write.mode("errorifexists").parquet(a.output)
+    pages = [_read(spark, path) if path else None for path in (a.notices, a.charts, a.portals)]
+    extract_quotes(*pages).write.mode("errorifexists").parquet(a.output)
+    return 0
+
+
+def cmd_single_rate(a) -> int:
+    from ratebook.operators.routing import single_rate
+    spark = _spark()
+    dates = spark.createDataFrame([(d,) for d in a.dates], "d string").select(F.col("d").cast("date").alias("target_date"))
+    for row in single_rate(dates, _read(spark, a.quotes), a.base, a.quote, a.prefer).orderBy("target_date").collect():
+        print(json.dumps(row.asDict(), default=str))
+    return 0
+
+
+def cmd_upsert_rate(a) -> int:
+    from ratebook.plans.import_rates import upsert_records
+    from ratebook.sinks.store import RateStore
+    from ratebook.streaming.rates_stream import RECORD_COLUMNS
+    spark = _spark()
+    given = {"base_currency": a.base, "quote_currency": a.quote, "rate_mid": a.rate, "rate_date": a.date,
+             "fetch_date": a.fetch_date or a.date, "source": a.source, "fallback_strategy": a.fallback}
+    schema = ", ".join(f"{c} string" for c in RECORD_COLUMNS)
+    record = spark.createDataFrame([tuple(given.get(c) for c in RECORD_COLUMNS)], schema).withColumn("_ordinal", F.lit(0))
+    upsert_records(RateStore(spark, a.store), record, a.download_url)
     return 0
 
 
@@ -116,6 +141,8 @@ def main(argv=None) -> int:
     f.add_argument("--base-currency", default="CNY")
     f.add_argument("--round-digits", type=int, default=2)
     f.add_argument("--window", type=int, default=7)
+    f.add_argument("--confirm-over", type=float, help="base amount from which rows need confirming")
+    f.add_argument("--decisions", help="table of source_file, source_row, confirmed")
     f.set_defaults(fn=cmd_process_forms)
     i = sub.add_parser("import-rates")
     i.add_argument("csv")
@@ -148,10 +175,25 @@ def main(argv=None) -> int:
     m.add_argument("--workday", action="append")
     m.set_defaults(fn=cmd_build_monthly)
     e = sub.add_parser("extract-quotes")
-    e.add_argument("pages")
-    e.add_argument("--kind", choices=("portal", "notice", "keychart"), default="portal")
+    e.add_argument("--notices", help="pages with page_id, html and target_date")
+    e.add_argument("--charts", help="key chart pages")
+    e.add_argument("--portals", help="portal table pages")
     e.add_argument("--output", required=True)
     e.set_defaults(fn=cmd_extract_quotes)
+    r = sub.add_parser("single-rate")
+    r.add_argument("dates", nargs="+")
+    r.add_argument("--quotes", required=True)
+    r.add_argument("--base", default="USD")
+    r.add_argument("--quote", default="CNY")
+    r.add_argument("--prefer", default="auto")
+    r.set_defaults(fn=cmd_single_rate)
+    u = sub.add_parser("upsert-rate")
+    u.add_argument("--store", required=True)
+    for name in ("base", "quote", "rate", "date", "source"):
+        u.add_argument(f"--{name}", required=True)
+    for name in ("fetch-date", "fallback", "download-url"):
+        u.add_argument(f"--{name}")
+    u.set_defaults(fn=cmd_upsert_rate)
     args = p.parse_args(argv)
     return args.fn(args)
 

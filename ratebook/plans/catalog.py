@@ -753,6 +753,14 @@ def q_extract_quotes(spark, sf_dir):
     return pbc.unionByName(cfets).unionByName(chart).unionByName(safe)
 
 
+@register("pages_to_monthly")
+def q_pages_to_monthly(spark, sf_dir):
+    """C4 into C2: landed pages of all publishers -> quotes -> one rate per month of the span."""
+    from ratebook.plans.extract_quotes import extract_quotes
+    quotes = extract_quotes(bd.notice_pages(spark, sf_dir), bd.keychart_pages(spark, sf_dir), bd.portal_pages(spark, sf_dir))
+    return ro.monthly_lookup(_months(spark, sf_dir), quotes, _calendar(spark))
+
+
 LINK_KEYWORD = "the"  # stands in for the notice-title keyword, which the test pages do not contain
 
 
