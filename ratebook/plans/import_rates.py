@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratebook.operators.store import load_csv_records, normalize_records, require_valid, upsert
+from ratebook.operators.store import load_csv_records, normalize_records, require_valid
+from ratebook.operators.staging import written
 from ratebook.sinks.store import RateStore
 from ratebook.sources.tables import read_csv_text
 
@@ -19,22 +20,24 @@ def csv_ordinal() -> F.Column:
 
 def import_csv(spark: SparkSession, store: RateStore, csv_path: str, base: str, quote: str, source: str,
                fallback: str | None = None, download_url: str | None = None, now: str | None = None,
-               strict: bool = True) -> tuple[int, DataFrame]:
+               strict: bool = True, rejects: str | None = None) -> tuple[int, DataFrame]:
     """Returns (rows consumed, merged table). One bad row fails the file before any write
-    in strict mode; otherwise bad rows are returned aside and skipped."""
+    in strict mode; otherwise bad rows go, with their error, to the table ``rejects``."""
     raw = read_csv_text(spark, csv_path).withColumn("_ordinal", csv_ordinal())
     records = load_csv_records(raw, base, quote, source, fallback)
     if download_url is not None:
         records = records.withColumn("download_url", F.lit(download_url))
     if strict:
         valid = require_valid(records)
+    elif rejects is None:
+        raise ValueError("name a rejects table for the rows that are skipped")
     else:
+        records = written(records, "import-records")
+        records.where(F.col("error").isNotNull()).drop("_ordinal").write.mode("append").parquet(rejects)
         valid = records.where(F.col("error").isNull()).drop("error")
-    valid = valid.persist()
-    consumed = valid.count()  # also runs the strict check before anything is written
-    merged = upsert(store.read(), valid, now or _utcnow())
-    store.write(merged)
-    valid.unpersist()
+    valid = written(valid, "import-valid")  # also runs the strict check before the store is touched
+    consumed = valid.count()
+    store.merge(valid, now or _utcnow())
     return consumed, store.read()
 
 
@@ -42,8 +45,7 @@ def upsert_records(store: RateStore, records: DataFrame, download_url: str | Non
                    now: str | None = None, ordinal: str = "_ordinal") -> DataFrame:
     """Normalise a (small) batch of records strictly and merge it as a new version."""
     norm = require_valid(normalize_records(records, download_url, rounding="half_up"))
-    merged = upsert(store.read(), norm, now or _utcnow(), ordinal)
-    store.write(merged)
+    store.merge(norm, now or _utcnow(), ordinal)
     return store.read()
 
 

@@ -1,11 +1,11 @@
-"""Versioned Parquet store (K1): a write never touches the version being read.
-
-Layout: ``<root>/v=<NNNNNNNNNNNN>/year=YYYY/month=M/part-*.parquet``. A new
-version is written whole (partitioned by year and month so reads prune by
-date) and becomes current once Spark's job commit has written its
-``_SUCCESS`` marker; the current version is the greatest committed one.
-Readers never see a half-written version and a failed job leaves the
-previous version current.
+"""Versioned Parquet store (K1): a write never touches what is being read.
+
+Layout: ``<root>/v=<NNNNNNNNNNNNNNN>[-delta][-tag]/year=YYYY/month=M/part-*.parquet``.
+A full version replaces the table. A delta holds the months that a merge
+touched, whole; the current content of a month is its folder in the newest
+committed version that has one, from the last full version on. A version
+counts once Spark's job commit has written its ``_SUCCESS`` marker, so
+readers never see a half-written one and a failed job changes nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ratebook.operators.staging import written
+from ratebook.operators.store import upsert
 from ratebook.schemas import RATES, RATES_COLUMNS
 
 KEY = ("base_currency", "quote_currency", "rate_date")
@@ -47,28 +49,57 @@ class RateStore:
         self.root = root.rstrip("/")
 
     def current_path(self) -> str | None:
+        """The newest committed version, full or delta."""
         versions = committed_versions(self.spark, self.root)
         return f"{self.root}/{versions[-1]}" if versions else None
 
-    def read(self) -> DataFrame:
-        path = self.current_path()
-        if path is None:
+    def month_folders(self) -> dict[str, str]:
+        """``year=Y/month=M`` -> path of the folder that holds it now (one entry a calendar month)."""
+        versions = committed_versions(self.spark, self.root)
+        full = [i for i, v in enumerate(versions) if not _is_delta(v)]
+        held: dict[str, str] = {}
+        for version in versions[full[-1] if full else 0:]:
+            fs, pattern, _ = _fs(self.spark, f"{self.root}/{version}/year=*/month=*")
+            for st in fs.globStatus(pattern) or []:
+                path = st.getPath()
+                held[f"{path.getParent().getName()}/{path.getName()}"] = path.toString()
+        return held
+
+    def read(self, months: list[tuple[int, int]] | None = None) -> DataFrame:
+        """The table, or only the given (year, month) folders of it."""
+        held = self.month_folders()
+        paths = list(held.values()) if months is None else [
+            held[k] for k in (f"year={y}/month={m}" for y, m in months) if k in held]
+        if not paths:
             return self.spark.createDataFrame([], RATES)
-        df = self.spark.read.schema(RATES).parquet(path)
+        df = self.spark.read.schema(RATES).option("basePath", self.root).parquet(*paths)
         return df.select(*RATES_COLUMNS)
 
     def has_tag(self, tag: str) -> bool:
         """Whether a committed version carries ``tag`` (e.g. a stream epoch)."""
         return any(v.endswith(f"-{tag}") for v in committed_versions(self.spark, self.root))
 
-    def write(self, df: DataFrame, tag: str | None = None) -> str:
+    def write(self, df: DataFrame, tag: str | None = None, delta: bool = False) -> str:
         """K1: write ``df`` as the next version (optionally tagged); returns its path."""
         versions = committed_versions(self.spark, self.root)
         last = int(versions[-1][2:17]) if versions else 0
         nxt = max(last + 1, int(time.time() * 1000))
-        path = f"{self.root}/v={nxt:015d}" + (f"-{tag}" if tag else "")
+        path = f"{self.root}/v={nxt:015d}" + (DELTA if delta else "") + (f"-{tag}" if tag else "")
         # ranged by month and key: a month lies in one file or in few neighbouring
         # ones, and a month with very many rows is cut into several tasks
         (df.select(*RATES_COLUMNS).repartitionByRange("year", "month", *KEY).write.mode("errorifexists")
          .partitionBy("year", "month").parquet(path))
         return path
+
+    def merge(self, batch: DataFrame, now: str, ordinal: str = "_ordinal", tag: str | None = None) -> str:
+        """J1 into the store: only the months of the (normalised) batch are read and written."""
+        batch = written(batch, "merge-batch")
+        months = [(r.year, r.month) for r in batch.select("year", "month").distinct().collect()]  # calendar months
+        return self.write(upsert(self.read(months), batch, now, ordinal), tag=tag, delta=True)
+
+
+DELTA = "-delta"
+
+
+def _is_delta(version: str) -> bool:
+    return version[17:].startswith(DELTA)

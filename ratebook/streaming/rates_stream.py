@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ratebook.operators.store import normalize_records, upsert
+from ratebook.operators.store import normalize_records
 from ratebook.sinks.store import RateStore
 
 RECORD_COLUMNS = ("base_currency", "quote_currency", "rate_mid", "rate_date", "fetch_date", "source",
@@ -43,7 +43,7 @@ def merge_batch(store: RateStore, batch: DataFrame, epoch_id: int, now: str | No
     if rejects:
         norm.where(F.col("error").isNotNull()).drop("_ordinal").write.mode("overwrite").parquet(f"{rejects}/batch={tag}")
     stamp = now or dt.datetime.now(dt.timezone.utc).replace(microsecond=0).isoformat()
-    store.write(upsert(store.read(), valid, stamp), tag=tag)
+    store.merge(valid, stamp, tag=tag)
     return True
 
 

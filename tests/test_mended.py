@@ -110,3 +110,23 @@ def test_two_streams_do_not_skip_each_other(spark, tmp_path):
     assert merge_batch(store, bad, 1, query_id="q-1", rejects=str(tmp_path / "r"))
     assert {r.base_currency for r in store.read().collect()} == {"USD", "EUR"}
     assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_merge_rewrites_touched_months_only(spark, tmp_path):
+    store = RateStore(spark, str(tmp_path / "s"))
+    names = [*RECORD_COLUMNS, "_file"]
+    schema = ", ".join(f"{c} string" for c in names)
+    row = dict.fromkeys(names) | {"base_currency": "USD", "quote_currency": "CNY", "source": "x", "_file": "f"}
+    for n, days in enumerate((("2025-01-02", "2025-02-03"), ("2025-02-03", "2025-03-04"))):
+        batch = spark.createDataFrame([tuple((row | {"rate_date": d, "fetch_date": d, "rate_mid": f"7.{n + 1}"})[c] for c in names)
+                                       for d in days], schema)
+        before = store.month_folders()
+        assert merge_batch(store, batch, n, query_id="q")
+    after = store.month_folders()
+    assert after["year=2025/month=1"] == before["year=2025/month=1"]
+    assert after["year=2025/month=2"] != before["year=2025/month=2"]
+    assert {(str(r.rate_date), float(r.rate_mid)) for r in store.read().collect()} == {
+        ("2025-01-02", 7.1), ("2025-02-03", 7.2), ("2025-03-04", 7.2)}
+    assert store.read([(2025, 3)]).count() == 1
+    store.write(store.read().where("month = 1"))
+    assert list(store.month_folders()) == ["year=2025/month=1"]
