@@ -246,3 +246,27 @@ def test_op7_digest_columns(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in BASE_KINDS] == [sum(s[0] == k for s in spans) for k in BASE_KINDS]
         assert r.spans.startswith(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+
+
+def test_pieces_encode_like_the_library():
+    import random
+
+    from ratebook.llm import bpe
+    rng = random.Random(4)
+    atoms = ["a", "B", "é", "Ü", "ß", " ", "  ", "\n", "\t", "1", "23", ".", "...", "&", "$$", "<|endoftext|>", "'s", "'", "<", "|>",
+             "_", "-", "\r", "É", "word", "the", "×", " ", "İ", "Σ", "é", "一"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + [t for t in messy.ODD]
+    words, lengths = bpe.Ids(WORD_BPE), bpe.Lengths(BYTE_BPE, {"the": 1})
+    word_tok, byte_tok = Tokenizer.from_file(WORD_BPE), Tokenizer.from_file(BYTE_BPE)
+    for t in texts:
+        assert words.encode(t) == bpe.pack_ids(word_tok.encode(t, add_special_tokens=False).ids)
+        assert lengths.count(t) == len(byte_tok.encode(t, add_special_tokens=False).ids)
+
+
+def test_caches_keep_their_bound(monkeypatch):
+    from ratebook.llm import bpe
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
+    lengths = bpe.Lengths(BYTE_BPE, {})
+    text = " ".join(f"w{i % 37}" for i in range(500))
+    assert lengths.count(text) == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
+    assert len(lengths) <= 10 and len(lengths.old) <= 10
