@@ -15,8 +15,13 @@ import struct
 # A space before white space (any kind, in the widest reading) or at the end: cut less there.
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 _PIECE_START = re.compile(r"(?= \S)")
-# Letters that neither NFC nor per-character lower-casing treats in a special way.
-_PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
+# Pieces of these characters alone (ASCII without ' and <, and the letters of Latin-1) hold no special
+# string and no contraction, and neither NFC nor lower-casing by character treats them in a special way.
+# For them the tokenizers' patterns read as below.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(rf"[\n\r\t -&(-;=-~{_LETTERS}]+\Z")
+_BYTE_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_WORD_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 CACHE_ENTRIES = 250_000
 CACHED_CHARS = 64
 
@@ -79,6 +84,28 @@ def load(path: str):
     return _LOADED[path]
 
 
+class _PartIds(Cache):
+    """Pre-token -> its ids, little-endian uint32."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.model = tok.model
+
+    def make(self, part: str) -> bytes:
+        return pack_ids([t.id for t in self.model.tokenize(byte_level(part))])
+
+
+class _PartLengths(_PartIds):
+    """Pre-token -> the number of its ids."""
+
+    def make(self, part: str) -> int:
+        return len(self.model.tokenize(byte_level(part)))
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Lengths(Cache):
     """Piece (behind one space) -> number of byte-level BPE tokens.
 
@@ -88,18 +115,15 @@ class Lengths(Cache):
     def __init__(self, path: str, frequent: dict[str, int]):
         super().__init__()
         self.frequent, self.tok = frequent, load(path)
-        self.model = self.tok.model
+        self.parts = _PartLengths(self.tok)
 
     def make(self, piece: str) -> int:
         known = self.frequent.get(piece)
         if known is not None:
             return known
-        plain = _PLAIN_WORD.match(piece)
-        if not plain:
-            return self.exact(" " + piece)
-        if plain[2]:
-            return self[plain[1]] + 1
-        return len(self.model.tokenize("Ġ" + byte_level(piece)))
+        if _SIMPLE.match(piece):
+            return sum(map(self.parts.__getitem__, _BYTE_PARTS.findall(" " + piece)))
+        return self.exact(" " + piece)
 
     def exact(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
@@ -111,34 +135,17 @@ class Lengths(Cache):
         return self.exact(first) + sum(map(self.__getitem__, rest))
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-class _WordIds(Cache):
-    """Lower-case word of plain letters -> its ids."""
-
-    def __init__(self, tok):
-        super().__init__()
-        self.model = tok.model
-
-    def make(self, word: str) -> bytes:
-        return pack_ids([t.id for t in self.model.tokenize(byte_level(word))])
-
-
 class Ids(Cache):
     """Piece -> its ids as little-endian uint32 bytes, for the word-end BPE (lower case, white space dropped)."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tok = load(path)
-        self.words = _WordIds(self.tok)
-        self.marks = {m: pack_ids(self.tok.encode(m, add_special_tokens=False).ids) for m in (".", ",")} | {"": b""}
+        self.parts = _PartIds(self.tok)
 
     def make(self, piece: str) -> bytes:
-        plain = _PLAIN_WORD.match(piece)
-        if plain:
-            return self.words[plain[1].lower()] + self.marks[plain[2]]
+        if _SIMPLE.match(piece):
+            return b"".join(map(self.parts.__getitem__, _WORD_PARTS.findall(piece.lower())))
         return pack_ids(self.tok.encode(" " + piece, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
