@@ -1,12 +1,12 @@
-"""Decimal parsing and the two rounding modes."""
+"""Decimal parsing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ratebook.functions.text import blank_to_null, col_, try_cast
-from ratebook.schemas import AMOUNT, RATE
+from ratebook.functions.text import blank_to_null, try_cast
+from ratebook.schemas import AMOUNT
 
 
 def parse_amount(c, dtype=AMOUNT) -> tuple[Column, Column]:
@@ -15,31 +15,3 @@ def parse_amount(c, dtype=AMOUNT) -> tuple[Column, Column]:
     text = blank_to_null(c)
     value = try_cast(F.replace(text, F.lit(","), F.lit("")), dtype.simpleString())
     return value, text.isNotNull() & value.isNull()
-
-
-def round_half_even(c, digits: int = 4) -> Column:
-    """banker's rounding (the default of Decimal.quantize)."""
-    return F.bround(col_(c), digits)
-
-
-def round_half_up(c, digits: int = 4) -> Column:
-    """Half-up rounding on decimals."""
-    return F.round(col_(c), digits)
-
-
-def parse_decimal_text(c, dtype: str = "decimal(30,10)") -> Column:
-    """Decimal from text with thousands commas removed; null when unparsable."""
-    text = blank_to_null(c)
-    return try_cast(F.replace(text, F.lit(","), F.lit("")), dtype)
-
-
-def scale_per100(raw, per100) -> Column:
-    """Divide by 100 for per-100 quotes, then half-up to 4 places."""
-    value = col_(raw)
-    scaled = F.when(col_(per100), value / F.lit(100)).otherwise(value)
-    return F.round(scaled, 4).cast(RATE)
-
-
-def rate_text(c) -> Column:
-    """Fixed-point text of a rate with four decimals, half-up."""
-    return F.round(col_(c), 4).cast(RATE).cast("string")

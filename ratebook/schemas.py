@@ -64,15 +64,6 @@ EXPORT_COLUMNS = (
     "rate_date_used", "need_confirm", "source_file", "source_row",
 )
 
-FILE_INDEX = T.StructType([
-    T.StructField("sha256", T.StringType()),
-    T.StructField("file_name", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("parsed", T.BooleanType()),
-    T.StructField("modified_at", T.TimestampType()),
-])
-
 DRIVE_ITEM = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("name", T.StringType()),
