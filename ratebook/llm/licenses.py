@@ -6,10 +6,18 @@ the distinct units of the corpus and the templates, and a unit has the licence
 of its nearest template from cosine ``THRESHOLD`` on. Equal units are compared
 once, so a line that a third of all files hold is one entry.
 
-A file is a licence file if its base name says so or if matched units make up
-``COVER`` of its words. Its licence holds for its directory: a file without a
-licence of its own takes that of the nearest ancestor directory that has one,
-found by equi-joins on the ancestors of the distinct directories.
+Whole files and their header blocks (the leading comment lines) that hold the
+marks of a licence's full text are compared with the full texts (``FULL``,
+``license_texts/``) by the same cosine, with the idf of the full texts. From
+``FULL_LEAST`` on the whole file's licence goes before the header's, and that
+before the lines'. AGPL-3.0 has no text of its own here: it is told from
+GPL-3.0 by its title and compared with that text, from which it hardly differs.
+
+A file is a licence file if its whole text is near a full text, if its base
+name says so, or if matched units make up ``COVER`` of its words. Its licence
+holds for its directory: a file without a licence of its own takes that of the
+nearest ancestor directory that has one, found by equi-joins on the ancestors
+of the distinct directories.
 
 Null and empty texts have no units; a null path inherits nothing. Repeated
 rows each give a row. Ties go to the licence first in the alphabet. Empty
@@ -18,7 +26,12 @@ tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import pkgutil
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import col, staged
@@ -29,6 +42,8 @@ UNIT_BREAK = r"\n|[.;][ \t\r\n]+"
 LICENCE_WORD = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby|redistribution and use"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 TERM_BREAK = r"[^a-z0-9.+-]+"
+FULL_LEAST = 0.9
+COMMENT_LINE = r"^[ \t\r]*($|#|//|/?\*|--|;|%|<!--|\"\"\")"
 #: Fixed texts: usual notices of each licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -48,6 +63,29 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+_BSD = ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")
+_GPL = "terms and conditions for copying distribution and modification"
+#: Per licence: its full text's file, phrases of terms that a text must hold, and phrases that it must not.
+FULL = {
+    "AGPL-3.0": ("GPL-3.0", ("gnu affero general public license version 3 19 november 2007", "terms and conditions"), ()),
+    "Apache-2.0": ("Apache-2.0", ("apache license version 2.0", "terms and conditions for use reproduction and distribution"), ()),
+    "BSD-2-Clause": ("BSD-2-Clause", _BSD, ("endorse or promote", "all advertising materials")),
+    "BSD-3-Clause": ("BSD-3-Clause", (*_BSD, "endorse or promote"), ("all advertising materials",)),
+    "CC0-1.0": ("CC0-1.0", ("cc0 1.0 universal", "statement of purpose"), ()),
+    "GPL-1.0": ("GPL-1.0", ("gnu general public license version 1 february 1989", _GPL), ()),
+    "GPL-2.0": ("GPL-2.0", ("gnu general public license version 2 june 1991", _GPL), ()),
+    "GPL-3.0": ("GPL-3.0", ("gnu general public license version 3 29 june 2007", "terms and conditions"), ()),
+    "ISC": ("ISC", ("permission to use copy modify", "distribute this software for any purpose with or without fee is hereby "
+                    "granted provided that the above copyright notice"), ()),
+    "LGPL-2.0": ("LGPL-2.0", ("gnu library general public license version 2 june 1991", _GPL), ()),
+    "LGPL-2.1": ("LGPL-2.1", ("gnu lesser general public license version 2.1 february 1999", _GPL), ()),
+    "LGPL-3.0": ("LGPL-3.0", ("gnu lesser general public license version 3 29 june 2007", "additional definitions"), ()),
+    "MIT": ("MIT", ("permission is hereby granted free of charge to any person obtaining a copy of this software",
+                    "the above copyright notice and this permission notice"), ()),
+    "MPL-1.1": ("MPL-1.1", ("mozilla public license version 1.1", "definitions"), ()),
+    "MPL-2.0": ("MPL-2.0", ("mozilla public license version 2.0", "definitions"), ()),
+    "Zlib": ("Zlib", ("provided as-is without any express or implied warranty", "altered source versions must be plainly marked"), ()),
+}
 
 
 def _terms(text: Column) -> Column:
@@ -78,6 +116,61 @@ def matched_units(units: DataFrame) -> DataFrame:
     return best.select("unit", "b.license", (-F.col("b.minus")).alias("score")).where(F.col("score") >= THRESHOLD)
 
 
+def full_text(name: str) -> str:
+    return pkgutil.get_data("ratebook.llm", f"license_texts/{name}.txt").decode()
+
+
+def _plain(text: Column) -> Column:
+    """The terms of a text in one line."""
+    return F.concat(F.lit(" "), F.array_join(_terms(text), " "), F.lit(" "))
+
+
+def _held_by(plain: Column) -> Column:
+    """The licences whose marks a text's terms hold."""
+    def marked(must, never):
+        out = F.lit(True)
+        for phrase in must:
+            out = out & F.contains(plain, F.lit(f" {phrase} "))
+        for phrase in never:
+            out = out & ~F.contains(plain, F.lit(f" {phrase} "))
+        return out
+    return F.filter(F.array(*[F.when(marked(must, never), F.lit(k)) for k, (_, must, never) in FULL.items()]), lambda k: k.isNotNull())
+
+
+def _vocabulary(spark: SparkSession) -> tuple[DataFrame, float]:
+    """(term, idf, weights): each term's weight in each full text, in the order of ``FULL``; and the idf of other terms."""
+    texts = {f: Counter(t for t in (x.strip(".-") for x in re.split(TERM_BREAK, full_text(f).lower())) if t)
+             for f in sorted({f for f, _, _ in FULL.values()})}
+    df = Counter(t for terms in texts.values() for t in terms)
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
+    norm = {f: math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items())) for f, terms in texts.items()}
+    rows = [(t, idf[t], [texts[f][t] * idf[t] / norm[f] for f, _, _ in FULL.values()]) for t in sorted(idf)]
+    return spark.createDataFrame(rows, "term string, idf double, weights array<double>"), math.log(1 + len(texts)) + 1
+
+
+def matched_texts(parts: DataFrame) -> DataFrame:
+    """(__file, part, license, score) of ``parts`` (__file, part, plain, held) that lie near the full text of a licence they may be."""
+    vocabulary, unseen = _vocabulary(parts.sparkSession)
+    tf = (parts.select("__file", "part", "held", F.explode(F.filter(F.split("plain", " "), lambda t: t != "")).alias("term"))
+          .groupBy("__file", "part", "held", "term").count())
+    w = F.col("count") * F.coalesce("idf", F.lit(unseen))
+    sums = (tf.join(F.broadcast(vocabulary), "term", "left")  # the full texts are a fixed, small table
+            .groupBy("__file", "part", "held").agg(
+        F.sqrt(F.sum(w * w)).alias("norm"), *[F.sum(w * F.col("weights")[i]).alias(f"s{i}") for i in range(len(FULL))]))
+    each = F.array(*[F.struct(F.round(-F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / F.col("norm"), 6).alias("minus"), F.lit(k).alias("license"))
+                     for i, k in enumerate(FULL)])
+    best = F.array_min(F.filter(each, lambda x: F.array_contains(F.col("held"), x["license"])))
+    return (sums.select("__file", "part", best.alias("b")).select("__file", "part", "b.license", (-F.col("b.minus")).alias("score"))
+            .where(F.col("score") >= FULL_LEAST))
+
+
+def _header(text: Column) -> Column:
+    """The comment and empty lines that a text begins with."""
+    lines = F.split(text, "\n")
+    code = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.lit(COMMENT_LINE))), False)
+    return F.array_join(F.when(code > 0, F.slice(lines, F.lit(1), (code - 1).cast("int"))).otherwise(lines), "\n")
+
+
 def _ancestors(directory: Column) -> Column:
     """A directory ('/a/b/') and all above it."""
     parts = F.split(directory, "/")
@@ -95,18 +188,32 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         F.monotonically_increasing_id().alias("__file"), *[col(c).alias(f"k{i}__") for i, c in enumerate(keep)], path.alias("__path"),
         F.when(F.rlike(text, F.lit(LICENCE_WORD)), F.transform(candidates, lambda u: F.btrim(u))).otherwise(
             F.array().cast("array<string>")).alias("__units"),
-        F.size(F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")).alias("__words")), "files")
+        F.size(F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")).alias("__words"),
+        F.when(F.rlike(text, F.lit(LICENCE_WORD)), _plain(text)).alias("__plain"), text.alias("__text"))
+        .withColumn("__held", _held_by(F.col("__plain")))
+        .withColumn("__plain", F.when(F.size("__held") > 0, F.col("__plain")))
+        .withColumn("__top", F.when(F.size("__held") > 0, _plain(_header(F.col("__text"))))).drop("__text"), "files")
+    parts = files.where("__plain is not null").select("__file", F.explode(F.array(
+        F.struct(F.lit("whole").alias("part"), F.col("__plain").alias("plain"), F.col("__held").alias("held")),
+        F.struct(F.lit("header").alias("part"), F.col("__top").alias("plain"), _held_by(F.col("__top")).alias("held")))).alias("p"))
+    full = (matched_texts(parts.select("__file", "p.*").where(F.size("held") > 0)).groupBy("__file").agg(
+        F.max_by(F.struct("license", "score"), "part").alias("b"), F.max(F.col("part") == "whole").alias("is_whole"))
+        .select("__file", F.col("b.license").alias("full_license"), F.col("b.score").alias("full_score"), "is_whole"))
     each = files.select("__file", "__words", F.explode("__units").alias("unit"))
     matched = staged(matched_units(each.select("unit").distinct()), "matched")
     mine = (each.join(matched, "unit").groupBy("__file").agg(
         F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"),
         (F.sum(F.size(F.split("unit", r"[ \t\r\n]+"))) / F.max("__words")).alias("cover"))
         .select("__file", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("own_score"), "cover"))
-    named = staged(files.join(mine, "__file", "left").withColumn(
+    own = mine.join(full, "__file", "full").select(
+        "__file", F.coalesce("full_license", "own_license").alias("own_license"),
+        F.when(F.col("full_license").isNotNull(), F.col("full_score")).otherwise(F.col("own_score")).alias("own_score"),
+        "cover", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
+    named = staged(files.drop("__units", "__plain", "__top", "__held").join(own, "__file", "left").withColumn(
         "__dir", F.regexp_replace(F.when(F.startswith("__path", F.lit("/")), F.col("__path")).otherwise(
             F.concat(F.lit("/"), F.col("__path"))), "[^/]*$", "")), "named")
     says_so = F.rlike(F.regexp_extract("__path", "([^/]*)$", 1), F.lit(LICENCE_FILE))
-    licensed = (named.where(F.col("own_license").isNotNull() & (says_so | (F.col("cover") >= COVER)))
+    licensed = (named.where(F.col("own_license").isNotNull() & (says_so | F.col("is_whole") | (F.col("cover") >= COVER)))
                 .groupBy("__dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "own_license")).alias("b"))
                 .select(F.col("__dir").alias("at"), F.col("b.own_license").alias("held")))
     above = named.where("__dir is not null").select("__dir").distinct().select(

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from ratebook.llm import catalog, mixing
 from ratebook.llm.components import components
 from ratebook.llm.hilbert_ann import hilbert_keys, nearest_neighbours
-from ratebook.llm.licenses import scan_licenses
+from ratebook.llm.licenses import FULL, full_text, scan_licenses
 from ratebook.llm.repeats import first_least, names
 from ratebook.llm.simhash import fingerprint, posting_links, simhash_groups
 from ratebook.llm.suffix_dedup import merged, repeated_strings
-from tests.conftest import SMALL
+from tests.conftest import MEDIUM, SMALL
 from tests.llm import messy
 
 
@@ -267,6 +267,25 @@ def test_licences_and_inheritance(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_full_licence_texts_in_files_and_headers(spark):
+    mit = full_text("MIT").replace("MIT License\n", "Copyright (c) 2020 Some One and others\n")
+    header = "".join(f"# {line}\n" for line in mit.split("\n"))
+    code = "".join(f"value_{i} = call_{i % 50}(value_{i // 2})\n" for i in range(800))
+    affero = full_text("GPL-3.0").replace("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June",
+                                          "GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November", 1)
+    rows = [(f"/{k}/terms.txt", full_text(k)) for k in FULL if k != "AGPL-3.0"] + [(f"/{k}/sub/code.py", "x") for k in FULL]
+    rows += [("/AGPL-3.0/terms.txt", affero), ("/h/a.py", header + code), ("/h/b.py", code)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.found) for r in scan_licenses(files, F.col("path")).collect()}
+    want = {p: (p.split("/")[1], "text" if p.endswith(".txt") else "ancestor") for p, _ in rows}
+    assert got == want | {"/h/a.py": ("MIT", "text"), "/h/b.py": (None, None)}
+
+
+def test_licence_tree_has_inheriting_rows(spark):
+    found = Counter(r.found for r in catalog.QUERIES["op9_license_tree"](spark, MEDIUM).collect())
+    assert found["ancestor"] and found["text"] and found[None]
+
+
 def sources(spark, seed=3, n=6000):
     rng = random.Random(seed)
     rows = [(i, rng.choice(["a"] * 30 + ["b"] * 8 + ["c"] * 3 + [None] * 2 + ["z"]), rng.randint(0, 4000)) for i in range(n)]
