@@ -6,6 +6,14 @@ the distinct units of the corpus and the templates, and a unit has the licence
 of its nearest template from cosine ``THRESHOLD`` on. Equal units are compared
 once, so a line that a third of all files hold is one entry.
 
+A template counts only if the unit also holds its licence's name, version and
+clauses (``NAMES``), and a unit within ``MARGIN`` of templates of two licences
+has none. The sentence that all BSD licences begin with takes its clauses from
+the file. A line with an SPDX identifier has what it names, listed here or not
+("-only", "-or-later" and "+" go; several identifiers stay an expression). In
+files without a matched unit, a notice that is broken over lines counts if the
+file names one licence in such words.
+
 Whole files and their header blocks (the leading comment lines) that hold the
 marks of a licence's full text are compared with the full texts (``FULL``,
 ``license_texts/``) by the same cosine, with the idf of the full texts. From
@@ -63,6 +71,62 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Usual notices of their neighbours. They have the idf of the corpus and ``TEMPLATES``.
+NEIGHBOURS = (
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    *((f"CC-BY-{short}-4.0", text) for short, long in (("NC-ND", "NonCommercial-NoDerivatives"), ("NC-SA", "NonCommercial-ShareAlike"),
+                                                       ("ND", "NoDerivatives"), ("SA", "ShareAlike"))
+      for text in (f"Licensed under CC BY-{short} 4.0",
+                   f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License")),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("ISC", "Released under the ISC License"),
+    ("LGPL-2.0", "Licensed under the GNU Library General Public License, version 2"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1"),
+    ("Zlib", "Released under the zlib License"),
+)
+MARGIN = 0.05
+
+
+def _gnu(word: str, short: str, version: str) -> str:
+    v, name = rf"{version}(\.0)?(\+|-or-later|-only)?", rf"gnu {word}general public licen[cs]e"
+    return (rf"({name} (as published by the free software foundation )?(either )?(version |v ?)?{v}|version {v} of the {name}"
+            rf"|(gnu )?{short}[ -]?(version |v ?)?{v})")
+
+
+def _called(name: str) -> str:
+    return rf"({name}[ -]licen[cs]ed?|licen[cs]ed? (under )?(the )?(terms of the )?{name})"
+
+
+def _cc(short: str, long: str) -> str:
+    return rf"(cc[ -]by{short}|creative commons attribution{long})[ -](license |international )?(version |v ?)?4\.0"
+
+
+#: Per licence: what a notice's terms, in one line, must hold.
+NAMES = {
+    "AGPL-3.0": _gnu("affero ", "agpl", "3"), "GPL-1.0": _gnu("", "gpl", "1"), "GPL-2.0": _gnu("", "gpl", "2"), "GPL-3.0": _gnu("", "gpl", "3"),
+    "LGPL-2.0": _gnu("(library|lesser) ", "lgpl", "2"), "LGPL-2.1": _gnu("lesser ", "lgpl", r"2\.1"), "LGPL-3.0": _gnu("lesser ", "lgpl", "3"),
+    "Apache-2.0": r"(apache[ -](software )?(licen[cs]e )?(version |v ?)?2(\.0)?|version 2(\.0)? of the apache licen[cs]e)",
+    "BSD-2-Clause": r"(bsd[ -]?(2|two)[ -]clause|(2|two)[ -]clause bsd|simplified bsd)",
+    "BSD-3-Clause": r"(bsd[ -]?(3|three)[ -]clause|(3|three)[ -]clause bsd|(new|modified|revised) bsd)",
+    "CC-BY-4.0": _cc("", ""), "CC-BY-NC-4.0": _cc("[ -]nc", "[ -]noncommercial"),
+    "CC-BY-NC-ND-4.0": _cc("[ -]nc[ -]nd", "[ -]noncommercial[ -]noderiv(ativ|at)es"),
+    "CC-BY-NC-SA-4.0": _cc("[ -]nc[ -]sa", "[ -]noncommercial[ -]sharealike"),
+    "CC-BY-ND-4.0": _cc("[ -]nd", "[ -]noderiv(ativ|at)es"), "CC-BY-SA-4.0": _cc("[ -]sa", "[ -]sharealike"),
+    "CC0-1.0": r"(cc0([ -]1\.0)?|creative commons zero)",
+    "ISC": _called("isc"), "Zlib": _called("zlib( libpng)?"),
+    "MIT": rf"({_called('(mit( x11| open source)?|expat)')}|permission is hereby granted free of charge to any person obtaining a copy)",
+    "MPL-1.1": r"(mozilla public licen[cs]e |mpl[ -]?)(version |v ?)?1\.1", "MPL-2.0": r"(mozilla public licen[cs]e |mpl[ -]?)(version |v ?)?2(\.0)?",
+}
+#: The sentence of all BSD licences, and what tells them apart in a file.
+BSD_START = " redistribution and use in source and binary forms "
+BSD_CLAUSES = (("BSD-4-Clause", " all advertising materials "), ("BSD-3-Clause", " endorse or promote "),
+               ("BSD-2-Clause", " redistributions in binary form must reproduce "))
+IN_NOTICE = r" (under|to) (the terms (and conditions )?of )?(the |a )?"
+SPDX_ID = r"\(*[a-z0-9][a-z0-9.+:-]*\)*"
+SPDX = rf"(?i)spdx-license-identifier:[ \t]*({SPDX_ID}([ \t]+(and|or|with)[ \t]+{SPDX_ID})*)"
 _BSD = ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")
 _GPL = "terms and conditions for copying distribution and modification"
 #: Per licence: its full text's file, phrases of terms that a text must hold, and phrases that it must not.
@@ -100,20 +164,51 @@ def _weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "unit").select("unit", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _named(plain: Column, before: str = " ") -> Column:
+    """The licences whose names a text's terms hold."""
+    return F.filter(F.array(*[F.when(F.rlike(plain, F.lit(f"{before}{name} ")), F.lit(k)) for k, name in NAMES.items()]), lambda k: k.isNotNull())
+
+
+def _spdx(unit: Column) -> Column:
+    """What an SPDX line names, in the spelling used here; empty if it is no such line."""
+    known = F.create_map(*[F.lit(x) for k in sorted({*NAMES, *FULL}) for x in (k.lower(), k)],
+                         *[F.lit(x) for k in ("and", "or", "with") for x in (k, k.upper())])
+    found = F.regexp_replace(F.regexp_replace(F.regexp_extract(unit, SPDX, 1), r"[ \t]+", " "), "[.:-]+$", "")
+    plain = F.regexp_replace(F.regexp_replace(found, r"^\(([^()]*)\)$", "$1"), r"(?i)(-only|-or-later|\+)(?=[ )]|$)", "")
+    parts = F.split(F.regexp_replace(F.regexp_replace(plain, r"\(", "( "), r"\)", " )"), " ")
+    named = F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(known, F.lower(t)), t)), " ")
+    named = F.regexp_replace(F.regexp_replace(named, r"\( ", "("), r" \)", ")")
+    return F.when(F.lower(named).isin("none", "noassertion"), "").otherwise(named)
+
+
 def matched_units(units: DataFrame) -> DataFrame:
-    """(unit, license, score) of the distinct ``units`` that lie near a template."""
+    """(unit, license, score, any_bsd) of the distinct ``units`` that lie near a template; ``any_bsd``: the file tells which BSD licence."""
     spark = units.sparkSession
     templates = spark.createDataFrame(list(TEMPLATES), "license string, unit string")
+    every = templates.unionByName(spark.createDataFrame(list(NEIGHBOURS), "license string, unit string"))
     corpus = units.unionByName(templates.select("unit")).distinct()
     n = corpus.count()
     idf = (corpus.select(F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).groupBy("term").count()
            .select("term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("count"))) + 1.0).alias("idf")))
-    near = _weights(templates.select("unit").distinct(), idf).join(templates, "unit").select(
+    new = every.select(F.explode(_terms(F.col("unit"))).alias("term")).distinct().join(idf, "term", "left_anti")
+    idf = idf.unionByName(new.select("term", F.lit(math.log(1.0 + n) + 1.0).alias("idf")))
+    near = _weights(every.select("unit").distinct(), idf).join(every, "unit").select(
         F.col("unit").alias("template"), "license", "term", F.col("weight").alias("t"))
     both = _weights(units, idf).join(F.broadcast(near), "term")  # the templates are a fixed, small table
     cosine = both.groupBy("unit", "template", "license").agg(F.sum(F.col("weight") * F.col("t")).alias("score"))
-    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.round("score", 6)).alias("minus"), "license")).alias("b"))
-    return best.select("unit", "b.license", (-F.col("b.minus")).alias("score")).where(F.col("score") >= THRESHOLD)
+    plain = _plain(F.col("unit"))
+    begins = F.contains(plain, F.lit(BSD_START))
+    names = _named(plain)
+    any_bsd = begins & (F.size(F.filter(names, lambda k: F.startswith(k, F.lit("BSD")))) == 0)
+    allowed = cosine.where(F.array_contains(names, F.col("license")) | (any_bsd & (F.col("license") == "BSD-3-Clause")))
+    each = allowed.groupBy("unit", "license").agg(F.round(F.max("score"), 6).alias("score"))
+    best = each.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "license"))).alias("b"))
+    clear = (F.size("b") < 2) | (F.try_element_at("b", F.lit(2))["minus"] - F.col("b")[0]["minus"] >= MARGIN)
+    read = best.where(clear & (-F.col("b")[0]["minus"] >= THRESHOLD)).select(
+        "unit", F.col("b")[0]["license"].alias("license"), (-F.col("b")[0]["minus"]).alias("score"), any_bsd.alias("any_bsd"))
+    said = units.where(F.rlike("unit", F.lit(SPDX))).select(
+        "unit", _spdx(F.col("unit")).alias("license"), F.lit(1.0).alias("score"), F.lit(False).alias("any_bsd"))
+    return read.where(~F.rlike("unit", F.lit(SPDX))).unionByName(said.where("license <> ''"))
 
 
 def full_text(name: str) -> str:
@@ -191,6 +286,9 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         F.size(F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")).alias("__words"),
         F.when(F.rlike(text, F.lit(LICENCE_WORD)), _plain(text)).alias("__plain"), text.alias("__text"))
         .withColumn("__held", _held_by(F.col("__plain")))
+        .withColumn("__bsd", F.coalesce(*[F.when(F.contains("__plain", F.lit(x)), F.lit(k)) for k, x in BSD_CLAUSES]))
+        .withColumn("__notice", _named(F.col("__plain"), IN_NOTICE))
+        .withColumn("__notice", F.when(F.size("__notice") == 1, F.col("__notice")[0]))
         .withColumn("__plain", F.when(F.size("__held") > 0, F.col("__plain")))
         .withColumn("__top", F.when(F.size("__held") > 0, _plain(_header(F.col("__text"))))).drop("__text"), "files")
     parts = files.where("__plain is not null").select("__file", F.explode(F.array(
@@ -199,9 +297,10 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
     full = (matched_texts(parts.select("__file", "p.*").where(F.size("held") > 0)).groupBy("__file").agg(
         F.max_by(F.struct("license", "score"), "part").alias("b"), F.max(F.col("part") == "whole").alias("is_whole"))
         .select("__file", F.col("b.license").alias("full_license"), F.col("b.score").alias("full_score"), "is_whole"))
-    each = files.select("__file", "__words", F.explode("__units").alias("unit"))
+    each = files.select("__file", "__words", "__bsd", F.explode("__units").alias("unit"))
     matched = staged(matched_units(each.select("unit").distinct()), "matched")
-    mine = (each.join(matched, "unit").groupBy("__file").agg(
+    mine = (each.join(matched, "unit").withColumn("license", F.when(F.col("any_bsd"), F.col("__bsd")).otherwise(F.col("license")))
+            .where("license is not null").groupBy("__file").agg(
         F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"),
         (F.sum(F.size(F.split("unit", r"[ \t\r\n]+"))) / F.max("__words")).alias("cover"))
         .select("__file", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("own_score"), "cover"))
@@ -209,7 +308,9 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         "__file", F.coalesce("full_license", "own_license").alias("own_license"),
         F.when(F.col("full_license").isNotNull(), F.col("full_score")).otherwise(F.col("own_score")).alias("own_score"),
         "cover", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
-    named = staged(files.drop("__units", "__plain", "__top", "__held").join(own, "__file", "left").withColumn(
+    named = staged(files.drop("__units", "__plain", "__top", "__held", "__bsd").join(own, "__file", "left")
+                   .withColumn("own_score", F.when(F.coalesce("own_license", "__notice").isNotNull(), F.coalesce("own_score", F.lit(1.0))))
+                   .withColumn("own_license", F.coalesce("own_license", "__notice")).drop("__notice").withColumn(
         "__dir", F.regexp_replace(F.when(F.startswith("__path", F.lit("/")), F.col("__path")).otherwise(
             F.concat(F.lit("/"), F.col("__path"))), "[^/]*$", "")), "named")
     says_so = F.rlike(F.regexp_extract("__path", "([^/]*)$", 1), F.lit(LICENCE_FILE))

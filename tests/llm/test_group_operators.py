@@ -281,6 +281,30 @@ def test_full_licence_texts_in_files_and_headers(spark):
     assert got == want | {"/h/a.py": ("MIT", "text"), "/h/b.py": (None, None)}
 
 
+def test_near_misses_of_licence_notices(spark):
+    cases = [("GPL-2.0", "Licensed under the GNU General Public License, version 2"), ("GPL-3.0", "Licensed under the GNU GPL, version 3"),
+             (None, "This work is licensed under the GNU General Public License"), ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+             ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+             ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"), (None, "Licensed under the BSD License"),
+             ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"), ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+             ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"), (None, "Licensed under CC BY-SA 3.0"),
+             ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+             ("ISC", "Released under the ISC License"), ("Zlib", "Released under the Zlib License"), (None, "Released under the Foo License"),
+             ("MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1"),
+             (None, "Licensed under the Apache License, Version 1.1"), ("Apache-2.0", "// Licensed under the Apache License, Version 2.0 (the \"License\");"),
+             ("EUPL-1.2", "# SPDX-License-Identifier: EUPL-1.2"), ("GPL-2.0", "// SPDX-License-Identifier: gpl-2.0-only"),
+             ("Apache-2.0 OR MIT", "/* SPDX-License-Identifier: (Apache-2.0 or MIT) */"), (None, "SPDX-License-Identifier: NONE"),
+             ("GPL-2.0 WITH Classpath-exception-2.0", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0"),
+             *((f"GPL-{v}.0", "it under the terms of the GNU General Public License as published by\n"
+                f"# the Free Software Foundation, either version {v} of the License, or\n# any later version.") for v in (2, 3)),
+             ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy")]
+    bsd = full_text("BSD-2-Clause")
+    cases += [("BSD-2-Clause", "x = 1\n" * 400 + bsd), ("BSD-3-Clause", "x = 1\n" * 400 + full_text("BSD-3-Clause"))]
+    files = spark.createDataFrame([(i, f"/{i}/f", t) for i, (_, t) in enumerate(cases)], "i long, path string, text string")
+    got = {r.i: r.license for r in scan_licenses(files, F.col("path")).collect()}
+    assert [(got[i], t[:90]) for i, (_, t) in enumerate(cases)] == [(k, t[:90]) for k, t in cases]
+
+
 def test_licence_tree_has_inheriting_rows(spark):
     found = Counter(r.found for r in catalog.QUERIES["op9_license_tree"](spark, MEDIUM).collect())
     assert found["ancestor"] and found["text"] and found[None]
