@@ -162,6 +162,25 @@ def shared_keys(keys: np.ndarray, several: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_names(strips: np.ndarray, count: np.ndarray, least: int):
+    """Both names of each window of each padded strip, by pairs of names of their halves; and their strips and places in them."""
+    half = least // 2
+    found = [[], [], [], []]
+    for a in range(0, len(strips), ROWS_AT_ONCE):
+        part, here = strips[a:a + ROWS_AT_ONCE], count[a:a + ROWS_AT_ONCE].astype(np.int64)
+        own = np.repeat(np.arange(len(part)), here)
+        w = np.arange(len(own)) - np.repeat(np.cumsum(here) - here, here)
+        for which in (0, 1):
+            rest = names(part, least - half, which)
+            if half:
+                found[which].append(mixed(names(part, half, which)[own, w] * _power(which, least - half) + rest[own, w + half]))
+            else:
+                found[which].append(mixed(rest[own, w]))
+        found[2].append(own + a)
+        found[3].append(w)
+    return tuple(np.concatenate(f) for f in found)
+
+
 def least_documents(key, strips, count, offset, doc, least: int):
     """For each strip the smallest document of each of its windows.
 

@@ -14,15 +14,20 @@ before the next length.
 2. The windows on one surviving anchor are a unit, and their bytes a strip of
    fewer than two windows' length. Strips are named and sorted: an anchor name
    with one strip answers all its windows at once with its smallest document.
+   A block sends two strips of an anchor name at most, and how many it has.
 3. Where an anchor name has several strips, their windows are ranked by pairs
-   of half-window names at the full length.
+   of half-window names at the full length. At the edges of a passage that many
+   rows share, each row has a strip of its own: where the blocks have more than
+   ``HOT_STRIPS`` strips of an anchor name, they send the names of its windows
+   instead, so that only equal windows meet and the anchor name's windows
+   spread over all tasks.
 4. Each document compares its id with the answers, and the covered bytes go.
 
 Documents lie in blocks of about ``BLOCK_BYTES`` of text, in a scratch table
 bucketed by block, so answers meet their texts without a shuffle of texts. A
 block's names and strips are distinct with the smallest document before they
 are shuffled, so a passage that a third of all rows share is one entry a
-block. What is shuffled is packed arrays. Names that decide have 96 bits for
+block for each name within it. What is shuffled is packed arrays. Names that decide have 96 bits for
 strips (of one anchor name) and 128 bits for windows.
 
 Null texts are empty. Rows with a null id neither lose bytes nor make others
@@ -42,11 +47,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import bucketed, col, ship, staged, text_runs
-from ratebook.llm.repeats import Run, least_documents, same_as_before, shared_keys, strip_names
+from ratebook.llm.repeats import Run, least_documents, same_as_before, shared_keys, strip_names, window_names
 
 BLOCK_BYTES = 6_000_000
 RUN_BYTES = 1_000_000
 BUCKET_BYTES = 16_000_000
+#: Strips of one anchor name that are compared in one task; they take about 100 bytes each, and 26 names.
+HOT_STRIPS = 50_000
+#: A window's name is longer than what it adds to the text: names of windows have so many times the buckets.
+WINDOW_BUCKETS = 4
+WINDOWS_AT_ONCE = 500_000
 NO_DOCUMENT = np.iinfo(np.int64).max
 
 
@@ -135,7 +145,7 @@ def shared_rows(group):
     return pa.table({"block": pa.array(out[0], pa.int64()), "shared": pa.array(out[1], pa.binary())})
 
 
-STRIP_NAME = np.dtype([("key", "<u4"), ("name", "<u8"), ("doc", "<i8")])
+STRIP_NAME = np.dtype([("key", "<u4"), ("name", "<u8"), ("doc", "<i8"), ("strips", "<u2")])
 
 
 class Units:
@@ -167,6 +177,14 @@ class Units:
         self.strip = np.cumsum(new) - 1
         self.best = np.minimum.reduceat(self.id, self.first) if len(self.first) else self.id
 
+    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first two strips of each key, which tell whether a key has several; and each key's first strip and number of strips."""
+        same = same_as_before(self.key[self.first])
+        third = same.copy()
+        third[1:] &= same[:-1]
+        begin = np.flatnonzero(~same)
+        return np.flatnonzero(~third), begin, np.diff(np.append(begin, len(same)))
+
     def bytes(self, units: np.ndarray) -> np.ndarray:
         """The padded strips of some units."""
         out = np.empty((len(units), self.width), dtype=np.uint8)
@@ -186,41 +204,54 @@ def strip_rows(least: int, gram: int, buckets: int):
         out = []
         if texts.num_rows and replies.num_rows:
             u = Units(texts, np.unique(_joined(replies["shared"].to_pylist(), np.uint64)), least, gram)
-            table = np.empty(len(u.first), dtype=STRIP_NAME)
-            table["key"] = u.key[u.first].astype(np.uint32)
-            table["name"], table["doc"] = u.name[u.first], u.best
+            sent, begin, size = u.sent()
+            one = u.first[sent]
+            strips = np.zeros(len(u.first), dtype=np.uint16)
+            strips[begin] = np.minimum(size, np.iinfo(np.uint16).max)
+            table = np.empty(len(one), dtype=STRIP_NAME)
+            table["key"] = u.key[one].astype(np.uint32)
+            table["name"], table["doc"], table["strips"] = u.name[one], u.best[sent], strips[sent]
             block = texts["block"][0].as_py()
-            out = [(b, block, table[s].tobytes()) for b, s in _slices(_bucket(u.key[u.first], buckets), buckets)]
+            out = [(b, block, table[s].tobytes()) for b, s in _slices(_bucket(u.key[one], buckets), buckets)]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()),
                          "block": pa.array([o[1] for o in out], pa.int64()),
                          "strips": pa.array([o[2] for o in out], pa.binary())})
     return run
 
 
-def answer_rows(group):
-    """Step 2, reduce side: each strip's smallest document, and whether its key has several strips."""
-    tables = [np.frombuffer(x, dtype=STRIP_NAME) for x in group["strips"].to_pylist()]
-    every = np.concatenate(tables)
-    order = np.lexsort((every["name"], every["key"]))
-    key, name = every["key"][order], every["name"][order]
-    first = np.flatnonzero(~same_as_before(key, name))
-    size = np.diff(np.append(first, len(key)))
-    start = np.flatnonzero(~same_as_before(key[first]))
-    variants = np.diff(np.append(start, len(first)))
-    best, several = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=bool)
-    best[order] = np.repeat(np.minimum.reduceat(every["doc"][order], first), size)
-    several[order] = np.repeat(np.repeat(variants > 1, variants), size)
-    ends = np.cumsum([len(t) for t in tables])
-    return pa.table({
-        "block": group["block"].cast(pa.int64()), "bucket": group["bucket"].cast(pa.int32()),
-        "best": pa.array([best[e - len(t):e].tobytes() for t, e in zip(tables, ends)], pa.binary()),
-        "several": pa.array([np.packbits(several[e - len(t):e]).tobytes() for t, e in zip(tables, ends)], pa.binary())})
+def answer_rows(hot_strips: int):
+    """Step 2, reduce side: each strip's smallest document, and whether its key has several strips, or more than ``hot_strips``."""
+    def run(group):
+        tables = [np.frombuffer(x, dtype=STRIP_NAME) for x in group["strips"].to_pylist()]
+        every = np.concatenate(tables)
+        order = np.lexsort((every["name"], every["key"]))
+        key, name = every["key"][order], every["name"][order]
+        first = np.flatnonzero(~same_as_before(key, name))
+        size = np.diff(np.append(first, len(key)))
+        start = np.flatnonzero(~same_as_before(key[first]))
+        variants = np.diff(np.append(start, len(first)))
+        of_key = np.add.reduceat(every["strips"][order].astype(np.int64), first[start])
+        best, several, hot = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=bool), np.empty(len(key), dtype=bool)
+        best[order] = np.repeat(np.minimum.reduceat(every["doc"][order], first), size)
+        several[order] = np.repeat(np.repeat(variants > 1, variants), size)
+        hot[order] = np.repeat(np.repeat(of_key > hot_strips, variants), size)
+        ends = np.cumsum([len(t) for t in tables])
+
+        def bits(mask):
+            return pa.array([np.packbits(mask[e - len(t):e]).tobytes() for t, e in zip(tables, ends)], pa.binary())
+        return pa.table({
+            "block": group["block"].cast(pa.int64()), "bucket": group["bucket"].cast(pa.int32()),
+            "best": pa.array([best[e - len(t):e].tobytes() for t, e in zip(tables, ends)], pa.binary()),
+            "several": bits(several), "hot": bits(hot & several)})
+    return run
 
 
 UNIT = np.dtype([("row", "<u4"), ("place", "<u4"), ("strip", "<u4"), ("count", "u1"), ("doc", "<i8")])
 STRIP = np.dtype([("key", "<u8"), ("doc", "<i8"), ("count", "u1"), ("offset", "u1")])
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8")])
+PLACE = np.dtype([("window", "<u4"), ("row", "<u4"), ("start", "<u4")])
 COVER = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
-WINDOW_ROWS = "block long, bucket int, strips binary, bytes binary, units binary, cover binary"
+WINDOW_ROWS = "block long, bucket int, strips binary, bytes binary, units binary, part int, windows binary, places binary, cover binary"
 
 
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -240,28 +271,37 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def window_rows(least: int, gram: int, buckets: int):
-    """Step 2's answers applied, and step 3's map side: strips and units of keys with several strips."""
+    """Step 2's answers applied, and step 3's map side: strips and units of keys with several strips, or names of the windows of hot ones.
+
+    A unit whose strip a smaller document of the block holds is covered, and so
+    is a named window that one holds; the others wait for the answers.
+    """
     def run(texts, replies):
         out = []
         if texts.num_rows and replies.num_rows:
             block = texts["block"][0].as_py()
             u = Units(texts, np.unique(_joined(replies["shared"].drop_null().to_pylist(), np.uint64)), least, gram)
-            answered = sorted((b, best, s) for b, best, s in zip(*(replies[c].to_pylist() for c in ("bucket", "best", "several")))
-                              if best is not None)
-            best = _joined([x[1] for x in answered], np.int64)
-            several = np.concatenate([np.unpackbits(np.frombuffer(s, dtype=np.uint8), count=len(x) // 8).astype(bool)
-                                      for _, x, s in answered] or [np.zeros(0, dtype=bool)])
+            answered = sorted((x for x in zip(*(replies[c].to_pylist() for c in ("bucket", "best", "several", "hot"))) if x[1] is not None),
+                              key=lambda x: x[0])
+            sent, begin, size = u.sent()
+
+            def bits(i):
+                return np.concatenate([np.unpackbits(np.frombuffer(x[i], dtype=np.uint8), count=len(x[1]) // 8).astype(bool)
+                                       for x in answered] or [np.zeros(0, dtype=bool)])
+            best, several, hot = u.best.copy(), np.ones(len(u.first), dtype=bool), np.zeros(len(u.first), dtype=bool)
+            best[sent], several[sent], hot[sent] = _joined([x[1] for x in answered], np.int64), bits(2), bits(3)
+            hot = np.repeat(hot[begin], size)
             open_ = several[u.strip]
-            sure = np.flatnonzero(~open_ & (best[u.strip] < u.id))
-            cover = merged(u.row[sure], u.place[sure], u.place[sure] + u.count[sure] + least - 1)
-            if len(cover):
-                out.append((block, None, None, None, None, cover.tobytes()))
-            strips = np.flatnonzero(several)
+            sure = np.flatnonzero(np.where(open_, u.best[u.strip], best[u.strip]) < u.id)
+            covers = [merged(u.row[sure], u.place[sure], u.place[sure] + u.count[sure] + least - 1)]
+            waits = open_ & (u.best[u.strip] == u.id)
+
+            strips = np.flatnonzero(several & ~hot)
             one = u.first[strips]
             table = np.empty(len(one), dtype=STRIP)
             table["key"], table["doc"], table["count"], table["offset"] = u.key[one], u.best[strips], u.count[one], u.offset[one]
             shown = u.bytes(one)
-            mine = np.flatnonzero(open_)
+            mine = np.flatnonzero(waits & ~hot[u.strip])
             units = np.empty(len(mine), dtype=UNIT)
             units["row"], units["place"], units["count"], units["doc"] = u.row[mine], u.place[mine], u.count[mine], u.id[mine]
             owner = np.searchsorted(strips, u.strip[mine])
@@ -269,10 +309,31 @@ def window_rows(least: int, gram: int, buckets: int):
                 a, z = np.searchsorted(owner, [s.start, s.stop])
                 part = units[a:z].copy()
                 part["strip"] = owner[a:z] - s.start
-                out.append((block, b, table[s].tobytes(), shown[s].tobytes(), part.tobytes(), None))
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+                out.append((block, b, table[s].tobytes(), shown[s].tobytes(), part.tobytes(), None, None, None, None))
+
+            rest = np.flatnonzero(waits & hot[u.strip])
+            step = max(1, WINDOWS_AT_ONCE // (least - gram + 1))
+            for part, units in enumerate(rest[a:a + step] for a in range(0, len(rest), step)):
+                h1, h2, own, w = window_names(u.bytes(units), u.count[units], least)
+                own = units[own]
+                order = np.lexsort((u.id[own], h2, h1))
+                h1, h2, own, w = (x[order] for x in (h1, h2, own, w))
+                doc, row, start = u.id[own], u.row[own], u.place[own] + w
+                new = ~same_as_before(h1, h2)
+                first, window = np.flatnonzero(new), np.cumsum(new) - 1
+                table = np.empty(len(first), dtype=WINDOW)
+                table["h1"], table["h2"], table["doc"] = h1[first], h2[first], doc[first]
+                later = table["doc"][window] < doc
+                covers.append(merged(row[later], start[later], start[later] + least))
+                places = np.empty(int((~later).sum()), dtype=PLACE)
+                places["window"], places["row"], places["start"] = window[~later], row[~later], start[~later]
+                out.append((block, None, None, None, None, part, None, places.tobytes(), None))
+                out.extend((block, b, None, None, None, part, table[s].tobytes(), None, None)
+                           for b, s in _slices(_bucket(table["h1"], WINDOW_BUCKETS * buckets), WINDOW_BUCKETS * buckets))
+            out.extend((block, *[None] * 7, c.tobytes()) for c in covers if len(c))
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int32(), *[pa.binary()] * 3)
         return pa.Table.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
-                                    names=["block", "bucket", "strips", "bytes", "units", "cover"])
+                                    names=["block", "bucket", "strips", "bytes", "units", "part", "windows", "places", "cover"])
     return run
 
 
@@ -297,6 +358,22 @@ def window_answers(least: int, gram: int):
     return run
 
 
+def named_answers(group):
+    """Step 3, reduce side, hot keys: whether a smaller document than the block's smallest holds a window."""
+    tables = [np.frombuffer(x, dtype=WINDOW) for x in group["windows"].to_pylist()]
+    every = np.concatenate(tables)
+    order = np.lexsort((every["h2"], every["h1"]))
+    first = np.flatnonzero(~same_as_before(every["h1"][order], every["h2"][order]))
+    least = np.minimum.reduceat(every["doc"][order], first)
+    smaller = np.empty(len(every), dtype=bool)
+    smaller[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < every["doc"][order]
+    ends = np.cumsum([len(t) for t in tables])
+    return pa.table({
+        "block": group["block"].cast(pa.int64()), "part": group["part"].cast(pa.int32()), "bucket": group["bucket"].cast(pa.int32()),
+        "n": pa.array([len(t) for t in tables], pa.int32()),
+        "smaller": pa.array([np.packbits(smaller[e - len(t):e]).tobytes() for t, e in zip(tables, ends)], pa.binary())})
+
+
 def cover_rows(least: int):
     """Step 4: the byte runs that each open unit's repeated windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +398,26 @@ def cover_rows(least: int):
     return run
 
 
+def named_cover_rows(least: int):
+    """Step 4, hot keys: the byte runs that a block's repeated windows cover."""
+    def run(waiting, answers):
+        out, block = [], None
+        if waiting.num_rows and answers.num_rows:
+            block = waiting["block"][0].as_py()
+            answered: dict[int, list] = {}
+            for part, _, n, smaller in sorted(zip(*(answers[c].to_pylist() for c in ("part", "bucket", "n", "smaller")))):
+                answered.setdefault(part, []).append(np.unpackbits(np.frombuffer(smaller, dtype=np.uint8), count=n).astype(bool))
+            for part, places in zip(waiting["part"].to_pylist(), waiting["places"].to_pylist()):
+                at = np.frombuffer(places, dtype=PLACE)
+                at = at[np.concatenate(answered[part])[at["window"]]]
+                start = at["start"].astype(np.int64)
+                cover = merged(at["row"], start, start + least)
+                if len(cover):
+                    out.append(cover.tobytes())
+        return pa.table({"block": pa.array([block] * len(out), pa.int64()), "cover": pa.array(out, pa.binary())})
+    return run
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -345,7 +442,8 @@ def cut_rows(texts, covers):
                                 names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
-def repeated_strings(df: DataFrame, least: int = 50, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def repeated_strings(df: DataFrame, least: int = 50, text_col: str = "text", id_col: str = "doc_id",
+                     hot_strips: int = HOT_STRIPS) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are byte runs, end exclusive."""
     gram = max(1, least // 2)
     texts = text_blocks(df, text_col, id_col)
@@ -362,14 +460,19 @@ def repeated_strings(df: DataFrame, least: int = 50, text_col: str = "text", id_
     shared = staged(anchors.groupBy("bucket").applyInArrow(shared_rows, "block long, shared binary"), "shared")
     strips = with_texts(shared, strip_rows(least, gram, buckets), "bucket int, block long, strips binary")
     answers = staged(strips.groupBy("bucket").applyInArrow(
-        answer_rows, "block long, bucket int, best binary, several binary"), "answers")
+        answer_rows(hot_strips), "block long, bucket int, best binary, several binary, hot binary"), "answers")
     windows = staged(with_texts(shared.unionByName(answers, allowMissingColumns=True),
                                 window_rows(least, gram, buckets), WINDOW_ROWS), "windows")
-    opened = windows.where("bucket is not null")
+    opened = windows.where("strips is not null")
     ranked = staged(opened.select("block", "bucket", "strips", "bytes").groupBy("bucket").applyInArrow(
         window_answers(least, gram), "block long, bucket int, windows binary"), "ranked")
     late = (opened.select("block", "bucket", "strips", "units").join(ranked, ["block", "bucket"])
             .select("block", "strips", "units", "windows").mapInArrow(cover_rows(least), "block long, cover binary"))
+    named = staged(windows.where("windows is not null").select("block", "part", "bucket", "windows").groupBy("bucket").applyInArrow(
+        named_answers, "block long, part int, bucket int, n int, smaller binary"), "named")
+    waiting = windows.where("places is not null").select("block", "part", "places")
+    late = late.unionByName(waiting.groupBy("block").cogroup(named.withColumnRenamed("block", "at").groupBy("at"))
+                            .applyInArrow(named_cover_rows(least), "block long, cover binary"))
     covers = staged(windows.where("cover is not null").select("block", "cover").unionByName(late), "covers")
     return with_texts(covers, cut_rows, "id long, n_bytes long, n_removed long, "
                       "spans array<struct<start:int,end:int>>, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -7,6 +7,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from ratebook.llm.hilbert_ann import hilbert_keys, nearest_neighbours
 from ratebook.llm.licenses import FULL, full_text, scan_licenses
 from ratebook.llm.repeats import first_least, names
 from ratebook.llm.simhash import fingerprint, posting_links, simhash_groups
-from ratebook.llm.suffix_dedup import merged, repeated_strings
+from ratebook.llm.suffix_dedup import anchor_rows, merged, repeated_strings, shared_rows, strip_rows, window_rows, answer_rows
 from tests.conftest import MEDIUM, SMALL
 from tests.llm import messy
 
@@ -100,6 +102,45 @@ def test_names_by_doubling_and_first_least():
         assert got.tolist() == [i + int(np.argmin(values[i:i + width])) for i in range(len(values) - width + 1)]
 
 
+def passage_between_flanks(n):
+    rng = np.random.default_rng(7)
+    passage = "".join(map(chr, rng.integers(97, 123, 300)))
+    return [(i, "".join(map(chr, rng.integers(97, 123, 120))) + passage + "".join(map(chr, rng.integers(97, 123, 120)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [0, 8, 50_000])
+def test_hot_strips_equal_brute_force(spark, hot):
+    for rows, least in ((passage_between_flanks(150), 50), (random_documents(3), 20)):
+        got = repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), least, hot_strips=hot).collect()
+        assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got], key=str) == brute_repeats(rows, least)
+
+
+def test_strips_at_the_edges_of_a_passage_do_not_meet_in_one_group():
+    n, per, buckets = 800, 100, 4096
+    rows = passage_between_flanks(n)
+    blocks = [pa.table({"block": [b] * per, "row": pa.array(range(per), pa.int32()), "id": [i for i, _ in part], "raw": [t.encode() for _, t in part]})
+              for b in range(n // per) for part in [rows[b * per:(b + 1) * per]]]
+
+    def by_bucket(tables):
+        every = pa.concat_tables(tables)
+        return [every.filter(pc.equal(every["bucket"], b)) for b in pc.unique(every["bucket"].drop_null()).to_pylist()]
+
+    def of_block(table, b):
+        return table.filter(pc.equal(table["block"], b))
+
+    anchors = [pa.Table.from_batches(list(anchor_rows(50, 25, buckets)(x.select(["block", "raw"]).to_batches()))) for x in blocks]
+    shared = pa.concat_tables([shared_rows(g) for g in by_bucket(anchors)])
+    strips = by_bucket([strip_rows(50, 25, buckets)(x, of_block(shared, b)) for b, x in enumerate(blocks)])
+    answers = pa.concat_tables([answer_rows(100)(g) for g in strips])
+    replies = pa.concat_tables([shared, answers], promote_options="default")
+    windows = [window_rows(50, 25, buckets)(x, of_block(replies, b)) for b, x in enumerate(blocks)]
+    named = by_bucket([x.filter(pc.is_valid(x["windows"])) for x in windows])
+    ranked = by_bucket([x.filter(pc.is_valid(x["strips"])) for x in windows])
+    assert max(sum(map(len, g["strips"].to_pylist())) // 22 for g in strips) <= 4 * len(blocks)
+    assert max((sum(map(len, g["strips"].to_pylist())) // 18 for g in ranked), default=0) <= 200
+    assert len(named) > 1000 and max(sum(map(len, g["windows"].to_pylist())) // 24 for g in named) <= 8 * len(blocks)
+
+
 def test_merged_runs():
     cover = merged(np.array([2, 1, 1, 1, 2]), np.array([0, 5, 0, 20, 3]), np.array([4, 9, 5, 22, 8]))
     assert cover.tolist() == [(1, 0, 9), (1, 20, 22), (2, 0, 8)]
