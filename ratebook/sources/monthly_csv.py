@@ -53,9 +53,14 @@ def _project(rows: DataFrame, layout: tuple) -> DataFrame:
 
 
 def _width(spark: SparkSession, paths) -> int:
-    """An upper bound of the cells of any row: the commas of the widest line, plus one."""
-    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    return (spark.read.text(paths).agg(F.max(commas)).first()[0] or 0) + 1
+    """An upper bound of the cells of any row: the commas of the widest record, plus one.
+
+    Read as one cell, a record of several is kept whole, with its quoted line breaks.
+    """
+    whole = csv_reader(spark, header=False).schema("_c0 string, _record string").option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_record").csv(paths)
+    commas = F.length("_record") - F.length(F.replace("_record", F.lit(","), F.lit("")))
+    return (whole.agg(F.max(F.struct(F.coalesce(commas, F.lit(0)).alias("n"), "_c0"))["n"]).first()[0] or 0) + 1
 
 
 def scan_monthly(spark: SparkSession, paths) -> DataFrame:

@@ -11,7 +11,7 @@ from ratebook.operators.notices import first_seen_links, keychart_rows
 from ratebook.operators.ordinal import number_rows
 from ratebook.sinks.store import RateStore
 from ratebook.sources.forms import header_names, scan_forms
-from ratebook.sources.monthly_csv import scan_monthly
+from ratebook.sources.monthly_csv import _width, scan_monthly
 from ratebook.streaming.rates_stream import RECORD_COLUMNS, merge_batch
 
 
@@ -130,3 +130,19 @@ def test_merge_rewrites_touched_months_only(spark, tmp_path):
     assert store.read([(2025, 3)]).count() == 1
     store.write(store.read().where("month = 1"))
     assert list(store.month_folders()) == ["year=2025/month=1"]
+
+
+def test_monthly_csv_whose_records_all_hold_a_line_break(spark, tmp_path):
+    from ratebook.schemas import MONTHLY_FIELDS
+    rows = []
+    for month in ("1", "2"):
+        cells = [{"year": "2024", "month": month}.get(f, "") for f in MONTHLY_FIELDS]
+        at = [i for i, f in enumerate(MONTHLY_FIELDS) if f not in ("year", "month")]
+        cells[at[0]] = '"\n7.5"'
+        cells[at[-1]] = "7.25"
+        rows.append(",".join(cells))
+    path = tmp_path / "m.csv"
+    path.write_text("\n".join(rows) + "\n")
+    assert _width(spark, [str(path)]) == len(MONTHLY_FIELDS)
+    got = {r["month"].lstrip("0"): r for r in scan_monthly(spark, [str(path)]).collect()}
+    assert sorted(got) == ["1", "2"] and all(r[MONTHLY_FIELDS[at[-1]]] for r in got.values())
