@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import staged, table
+from ratebook.llm.divergence import oracle as divergence_sql
+from ratebook.llm.divergence import source_divergence
+from ratebook.llm.hard_negatives import hard_negatives
+from ratebook.llm.hard_negatives import oracle as negatives_sql
 from ratebook.llm.hilbert_ann import nearest_neighbours
 from ratebook.llm.licenses import oracle as license_sql
 from ratebook.llm.licenses import scan_licenses
+from ratebook.llm.matrix_bpe import decode_ids, encode_texts, ids_text
 from ratebook.llm.mixing import budgeted_copies, source_weights
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
@@ -123,3 +128,30 @@ def op9_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE_PATH = ("'/' || source || '/' || lang || case when doc_id % 4 = 0 then '/LICENSE-' else '/d' || cast(doc_id % 5 as {text}) "
              "|| '/e' || cast(doc_id % 3 as {text}) || '/' end || cast(doc_id as {text})")
 SQL["op9_license_tree"] = license_sql("doc_id", TREE_PATH.format(text="varchar"), "documents")
+
+
+@register("op11_source_divergence")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = divergence_sql("documents")
+
+
+@register("op12_hard_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label_col=label)
+
+
+SQL["op12_hard_negatives"] = negatives_sql("embeddings")
+
+
+@register("op13_bpe_codec")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode_ids(encode_texts(docs, *files), *files)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.expr(ids_text("ids")).cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
