@@ -14,7 +14,7 @@ from ratebook.llm.hard_negatives import oracle as negatives_sql
 from ratebook.llm.hilbert_ann import nearest_neighbours
 from ratebook.llm.licenses import oracle as license_sql
 from ratebook.llm.licenses import scan_licenses
-from ratebook.llm.matrix_bpe import decode_ids, encode_texts, ids_text
+from ratebook.llm.matrix_bpe import ids_text, round_trip
 from ratebook.llm.mixing import budgeted_copies, source_weights
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
@@ -151,7 +151,7 @@ SQL["op12_hard_negatives"] = negatives_sql("embeddings")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_ids(encode_texts(docs, *files), *files)
+    coded = round_trip(docs, *files)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.expr(ids_text("ids")).cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
