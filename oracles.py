@@ -988,6 +988,20 @@ oracle("forms_scan", q(FORMS_RAW, """SELECT source_file AS folder, _key AS order
   currency_raw AS currency, date_raw AS date, project_raw AS project,
   CASE WHEN source_file = 'orders_cn' THEN remark_raw END AS description FROM forms"""))
 
+oracle("form_records", """
+WITH o AS (SELECT o_orderkey AS k, (o_orderkey - 1) // 500 AS part, o_totalprice, o_orderdate FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) + 1 AS source_row FROM o)
+SELECT part, source_row,
+  CASE WHEN k % 53 <> 0 THEN CAST(k AS VARCHAR) END AS order_text,
+  CASE WHEN k % 53 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount_text,
+  CASE WHEN k % 53 <> 0 AND k % 59 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date_text,
+  CASE WHEN k % 53 = 0 OR k % 59 = 0 THEN NULL WHEN k % 7 = 0 THEN 'two' || chr(10) || 'lines, of ' || k
+       WHEN k % 5 = 0 THEN 'said "' || k || '"' ELSE '5" pipe' END AS project_text,
+  CASE WHEN k % 53 = 0 THEN 'long' WHEN k % 59 = 0 THEN 'short' END AS reason,
+  CASE WHEN k % 53 = 0 THEN CAST(7 AS BIGINT) WHEN k % 59 = 0 THEN CAST(3 AS BIGINT) END AS cells,
+  CASE WHEN k % 53 = 0 THEN FALSE WHEN k % 59 = 0 THEN TRUE END AS kept
+FROM n""")
+
 oracle("multi_path_scan", q(FORMS_RAW, "SELECT source_file AS folder, _key AS order_key FROM forms"))
 
 oracle("scan_usecols", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")

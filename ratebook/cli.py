@@ -35,10 +35,11 @@ def cmd_process_forms(a) -> int:
     from ratebook.operators.mapping import DEFAULT_MAPPING, MappingConfig
     from ratebook.plans.process_forms import FormsConfig, process_forms
     from ratebook.sinks.forms import write_outcomes
-    from ratebook.sources.forms import scan_forms
+    from ratebook.sources.forms import read_forms
     spark = _spark()
     mapping = MappingConfig.from_yaml(a.mapping) if a.mapping else DEFAULT_MAPPING
-    files = scan_forms(spark, a.inputs)
+    scanned = read_forms(spark, a.inputs)
+    files = scanned.groups
     rates = _read(spark, a.rates) if a.rates else None
     overrides = {}
     for item in a.rate or []:
@@ -54,6 +55,8 @@ def cmd_process_forms(a) -> int:
     res = process_forms(files, mapping, FormsConfig(a.base_currency, a.round_digits, window_days=a.window),
                         rates=rates, static_overrides=overrides, default_rate=a.default_rate, decisions=decisions)
     out = write_outcomes(res, a.output)
+    if scanned.malformed is not None:
+        scanned.malformed.write.mode("overwrite").parquet(f"{a.output}/malformed")
     print(json.dumps(out["counts"]))
     return 0
 

@@ -1043,6 +1043,41 @@ def q_multi_path_scan(spark, sf_dir):
         "folder", "order_key")
 
 
+def _write_odd_forms(spark, sf_dir) -> str:
+    """Orders landed as CSV files of up to 500 records each, written by hand: a header with a quoted line break,
+    quoted cells with line breaks, commas and quotes, blank lines, and records with too many or too few cells."""
+    from ratebook.session import scratch_dir
+    root = scratch_dir(spark, "forms-odd")
+    k = F.col("o_orderkey")
+    amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    note = (F.when(k % 7 == 0, F.concat(F.lit('"two'), F.lit("\n"), F.lit('lines, of '), k.cast("string"), F.lit('"')))
+            .when(k % 5 == 0, F.concat(F.lit('"said ""'), k.cast("string"), F.lit('"""'))).otherwise(F.lit('5" pipe')))
+    cells = [k.cast("string"), amount, F.lit("USD"), F.date_format("o_orderdate", "yyyy-MM-dd"), note]
+    line = (F.when(k % 53 == 0, F.concat_ws(",", *cells, F.lit("x"), F.lit("")))
+            .when(k % 59 == 0, F.concat_ws(",", *cells[:3]))
+            .when(k % 61 == 0, F.concat(F.lit(" \n"), F.concat_ws(",", *cells))).otherwise(F.concat_ws(",", *cells)))
+    orders = table(spark, sf_dir, "orders").select(k, F.floor((k - 1) / 500).alias("part"), line.alias("value"))
+    header = orders.select("part").distinct().select(F.lit(0).cast("long").alias("o_orderkey"), "part",
+                                                     F.lit('Order,"Amo\nunt",Currency,Date,Project').alias("value"))
+    (orders.unionByName(header).repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value")
+     .write.partitionBy("part").text(root))
+    return root
+
+
+@register("form_records")
+def q_form_records(spark, sf_dir):
+    """Every record of such files with its place: mapped, or in the side table with a reason."""
+    from ratebook.sources.forms import expand_paths, read_csv_forms
+    scanned = read_csv_forms(spark, expand_paths(spark, [f"{_write_odd_forms(spark, sf_dir)}/part=*/*"]))
+    (_, frame), = scanned.groups
+    part = F.regexp_extract("_path", "part=([0-9]+)", 1).cast("bigint").alias("part")
+    good = frame.select(part, "source_row", F.col("Order").alias("order_text"), F.col("Amo\nunt").alias("amount_text"),
+                        F.col("Date").alias("date_text"), F.col("Project").alias("project_text"))
+    odd = scanned.malformed.select(part, "source_row", "reason", F.col("cells").cast("bigint").alias("cells"), "kept")
+    return good.join(odd, ["part", "source_row"], "full").select("part", "source_row", "order_text", "amount_text", "date_text",
+                                                                 "project_text", "reason", "cells", "kept")
+
+
 @register("scan_usecols")
 def q_scan_usecols(spark, sf_dir):
     """One table with a column subset (pruned at the Parquet scan)."""

@@ -65,7 +65,7 @@ def test_csv_quotes_line_breaks_and_repeated_headers(spark, tmp_path):
     rows = {(r.source_file, r.source_row): (r.amount, r.project) for r in
             apply_column_mapping(frame, DEFAULT_MAPPING, ("source_file", "source_row")).frame.collect()}
     assert rows == {("one.csv", 2): ("1.5", 'He said "hi", ok'), ("one.csv", 3): ("2", "two\nlines"), ("two.csv", 2): ("3", "p")}
-    assert header_names("a,a,,a") == ["a", "a.1", "Unnamed: 2", "a.2"]
+    assert header_names(["a", "a", "", "a"]) == ["a", "a.1", "Unnamed: 2", "a.2"]
 
 
 def test_cells_of_odd_numbers(spark):
