@@ -306,7 +306,7 @@ def visit(rows: DataFrame, anchors: DataFrame, space: Space, size: int, window:
                 continue
             q = s.matrix(raws)
             top, _ = s.bounds(q)
-            goes = []
+            goes, floors = [], []
             for k in range(len(ids)):
                 answers = [a for _, a in answers_for(wants[k])]
                 on = usable(s.labels, labels[k], s.ids, ids[k])
@@ -315,10 +315,13 @@ def visit(rows: DataFrame, anchors: DataFrame, space: Space, size: int, window:
                 need = min((a.need for a in answers), default=math.inf)
                 reach = np.maximum.reduceat((top[0][k][s.cells[:, 0]] + top[1][k][s.cells[:, 1]])[members], starts)
                 goes.append(numbers[reach >= need])
+                floors.append([a.need for a in answers])
             counts = [len(g) for g in goes]
             at = pa.array(np.repeat(np.arange(len(ids)), counts))
             out = batch.select(["id", "label", "raw", "wants"]).take(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(goes)), *out.columns], names=["block", "id", "label", "raw", "wants"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(goes)), *out.columns, pa.array(floors, pa.list_(pa.int64())).take(at)],
+                names=["block", "id", "label", "raw", "wants", "floors"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -342,7 +345,7 @@ def visit(rows: DataFrame, anchors: DataFrame, space: Space, size: int, window:
                     yield from asked(s, block, part)
 
     def asked(s: Space, block: Block, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, labels, raws, wants = _rows(part, "id", "label", "raw", "wants")
+        ids, labels, raws, wants, floors = _rows(part, "id", "label", "raw", "wants", "floors")
         q = s.matrix(raws)
         top, low = s.bounds(q)
         out = [[] for _ in range(5)]
@@ -350,14 +353,9 @@ def visit(rows: DataFrame, anchors: DataFrame, space: Space, size: int, window:
         for k in range(len(ids)):
             answers = answers_for(wants[k])
             on = same[labels[k]] & (block.ids != ids[k]) if window is None else ~same[labels[k]]
-            # The sample's rows are rows like all others: what they reach need not be looked for below.
-            floors = [Best(size, a.low, a.high) for _, a in answers]
+            for (_, a), floor in zip(answers, floors[k], strict=True):
+                a.need = floor  # the sample's rows are rows like all others: below what they reach nothing is needed
             if answers:
-                known = usable(s.labels, labels[k], s.ids, ids[k])
-                scores = s.sample[known] @ q[k]
-                for f, (_, a) in zip(floors, answers, strict=True):
-                    f.add(scores, s.ids[known])
-                    a.need = f.need
                 block.search(q[k], [t[k] for t in top], [x[k] for x in low], [a for _, a in answers], on)
             for w, a in answers:
                 for values, v in zip(out, (ids[k], w and w["id"], w and w["score"]), strict=False):
@@ -369,10 +367,11 @@ def visit(rows: DataFrame, anchors: DataFrame, space: Space, size: int, window:
 
     wanting = anchors.withColumn("wants", F.lit(None).cast(wanted)) if window is None else anchors
     sent = wanting.select("id", "label", "raw", "wants").mapInArrow(
-        route, f"block int, id long, label string, raw binary, wants {wanted}")
+        route, f"block int, id long, label string, raw binary, wants {wanted}, floors array<bigint>")
     both = (rows.withColumn("kind", F.lit(0)).withColumn("wants", F.lit(None).cast(wanted))
             .unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True))
-    return (both.repartition("block").sortWithinPartitions("block", "kind").select("block", "kind", "id", "label", "a", "b", "raw", "wants")
+    return (both.repartition("block").sortWithinPartitions("block", "kind")
+            .select("block", "kind", "id", "label", "a", "b", "raw", "wants", "floors")
             .mapInArrow(search, "anchor_id long, positive_id long, positive_score long, id long, score long"))
 
 
