@@ -8,7 +8,9 @@ terms have count a here and count b there. All joint tables come from one
 product: terms are rows, (group, count) levels are indicator columns, and the
 columns' matrix X gives every table as a block of X'X. Blocks of terms are
 multiplied in the tasks (0/1 entries in single precision, at most ``TERMS``
-rows, hence exact) with columns in tiles; Spark adds the blocks up.
+rows, hence exact) with columns in tiles; Spark adds the blocks up. X'X is
+symmetric: only the tables of a group with itself or a later one are kept, and
+each prices both directions.
 
 Level 0 has no columns: with n the joint and m the marginal counts (the
 diagonal of X'X), the sum over all kept terms of f(a, b) is the sum of
@@ -44,7 +46,7 @@ TOP = 200
 SCALE = 1_000_000_000
 TERMS = 4096
 TILE = 512
-HELD_TERMS = 400_000
+HELD_TERMS = 800_000
 RUN_CHARS = 8_000_000
 PARTS = 32
 # Bytes of terms: ASCII letters in lower case and all bytes of other characters; the rest divides.
@@ -63,9 +65,9 @@ def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
             for run in text_runs(batch, 0, RUN_CHARS):
                 for text, *group in zip(*(run.column(i).to_pylist() for i in range(3)), strict=True):
                     n, docs = held.setdefault(tuple(group), (Counter(), Counter()))
-                    words = Counter(text.encode().translate(_DIVIDED).split())
+                    words = text.encode().translate(_DIVIDED).split()
                     n.update(words)
-                    docs.update(words.keys())
+                    docs.update(set(words))
                 if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
                     yield from emit(held)
                     held = {}
@@ -76,7 +78,7 @@ def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
             terms = [None, *n]
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(terms)), pa.array([source] * len(terms)),
-                pa.array([t and t.decode() for t in terms], pa.string()),
+                pa.array(terms, pa.binary()).cast(pa.string()),
                 pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64())],
                 names=["lang", "source", "term", "n", "docs"])
 
@@ -94,7 +96,7 @@ def kept_terms(counts: DataFrame, min_docs: int) -> DataFrame:
 
 
 def level_products(terms: DataFrame) -> DataFrame:
-    """(lang, source, a, other, b, n): the blocks of X'X, added up per task; pairs of a group with itself are marginals."""
+    """(lang, source, a, other, b, n), source <= other: the blocks of X'X, added up per task; a group with itself gives marginals."""
     schema = "lang string, source string, a long, other string, b long, n long"
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +106,13 @@ def level_products(terms: DataFrame) -> DataFrame:
                 lists = batch.column(1).take(pa.array(np.flatnonzero(langs == lang)))
                 flat = lists.flatten()
                 sources = flat.field(0).dictionary_encode()
+                names, place = np.unique(np.array([s.encode() for s in sources.dictionary.to_pylist()], dtype=object), return_inverse=True)
+                names = pa.array(names, pa.binary()).cast(pa.string())
                 row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                levels = np.stack([sources.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-                                   flat.field(1).to_numpy(zero_copy_only=False)], axis=1)
+                levels = np.stack([place.ravel()[sources.indices.to_numpy(zero_copy_only=False)], flat.field(1).to_numpy(zero_copy_only=False)], axis=1)
                 columns, column = np.unique(levels, axis=0, return_inverse=True)
                 left, right, n = joint_entries(row, column.ravel(), levels[:, 1])
-                source, level = sources.dictionary.take(pa.array(columns[:, 0])), pa.array(columns[:, 1])
+                source, level = names.take(pa.array(columns[:, 0])), pa.array(columns[:, 1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(n), pa.string()), source.take(pa.array(left)), level.take(pa.array(left)),
                     source.take(pa.array(right)), level.take(pa.array(right)), pa.array(n)],
@@ -121,7 +124,7 @@ def level_products(terms: DataFrame) -> DataFrame:
 
 
 def joint_entries(row: np.ndarray, column: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nonzero entries (i, j, n) of X'X, where X has a 1 in each given (row, column).
+    """The nonzero entries (i, j, n), i <= j, of X'X, where X has a 1 in each given (row, column).
 
     Rows are taken in order of their highest level, so that a block's rows share
     columns; a block is halved while its rows need more than a tile of columns.
@@ -147,9 +150,9 @@ def joint_entries(row: np.ndarray, column: np.ndarray, level: np.ndarray) -> tup
         x = np.zeros((row[end - 1] - row[start] + 1, len(used)), dtype=np.float32)
         x[row[start:end] - row[start], np.searchsorted(used, column[start:end])] = 1
         for i in range(0, len(used), TILE):
-            for j in range(0, len(used), TILE):
+            for j in range(i, len(used), TILE):
                 product = x[:, i:i + TILE].T @ x[:, j:j + TILE]
-                at, other = np.nonzero(product)
+                at, other = np.nonzero(np.triu(product) if i == j else product)
                 keys.append(used[at + i] * width + used[other + j])
                 sums.append(product[at, other].astype(np.int64))
         start = end
@@ -206,10 +209,14 @@ def _pair_values(groups: DataFrame, products: DataFrame) -> DataFrame:
     here = groups.select("lang", "source", "total", "v", F.expr(share("0", "total")).alias("p0"))
     there = here.select("lang", F.col("source").alias("other"), F.col("total").alias("other_total"), F.col("p0").alias("q0"))
     pairs = here.join(there, "lang").where("source <> other")
+    def both(x: str, y: str, x0: str, y0: str):
+        return total_of("n", f"{price(x, y)} - {price(x, y0)} - {price(x0, y)} + {price(x0, y0)}")
     joint = (products.where("source <> other").join(pairs, ["lang", "source", "other"])
              .withColumn("p", F.expr(share("a", "total"))).withColumn("q", F.expr(share("b", "other_total")))
-             .groupBy("lang", "source", "other").agg(total_of(
-                 "n", f"{price('p', 'q')} - {price('p', 'q0')} - {price('p0', 'q')} + {price('p0', 'q0')}").alias("both")))
+             .groupBy("lang", "source", "other").agg(both("p", "q", "p0", "q0").alias("there"), both("q", "p", "q0", "p0").alias("back")))
+    joint = joint.select("lang", F.inline(F.array(
+        F.struct("source", "other", F.col("there").alias("both")),
+        F.struct(F.col("other").alias("source"), F.col("source").alias("other"), F.col("back").alias("both")))))
     level = products.where("source = other").select("lang", "source", "a", "n")
     mine = (level.join(pairs, ["lang", "source"]).withColumn("p", F.expr(share("a", "total")))
             .groupBy("lang", "source", "other").agg(total_of("n", f"{price('p', 'q0')} - {price('p0', 'q0')}").alias("left_only")))
