@@ -448,11 +448,11 @@ oracle("store_write", q(RATES + STORED, f"SELECT {RATES_COLS} FROM stored"))
 
 RATES_CSV = RATES + """,
 rates_csv AS (
-  SELECT rate_date AS d, dayofmonth(rate_date) AS dn, strftime(rate_date, '%Y-%m-%d') AS iso,
+  SELECT base_currency, rate_date AS d, dayofmonth(rate_date) AS dn, strftime(rate_date, '%Y-%m-%d') AS iso,
     CASE WHEN dayofmonth(rate_date) % 2 = 0 THEN CAST(rate_mid AS VARCHAR) || '5' ELSE CAST(rate_mid AS VARCHAR) END AS rate_text
-  FROM rates WHERE base_currency = 'USD'),
+  FROM rates),
 csv_records AS (
-  SELECT 'USD' AS base_currency, 'CNY' AS quote_currency,
+  SELECT base_currency, 'CNY' AS quote_currency,
     CAST(round_even(CAST(rate_text AS DECIMAL(30,10)), 4) AS DECIMAL(18,4)) AS rate_mid,
     d AS rate_date,
     iso || 'T00:00:00+00:00' AS fetch_date,
@@ -464,7 +464,7 @@ csv_records AS (
 
 oracle("rates_csv_scan", q(RATES_CSV, f"SELECT {RATES_COLS}, CAST(NULL AS VARCHAR) AS error FROM csv_records"))
 
-oracle("alias_rates", q(RATES_CSV, """SELECT CAST(year(d) AS VARCHAR) AS year, CAST(month(d) AS VARCHAR) AS month,
+oracle("alias_rates", q(RATES_CSV, """SELECT base_currency, CAST(year(d) AS VARCHAR) AS year, CAST(month(d) AS VARCHAR) AS month,
   rate_text AS rate_mid, CASE WHEN dn = 1 THEN NULL ELSE iso END AS rate_date, iso AS fetch_date,
   CASE WHEN dn % 4 = 0 THEN NULL ELSE 'pbc_notice' END AS source,
   CASE WHEN dn % 3 = 0 THEN 'forward' END AS fallback_strategy FROM rates_csv"""))
@@ -683,28 +683,28 @@ oracle("build_monthly_rates", q(MONTHLY_BASE + MON_EXIST + merge_sql("b", "mon_s
 ANCHOR_PATTERN = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
-USD_DAYS = RATES + """,
-usd AS (SELECT rate_date AS d, rate_mid AS r, dayofmonth(rate_date) AS dn FROM rates WHERE base_currency = 'USD'),
+PAGE_DAYS = RATES + """,
+per_day AS (SELECT rate_date AS d, rate_mid AS r, dayofmonth(rate_date) AS dn, month(rate_date) AS mon,
+  1000000 * CASE base_currency WHEN 'USD' THEN 0 WHEN 'EUR' THEN 1 ELSE 2 END AS set_id FROM rates),
 notice_truth AS (
-  SELECT CAST(date_diff('day', DATE '1990-01-01', d) AS BIGINT) AS page_id, d AS target_date,
+  SELECT CAST(set_id + date_diff('day', DATE '1990-01-01', d) AS BIGINT) AS page_id, d AS target_date,
     CASE WHEN dn % 7 = 0 THEN NULL ELSE d END AS notice_date,
     CASE WHEN dn % 5 = 0 OR dn % 9 = 0 THEN NULL
          WHEN dn % 4 = 0 THEN CAST(CAST(round(r, 2) AS DECIMAL(18,2)) AS DECIMAL(18,6))
          ELSE CAST(r AS DECIMAL(18,6)) END AS rate_a,
     CASE WHEN dn % 5 = 0 OR dn % 9 = 0 OR dn % 4 = 0 THEN NULL ELSE r END AS rate_b,
     d AS date_b
-  FROM usd),
+  FROM per_day),
 chart_truth AS (
-  SELECT CAST(year(d) * 100 + month(d) AS BIGINT) AS page_id, d, CAST(r AS DECIMAL(18,6)) AS rate
-  FROM usd WHERE dn % 6 <> 0),
-hkd AS (SELECT rate_date AS d, rate_mid AS r, dayofmonth(rate_date) AS dn, month(rate_date) AS mon,
-               CAST(year(rate_date) * 100 + month(rate_date) AS BIGINT) AS page_id FROM rates WHERE base_currency = 'HKD'),
+  SELECT CAST(set_id + year(d) * 100 + month(d) AS BIGINT) AS page_id, d, CAST(r AS DECIMAL(18,6)) AS rate
+  FROM per_day WHERE dn % 6 <> 0),
+chart_first AS (SELECT d, arg_min(rate, page_id) AS rate FROM chart_truth GROUP BY d),
 portal_rows AS (
-  SELECT page_id, mon, d AS quote_date, dn,
-    CAST(row_number() OVER (PARTITION BY page_id ORDER BY d) - 1 AS INTEGER) AS row_pos,
+  SELECT CAST(set_id + year(d) * 100 + month(d) AS BIGINT) AS page_id, mon, d AS quote_date, dn,
+    CAST(row_number() OVER (PARTITION BY set_id, year(d), month(d) ORDER BY d) - 1 AS INTEGER) AS row_pos,
     CASE WHEN mon % 2 = 0 OR mon % 3 = 0 THEN CAST(CAST(r * 100 AS DECIMAL(18,2)) AS DECIMAL(30,10))
          ELSE CAST(r AS DECIMAL(30,10)) END AS raw_rate
-  FROM hkd),
+  FROM per_day),
 portal_valid AS (SELECT * FROM portal_rows WHERE dn % 7 <> 0),
 portal_pages AS (
   SELECT page_id, (bool_or(raw_rate >= 50) OR any_value(mon) % 2 = 0
@@ -712,15 +712,15 @@ portal_pages AS (
   FROM portal_valid GROUP BY page_id),
 portal_scaled AS (
   SELECT v.page_id, v.quote_date, v.row_pos, v.raw_rate, p.per100,
-    CAST(round(CASE WHEN p.per100 THEN v.raw_rate / 100 ELSE v.raw_rate END, 4) AS DECIMAL(18,4)) AS rate
+    CAST(round(CASE WHEN p.per100 THEN v.raw_rate * 0.01 ELSE v.raw_rate END, 4) AS DECIMAL(18,4)) AS rate
   FROM portal_valid v JOIN portal_pages p USING (page_id))"""
 
-oracle("notice_parse", q(USD_DAYS, "SELECT page_id, target_date, notice_date, rate_a, rate_b, date_b FROM notice_truth"))
+oracle("notice_parse", q(PAGE_DAYS, "SELECT page_id, target_date, notice_date, rate_a, rate_b, date_b FROM notice_truth"))
 
-oracle("keychart_rows", q(USD_DAYS, """SELECT u.d AS target_date, c.rate FROM (SELECT DISTINCT d FROM usd) u
-  JOIN chart_truth c ON c.d = u.d"""))
+oracle("keychart_rows", q(PAGE_DAYS, """SELECT u.d AS target_date, c.rate FROM (SELECT DISTINCT d FROM per_day) u
+  JOIN chart_first c ON c.d = u.d"""))
 
-oracle("notice_then_chart", q(USD_DAYS + """,
+oracle("notice_then_chart", q(PAGE_DAYS + """,
 span AS (SELECT min(rate_date) AS a, max(rate_date) AS b FROM rates),
 all_days AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS target_date FROM span),
 first_notice AS (
@@ -729,21 +729,21 @@ first_notice AS (
        """SELECT t.target_date, CAST(COALESCE(n.rate_a, c.rate) AS DECIMAL(18,6)) AS rate,
   CASE WHEN COALESCE(n.rate_a, c.rate) IS NOT NULL THEN t.target_date END AS source_date,
   CASE WHEN n.rate_a IS NOT NULL THEN 'pbc_notice' WHEN c.rate IS NOT NULL THEN 'pbc_keychart' END AS rate_source
-FROM all_days t LEFT JOIN first_notice n ON n.notice_date = t.target_date LEFT JOIN chart_truth c ON c.d = t.target_date"""))
+FROM all_days t LEFT JOIN first_notice n ON n.notice_date = t.target_date LEFT JOIN chart_first c ON c.d = t.target_date"""))
 
-oracle("table_rows", q(USD_DAYS, "SELECT page_id, row_pos, quote_date, raw_rate FROM portal_valid"))
-oracle("parse_table_date", q(USD_DAYS, "SELECT page_id, row_pos, quote_date FROM portal_valid"))
-oracle("per100_detect", q(USD_DAYS, "SELECT page_id, per100 FROM portal_pages"))
-oracle("scale_per100", q(USD_DAYS, "SELECT page_id, quote_date, rate FROM portal_scaled"))
+oracle("table_rows", q(PAGE_DAYS, "SELECT page_id, row_pos, quote_date, raw_rate FROM portal_valid"))
+oracle("parse_table_date", q(PAGE_DAYS, "SELECT page_id, row_pos, quote_date FROM portal_valid"))
+oracle("per100_detect", q(PAGE_DAYS, "SELECT page_id, per100 FROM portal_pages"))
+oracle("scale_per100", q(PAGE_DAYS, "SELECT page_id, quote_date, rate FROM portal_scaled"))
 
-oracle("extract_quotes", q(USD_DAYS, """
+oracle("extract_quotes", q(PAGE_DAYS, """
 SELECT 'pbc_notice' AS source, page_id, notice_date AS quote_date, rate_a AS rate FROM notice_truth
   WHERE notice_date IS NOT NULL AND rate_a IS NOT NULL
 UNION ALL SELECT 'cfets_notice', page_id, date_b, CAST(rate_b AS DECIMAL(18,6)) FROM notice_truth WHERE rate_b IS NOT NULL
 UNION ALL SELECT 'pbc_keychart', page_id, d, rate FROM chart_truth
 UNION ALL SELECT 'safe_portal', page_id, quote_date, CAST(rate AS DECIMAL(18,6)) FROM portal_scaled"""))
 
-PAGE_QUOTES = USD_DAYS + """,
+PAGE_QUOTES = PAGE_DAYS + """,
 quotes AS (
   SELECT 'pbc' AS source, quote_date, arg_min(rate, (o, page_id)) AS rate FROM (
     SELECT 0 AS o, page_id, notice_date AS quote_date, rate_a AS rate FROM notice_truth
@@ -989,7 +989,7 @@ oracle("forms_scan", q(FORMS_RAW, """SELECT source_file AS folder, _key AS order
   CASE WHEN source_file = 'orders_cn' THEN remark_raw END AS description FROM forms"""))
 
 oracle("form_records", """
-WITH o AS (SELECT o_orderkey AS k, (o_orderkey - 1) // 500 AS part, o_totalprice, o_orderdate FROM orders),
+WITH o AS (SELECT o_orderkey AS k, o_orderkey // 500 AS part, o_totalprice, o_orderdate FROM orders),
 n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) + 1 AS source_row FROM o)
 SELECT part, source_row,
   CASE WHEN k % 53 <> 0 THEN CAST(k AS VARCHAR) END AS order_text,

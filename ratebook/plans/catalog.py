@@ -404,13 +404,14 @@ def q_store_write(spark, sf_dir):
 
 
 def _write_rates_csv(spark, sf_dir) -> str:
-    """USD rates landed as a CSV with the monthly cache's Chinese headers."""
+    """Rates landed as CSV files with the monthly cache's Chinese headers, in one folder per currency (``base_currency=...``)."""
     from ratebook.session import scratch_dir
     path = scratch_dir(spark, "rates-csv")
-    r = bd.rates_view(spark, sf_dir).where(F.col("base_currency") == "USD")
+    r = bd.rates_view(spark, sf_dir)
     dn = F.dayofmonth("rate_date")
     iso = F.date_format("rate_date", "yyyy-MM-dd")
     out = r.select(
+        "base_currency",
         F.year("rate_date").cast("string").alias("年份"),
         F.month("rate_date").cast("string").alias("月份"),
         F.when(dn % 2 == 0, F.concat(F.col("rate_mid").cast("string"), F.lit("5")))
@@ -419,16 +420,21 @@ def _write_rates_csv(spark, sf_dir) -> str:
         iso.alias("来源日期"),
         F.when(dn % 4 == 0, F.lit("")).otherwise(F.lit("pbc_notice")).alias("数据源"),
         F.when(dn % 3 == 0, F.lit("forward")).otherwise(F.lit("")).alias("回退策略"))
-    out.write.option("escape", "\"").option("header", True).csv(path)
+    out.write.partitionBy("base_currency").option("escape", "\"").option("header", True).csv(path)
     return path
 
 
+LANDED = ("USD", "EUR", "HKD")  # the currencies of the derived rates
+
+
 @register("rates_csv_scan")
 def q_rates_csv_scan(spark, sf_dir):
     """S3: CSV rows -> records (base/quote from arguments, source/fallback from rows first)."""
     from ratebook.sources.tables import read_csv_text
-    raw = read_csv_text(spark, _write_rates_csv(spark, sf_dir))
-    return st.load_csv_records(raw, "USD", "CNY", "csv_import", "none")
+    from ratebook.operators.mapping import union_by_name
+    root = _write_rates_csv(spark, sf_dir)
+    return union_by_name([st.load_csv_records(read_csv_text(spark, f"{root}/base_currency={c}"), c, "CNY", "csv_import", "none")
+                          for c in LANDED])
 
 
 @register("alias_rates")
@@ -448,9 +454,10 @@ def q_import_rates(spark, sf_dir):
     from ratebook.sinks.store import RateStore
     store = RateStore(spark, scratch_dir(spark, "import"))
     store.write(bd.stored_rates(spark, sf_dir))
-    _, table_now = import_csv(spark, store, _write_rates_csv(spark, sf_dir), "USD", "CNY", "csv_import",
-                              "none", now=bd.MERGE_NOW)
-    return table_now
+    root = _write_rates_csv(spark, sf_dir)
+    for c in LANDED:
+        import_csv(spark, store, f"{root}/base_currency={c}", c, "CNY", "csv_import", "none", now=bd.MERGE_NOW)
+    return store.read()
 
 
 @register("upsert_one")
@@ -698,8 +705,7 @@ def q_notice_parse(spark, sf_dir):
 @register("keychart_rows")
 def q_keychart_rows(spark, sf_dir):
     """Rate per day from the first table of the key-chart pages."""
-    days = bd.rates_view(spark, sf_dir).where(F.col("base_currency") == "USD").select(
-        F.col("rate_date").alias("target_date")).distinct()
+    days = bd.rates_view(spark, sf_dir).select(F.col("rate_date").alias("target_date")).distinct()
     return nt.keychart_lookup(days, bd.keychart_pages(spark, sf_dir))
 
 
@@ -1056,8 +1062,8 @@ def _write_odd_forms(spark, sf_dir) -> str:
     line = (F.when(k % 53 == 0, F.concat_ws(",", *cells, F.lit("x"), F.lit("")))
             .when(k % 59 == 0, F.concat_ws(",", *cells[:3]))
             .when(k % 61 == 0, F.concat(F.lit(" \n"), F.concat_ws(",", *cells))).otherwise(F.concat_ws(",", *cells)))
-    orders = table(spark, sf_dir, "orders").select(k, F.floor((k - 1) / 500).alias("part"), line.alias("value"))
-    header = orders.select("part").distinct().select(F.lit(0).cast("long").alias("o_orderkey"), "part",
+    orders = table(spark, sf_dir, "orders").select(k, F.floor(k / 500).alias("part"), line.alias("value"))
+    header = orders.select("part").distinct().select(F.lit(-1).cast("long").alias("o_orderkey"), "part",
                                                      F.lit('Order,"Amo\nunt",Currency,Date,Project').alias("value"))
     (orders.unionByName(header).repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value")
      .write.partitionBy("part").text(root))

@@ -2,7 +2,7 @@
 
 The test tables hold no fee forms or FX rates, so forms and rates are
 derived from ``orders`` with fixed rules; the DuckDB oracle derives the
-same views with the same rules (``oracle_sql.py``). Every derived view
+same views with the same rules (``oracles.py``). Every derived view
 grows with the tables it reads.
 """
 
@@ -235,10 +235,15 @@ def _ymd_cn(d):
                     F.dayofmonth(d).cast("string"), F.lit("日"))
 
 
+def _set_id() -> Column:
+    """Pages come in one set per currency, each standing in for the publisher's dollar pages."""
+    return F.when(F.col("base_currency") == "USD", 0).when(F.col("base_currency") == "EUR", 1_000_000).otherwise(2_000_000)
+
+
 def notice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One published notice per USD rate day (link order = page_id), with variants: no
+    """One published notice per currency and rate day (link order = page_id), with variants: no
     date, no rate, a two-decimal rate, a rate split by markup, and a script decoy."""
-    r = rates_view(spark, sf_dir).where(F.col("base_currency") == "USD")
+    r = rates_view(spark, sf_dir)
     d = F.col("rate_date")
     dn = F.dayofmonth(d)
     rate4 = F.col("rate_mid").cast("string")
@@ -253,35 +258,35 @@ def notice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               '</head><body><div class="notice"><p>中国外汇交易中心受权公布，'),
         date_part, F.lit("银行间外汇市场人民币汇率中间价为："), rate_part,
         F.lit("，1欧元对人民币8.0000元。</p></div></body></html>"))
-    return r.select(F.datediff(d, F.lit("1990-01-01").cast("date")).cast("bigint").alias("page_id"),
+    return r.select((_set_id() + F.datediff(d, F.lit("1990-01-01").cast("date"))).cast("bigint").alias("page_id"),
                     d.alias("target_date"), html.alias("html"))
 
 
 def keychart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One key-chart page per month of USD rates: the first table lists (date, rate
+    """One key-chart page per currency and month of rates: the first table lists (date, rate
     sentence) rows; a second table holds a decoy row."""
-    r = rates_view(spark, sf_dir).where(F.col("base_currency") == "USD")
+    r = rates_view(spark, sf_dir)
     d = F.col("rate_date")
     iso = F.date_format(d, "yyyy-MM-dd")
     cell = F.when(F.dayofmonth(d) % 6 == 0, F.lit("n/a")).otherwise(
         F.concat(F.lit("1美元对人民币"), F.col("rate_mid").cast("string"), F.lit("元")))
-    rows = r.select(F.trunc(d, "month").alias("m"), d.alias("d"),
+    rows = r.select(_set_id().alias("s"), F.trunc(d, "month").alias("m"), d.alias("d"),
                     F.concat(F.lit("<tr><td>"), iso, F.lit("</td><td>"), cell, F.lit("</td></tr>")).alias("tr"))
     # one page per month: at most 31 rows gathered per group
-    pages = rows.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("d", "tr"))).alias("rows"))
+    pages = rows.groupBy("s", "m").agg(F.array_sort(F.collect_list(F.struct("d", "tr"))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda x: x["tr"]), "")
     html = F.concat(F.lit('<html><body><h2>中间价</h2><table class="chart"><tr><th>日期</th><th>人民币汇率中间价</th></tr>'),
                     body, F.lit("</table><table><tr><td>"), F.date_format("m", "yyyy-MM-dd"),
                     F.lit("</td><td>1美元对人民币9.9999元</td></tr></table></body></html>"))
-    return pages.select((F.year("m") * 100 + F.month("m")).cast("bigint").alias("page_id"), html.alias("html"))
+    return pages.select((F.col("s") + F.year("m") * 100 + F.month("m")).cast("bigint").alias("page_id"), html.alias("html"))
 
 
 def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One portal page per month of HKD rates standing in for the USD column of table
+    """One portal page per currency and month of rates, standing in for the USD column of table
     ``InfoTable``: per-100 header on even months, x100 values on even and
     multiple-of-3 months, a '100美元' note on odd multiples of 5; mixed date formats,
     blank cells and a short footer row."""
-    r = rates_view(spark, sf_dir).where(F.col("base_currency") == "HKD")
+    r = rates_view(spark, sf_dir)
     d = F.col("rate_date")
     dn = F.dayofmonth(d)
     mon = F.month(d)
@@ -291,10 +296,10 @@ def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(dn % 7 == 0, F.lit("")).otherwise(value)
     date_text = (F.when(dn % 2 == 0, F.date_format(d, "yyyy/MM/dd")).when(dn % 5 == 0, _ymd_cn(d))
                  .otherwise(F.date_format(d, "yyyy-MM-dd")))
-    rows = r.select(F.trunc(d, "month").alias("m"), d.alias("d"),
+    rows = r.select(_set_id().alias("s"), F.trunc(d, "month").alias("m"), d.alias("d"),
                     F.concat(F.lit("<tr><td>"), date_text, F.lit("</td><td>8.0000</td><td>"), value,
                              F.lit("</td></tr>")).alias("tr"))
-    pages = rows.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("d", "tr"))).alias("rows"))
+    pages = rows.groupBy("s", "m").agg(F.array_sort(F.collect_list(F.struct("d", "tr"))).alias("rows"))
     m = F.month("m")
     head = F.when(m % 2 == 0, F.lit("美元(每100美元)")).otherwise(F.lit("美元"))
     note = F.when((m % 2 == 1) & (m % 5 == 0), F.lit("<p>单位：人民币/100美元</p>")).otherwise(F.lit(""))
@@ -302,7 +307,7 @@ def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit('<table id="InfoTable"><tr><th>日期</th><th>欧元</th><th>'), head, F.lit("</th></tr>"),
                     F.array_join(F.transform("rows", lambda x: x["tr"]), ""),
                     F.lit("<tr><td>注</td></tr></table></body></html>"))
-    return pages.select((F.year("m") * 100 + F.month("m")).cast("bigint").alias("page_id"), html.alias("html"))
+    return pages.select((F.col("s") + F.year("m") * 100 + F.month("m")).cast("bigint").alias("page_id"), html.alias("html"))
 
 
 # ---- drive listings, paths and upload attempts -------------------------------------------
