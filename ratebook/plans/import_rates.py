@@ -36,7 +36,7 @@ def import_csv(spark: SparkSession, store: RateStore, csv_path: str, base: str,
         records.where(F.col("error").isNotNull()).drop("_ordinal").write.mode("append").parquet(rejects)
         valid = records.where(F.col("error").isNull()).drop("error")
     valid = written(valid, "import-valid")  # also runs the strict check before the store is touched
-    consumed = valid.count()
+    consumed = valid.count()  # from the written files' footers
     store.merge(valid, now or _utcnow())
     return consumed, store.read()
 

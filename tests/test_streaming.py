@@ -2,7 +2,7 @@
 
 from decimal import Decimal
 
-from ratebook.sinks.store import RateStore, committed_versions
+from ratebook.sinks.store import RateStore
 from ratebook.streaming.rates_stream import start_rates_stream
 
 
@@ -26,7 +26,7 @@ def test_rate_files_stream_into_store(spark, tmp_path):
     assert rows[("USD", "2025-09-05")]["fetch_date"] == "2025-09-05T08:00:00+08:00"
     assert ("EUR", "2025-09-04") in rows  # the fetch_date-less record is rejected, the other kept
     assert rows[("EUR", "2025-09-04")]["rate_mid"] == Decimal("8.1000")
-    versions = committed_versions(spark, store_root)
+    versions = store.versions()
     q2 = start_rates_stream(spark, str(landing), store_root, ckpt)
     q2.awaitTermination(120)
-    assert committed_versions(spark, store_root) == versions
+    assert store.versions() == versions
