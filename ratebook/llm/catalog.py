@@ -107,27 +107,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          "kept_sha256")
 
 
-@register("op9_license_scan")
-def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is the file /source/lang/doc_id of a tree."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
-    return scan_licenses(docs, path, keep=["doc_id"])
-
-
-SQL["op9_license_scan"] = license_sql("doc_id", "'/' || source || '/' || lang || '/' || cast(doc_id as varchar)", "documents")
+TREE_PATH = ("'/' || source || '/' || lang || case when doc_id % 4 = 0 then '/LICENSE-' else '/d' || cast(doc_id % 5 as {text}) "
+             "|| '/e' || cast(doc_id % 3 as {text}) || '/' end || cast(doc_id as {text})")
 
 
-@register("op9_license_tree")
-def op9_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan over paths with several levels: every fourth document is a licence file above the others of its source and language."""
+@register("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree with several levels: every fourth one is a licence file above the others of its source and language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return scan_licenses(docs, F.expr(TREE_PATH.format(text="string")), keep=["doc_id"])
 
 
-TREE_PATH = ("'/' || source || '/' || lang || case when doc_id % 4 = 0 then '/LICENSE-' else '/d' || cast(doc_id % 5 as {text}) "
-             "|| '/e' || cast(doc_id % 3 as {text}) || '/' end || cast(doc_id as {text})")
-SQL["op9_license_tree"] = license_sql("doc_id", TREE_PATH.format(text="varchar"), "documents")
+SQL["op9_license_scan"] = license_sql("doc_id", TREE_PATH.format(text="varchar"), "documents")
 
 
 @register("op11_source_divergence")

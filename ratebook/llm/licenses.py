@@ -10,9 +10,8 @@ A template counts only if the unit also holds its licence's name, version and
 clauses (``NAMES``), and a unit within ``MARGIN`` of templates of two licences
 has none. The sentence that all BSD licences begin with takes its clauses from
 the file. A line with an SPDX identifier has what it names, listed here or not
-("-only", "-or-later" and "+" go; several identifiers stay an expression). In
-files without a matched unit, a notice that is broken over lines counts if the
-file names one licence in such words.
+("-only", "-or-later" and "+" go; several identifiers stay an expression).
+A line that denies a licence is passed over.
 
 Whole files and their header blocks (the leading comment lines) that hold the
 marks of a licence's full text are compared with the full texts (``FULL``,
@@ -21,11 +20,12 @@ marks of a licence's full text are compared with the full texts (``FULL``,
 before the lines'. AGPL-3.0 has no text of its own here: it is told from
 GPL-3.0 by its title and compared with that text, from which it hardly differs.
 
-A file is a licence file if its whole text is near a full text, if its base
-name says so, or if matched units make up ``COVER`` of its words. Its licence
-holds for its directory: a file without a licence of its own takes that of the
-nearest ancestor directory that has one, found by equi-joins on the ancestors
-of the distinct directories.
+A file is a licence file if its base name says so, or, unless it is named like a
+program (``PROGRAM_FILE``), if its whole text is near a full text or matched
+units make up ``COVER`` of its words. Its licence holds for its directory: a file
+without a licence of its own takes that of the nearest ancestor directory that
+has one, found by equi-joins on the ancestors of the distinct directories. A
+file that claims a licence not recognised here (``CLAIM``) takes none.
 
 Null and empty texts have no units; a null path inherits nothing. Repeated
 rows each give a row. Ties go to the licence first in the alphabet. Empty
@@ -47,6 +47,7 @@ from ratebook.llm.common import col, staged
 THRESHOLD = 0.5
 COVER = 0.9
 UNIT_BREAK = r"\n|[.;][ \t\r\n]+"
+VERSION = r"\b([vV])\.[ \t]+([0-9])"  # "v. 2" ends no sentence
 LICENCE_WORD = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby|redistribution and use"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 TERM_BREAK = r"[^a-z0-9.+-]+"
@@ -124,7 +125,10 @@ NAMES = {
 BSD_START = " redistribution and use in source and binary forms "
 BSD_CLAUSES = (("BSD-4-Clause", " all advertising materials "), ("BSD-3-Clause", " endorse or promote "),
                ("BSD-2-Clause", " redistributions in binary form must reproduce "))
-IN_NOTICE = r" (under|to) (the terms (and conditions )?of )?(the |a )?"
+#: A line that puts its file under some licence, known here or not; one that denies a licence; names of program files.
+CLAIM = r"(?i)licen[cs]ed (under|to)|under the terms|spdx-license-identifier|all rights reserved|permission is hereby"
+DENIED = r"(?i)\b(not|never|no longer|nor) (licen[cs]ed|released|covered|distributed|available|subject|under)\b"
+PROGRAM_FILE = r"(?i)\.(py|pyi|ipynb|c|h|cc|cpp|hpp|cs|java|kt|scala|js|jsx|ts|tsx|go|rs|rb|php|pl|sh|bash|sql|swift|m|r|lua|css|html|xml|json|ya?ml|toml)$"
 SPDX_ID = r"\(*[a-z0-9][a-z0-9.+:-]*\)*"
 SPDX = rf"(?i)spdx-license-identifier:[ \t]*({SPDX_ID}([ \t]+(and|or|with)[ \t]+{SPDX_ID})*)"
 _BSD = ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")
@@ -164,9 +168,9 @@ def _weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "unit").select("unit", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _named(plain: Column, before: str = " ") -> Column:
+def _named(plain: Column) -> Column:
     """The licences whose names a text's terms hold."""
-    return F.filter(F.array(*[F.when(F.rlike(plain, F.lit(f"{before}{name} ")), F.lit(k)) for k, name in NAMES.items()]), lambda k: k.isNotNull())
+    return F.filter(F.array(*[F.when(F.rlike(plain, F.lit(f" {name} ")), F.lit(k)) for k, name in NAMES.items()]), lambda k: k.isNotNull())
 
 
 def _spdx(unit: Column) -> Column:
@@ -278,7 +282,8 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
     own_names = ("own_license", "own_score", "license", "found")
     keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c.lower() not in own_names]
     text = F.coalesce(col(text_col), F.lit(""))
-    candidates = F.filter(F.split(text, UNIT_BREAK), lambda u: F.rlike(u, F.lit(LICENCE_WORD)))
+    unbroken = F.regexp_replace(text, VERSION, "$1 $2")
+    candidates = F.filter(F.split(unbroken, UNIT_BREAK), lambda u: F.rlike(u, F.lit(LICENCE_WORD)))  # denials are taken out below
     files = staged(df.select(
         F.monotonically_increasing_id().alias("__file"), *[col(c).alias(f"k{i}__") for i, c in enumerate(keep)], path.alias("__path"),
         F.when(F.rlike(text, F.lit(LICENCE_WORD)), F.transform(candidates, lambda u: F.btrim(u))).otherwise(
@@ -287,8 +292,7 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         F.when(F.rlike(text, F.lit(LICENCE_WORD)), _plain(text)).alias("__plain"), text.alias("__text"))
         .withColumn("__held", _held_by(F.col("__plain")))
         .withColumn("__bsd", F.coalesce(*[F.when(F.contains("__plain", F.lit(x)), F.lit(k)) for k, x in BSD_CLAUSES]))
-        .withColumn("__notice", _named(F.col("__plain"), IN_NOTICE))
-        .withColumn("__notice", F.when(F.size("__notice") == 1, F.col("__notice")[0]))
+        .withColumn("__claims", F.exists("__units", lambda u: F.rlike(u, F.lit(CLAIM))))
         .withColumn("__plain", F.when(F.size("__held") > 0, F.col("__plain")))
         .withColumn("__top", F.when(F.size("__held") > 0, _plain(_header(F.col("__text"))))).drop("__text"), "files")
     parts = files.where("__plain is not null").select("__file", F.explode(F.array(
@@ -297,7 +301,7 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
     full = (matched_texts(parts.select("__file", "p.*").where(F.size("held") > 0)).groupBy("__file").agg(
         F.max_by(F.struct("license", "score"), "part").alias("b"), F.max(F.col("part") == "whole").alias("is_whole"))
         .select("__file", F.col("b.license").alias("full_license"), F.col("b.score").alias("full_score"), "is_whole"))
-    each = files.select("__file", "__words", "__bsd", F.explode("__units").alias("unit"))
+    each = files.select("__file", "__words", "__bsd", F.explode("__units").alias("unit")).where(~F.rlike("unit", F.lit(DENIED)))
     matched = staged(matched_units(each.select("unit").distinct()), "matched")
     mine = (each.join(matched, "unit").withColumn("license", F.when(F.col("any_bsd"), F.col("__bsd")).otherwise(F.col("license")))
             .where("license is not null").groupBy("__file").agg(
@@ -309,12 +313,12 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         F.when(F.col("full_license").isNotNull(), F.col("full_score")).otherwise(F.col("own_score")).alias("own_score"),
         "cover", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
     named = staged(files.drop("__units", "__plain", "__top", "__held", "__bsd").join(own, "__file", "left")
-                   .withColumn("own_score", F.when(F.coalesce("own_license", "__notice").isNotNull(), F.coalesce("own_score", F.lit(1.0))))
-                   .withColumn("own_license", F.coalesce("own_license", "__notice")).drop("__notice").withColumn(
+                   .withColumn(
         "__dir", F.regexp_replace(F.when(F.startswith("__path", F.lit("/")), F.col("__path")).otherwise(
             F.concat(F.lit("/"), F.col("__path"))), "[^/]*$", "")), "named")
     says_so = F.rlike(F.regexp_extract("__path", "([^/]*)$", 1), F.lit(LICENCE_FILE))
-    licensed = (named.where(F.col("own_license").isNotNull() & (says_so | F.col("is_whole") | (F.col("cover") >= COVER)))
+    program = F.coalesce(F.rlike("__path", F.lit(PROGRAM_FILE)), F.lit(False))
+    licensed = (named.where(F.col("own_license").isNotNull() & (says_so | (~program & (F.col("is_whole") | (F.col("cover") >= COVER)))))
                 .groupBy("__dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "own_license")).alias("b"))
                 .select(F.col("__dir").alias("at"), F.col("b.own_license").alias("held")))
     above = named.where("__dir is not null").select("__dir").distinct().select(
@@ -322,6 +326,7 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
     inherited = staged(above.join(licensed, "at").groupBy("__dir").agg(F.max_by("held", F.length("at")).alias("inherited")),
                        "inherited")
     out = named.join(inherited.withColumnRenamed("__dir", "__from"), F.col("__dir") == F.col("__from"), "left")
+    out = out.withColumn("inherited", F.when(~F.col("__claims"), F.col("inherited")))
     found = F.when(F.col("own_license").isNotNull(), "text").when(F.col("inherited").isNotNull(), "ancestor")
     return out.select(*[F.col(f"k{i}__").alias(c) for i, c in enumerate(keep)], "own_license", "own_score",
                       F.coalesce("own_license", "inherited").alias("license"), found.alias("found"))
@@ -336,9 +341,11 @@ def oracle(select: str, path: str, table: str) -> str:
 with templates(license, unit) as (values {rows}),
 files as (select row_number() over () as f, {select} as k, {path} as path, coalesce(text, '') as text from {table}),
 each as (select f, trim(u) as unit, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) as words
-    from (select f, text, unnest(string_split_regex(text, '\\n|[.;][ \\t\\r\\n]+')) as u from files)
+    from (select f, text, unnest(string_split_regex(regexp_replace(text, '{VERSION}', '\\1 \\2', 'g'), '\\n|[.;][ \\t\\r\\n]+')) as u from files)
     where regexp_matches(u, '{trigger}', 'i')),
-units as (select distinct unit from each),
+claims as (select f, bool_or(regexp_matches(unit, '{CLAIM.removeprefix("(?i)")}', 'i')) as claims from each group by f),
+said as (select * from each where not regexp_matches(unit, '{DENIED.removeprefix("(?i)")}', 'i')),
+units as (select distinct unit from said),
 corpus as (select unit from units union select unit from templates),
 idf as (select term, ln((1.0 + (select count(*) from corpus)) / (1.0 + count(*))) + 1.0 as idf
     from (select unnest(list_distinct({terms})) as term from corpus) group by term),
@@ -352,17 +359,17 @@ matched as (select unit, license, score from cosine where score >= {THRESHOLD}
     qualify row_number() over (partition by unit order by score desc, license) = 1),
 mine as (select f, min(struct_pack(m := -score, l := license)) as b,
         sum(len(string_split_regex(unit, '[ \\t\\r\\n]+'))) / max(words) as cover
-    from each join matched using (unit) group by f),
-named as (select f, k, b.l as own_license, -b.m as own_score, cover, path,
+    from said join matched using (unit) group by f),
+named as (select files.f, k, b.l as own_license, -b.m as own_score, cover, path,
         regexp_replace(case when starts_with(path, '/') then path else '/' || path end, '[^/]*$', '') as dir
     from files left join mine using (f)),
 licensed as (select dir as up, min(struct_pack(m := -own_score, l := own_license)).l as held from named
-    where own_license is not null and (cover >= {COVER} or regexp_matches(regexp_extract(path, '([^/]*)$', 1),
+    where own_license is not null and (cover >= {COVER} and not coalesce(regexp_matches(path, '{PROGRAM_FILE.removeprefix("(?i)")}', 'i'), false) or regexp_matches(regexp_extract(path, '([^/]*)$', 1),
         '^(licen[cs]e|copying|unlicense|notice)([.-].*)?$', 'i')) group by dir),
 above as (select dir, array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') || '/' as up
     from (select dir, unnest(range(1, len(string_split(dir, '/')))) as n
         from (select distinct dir from named where dir is not null))),
 inherited as (select dir, max_by(held, length(up)) as inherited from above join licensed using (up) group by dir)
-select k as {select}, own_license, own_score, coalesce(own_license, inherited) as license,
-    case when own_license is not null then 'text' when inherited is not null then 'ancestor' end as found
-from named left join inherited using (dir)"""
+select k as {select}, own_license, own_score, coalesce(own_license, case when not coalesce(claims, false) then inherited end) as license,
+    case when own_license is not null then 'text' when inherited is not null and not coalesce(claims, false) then 'ancestor' end as found
+from named left join inherited using (dir) left join claims using (f)"""

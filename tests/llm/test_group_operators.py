@@ -347,7 +347,7 @@ def test_near_misses_of_licence_notices(spark):
 
 
 def test_licence_tree_has_inheriting_rows(spark):
-    found = Counter(r.found for r in catalog.QUERIES["op9_license_tree"](spark, MEDIUM).collect())
+    found = Counter(r.found for r in catalog.QUERIES["op9_license_scan"](spark, MEDIUM).collect())
     assert found["ancestor"] and found["text"] and found[None]
 
 
@@ -396,3 +396,16 @@ def test_mixing_of_messy_and_empty_tables(spark):
     none = docs.where("false")
     weights = mixing.source_weights(none, "source", "n", evenness=0.5, max_epochs=2.0)
     assert mixing.budgeted_copies(none, none, weights, "doc_id", "source", "n").count() == 0
+
+
+def test_unknown_denied_and_program_files_give_no_licence(spark):
+    epl = "Licensed under the Eclipse Public License 2.0"
+    files = spark.createDataFrame([
+        (1, "/a/z.py", "SPDX-License-Identifier: LicenseRef-Acme"), (2, "/a/w.py", epl + "\ncode"), (3, "/a/v.py", "code alone"),
+        (4, "/b/LICENSE", "SPDX-License-Identifier: MIT"), (5, "/b/w.py", epl + "\ncode"), (6, "/b/v.py", "code alone"),
+        (7, "/c/x.txt", "This file is not licensed under the Apache License, Version 2.0"),
+        (8, "/c/y.txt", "We compared work licensed under the GPL version 3 by others; our own code is proprietary.")],
+        "i long, path string, text string")
+    got = {r.i: (r.license, r.found) for r in scan_licenses(files, F.col("path")).collect()}
+    assert got == {1: ("LicenseRef-Acme", "text"), 2: (None, None), 3: (None, None), 4: ("MIT", "text"), 5: (None, None),
+                   6: ("MIT", "ancestor"), 7: (None, None), 8: (None, None)}
