@@ -11,7 +11,8 @@ clauses (``NAMES``), and a unit within ``MARGIN`` of templates of two licences
 has none. The sentence that all BSD licences begin with takes its clauses from
 the file. A line with an SPDX identifier has what it names, listed here or not
 ("-only", "-or-later" and "+" go; several identifiers stay an expression).
-A line that denies a licence is passed over.
+A line that denies a licence is passed over. In a file that names one licence
+and has no matched line, a notice broken over lines is joined and compared alike.
 
 Whole files and their header blocks (the leading comment lines) that hold the
 marks of a licence's full text are compared with the full texts (``FULL``,
@@ -52,6 +53,7 @@ LICENCE_WORD = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 TERM_BREAK = r"[^a-z0-9.+-]+"
 FULL_LEAST = 0.9
+COMMENT_MARK = r"^[ \t\r]*(#+|//+|/?\*+/?|--|;+|%+|<!--|\"\"\")?[ \t]*"
 COMMENT_LINE = r"^[ \t\r]*($|#|//|/?\*|--|;|%|<!--|\"\"\")"
 #: Fixed texts: usual notices of each licence.
 TEMPLATES = (
@@ -82,6 +84,10 @@ NEIGHBOURS = (
                    f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License")),
     ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    *((f"{short}-{v}", f"under the terms of the GNU {word}General Public License as published by the Free Software Foundation, "
+       f"either version {v.removesuffix('.0')} of the License, or any later version")
+      for short, word, versions in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser ", ("2.1", "3.0")), ("AGPL", "Affero ", ("3.0",)))
+      for v in versions),
     ("ISC", "Released under the ISC License"),
     ("LGPL-2.0", "Licensed under the GNU Library General Public License, version 2"),
     ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
@@ -160,10 +166,10 @@ def _terms(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), TERM_BREAK), lambda t: F.btrim(t, F.lit(".-"))), lambda t: t != "")
 
 
-def _weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(unit, term, weight) of unit-length vectors."""
+def _weights(texts: DataFrame, idf: DataFrame, unseen: float) -> DataFrame:
+    """(unit, term, weight) of unit-length vectors; terms without an idf have that of a term in no unit."""
     tf = texts.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").count()
-    raw = tf.join(idf, "term").select("unit", "term", (F.col("count") * F.col("idf")).alias("w"))
+    raw = tf.join(idf, "term", "left").select("unit", "term", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("w"))
     norm = raw.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "unit").select("unit", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -185,20 +191,22 @@ def _spdx(unit: Column) -> Column:
     return F.when(F.lower(named).isin("none", "noassertion"), "").otherwise(named)
 
 
-def matched_units(units: DataFrame) -> DataFrame:
-    """(unit, license, score, any_bsd) of the distinct ``units`` that lie near a template; ``any_bsd``: the file tells which BSD licence."""
+def matched_units(units: DataFrame, counted: DataFrame) -> DataFrame:
+    """(unit, license, score, any_bsd) of the distinct ``units`` that lie near a template; ``any_bsd``: the file tells which BSD licence.
+    The idf is that of the distinct units ``counted`` and the templates."""
     spark = units.sparkSession
     templates = spark.createDataFrame(list(TEMPLATES), "license string, unit string")
     every = templates.unionByName(spark.createDataFrame(list(NEIGHBOURS), "license string, unit string"))
-    corpus = units.unionByName(templates.select("unit")).distinct()
+    corpus = counted.unionByName(templates.select("unit")).distinct()
     n = corpus.count()
+    unseen = math.log(1.0 + n) + 1.0
     idf = (corpus.select(F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).groupBy("term").count()
            .select("term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("count"))) + 1.0).alias("idf")))
     new = every.select(F.explode(_terms(F.col("unit"))).alias("term")).distinct().join(idf, "term", "left_anti")
-    idf = idf.unionByName(new.select("term", F.lit(math.log(1.0 + n) + 1.0).alias("idf")))
-    near = _weights(every.select("unit").distinct(), idf).join(every, "unit").select(
+    idf = idf.unionByName(new.select("term", F.lit(unseen).alias("idf")))
+    near = _weights(every.select("unit").distinct(), idf, unseen).join(every, "unit").select(
         F.col("unit").alias("template"), "license", "term", F.col("weight").alias("t"))
-    both = _weights(units, idf).join(F.broadcast(near), "term")  # the templates are a fixed, small table
+    both = _weights(units, idf, unseen).join(F.broadcast(near), "term")  # the templates are a fixed, small table
     cosine = both.groupBy("unit", "template", "license").agg(F.sum(F.col("weight") * F.col("t")).alias("score"))
     plain = _plain(F.col("unit"))
     begins = F.contains(plain, F.lit(BSD_START))
@@ -263,6 +271,15 @@ def matched_texts(parts: DataFrame) -> DataFrame:
             .where(F.col("score") >= FULL_LEAST))
 
 
+def _joined(text: Column) -> Column:
+    """The sentences with a licence word of every such line, joined with the line before and the two after it."""
+    lines = F.transform(F.split(F.regexp_replace(text, VERSION, "$1 $2"), "\n"), lambda x: F.regexp_replace(x, COMMENT_MARK, ""))
+    near = F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(LICENCE_WORD)), F.array_join(
+        F.slice(lines, F.greatest(i, F.lit(1)), F.lit(4)), " ")))
+    parts = F.flatten(F.transform(F.filter(near, lambda x: x.isNotNull()), lambda x: F.split(x, r"[.;][ \t\r]+")))
+    return F.array_distinct(F.transform(F.filter(parts, lambda u: F.rlike(u, F.lit(LICENCE_WORD))), lambda u: F.btrim(u)))
+
+
 def _header(text: Column) -> Column:
     """The comment and empty lines that a text begins with."""
     lines = F.split(text, "\n")
@@ -292,6 +309,8 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         F.when(F.rlike(text, F.lit(LICENCE_WORD)), _plain(text)).alias("__plain"), text.alias("__text"))
         .withColumn("__held", _held_by(F.col("__plain")))
         .withColumn("__bsd", F.coalesce(*[F.when(F.contains("__plain", F.lit(x)), F.lit(k)) for k, x in BSD_CLAUSES]))
+        .withColumn("__joined", F.when(F.size(_named(F.col("__plain"))) == 1, _joined(F.col("__text"))).otherwise(
+            F.array().cast("array<string>")))
         .withColumn("__claims", F.exists("__units", lambda u: F.rlike(u, F.lit(CLAIM))))
         .withColumn("__plain", F.when(F.size("__held") > 0, F.col("__plain")))
         .withColumn("__top", F.when(F.size("__held") > 0, _plain(_header(F.col("__text"))))).drop("__text"), "files")
@@ -302,8 +321,13 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         F.max_by(F.struct("license", "score"), "part").alias("b"), F.max(F.col("part") == "whole").alias("is_whole"))
         .select("__file", F.col("b.license").alias("full_license"), F.col("b.score").alias("full_score"), "is_whole"))
     each = files.select("__file", "__words", "__bsd", F.explode("__units").alias("unit")).where(~F.rlike("unit", F.lit(DENIED)))
-    matched = staged(matched_units(each.select("unit").distinct()), "matched")
-    mine = (each.join(matched, "unit").withColumn("license", F.when(F.col("any_bsd"), F.col("__bsd")).otherwise(F.col("license")))
+    broken = files.select("__file", "__words", "__bsd", F.explode("__joined").alias("unit")).where(~F.rlike("unit", F.lit(DENIED)))
+    lines = each.select("unit").distinct()
+    matched = staged(matched_units(lines.unionByName(broken.select("unit")).distinct(), lines), "matched")
+    hits = each.join(matched, "unit")
+    # notices broken over lines count where no line alone is one
+    hits = hits.unionByName(broken.join(matched, "unit").join(hits.select("__file").distinct(), "__file", "left_anti"))
+    mine = (hits.withColumn("license", F.when(F.col("any_bsd"), F.col("__bsd")).otherwise(F.col("license")))
             .where("license is not null").groupBy("__file").agg(
         F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"),
         (F.sum(F.size(F.split("unit", r"[ \t\r\n]+"))) / F.max("__words")).alias("cover"))
@@ -312,7 +336,7 @@ def scan_licenses(df: DataFrame, path: Column, text_col: str = "text", keep: lis
         "__file", F.coalesce("full_license", "own_license").alias("own_license"),
         F.when(F.col("full_license").isNotNull(), F.col("full_score")).otherwise(F.col("own_score")).alias("own_score"),
         "cover", F.coalesce("is_whole", F.lit(False)).alias("is_whole"))
-    named = staged(files.drop("__units", "__plain", "__top", "__held", "__bsd").join(own, "__file", "left")
+    named = staged(files.drop("__units", "__joined", "__plain", "__top", "__held", "__bsd").join(own, "__file", "left")
                    .withColumn(
         "__dir", F.regexp_replace(F.when(F.startswith("__path", F.lit("/")), F.col("__path")).otherwise(
             F.concat(F.lit("/"), F.col("__path"))), "[^/]*$", "")), "named")
