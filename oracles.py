@@ -848,7 +848,8 @@ truth AS (
   FROM events)"""
 
 oracle("drive_listing", q(LISTING_TRUTH, """SELECT event_id, id, name, item_type, parent_id, created_at, updated_at, size,
-  mime_type FROM truth WHERE event_type <> 'error'"""))
+  mime_type, CASE WHEN event_id % 6 = 0 THEN 'owner={"name":"o"};starred=true;' ELSE '' END || 'version=' || CAST(event_id % 9 AS VARCHAR) AS extra
+FROM truth WHERE event_type <> 'error'"""))
 oracle("parse_api_time", q(LISTING_TRUTH, "SELECT event_id, created_at FROM truth"))
 
 GEO = """
@@ -1033,7 +1034,10 @@ FROM (SELECT file_name, CASE WHEN number % 11 <> 0 THEN size + CASE WHEN number
 
 oracle("schema_migrate", q(RATES + STORED, """SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR) AS rate_mid,
   CAST(rate_date AS VARCHAR) AS rate_date, fetch_date, source, '' AS fallback_strategy, CAST(year AS VARCHAR) AS year,
-  CAST(month AS VARCHAR) AS month, '' AS download_url, '' AS created_at, '' AS updated_at FROM stored"""))
+  CAST(month AS VARCHAR) AS month, '' AS download_url, '' AS created_at, '' AS updated_at, 2 AS version,
+  CAST(NULL AS VARCHAR) AS legacy FROM stored
+UNION ALL SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR), CAST(rate_date AS VARCHAR), fetch_date, source, NULL,
+  CAST(year AS VARCHAR), CAST(month AS VARCHAR), NULL, NULL, NULL, 1, 'x' FROM stored"""))
 
 oracle("date_from_year_month", q(RATES, """SELECT base_currency, rate_date,
   CASE WHEN dayofmonth(rate_date) % 10 <> 0 THEN rate_date

@@ -19,7 +19,6 @@ from ratebook.functions.text import col_, mask_filename, retryable, sanitize_rea
 # Listing JSON keys read as text; alternatives are tried left to right.
 LISTING_KEYS = ("type", "fileType", "nodeType", "id", "folderId", "fileId", "name", "parentId", "createdAt",
                 "gmtCreate", "updatedAt", "gmtModified", "size", "fileSize", "mimeType", "contentType")
-LISTING_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in LISTING_KEYS])
 
 
 def _first_nonempty(*cols) -> Column:
@@ -28,15 +27,16 @@ def _first_nonempty(*cols) -> Column:
 
 def parse_listing(df: DataFrame, json_col: str = "json") -> DataFrame:
     """P10 + X18: listing JSON -> DRIVE_ITEM columns; unknown types dropped; size 0 -> null;
-    size and MIME for files only; times by the first of four ISO layouts.
+    size and MIME for files only; times by the first of four ISO layouts; ``extra`` holds the
+    JSON's other keys as text.
 
     Three stages separated by barriers: parse the JSON once, pick the fields
     once, parse each time once.
     """
     from ratebook.operators.staging import barrier
     keep = [c for c in df.columns if c != json_col]
-    j = barrier(df.select(*keep, F.from_json(F.col(json_col), LISTING_SCHEMA).alias("_j")))
-    g = lambda k: F.col(f"_j.{k}")
+    j = barrier(df.select(*keep, F.from_json(F.col(json_col), "map<string,string>").alias("_j")))
+    g = lambda k: F.try_element_at("_j", F.lit(k))
     kind = _first_nonempty(g("type"), g("fileType"), g("nodeType"))
     fields = barrier(j.select(
         *keep, kind.alias("item_type"),
@@ -47,14 +47,15 @@ def parse_listing(df: DataFrame, json_col: str = "json") -> DataFrame:
         _first_nonempty(g("updatedAt"), g("gmtModified")).alias("_updated"),
         F.coalesce(*[F.nullif(g(k).try_cast("bigint"), F.lit(0).cast("bigint")) for k in ("size", "fileSize")],
                    F.lit(0).cast("bigint")).alias("_size"),
-        _first_nonempty(g("mimeType"), g("contentType")).alias("_mime")).where(F.col("item_type").isin("folder", "file")))
+        _first_nonempty(g("mimeType"), g("contentType")).alias("_mime"),
+        F.map_filter("_j", lambda k, _: ~k.isin(*LISTING_KEYS)).alias("extra")).where(F.col("item_type").isin("folder", "file")))
     is_file = F.col("item_type") == "file"
     return fields.select(
         *keep, "id", "name", "item_type", "parent_id",
         parse_api_time(F.col("_created")).cast("timestamp_ntz").alias("created_at"),
         parse_api_time(F.col("_updated")).cast("timestamp_ntz").alias("updated_at"),
         F.when(is_file & (F.col("_size") != 0), F.col("_size")).alias("size"),
-        F.when(is_file, F.col("_mime")).alias("mime_type"))
+        F.when(is_file, F.col("_mime")).alias("mime_type"), "extra")
 
 
 # Fixed value: characters that a path segment must not hold.

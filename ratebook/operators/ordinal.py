@@ -1,64 +1,51 @@
 """Row numbering and last-wins without one task per group.
 
 ``row_number().over(Window.partitionBy(g).orderBy(k))`` sorts each group in
-one task; a group holding a third of all rows then runs in one task. Here
-the order key is cut into buckets at approximate quantiles (one small
-aggregate); rows are numbered inside (group, bucket) windows, each bounded
-by the bucket size, and shifted by the exact row counts of the group's
-earlier buckets (a table of groups x buckets). Everything is a
-deterministic function of the data, so recomputation after a lost executor
-gives the same numbers.
+one task; a group holding a third of all rows then runs in one task. Here the
+rows are range-partitioned by the whole key (group and all order columns), so
+the splitters cut a hot group into as many parts as it needs, whatever its first
+order column holds. The sorted parts are written once, each row with its part
+and its place there; a table of one row per (group, part) then gives the exact
+numbers. What is numbered are the written rows, so recomputation after a lost
+executor cannot move a row to another part.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratebook.operators.staging import written
+
 
-def quantile_buckets(df: DataFrame, order_col: str, num_buckets: int, out: str = "_bucket") -> DataFrame:
-    """Add ``out``: the bucket of ``order_col`` between approximate quantile cuts."""
-    if num_buckets <= 1:
-        return df.withColumn(out, F.lit(0.0))
-    fractions = [i / num_buckets for i in range(1, num_buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fractions, 10000)).first()[0]
-    cuts = sorted({float(c) for c in (cuts or []) if c is not None})
-    splits = [-math.inf] + cuts + [math.inf]
-    keyed = df.withColumn("_kd", F.col(order_col).cast("double"))
-    return (Bucketizer(splits=splits, inputCol="_kd", outputCol=out, handleInvalid="keep")
-            .transform(keyed).drop("_kd"))
+def ranked_parts(df: DataFrame, keys: list[str], num_parts: int | None = None) -> DataFrame:
+    """``df`` sorted by the whole key over ranges of it, with ``_part`` and the place in it, ``_at``."""
+    by = [F.col(f"`{k}`") for k in keys]
+    ranged = df.repartitionByRange(num_parts, *by) if num_parts else df.repartitionByRange(*by)
+    return written(ranged.sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+                   .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
 
 
 def number_rows(df: DataFrame, order_cols, group_cols=(), out: str = "row_no",
-                num_buckets: int | None = None) -> DataFrame:
+                num_parts: int | None = None) -> DataFrame:
     """Add a 1-based ``out`` number per group in ``order_cols`` order.
 
-    The first order column must be numeric; ``order_cols`` must be unique
-    within a group (a total order).
+    ``order_cols`` must be unique within a group (a total order).
     """
-    order_cols = list(order_cols)
     group_names = list(group_cols)
-    if num_buckets is None:
-        num_buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = quantile_buckets(df, order_cols[0], num_buckets)
-    counts = bucketed.groupBy(*group_names, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group_names).orderBy("_bucket").rowsBetween(
+    placed = ranked_parts(df, [*group_names, *order_cols], num_parts)
+    # a group lies in neighbouring parts: this table has at most groups + parts rows
+    counts = placed.groupBy(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group_names)], F.col("_part").alias("_gp")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(group_names))]).orderBy("_gp").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*group_names, "_bucket").orderBy(*order_cols)
-    local = bucketed.withColumn("_rn", F.row_number().over(inside))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).drop("_n", "_from")
     # null-safe: a null group key is a group like any other
-    renamed = offsets.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group_names)],
-                             F.col("_bucket").alias("_gb"), "_off")
-    match = F.col("_bucket").eqNullSafe(F.col("_gb"))
+    match = F.col("_part") == F.col("_gp")
     for i, g in enumerate(group_names):
         match = match & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
-    joined = local.join(renamed, match)
-    return (joined.withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_bucket", "_rn", "_off", "_gb", *[f"_g{i}" for i in range(len(group_names))]))
+    return (placed.join(offsets, match).withColumn(out, (F.col("_off") + F.col("_at") + 1).cast("bigint"))
+            .drop("_part", "_at", "_off", "_gp", *[f"_g{i}" for i in range(len(group_names))]))
 
 
 def last_wins(df: DataFrame, key_cols, ordinal: str | Column) -> DataFrame:

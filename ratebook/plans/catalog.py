@@ -816,8 +816,10 @@ from ratebook.operators import inventory as iv  # noqa: E402
 
 @register("drive_listing")
 def q_drive_listing(spark, sf_dir):
-    """P10: listing JSON normalised to drive items (unknown types dropped)."""
-    return iv.parse_listing(bd.listing_json(spark, sf_dir))
+    """P10: listing JSON normalised to drive items (unknown types dropped); the extra map as sorted text."""
+    items = iv.parse_listing(bd.listing_json(spark, sf_dir))
+    pairs = F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return items.withColumn("extra", F.array_join(F.array_sort(pairs), ";"))
 
 
 @register("parse_api_time")
@@ -1101,15 +1103,21 @@ def q_sheet_conform(spark, sf_dir):
 
 @register("schema_migrate")
 def q_schema_migrate(spark, sf_dir):
-    """A stored table with a drifted header rewritten in the target column order."""
-    from ratebook.operators.mapping import conform
+    """A stored table with a drifted header rewritten in the target column order as a new version; both versions read back."""
     from ratebook.schemas import RATES_COLUMNS
+    from ratebook.session import scratch_dir
+    from ratebook.sinks.tables import VersionedTable
     s = bd.stored_rates(spark, sf_dir, even_days=False)
     drifted = s.select(F.col("rate_date").cast("string").alias(" rate_date"), "source",
                        F.col("rate_mid").cast("string").alias("rate_mid"), "base_currency", "quote_currency",
                        "fetch_date", F.col("year").cast("string").alias("year"),
                        F.col("month").cast("string").alias("month"), F.lit("x").alias("legacy"))
-    return conform(drifted, list(RATES_COLUMNS))
+    stored = VersionedTable(spark, scratch_dir(spark, "migrate"))
+    first = stored.write(drifted)
+    second = stored.migrate(list(RATES_COLUMNS))
+    before, after = stored.read(first), stored.read(second)
+    old = before.withColumnRenamed(" rate_date", "rate_date").withColumn("version", F.lit(first))
+    return after.withColumn("version", F.lit(second)).unionByName(old, allowMissingColumns=True)
 
 
 @register("date_from_year_month")

@@ -417,7 +417,8 @@ def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.when(i % 3 == 0, F.lit('"mimeType":"application/pdf"')).otherwise(F.lit('"contentType":"text/csv"'))
     body = F.concat(F.lit("{"), kind, F.lit(","), ident, F.lit(',"name":'), q(F.concat(F.lit("item_"), i.cast("string"))),
                     F.lit(',"parentId":'), q(F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.lit(","),
-                    created, F.lit(","), updated, F.lit(","), size, F.lit(","), mime, F.lit("}"))
+                    created, F.lit(","), updated, F.lit(","), size, F.lit(","), mime, F.lit(',"version":'), (i % 9).cast("string"),
+                    F.when(i % 6 == 0, F.lit(',"owner":{"name":"o"},"starred":true')).otherwise(F.lit("")), F.lit("}"))
     return e.select("event_id", body.alias("json"))
 
 

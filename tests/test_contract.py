@@ -78,24 +78,25 @@ def test_numbering_ignores_input_order(spark):
     from ratebook.operators.ordinal import number_rows
     df = spark.range(0, 5000).select((F.col("id") % 7).alias("g"), F.col("id").alias("k"))
     a = _rows(number_rows(df, ["k"], ["g"]))
-    b = _rows(number_rows(df.repartition(13).orderBy(F.rand(7)), ["k"], ["g"], num_buckets=5))
+    b = _rows(number_rows(df.repartition(13).orderBy(F.rand(7)), ["k"], ["g"], num_parts=5))
     assert a == b
     first = number_rows(df, ["k"], ["g"]).where("row_no = 1").orderBy("g").collect()
     assert [r["k"] for r in first] == list(range(7))
 
 
 def test_numbering_with_a_hot_group(spark):
-    """One group holds a third of all rows: numbers stay exact and every window
-    partition (group, bucket) stays near n / buckets rows."""
-    from ratebook.operators.ordinal import number_rows, quantile_buckets
-    n, buckets = 30000, 12
+    """One group holds a third of all rows: numbers stay exact and every part stays near
+    n / parts rows, also where the first order column has one value."""
+    from ratebook.operators.ordinal import number_rows, ranked_parts
+    n, parts = 30000, 12
     df = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("g"),
-                                  F.col("id").alias("k"))
-    out = number_rows(df, ["k"], ["g"], num_buckets=buckets)
-    hot = out.where("g = 0").agg(F.min("row_no"), F.max("row_no"), F.count("*")).first()
+                                  F.lit("same").alias("first"), F.col("id").alias("k"))
+    out = number_rows(df, ["first", "k"], ["g"], num_parts=parts)
+    hot = out.where("g = 0").agg(F.min("row_no"), F.max("row_no"), F.count_distinct("row_no")).first()
     assert tuple(hot) == (1, n // 3, n // 3)
-    sizes = quantile_buckets(df, "k", buckets).groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
-    assert sizes <= 1.2 * n / buckets
+    assert out.where("g = 0 and row_no <> k / 3 + 1").count() == 0
+    sizes = ranked_parts(df, ["g", "first", "k"], parts).groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert sizes <= 1.5 * n / parts
 
 
 def test_rate_lookup_is_a_broadcast_equi_join(spark):

@@ -81,3 +81,14 @@ def test_old_versions_are_retired(spark, tmp_path, monkeypatch):
     januaries = [p for p, _, _ in os.walk(tmp_path / "s") if p.endswith("year=2025/month=1")]
     assert len(januaries) == 3
     assert len([p for p, _, _ in os.walk(tmp_path / "s") if p.endswith("year=2025/month=2")]) == 1
+
+
+def test_schema_versions_read_before_and_after(spark, tmp_path):
+    from ratebook.sinks.tables import VersionedTable
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    assert table.write(spark.createDataFrame([("1", " a ", None), (None, " ", "")], "`b ` string, `a.x` string, gone string")) == 1
+    assert table.migrate(["a.x", "b", "new"]) == 2 and table.migrate(["a.x", "b", "new"]) == 2
+    assert [tuple(r) for r in table.read(1).collect()] == [("1", " a ", None), (None, " ", "")] and table.read(1).columns == ["b ", "a.x", "gone"]
+    assert [tuple(r) for r in table.read().collect()] == [(" a ", "1", "")]
+    with pytest.raises(KeyError):
+        table.read(9)
