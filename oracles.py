@@ -753,6 +753,7 @@ quotes AS (
     WHERE rate_b IS NOT NULL AND date_b IS NOT NULL GROUP BY date_b
   UNION ALL SELECT 'safe', quote_date, arg_max(CAST(rate AS DECIMAL(18,6)), page_id) FROM portal_scaled GROUP BY quote_date)"""
 
+oracle("page_quotes", q(PAGE_QUOTES, "SELECT source, quote_date, rate FROM quotes"))
 oracle("pages_to_monthly", q(PAGE_QUOTES + CAL + monthly_results("m", "months"),
        "SELECT year, month, query_date, request_date, mid_rate, source_date, rate_source, fallback_used FROM m_res"))
 
@@ -931,6 +932,17 @@ oracle("batch_report", q(ATTEMPTS, """SELECT batch_id, count(*) AS total,
   CAST(sum(attempt_no) AS BIGINT) AS attempts
 FROM chosen GROUP BY batch_id"""))
 
+oracle("batch_items", q(ATTEMPTS + """,
+renames AS (SELECT *, CASE WHEN status = 'uploaded' AND final_name <> requested_name THEN final_name END AS renamed_to FROM chosen),
+listed AS (
+  SELECT *, CASE status WHEN 'uploaded' THEN 'success' ELSE status END AS list FROM renames
+  UNION ALL SELECT *, 'renamed' FROM renames WHERE renamed_to IS NOT NULL)""", """
+SELECT batch_id, list, row_number() OVER (PARTITION BY batch_id, list ORDER BY item) AS position,
+  COALESCE(final_name, requested_name) AS name, requested_name AS requested, renamed_to,
+  CASE WHEN status = 'failed' THEN reason END AS reason, CAST(attempt_no AS BIGINT) AS attempts FROM listed"""))
+oracle("batch_durations", """SELECT user_id AS batch_id, CAST(date_sub('second', min(ts), max(ts)) AS BIGINT) AS seconds
+FROM events GROUP BY user_id""")
+
 import mimetypes as _mt  # noqa: E402
 
 _MIME_ROWS = sorted({(e.lstrip(".").lower(), t) for e, t in _mt.MimeTypes().types_map[True].items()})

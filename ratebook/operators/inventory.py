@@ -247,6 +247,29 @@ def batch_report(outcomes: DataFrame) -> DataFrame:
         F.sum("attempts").alias("attempts"))
 
 
+def batch_items(outcomes: DataFrame) -> DataFrame:
+    """A7 lists: (batch_id, list, position, name, requested, renamed_to, reason, attempts), one row per listed item.
+
+    An item is in the list of its outcome, and in ``renamed`` too if it was stored under another
+    name. Positions follow the item; they come from ranges of the whole key, so a batch of any
+    size is many tasks, and written as it stands the table is a sorted run per list.
+    """
+    from ratebook.operators.ordinal import number_rows
+    renamed = F.coalesce((F.col("status") == "uploaded") & (F.col("final_name") != F.col("requested_name")), F.lit(False))
+    name = F.when(F.col("status") == "uploaded", "success").when(F.col("status") == "failed", "failed").otherwise("skipped")
+    lists = F.when(renamed, F.array(name, F.lit("renamed"))).otherwise(F.array(name))
+    rows = outcomes.select(
+        "batch_id", F.explode(lists).alias("list"), "item", F.coalesce("final_name", "requested_name").alias("name"),
+        F.col("requested_name").alias("requested"), F.when(renamed, F.col("final_name")).alias("renamed_to"), "reason", "attempts")
+    return number_rows(rows, ["item"], ["batch_id", "list"], out="position").drop("item")
+
+
+def batch_durations(attempts: DataFrame, at: str = "at") -> DataFrame:
+    """A7 duration: per batch its first and last attempt and the seconds between them."""
+    span = attempts.groupBy("batch_id").agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"))
+    return span.withColumn("seconds", F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")).cast("bigint"))
+
+
 def index_rows(spark: SparkSession, files: DataFrame) -> DataFrame:
     """S9 + X30: (path, file_name, size, sha256, mime_type, modified_at, parsed) of each row of
     ``files`` (path, content, length, modificationTime)."""
@@ -314,5 +337,6 @@ def download_verify(manifest: DataFrame, spark: SparkSession, path_glob: str) ->
 
 
 __all__ = ["parse_listing", "validate_path", "normalize_parent_id", "normalize_item_name", "join_drive_path",
-           "folder_paths", "resolve_folders", "plan_conflicts", "attempt_outcomes", "batch_report", "file_index",
+           "folder_paths", "resolve_folders", "plan_conflicts", "attempt_outcomes", "batch_report", "batch_items",
+           "batch_durations", "file_index",
            "index_rows", "prefix_rows", "verify_sizes", "prefix_hash", "with_mime_type", "download_verify", "mask_filename"]

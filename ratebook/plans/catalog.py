@@ -759,6 +759,13 @@ def q_extract_quotes(spark, sf_dir):
     return pbc.unionByName(cfets).unionByName(chart).unionByName(safe)
 
 
+@register("page_quotes")
+def q_page_quotes(spark, sf_dir):
+    """C4 as a job: landed pages of all publishers -> one quote per source and day."""
+    from ratebook.plans.extract_quotes import extract_quotes
+    return extract_quotes(bd.notice_pages(spark, sf_dir), bd.keychart_pages(spark, sf_dir), bd.portal_pages(spark, sf_dir))
+
+
 @register("pages_to_monthly")
 def q_pages_to_monthly(spark, sf_dir):
     """C4 into C2: landed pages of all publishers -> quotes -> one rate per month of the span."""
@@ -887,6 +894,18 @@ def q_batch_report(spark, sf_dir):
     return iv.batch_report(_outcomes(spark, sf_dir))
 
 
+@register("batch_items")
+def q_batch_items(spark, sf_dir):
+    """A7 lists: every item of every batch in its lists, numbered."""
+    return iv.batch_items(_outcomes(spark, sf_dir))
+
+
+@register("batch_durations")
+def q_batch_durations(spark, sf_dir):
+    """A7 duration: seconds between a batch's first and last attempt."""
+    return iv.batch_durations(bd.upload_attempts(spark, sf_dir)).select("batch_id", "seconds")
+
+
 @register("upload_outcomes")
 def q_upload_outcomes(spark, sf_dir):
     """A7 detail: the deciding attempt of every item with its redacted reason."""

@@ -440,4 +440,4 @@ def upload_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(t == "signup", F.lit("UploadFlowError"))
     return e.select(F.col("user_id").alias("batch_id"), doc.alias("item"), i.alias("ordinal"), status.alias("status"),
                     name.alias("requested_name"), final.alias("final_name"), message.alias("message"),
-                    error_class.alias("error_class"), path.alias("file_path"))
+                    error_class.alias("error_class"), path.alias("file_path"), F.col("ts").alias("at"))
