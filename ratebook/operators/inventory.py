@@ -177,6 +177,42 @@ def resolve_folders(requests: DataFrame, paths: DataFrame, path_col: str = "path
         .alias("missing_prefix"))
 
 
+def walk_folders(requests: DataFrame, listing: DataFrame, path_col: str = "path") -> DataFrame:
+    """J13 by a walk of the requests themselves: (path, folder_id, missing_prefix).
+
+    All requests start at the root (or at the folder that a leading ``id:<folder>``
+    names) and go down one level per round: the distinct (folder, next name) pairs
+    are joined with the folders by parent and name, so a prefix that many requests
+    share is asked for once, and folders that no request reaches are never expanded.
+    A round keeps only the requests that found their folder and go on; the others
+    are answered. Of folders with one parent and name the greatest id counts.
+    """
+    from ratebook.operators.staging import written
+    folders = written(listing.where(F.col("item_type") == "folder").groupBy("parent_id", "name").agg(F.max("id").alias("found")), "folders")
+    segs = F.filter(F.transform(F.split(F.col(path_col), "/"), lambda s: strip_unicode(s)), lambda s: s != "")
+    r = requests.select(path_col).distinct().select("*", F.coalesce(segs, F.array().cast("array<string>")).alias("_segs"))
+    first = F.try_element_at("_segs", F.lit(1))
+    anchored = F.coalesce(first.startswith("id:") & (F.length(first) > 3), F.lit(False))
+    skip = anchored | F.coalesce(first.isin("root", "ROOT"), F.lit(False))
+    walking = written(r.select(path_col, F.when(anchored, F.substr(first, F.lit(4))).otherwise(F.lit("root")).alias("_at"),
+                               F.when(skip, F.slice("_segs", 2, F.size("_segs"))).otherwise(F.col("_segs")).alias("_segs")), "requests")
+    out, depth = None, 0
+    while not walking.isEmpty():
+        asked = F.get("_segs", F.lit(depth))
+        there = walking.where(F.size("_segs") == depth).select(
+            path_col, F.col("_at").alias("folder_id"), F.lit(None).cast("string").alias("missing_prefix"))
+        on = walking.where(F.size("_segs") > depth).withColumn("_next", asked)
+        pairs = on.select("_at", "_next").distinct()
+        hits = pairs.join(folders, (F.col("_at") == F.col("parent_id")) & (F.col("_next") == F.col("name"))).select("_at", "_next", "found")
+        moved = written(on.join(hits, ["_at", "_next"], "left"), "walk")
+        lost = moved.where(F.col("found").isNull()).select(
+            path_col, F.lit(None).cast("string").alias("folder_id"), F.array_join(F.slice("_segs", 1, depth + 1), "/").alias("missing_prefix"))
+        answers = there.unionByName(lost)
+        out = answers if out is None else out.unionByName(answers)
+        walking, depth = moved.where(F.col("found").isNotNull()).select(path_col, F.col("found").alias("_at"), "_segs"), depth + 1
+    return out if out is not None else walking.select(path_col, F.col("_at").alias("folder_id"), F.col("_at").alias("missing_prefix"))
+
+
 def split_name(name) -> tuple[Column, Column]:
     """(stem, suffix) split at the last dot; no dot -> (name, '')."""
     n = col_(name)
@@ -337,6 +373,6 @@ def download_verify(manifest: DataFrame, spark: SparkSession, path_glob: str) ->
 
 
 __all__ = ["parse_listing", "validate_path", "normalize_parent_id", "normalize_item_name", "join_drive_path",
-           "folder_paths", "resolve_folders", "plan_conflicts", "attempt_outcomes", "batch_report", "batch_items",
+           "folder_paths", "resolve_folders", "walk_folders", "plan_conflicts", "attempt_outcomes", "batch_report", "batch_items",
            "batch_durations", "file_index",
            "index_rows", "prefix_rows", "verify_sizes", "prefix_hash", "with_mime_type", "download_verify", "mask_filename"]

@@ -857,8 +857,7 @@ def q_path_normalize(spark, sf_dir):
 @register("folder_resolve")
 def q_folder_resolve(spark, sf_dir):
     """Requested folder paths resolved against the tree (id or first missing prefix)."""
-    listing = bd.drive_listing(spark, sf_dir)
-    return iv.resolve_folders(bd.folder_requests(spark, sf_dir), iv.folder_paths(listing))
+    return iv.walk_folders(bd.folder_requests(spark, sf_dir), bd.drive_listing(spark, sf_dir))
 
 
 @register("conflict_policy")
