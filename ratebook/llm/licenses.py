@@ -53,7 +53,8 @@ LICENCE_WORD = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 TERM_BREAK = r"[^a-z0-9.+-]+"
 FULL_LEAST = 0.9
-COMMENT_MARK = r"^[ \t\r]*(#+|//+|/?\*+/?|--|;+|%+|<!--|\"\"\")?[ \t]*"
+NEAR_LINES = rf"(?im)^(?:[^\n]*+\n)?[^\n]*?(?:{LICENCE_WORD.removeprefix('(?i)')})[^\n]*+(?:\n[^\n]*+){{0,2}}"
+COMMENT_MARK = r"(?:^|\n)[ \t\r]*(?:#+|//+|/?\*+/?|--|;+|%+|<!--|\"\"\")?[ \t]*"
 COMMENT_LINE = r"^[ \t\r]*($|#|//|/?\*|--|;|%|<!--|\"\"\")"
 #: Fixed texts: usual notices of each licence.
 TEMPLATES = (
@@ -272,11 +273,10 @@ def matched_texts(parts: DataFrame) -> DataFrame:
 
 
 def _joined(text: Column) -> Column:
-    """The sentences with a licence word of every such line, joined with the line before and the two after it."""
-    lines = F.transform(F.split(F.regexp_replace(text, VERSION, "$1 $2"), "\n"), lambda x: F.regexp_replace(x, COMMENT_MARK, ""))
-    near = F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(LICENCE_WORD)), F.array_join(
-        F.slice(lines, F.greatest(i, F.lit(1)), F.lit(4)), " ")))
-    parts = F.flatten(F.transform(F.filter(near, lambda x: x.isNotNull()), lambda x: F.split(x, r"[.;][ \t\r]+")))
+    """The sentences with a licence word of such lines, each joined with the line before and the two after it; one pass over the text."""
+    plain = F.regexp_replace(text, VERSION, "$1 $2")
+    near = F.regexp_extract_all(plain, F.lit(NEAR_LINES), F.lit(0))
+    parts = F.flatten(F.transform(near, lambda x: F.split(F.regexp_replace(x, COMMENT_MARK, " "), r"[.;][ \t\r]+")))
     return F.array_distinct(F.transform(F.filter(parts, lambda u: F.rlike(u, F.lit(LICENCE_WORD))), lambda u: F.btrim(u)))
 
 
