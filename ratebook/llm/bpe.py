@@ -20,6 +20,7 @@ _PIECE_START = re.compile(r"(?= \S)")
 # For them the tokenizers' patterns read as below.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"[\n\r\t -&(-;=-~{_LETTERS}]+\Z")
+_NOT_SIMPLE = re.compile(rf"[^\n\r\t -&(-;=-~{_LETTERS}]")
 _BYTE_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _WORD_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 CACHE_ENTRIES = 250_000
@@ -136,7 +137,12 @@ class Lengths(Cache):
 
 
 class Ids(Cache):
-    """Piece -> its ids as little-endian uint32 bytes, for the word-end BPE (lower case, white space dropped)."""
+    """Ids as little-endian uint32 bytes, for the word-end BPE (lower case, white space dropped).
+
+    Stretches of plain characters are cut into pre-tokens at once and looked up
+    one by one. A piece with any other character is encoded as a whole: these
+    pieces are the keys of this cache.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -144,12 +150,27 @@ class Ids(Cache):
         self.parts = _PartIds(self.tok)
 
     def make(self, piece: str) -> bytes:
-        if _SIMPLE.match(piece):
-            return b"".join(map(self.parts.__getitem__, _WORD_PARTS.findall(piece.lower())))
         return pack_ids(self.tok.encode(" " + piece, add_special_tokens=False).ids)
 
+    def plain(self, stretch: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _WORD_PARTS.findall(stretch.lower())))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, rest = cut(text)
-        return b"".join(map(self.__getitem__, [first, *rest]))
+        out, at = [], 0
+        while odd := _NOT_SIMPLE.search(text, at):
+            start, end = piece_around(text, at, odd)
+            out += self.plain(text[at:start]), self[text[start + (text[start] == " "):end]]
+            at = end
+        out.append(self.plain(text[at:]))
+        return b"".join(out)
+
+
+def piece_around(text: str, at: int, found: re.Match) -> tuple[int, int]:
+    """Start and end of the piece that holds the match; no start before ``at``, where a piece starts."""
+    start = text.rfind(" ", at, found.start())
+    while start >= 0 and text[start + 1].isspace():
+        start = text.rfind(" ", at, start)
+    after = _PIECE_START.search(text, found.end())
+    return max(start, at), after.start() if after else len(text)
