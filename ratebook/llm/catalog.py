@@ -15,7 +15,7 @@ from ratebook.llm.hilbert_ann import nearest_neighbours
 from ratebook.llm.licenses import oracle as license_sql
 from ratebook.llm.licenses import scan_licenses
 from ratebook.llm.matrix_bpe import ids_text, round_trip
-from ratebook.llm.mixing import budgeted_copies, source_weights
+from ratebook.llm.mixing import mixture, source_weights
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind
 from ratebook.llm.pu_classifier import THRESHOLD, fit_pu, pu_scores
@@ -97,7 +97,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = staged(token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "source"])
                      .select("doc_id", "source", "n_tokens"), "counted")
     weights = source_weights(counted, "source", "n_tokens", evenness=0.5, max_epochs=4.0)
-    return budgeted_copies(counted, counted, weights, "doc_id", "source", "n_tokens")
+    return mixture(counted, counted, weights, "doc_id", "source", "n_tokens", unread=True)
 
 
 @register("op6_suffix_dedup")

@@ -16,7 +16,8 @@ Sequences are numbered within their tier and dealt into step groups of
 ``STEP_TOKENS`` tokens, each of one context size, so that steps cost alike.
 
 A null or empty text is its end id alone. Repeated rows are packed each for
-themselves. Output rows are pieces: an empty table gives none.
+themselves. Output rows are pieces: an empty table gives none. Kept columns
+named like one of the result's own give way to it.
 """
 
 from __future__ import annotations
@@ -125,8 +126,10 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 2, text_col: str = "t
                    with_ids: bool = True) -> DataFrame:
     """One row per piece: ``keep`` columns (default: doc_id) with start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier, step_group, and ids (little-endian uint32) with ``with_ids``."""
-    keep = ["doc_id"] if keep is None else keep
-    src = df.select(*map(col, keep), col(text_col).alias("__text"))
+    new = {"start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"} | ({"ids"} if with_ids else set())
+    names = {c: f"__k{i}" for i, c in enumerate(c for c in (["doc_id"] if keep is None else keep) if c.lower() not in new)}
+    keep = list(names.values())
+    src = df.select(*[col(c).alias(k) for c, k in names.items()], col(text_col).alias("__text"))
     schema = T.StructType([src.schema[c] for c in keep] + [
         long("start"), long("length"), long("ids_crc32"), long("doc_tokens"), long("offset"), long("tier"),
         long("part"), long("local"), T.StructField("ids", T.BinaryType())])
@@ -166,7 +169,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 2, text_col: str = "t
     first = staged(src.mapInArrow(pack, schema), "packed")
     tails = first.where("tier is null").withColumn("group", F.floor(F.col("part") / TASKS_TOGETHER).cast("long"))
     second = staged(_apply_arrow(tails, pack_tails, schema), "tails")
-    return _numbered(first.where("tier is not null").unionByName(second), keep, with_ids)
+    return _numbered(first.where("tier is not null").unionByName(second), names, with_ids)
 
 
 def _apply_arrow(tails: DataFrame, fn, schema) -> DataFrame:
@@ -185,7 +188,7 @@ def _ids(path: str) -> Ids:
 _IDS: dict[str, Ids] = {}
 
 
-def _numbered(pieces: DataFrame, keep: list[str], with_ids: bool) -> DataFrame:
+def _numbered(pieces: DataFrame, keep: dict[str, str], with_ids: bool) -> DataFrame:
     """Global sequence numbers, tier by tier; step groups of equal token counts within a tier."""
     counts = pieces.groupBy("tier", "part").agg(F.max("local").alias("most"),
                                                 F.countDistinct("local").alias("n"))
@@ -198,7 +201,7 @@ def _numbered(pieces: DataFrame, keep: list[str], with_ids: bool) -> DataFrame:
              .select("part", "local", (F.col("before") + F.col("rank")).alias("in_tier")))
     out = pieces.join(named, ["part", "local"])
     sequence = F.col("in_tier") * len(TIERS) + F.log2("tier").cast("long") - F.lit(TIERS[0].bit_length() - 1)
-    shown = out.select(*map(col, keep), "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"),
+    shown = out.select(*[F.col(k).alias(c) for c, k in keep.items()], "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"),
                        "offset", "tier", F.floor(F.col("in_tier") * F.col("tier") / STEP_TOKENS).alias("step_group"),
                        *(["ids"] if with_ids else []))
     return shown

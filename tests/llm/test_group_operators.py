@@ -387,15 +387,92 @@ def test_mixing_meets_targets_and_budgets(spark, monkeypatch, kw):
         assert max(x.copies for x in own) - min(x.copies for x in own) <= 1
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: each value hashed with the hash so far as seed, nulls skipped."""
+    at = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v.to_bytes(4 if isinstance(v, Small) else 8, "little", signed=True)
+            at = xxhash.xxh64_intdigest(data, seed=at)
+    return at
+
+
+class Small(int):
+    """An int column's value (others are long)."""
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("kw", [dict(evenness=0.5, max_epochs=4.0), dict(every_source_once=True, max_epochs=2.0)])
+def test_mixture_serves_permuted_blocks(spark, monkeypatch, kw):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100_000)
+    rows, docs = sources(spark, seed=5, n=3000)
+    docs = docs.withColumn("place", F.lit("own")).repartition(3)
+    weights = mixing.source_weights(docs, "source", "n_tokens", **kw)
+    mixed = mixing.mixture(docs, docs, weights, "doc_id", "source", "n_tokens", seed=9, unread=True)
+    got = mixed.collect()
+    assert mixed.columns == ["doc_id", "source", "n_tokens", "copies", "epoch", "block", "place", "inner"]
+    assert {r.doc_id for r in got if r.epoch is None} == {r.doc_id for r in got if r.copies == 0}
+    for w in weights.collect():
+        own = [(i, n) for i, s, n in rows if s == w.source]
+        n_blocks = -(-w.tokens // 100_000)
+        want, epoch, left = [], 0, w.budget
+        while left > 0:
+            keyed = []
+            for i, n in own:
+                block = signed(spark_hash(i, Small(9))) % n_blocks
+                order = spark_hash(w.source, block, Small(10), epoch)
+                keyed.append((order, block, signed(spark_hash(i, Small(11), epoch)), i, n))
+            for order, block, _, i, n in sorted(keyed):
+                if left > 0 or epoch < w.budget // w.tokens:
+                    want.append((i, epoch, block, (epoch + order / 2.0 ** 64) / w.epochs))
+                left -= n
+            epoch += 1
+        mine = sorted((r for r in got if r.source == w.source and r.epoch is not None), key=lambda r: (r.place, r.block, r.inner))
+        assert [(r.doc_id, r.epoch, r.block) for r in mine] == [x[:3] for x in want]
+        assert [r.place for r in mine] == pytest.approx([x[3] for x in want], rel=1e-12)
+    served = mixing.in_order(mixing.mixture(docs, docs, weights, "doc_id", "source", "n_tokens", seed=9)).collect()
+    assert [r.doc_id for r in served] == [r.doc_id for r in sorted((r for r in got if r.epoch is not None),
+                                                                  key=lambda r: (r.place, r.block, r.inner))]
+
+
+def test_exponent_meets_both_limits_or_is_refused(spark):
+    shares = spark.createDataFrame([(x,) for x in (0.5, 0.3, 0.15, 0.05)], "share double")
+
+    def figures(a):
+        z = sum(x ** a for x in (0.5, 0.3, 0.15, 0.05))
+        w = [x ** a / z for x in (0.5, 0.3, 0.15, 0.05)]
+        return -sum(x * math.log(x) for x in w), max(x / p for x, p in zip(w, (0.5, 0.3, 0.15, 0.05)))
+
+    a = mixing.find_exponent(shares, 1.0, 1.0, 1.2)
+    assert 1.3 < a < 1.45 and figures(a)[0] == pytest.approx(1.0, abs=1e-6) and figures(a)[1] <= 1.2
+    a = mixing.find_exponent(shares, 1.0, None, 1.2)
+    assert a < 1 and figures(a)[1] == pytest.approx(1.2, abs=1e-6)
+    a = mixing.find_exponent(shares, 1.0, 0.01, None)
+    assert figures(a)[0] == pytest.approx(0.01, abs=1e-6)
+    assert mixing.find_exponent(shares, 1.0, 2.0, None) == 0.0
+    for budget, entropy, most in ((1.0, 0.01, 1.2), (3.0, None, 2.0), (None, None, 0.5), (None, 0.01, 2.0)):
+        with pytest.raises(ValueError):
+            mixing.find_exponent(shares, budget, entropy, most)
+    even = spark.createDataFrame([(0.4,), (0.4,), (0.2,)], "share double")
+    with pytest.raises(ValueError):  # two equal sources always share the most
+        mixing.find_exponent(even, 1.0, 0.5, None)
+
+
 def test_mixing_of_messy_and_empty_tables(spark):
     docs = messy.frame(spark).withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     weights = mixing.source_weights(docs, "source", "n", max_epochs=2.0, every_source_once=True)
     got = mixing.budgeted_copies(docs, docs, weights, "doc_id", "source", "n")
     assert got.count() == docs.count() and got.where("n > 0 and (copies < 1 or copies > 2)").count() == 0
-    assert mixing.repeated(got).count() == got.agg(F.sum("copies")).first()[0]
+    mixed = mixing.mixture(docs, docs, weights, "doc_id", "source", "n")
+    read = got.agg(F.sum("copies")).first()[0]
+    assert mixed.count() == read and mixing.in_order(mixed).count() == read
     none = docs.where("false")
     weights = mixing.source_weights(none, "source", "n", evenness=0.5, max_epochs=2.0)
     assert mixing.budgeted_copies(none, none, weights, "doc_id", "source", "n").count() == 0
+    assert mixing.in_order(mixing.mixture(none, none, weights, "doc_id", "source", "n")).count() == 0
 
 
 def test_unknown_denied_and_program_files_give_no_licence(spark):

@@ -222,6 +222,9 @@ def test_packing_messy_rows(spark):
     check_packing(got, [r[:2] for r in messy.rows()])
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
     assert pack_documents(messy.empty(spark), WORD_BPE).count() == 0
+    clash = pack_documents(docs.withColumn("part", F.lit("x")), WORD_BPE, keep=["doc_id", "start", "part"], with_ids=False)
+    assert clash.columns[:3] == ["doc_id", "part", "start"] and clash.columns.count("start") == 1
+    assert {(r.part, type(r.start)) for r in clash.collect()} == {("x", int)}
 
 
 @pytest.mark.parametrize("seed", range(5))
