@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.llm.common import col, staged, table
-from ratebook.llm.mixing import budgeted_copies, repeated, source_weights
+from ratebook.llm.mixing import in_order, mixture, source_weights
 from ratebook.llm.packing import pack_documents
 from ratebook.llm.pii import redact
 from ratebook.llm.quality_rules import fit_rules, quality_rules
@@ -63,13 +63,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their source's share of the mixture asks for, once at least."""
+    """Rows as often as their source's share of the mixture asks for, once at least, in the mixture's order."""
     own, name = _numbered(docs)
     counted = staged(token_counts(own, public_tokenizers.path("byte_bpe_50k.json"), text_col=name["text"],
                                   keep=[name["doc_id"], name["source"]]), "counted")
     keys = name["doc_id"], name["source"], "n_tokens"
     weights = source_weights(counted, name["source"], "n_tokens", max_epochs=MAX_EPOCHS, every_source_once=True)
-    return repeated(budgeted_copies(own, counted, weights, *keys)).toDF(*name)
+    return in_order(mixture(own, counted, weights, *keys)).toDF(*name)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
