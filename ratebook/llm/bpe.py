@@ -4,14 +4,30 @@ A text is cut before every single space that is followed by a plain
 character. Both tokenizers' patterns always start a new pre-token there and
 no special string holds a space, so the ids of a text are the ids of its
 pieces in order. The pieces of real text repeat heavily: most are found in a
-table, the others are encoded once per worker and remembered.
+table, the others are encoded once per worker and remembered. Of any other
+tokenizer file (``cuts_at_spaces``) texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import struct
 
+# The rules of the two tokenizer files for which the cuts below are exact.
+BYTE_RULES = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+}
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 # A space before white space (any kind, in the widest reading) or at the end: cut less there.
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 _PIECE_START = re.compile(r"(?= \S)")
@@ -81,10 +97,26 @@ def load(path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _LOADED[path] = Tokenizer.from_file(path)
+        tok = _LOADED[path] = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
     return _LOADED[path]
 
 
+@functools.cache
+def cuts_at_spaces(path: str, word_end: bool) -> bool:
+    """Whether the file has the rules for which cuts before spaces, and pre-tokens found by pattern, give its ids."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    want, model = WORD_RULES if word_end else BYTE_RULES, rules["model"]
+    plain = (model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+             and bool(model.get("end_of_word_suffix")) == word_end)
+    # special strings start outside the plain characters and take no space with them
+    special = all(t["content"][:1] == "<" and " " not in t["content"] and not (t["single_word"] or t["lstrip"] or t["rstrip"])
+                  for t in rules.get("added_tokens") or [])
+    return plain and special and all(rules.get(name) == value for name, value in want.items())
+
+
 class _PartIds(Cache):
     """Pre-token -> its ids, little-endian uint32."""
 
@@ -117,6 +149,7 @@ class Lengths(Cache):
         super().__init__()
         self.frequent, self.tok = frequent, load(path)
         self.parts = _PartLengths(self.tok)
+        self.cuts = cuts_at_spaces(path, word_end=False)
 
     def make(self, piece: str) -> int:
         known = self.frequent.get(piece)
@@ -132,6 +165,8 @@ class Lengths(Cache):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if not self.cuts:
+            return self.exact(text)
         first, rest = cut(text)
         return self.exact(first) + sum(map(self.__getitem__, rest))
 
@@ -148,6 +183,7 @@ class Ids(Cache):
         super().__init__()
         self.tok = load(path)
         self.parts = _PartIds(self.tok)
+        self.cuts = cuts_at_spaces(path, word_end=True)
 
     def make(self, piece: str) -> bytes:
         return pack_ids(self.tok.encode(" " + piece, add_special_tokens=False).ids)
@@ -158,6 +194,8 @@ class Ids(Cache):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.cuts:
+            return pack_ids(self.tok.encode(text, add_special_tokens=False).ids)
         out, at = [], 0
         while odd := _NOT_SIMPLE.search(text, at):
             start, end = piece_around(text, at, odd)

@@ -7,33 +7,58 @@ shuffled and each text is counted whole, in one pass without a shuffle.
 The frequent table is only a cache: it is filled from a random sample of
 about ``SAMPLE_ROWS`` documents and holds at most ``TABLE_ENTRIES`` pieces
 (about 2 MB), so its broadcast does not grow with the data, and results do
-not depend on it.
+not depend on it. The sample's pieces are counted inside the tasks; a task
+hands over its most frequent ones, ``PIECES_PER_ROW`` for each row it sampled,
+so the driver merges about ``SAMPLE_ROWS * PIECES_PER_ROW`` entries.
 
 Null and empty texts have 0 bytes and 0 tokens. Repeated rows each give a
 row. An empty table gives an empty result. Strings of special tokens inside
-a text are handled as the tokenizer file's default.
+a text are handled as the tokenizer file's default. Texts of a tokenizer whose
+rules do not allow such cuts (``bpe.cuts_at_spaces``) are encoded whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ratebook.llm.bpe import CACHED_CHARS, Lengths
-from ratebook.llm.common import boolean, col, long, map_texts
+from ratebook.llm.common import boolean, col, long, map_texts, ship, text_runs
 
 SAMPLE_ROWS = 2_000
 TABLE_ENTRIES = 65_536
+PIECES_PER_ROW = 64
+RUN_CHARS = 16_000_000
 
 
 def frequent_lengths(df: DataFrame, text_col: str, path: str) -> dict[str, int]:
     """The sample's most frequent pieces with their token lengths."""
     rows = df.count()
     sample = df.select(col(text_col).alias("t")).sample(fraction=min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=7)
-    top = (sample.select(F.explode(F.split("t", " ")).alias("p")).where(F.expr(f"length(p) between 1 and {CACHED_CHARS}"))
-           .groupBy("p").count().where("count > 1").orderBy(F.desc("count"), "p").limit(TABLE_ENTRIES))
+    ship(df.sparkSession)
+    total: Counter = Counter()
+    for row in sample.mapInArrow(_frequent_pieces, "piece string, n long").collect():
+        total[row.piece] += row.n
     lengths = Lengths(path, {})
-    return {r.p: lengths[r.p] for r in top.collect() if r.p.strip() and not r.p[0].isspace()}
+    top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]
+    return {piece: lengths[piece] for piece, _ in top}
+
+
+def _frequent_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pieces found twice or more, the most frequent first, ``PIECES_PER_ROW`` for each of its rows at most."""
+    seen: Counter = Counter()
+    rows = 0
+    for batch in batches:
+        rows += batch.num_rows
+        for part in text_runs(batch, 0, RUN_CHARS):
+            for text in part.column(0).to_pylist():
+                seen.update(p for p in (text or "").split(" ") if 0 < len(p) <= CACHED_CHARS and not p[0].isspace())
+    top = [(piece, n) for piece, n in seen.most_common(rows * PIECES_PER_ROW) if n > 1]
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
+                                     names=["piece", "n"])
 
 
 def token_counts(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None,

@@ -1,9 +1,11 @@
 """Token counts, quality rules, quality classifier, PII and packing against brute force and messy rows."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,12 +14,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ratebook.llm import catalog
+from ratebook.llm.bpe import Ids, cuts_at_spaces, pack_ids
 from ratebook.llm.packing import Packer, pack_documents
 from ratebook.llm.pii import BASE_KINDS, digest, find_pii, of_kind, redact
 from ratebook.llm.pu_classifier import fit_pu, pu_scores
 from ratebook.llm.quality_rules import MONOTONE, fit_rules, quality_rules
 from ratebook.llm.textstats import BASE, FEATURES
-from ratebook.llm.token_counts import token_counts
+from ratebook.llm.token_counts import _frequent_pieces, frequent_lengths, token_counts
 from tests.conftest import MEDIUM, SMALL
 from tests.llm import messy
 
@@ -48,6 +51,34 @@ def test_token_counts_of_messy_rows(spark):
     assert token_counts(messy.empty(spark), BYTE_BPE).count() == 0
 
 
+def test_token_counts_of_other_tokenizer_files(spark, tmp_path):
+    texts = ["Hello World, an  example", "it's <|endoftext|> x", " ", "ÀB 12\n 3", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = json.loads(Path(BYTE_BPE).read_text())
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    rules["truncation"] = {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}
+    other = tmp_path / "prefixed.json"
+    other.write_text(json.dumps(rules))
+    assert cuts_at_spaces(BYTE_BPE, False) and cuts_at_spaces(WORD_BPE, True)
+    for path in (WORD_BPE, str(other)):
+        assert not cuts_at_spaces(path, False)
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+        assert {r.doc_id: r.n_tokens for r in token_counts(docs, path).collect()} == want
+    ids = Ids(BYTE_BPE)
+    tok = Tokenizer.from_file(BYTE_BPE)
+    assert [ids.encode(t) for t in texts] == [pack_ids(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_the_frequent_table_merges_the_tasks_lists(spark):
+    docs = spark.createDataFrame([(i, "one two two three " * 3 + " x") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert set(frequent_lengths(docs, "text", BYTE_BPE)) == {"one", "two", "three", "x"}
+    assert frequent_lengths(messy.empty(spark), "text", BYTE_BPE) == {}
+    pieces = docs.select("text").mapInArrow(_frequent_pieces, "piece string, n long")
+    assert pieces.groupBy().sum("n").first()[0] == 40 * 13
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(words, words[1:], words[2:]))
