@@ -439,7 +439,8 @@ oracle("rates_range_query", q(RATES, """SELECT base_currency, quote_currency, ra
 oracle("pair_filter", q(RATES, """SELECT base_currency, quote_currency, rate_mid, rate_date FROM rates
   WHERE base_currency = 'EUR' AND quote_currency = 'CNY'"""))
 
-oracle("rates_sorted", q(RATES, "SELECT base_currency, quote_currency, rate_mid, rate_date FROM rates ORDER BY rate_date NULLS LAST, 1, 2"))
+oracle("rates_sorted", q(RATES, """SELECT base_currency, quote_currency, rate_mid, rate_date,
+  row_number() OVER (ORDER BY rate_date NULLS LAST, base_currency, quote_currency) AS position FROM rates ORDER BY position"""))
 
 oracle("rates_preview", q(RATES, """SELECT base_currency, quote_currency, CAST(rate_mid AS VARCHAR) AS rate_mid, rate_date
   FROM rates WHERE base_currency = 'HKD' AND quote_currency = 'CNY' ORDER BY rate_date NULLS LAST, 1, 2 LIMIT 5"""))
@@ -667,7 +668,8 @@ oracle("monthly_write", q(MONTHLY_BASE + MON_EXIST + merge_sql("u", "mon_exist")
 FROM u_table"""))
 
 oracle("months_sorted", q(MONTHLY_BASE + MON_EXIST + merge_sql("u", "mon_exist"),
-       "SELECT year, month FROM u_table ORDER BY CAST(year AS INTEGER), CAST(month AS INTEGER)"))
+       """SELECT year, month, row_number() OVER (ORDER BY CAST(year AS INTEGER), CAST(month AS INTEGER)) AS position
+FROM u_table ORDER BY position"""))
 
 oracle("alias_monthly", q(MONTHLY_BASE + MON_EXIST,
        "SELECT year, month, mid_rate, source_date, rate_source, query_date FROM mon_exist"))
@@ -817,11 +819,13 @@ links0 AS (
   SELECT page_id, url, CAST(pos AS INTEGER) AS pos, {trim(decode_sql('href_raw'))} AS href,
     array_to_string({nodes_sql('inner_html')}, '') AS text FROM anchors),
 links AS (SELECT page_id, pos, text, href, {resolve_sql('url', 'href')} AS link FROM links0),
-rate_links AS (SELECT * FROM links WHERE text <> '' AND href <> '' AND contains(text, 'the'))"""
+rate_links AS (SELECT * FROM links WHERE text <> '' AND href <> '' AND contains(text, '人民币汇率中间价'))"""
+TITLED_LINKS = "titled AS (SELECT * REPLACE (replace(html, 'the', '人民币汇率中间价') AS html) FROM pages)," + LINKS.replace(
+    "FROM pages)", "FROM titled)")
 
 oracle("extract_links", q(LINKS, "SELECT page_id, pos, text, href, link FROM links"))
-oracle("rate_link_filter", q(LINKS, "SELECT page_id, pos, text, link FROM rate_links"))
-oracle("link_dedupe", q(LINKS, """SELECT link, arg_min(page_id, (page_id, pos)) AS page_id, arg_min(pos, (page_id, pos)) AS pos
+oracle("rate_link_filter", q(TITLED_LINKS, "SELECT page_id, pos, text, link FROM rate_links"))
+oracle("link_dedupe", q(TITLED_LINKS, """SELECT link, arg_min(page_id, (page_id, pos)) AS page_id, arg_min(pos, (page_id, pos)) AS pos
 FROM rate_links GROUP BY link"""))
 
 oracle("strip_query", "SELECT page_id, split_part(url, '?', 1) AS url FROM pages")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ratebook.functions.text import blank_to_null, strip_unicode, try_cast
 from ratebook.operators.mapping import MONTHLY_ALIASES
+from ratebook.operators.ordinal import number_rows
 from ratebook.schemas import MONTHLY_FIELDS, MONTHLY_OUTPUT_HEADER
 
 
@@ -143,6 +144,12 @@ def pending_report(requested: DataFrame, results: DataFrame, prefer: str = "auto
                     F.lit(prefer).alias("prefer_source"))
 
 
+def month_positions(table: DataFrame) -> DataFrame:
+    """O3 as a column: ``position`` (from 1) of each month in ascending order; months are unique, as in the cache."""
+    keyed = table.withColumn("_y", F.col("year").cast("int")).withColumn("_m", F.col("month").cast("int"))
+    return number_rows(keyed, ["_y", "_m"], out="position").drop("_y", "_m")
+
+
 def to_output(table: DataFrame) -> DataFrame:
     """K2 projection: the seven Chinese headers in canonical order, ordered by (year, month)."""
     return (table.orderBy(F.col("year").cast("int"), F.col("month").cast("int"))

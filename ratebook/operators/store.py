@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ratebook.functions.dates import date_from_year_month, normalize_fetch_ts, parse_store_date
 from ratebook.functions.text import blank_to_null, col_, try_cast
 from ratebook.operators.mapping import RATES_CSV_ALIASES, alias_columns
+from ratebook.operators.ordinal import number_rows
 from ratebook.operators.staging import barrier
 from ratebook.schemas import RATE, RATES_COLUMNS
 
@@ -226,6 +227,16 @@ def sorted_rates(df: DataFrame) -> DataFrame:
     return df.orderBy(F.asc_nulls_last("rate_date"), "base_currency", "quote_currency")
 
 
+def sorted_positions(df: DataFrame) -> DataFrame:
+    """O1 as a column: ``position`` (from 1) in the ascending order, which survives shuffles and files.
+
+    Rates of one pair and date must be unique, as in the store. Positions come
+    from ranges of the whole key, so no task holds the table.
+    """
+    flagged = df.withColumn("_undated", F.col("rate_date").isNull())
+    return number_rows(flagged, ["_undated", "rate_date", "base_currency", "quote_currency"], out="position").drop("_undated")
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """O2: first ``n`` rows of the ordered result (a top-n, not a full sort) with 4-decimal rate text."""
     return sorted_rates(df).limit(n).withColumn("rate_mid", F.col("rate_mid").cast(RATE).cast("string"))
@@ -243,5 +254,5 @@ def fallback_default(value, argument: str | None, empty: str = "") -> Column:
 
 
 __all__ = ["normalize_records", "load_csv_records", "require_valid", "dedupe_batch", "upsert",
-           "range_query", "parse_pair", "sorted_rates", "preview", "derive_year_month",
+           "range_query", "parse_pair", "sorted_rates", "sorted_positions", "preview", "derive_year_month",
            "fallback_default", "rate_from_text", "date_from_year_month"]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratebook.functions.dates import parse_form_date
+from ratebook.functions.html import RATE_LINK_KEYWORD
 from ratebook.functions.numbers import parse_amount
 from ratebook.functions.text import blank_to_null, strip_unicode
 from ratebook.operators.forms import clean_forms, convert
@@ -381,9 +382,9 @@ def q_pair_filter(spark, sf_dir):
 
 @register("rates_sorted")
 def q_rates_sorted(spark, sf_dir):
-    """O1: ascending by date, nulls last."""
-    return st.sorted_rates(_store_table(spark, sf_dir)).select(
-        "base_currency", "quote_currency", "rate_mid", "rate_date")
+    """O1: ascending by date, nulls last, with the position in that order."""
+    return st.sorted_rates(st.sorted_positions(_store_table(spark, sf_dir))).select(
+        "base_currency", "quote_currency", "rate_mid", "rate_date", "position")
 
 
 @register("rates_preview")
@@ -661,9 +662,8 @@ def q_monthly_write(spark, sf_dir):
 
 @register("months_sorted")
 def q_months_sorted(spark, sf_dir):
-    """O3: cache months in ascending order."""
-    return _build(spark, sf_dir).table.orderBy(F.col("year").cast("int"), F.col("month").cast("int")) \
-        .select("year", "month")
+    """O3: cache months in ascending order, with the position in that order."""
+    return mo.month_positions(_build(spark, sf_dir).table).orderBy("position").select("year", "month", "position")
 
 
 @register("alias_monthly")
@@ -774,7 +774,9 @@ def q_pages_to_monthly(spark, sf_dir):
     return ro.monthly_lookup(_months(spark, sf_dir), quotes, _calendar(spark))
 
 
-LINK_KEYWORD = "the"  # stands in for the notice-title keyword, which the test pages do not contain
+def _titled_pages(spark, sf_dir):
+    """The pages with the notices' title in place of a frequent word, as they hold no such title."""
+    return table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("the"), F.lit(RATE_LINK_KEYWORD)))
 
 
 @register("extract_links")
@@ -785,14 +787,14 @@ def q_extract_links(spark, sf_dir):
 
 @register("rate_link_filter")
 def q_rate_link_filter(spark, sf_dir):
-    """anchors whose text contains the keyword."""
-    return nt.rate_links(table(spark, sf_dir, "pages"), LINK_KEYWORD).select("page_id", "pos", "text", "link")
+    """anchors whose text contains the notices' title."""
+    return nt.rate_links(_titled_pages(spark, sf_dir), RATE_LINK_KEYWORD).select("page_id", "pos", "text", "link")
 
 
 @register("link_dedupe")
 def q_link_dedupe(spark, sf_dir):
     """Unique matching URLs with their first position."""
-    return nt.first_seen_links(nt.rate_links(table(spark, sf_dir, "pages"), LINK_KEYWORD))
+    return nt.first_seen_links(nt.rate_links(_titled_pages(spark, sf_dir), RATE_LINK_KEYWORD))
 
 
 @register("strip_query")

@@ -1,52 +1,37 @@
 """Read monthly cache CSV files whose first line may or may not be a header.
 
-Files are grouped by layout and each group is projected with one select.
+Files are grouped by layout and each group is projected with one select. A layout
+is the headings that name a field, at their places: there are as many as spellings
+and orders of the fields, however many files there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratebook.functions.text import strip_unicode
-from ratebook.operators.mapping import MONTHLY_ALIASES, canonical_name
+from ratebook.operators.mapping import MONTHLY_ALIASES, alias_lookup, canonical_name
 from ratebook.operators.monthly import normalize_monthly
 from ratebook.operators.ordinal import last_wins
 from ratebook.schemas import MONTHLY_FIELDS
 from ratebook.sources.tables import csv_reader
 
-def _layout(first_row: list) -> tuple:
-    """('header', cells) when the first row is a header, else ('positional',)."""
-    cells = [(c or "").strip() for c in first_row]
-    mapping = {}
-    for idx, cell in enumerate(cells):
-        name = canonical_name(cell, MONTHLY_ALIASES, keep_unknown=False)
-        if name and name not in mapping:
-            mapping[name] = idx
-    numeric = all(k in mapping and cells[mapping[k]].isdigit() for k in ("year", "month"))
-    if mapping and not numeric:
-        while cells and cells[-1] == "":
-            cells.pop()
-        return ("header", tuple(cells))
-    return ("positional",)
+
+def _headings(cells: Column) -> Column:
+    """Of a file's first cells those that name a field, stripped, null elsewhere; null if none does (no header)."""
+    known = [*alias_lookup(MONTHLY_ALIASES)]
+    named = F.transform(cells, lambda c: F.when(F.lower(strip_unicode(c)).isin(known), strip_unicode(c)))
+    return F.when(F.exists(named, lambda c: c.isNotNull()), named)
 
 
-def _project(rows: DataFrame, layout: tuple) -> DataFrame:
-    if layout[0] == "positional":
+def _project(rows: DataFrame, headings: list | None) -> DataFrame:
+    if headings is None:
         pairs = [(f, i) for i, f in enumerate(MONTHLY_FIELDS)]
     else:
-        by_header = {}
-        for i, h in enumerate(layout[1]):
-            by_header[h] = i  # equal header texts: the later column wins
-        chosen = {}
-        for h, i in by_header.items():
-            name = canonical_name(h, MONTHLY_ALIASES, keep_unknown=False)
-            if name:
-                chosen[name] = i
+        by_header = {h: i for i, h in enumerate(headings) if h is not None}  # equal header texts: the later column wins
+        chosen = {canonical_name(h, MONTHLY_ALIASES, keep_unknown=False): i for h, i in by_header.items()}
         pairs = sorted(chosen.items(), key=lambda kv: kv[1])
     held = [(f, i) for f, i in pairs if f"_c{i}" in rows.columns]
     return rows.select("_ordinal", *[strip_unicode(F.col(f"_c{i}")).alias(f) for f, i in held])
@@ -66,9 +51,9 @@ def _width(spark: SparkSession, paths) -> int:
 def scan_monthly(spark: SparkSession, paths) -> DataFrame:
     """Monthly records (text, normalised) with last-wins per (year, month).
 
-    The files' first rows are compared in Spark; only the distinct ones reach
-    the driver. A header is dropped by its cells, so no row number of another
-    scan is needed.
+    The files' first rows are read for headings in Spark; only the distinct
+    layouts reach the driver, none of them from a file without a header. A header
+    is dropped by its cells, so no row number of another scan is needed.
     """
     names = [f"_c{i}" for i in range(_width(spark, paths))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
@@ -76,19 +61,17 @@ def scan_monthly(spark: SparkSession, paths) -> DataFrame:
            .select(*names, F.col("_metadata.file_path").alias("_file"),
                    F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                             F.monotonically_increasing_id().alias("i")).alias("_ordinal")))
-    firsts = raw.groupBy("_file").agg(F.min(F.struct("_ordinal", F.array(*names).alias("cells"))).alias("_f")).select(
-        F.col("_file").alias("_of"), F.col("_f.cells").alias("_head"))
+    firsts = raw.groupBy("_file").agg(F.min(F.struct("_ordinal", F.array(*names).alias("cells")))["cells"].alias("_head")).select(
+        F.col("_file").alias("_of"), "_head", _headings(F.col("_head")).alias("_headings"))
     tagged = raw.join(firsts, F.col("_file") == F.col("_of"))
-    groups: dict = {}
-    for row in firsts.select("_head").distinct().collect():
-        groups.setdefault(_layout(row["_head"]), []).append(row["_head"])
     parts = []
-    for lay, heads in groups.items():
-        same = reduce(or_, [F.col("_head").eqNullSafe(F.array(*[F.lit(c).cast("string") for c in h])) for h in heads])
-        rows = tagged.where(same)
-        if lay[0] == "header":
-            rows = rows.where(~F.array(*names).eqNullSafe(F.col("_head")))
-        parts.append(_project(rows, lay))
+    for (headings,) in firsts.select("_headings").distinct().collect():
+        if headings is None:
+            rows = tagged.where(F.col("_headings").isNull())
+        else:
+            same = F.col("_headings") == F.array(*[F.lit(h).cast("string") for h in headings])
+            rows = tagged.where(same & ~F.array(*names).eqNullSafe(F.col("_head")))
+        parts.append(_project(rows, headings))
     if not parts:
         return spark.createDataFrame([], "year string, month string")
     out = parts[0]

@@ -11,7 +11,7 @@ from ratebook.operators.notices import first_seen_links, keychart_rows
 from ratebook.operators.ordinal import number_rows
 from ratebook.sinks.store import RateStore
 from ratebook.sources.forms import header_names, scan_forms
-from ratebook.sources.monthly_csv import _width, scan_monthly
+from ratebook.sources.monthly_csv import _headings, _width, scan_monthly
 from ratebook.streaming.rates_stream import RECORD_COLUMNS, merge_batch
 
 
@@ -30,6 +30,19 @@ def test_monthly_columns_beyond_the_sixteenth(spark, tmp_path):
     assert set(rows) == {(2024, 1), (2023, 12)}
 
 
+def test_monthly_layouts_are_the_headings_that_name_fields(spark, tmp_path):
+    for i in range(6):  # first rows differ in every file, the layouts do not
+        (tmp_path / f"h{i}.csv").write_text(f"note{i}, Year ,month,MID_RATE,query_date,year\nx,1,{i + 1},7.{i},2020-01-02,2020\n")
+        (tmp_path / f"p{i}.csv").write_text(f"2021,{i + 1},6.{i},2021-01-04,2021-01-04,x,\n")
+    (tmp_path / "swapped.csv").write_text("月份,年份,中间价,首个工作日\n3,2022,6.5,2022-03-01\n月份,年份,中间价,首个工作日\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = {(r.year, r.month): r.mid_rate for r in scan_monthly(spark, str(tmp_path / "*.csv")).collect()}
+    assert rows == ({("2020", f"0{i + 1}"): f"7.{i}" for i in range(6)} | {("2021", f"0{i + 1}"): f"6.{i}" for i in range(6)}
+                    | {("2022", "03"): "6.5"})
+    raw = spark.createDataFrame([(["a", " Year", None],), (["2020", "1", ""],), ([],)], "cells array<string>")
+    assert [r[0] for r in raw.select(_headings(F.col("cells"))).collect()] == [[None, "Year", None], None, None]
+
+
 def test_folder_chain_of_any_depth(spark):
     chain = [(f"n{i}", f"f{i}", "root" if i == 0 else f"n{i - 1}", "folder") for i in range(70)]
     chain += [("c1", "loop", "c2", "folder"), ("c2", "loop", "c1", "folder")]
