@@ -35,7 +35,6 @@ _PIECE_START = re.compile(r"(?= \S)")
 # string and no contraction, and neither NFC nor lower-casing by character treats them in a special way.
 # For them the tokenizers' patterns read as below.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(rf"[\n\r\t -&(-;=-~{_LETTERS}]+\Z")
 _NOT_SIMPLE = re.compile(rf"[^\n\r\t -&(-;=-~{_LETTERS}]")
 _BYTE_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _WORD_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
@@ -76,7 +75,9 @@ BYTE_CHARS = _byte_chars()
 
 
 def byte_level(text: str) -> str:
-    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(BYTE_CHARS)
+    if text.isascii() and text.removeprefix(" ").isalpha():
+        return text.replace(" ", "\u0120")
+    return text.encode().decode("latin-1").translate(BYTE_CHARS)
 
 
 def cut(text: str) -> tuple[str, list[str]]:
@@ -129,10 +130,15 @@ class _PartIds(Cache):
 
 
 class _PartLengths(_PartIds):
-    """Pre-token -> the number of its ids."""
+    """Pre-token -> the number of its ids; ``frequent`` has those of frequent pieces, without the space before them."""
+
+    def __init__(self, tok, frequent: dict[str, int]):
+        super().__init__(tok)
+        self.frequent = frequent
 
     def make(self, part: str) -> int:
-        return len(self.model.tokenize(byte_level(part)))
+        known = self.frequent.get(part[1:]) if part[0] == " " else None
+        return len(self.model.tokenize(byte_level(part))) if known is None else known
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -140,35 +146,42 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class Lengths(Cache):
-    """Piece (behind one space) -> number of byte-level BPE tokens.
+    """Number of byte-level BPE tokens of whole texts.
 
-    ``frequent`` is the first tier; a miss is encoded and remembered in the second.
+    Stretches of plain characters are cut into pre-tokens at once. A pre-token is
+    looked up in ``frequent`` (piece behind one space -> tokens), the first tier;
+    a miss is encoded and remembered in ``parts``, the second. A piece with any
+    other character is encoded as it stands, with the space before it: these
+    pieces are the keys of this cache.
     """
 
     def __init__(self, path: str, frequent: dict[str, int]):
         super().__init__()
-        self.frequent, self.tok = frequent, load(path)
-        self.parts = _PartLengths(self.tok)
+        self.tok = load(path)
+        self.parts = _PartLengths(self.tok, frequent)
         self.cuts = cuts_at_spaces(path, word_end=False)
 
     def make(self, piece: str) -> int:
-        known = self.frequent.get(piece)
-        if known is not None:
-            return known
-        if _SIMPLE.match(piece):
-            return sum(map(self.parts.__getitem__, _BYTE_PARTS.findall(" " + piece)))
-        return self.exact(" " + piece)
+        known = self.parts.frequent.get(piece[1:]) if piece[0] == " " else None
+        return self.exact(piece) if known is None else known
 
     def exact(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def plain(self, stretch: str) -> int:
+        return sum(map(self.parts.__getitem__, _BYTE_PARTS.findall(stretch)))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if not self.cuts:
             return self.exact(text)
-        first, rest = cut(text)
-        return self.exact(first) + sum(map(self.__getitem__, rest))
+        n, at = 0, 0
+        while odd := _NOT_SIMPLE.search(text, at):
+            start, end = piece_around(text, at, odd)
+            n += self.plain(text[at:start]) + self[text[start:end]]
+            at = end
+        return n + self.plain(text[at:])
 
 
 class Ids(Cache):

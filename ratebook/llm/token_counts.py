@@ -44,7 +44,7 @@ def frequent_lengths(df: DataFrame, text_col: str, path: str) -> dict[str, int]:
         total[row.piece] += row.n
     lengths = Lengths(path, {})
     top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]
-    return {piece: lengths[piece] for piece, _ in top}
+    return {piece: lengths.count(" " + piece) for piece, _ in top}
 
 
 def _frequent_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -304,3 +304,17 @@ def test_caches_keep_their_bound(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(500))
     assert lengths.count(text) == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
     assert len(lengths) <= 10 and len(lengths.old) <= 10
+
+
+def test_plain_stretches_are_counted_by_their_pre_tokens(monkeypatch):
+    """One remembered length serves a word with any marks around it; frequent pieces are never encoded again."""
+    from ratebook.llm import bpe
+    tok = Tokenizer.from_file(BYTE_BPE)
+    lengths = bpe.Lengths(BYTE_BPE, {"word": len(tok.encode(" word").ids)})
+    encoded = []
+    monkeypatch.setattr(bpe, "byte_level", lambda part, to=bpe.byte_level: encoded.append(part) or to(part))
+    text = "plain word, (word) word; plain. it's  word\n word plain" + " word. wörd's plain," * 20
+    assert lengths.count(text) == len(tok.encode(text, add_special_tokens=False).ids)
+    assert sorted(set(encoded)) == sorted(encoded) and " word" not in encoded and encoded.count(" plain") == 1
+    assert set(lengths) == {" it's ", " wörd's"}
+    assert lengths.count("word") == len(tok.encode("word", add_special_tokens=False).ids)
