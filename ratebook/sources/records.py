@@ -18,6 +18,7 @@ space alone are no records.
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import re
 import sys
@@ -105,9 +106,23 @@ def split_states(lines: DataFrame) -> DataFrame:
         "file", "start", "inside", "first", "open_record")
 
 
+@contextlib.contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within this block, a reader lists its paths in a few tasks per core; by default each path, up to 10,000, is a task."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_records(spark: SparkSession, files: list[str]) -> DataFrame:
     """(_path, source_row, record, cells, open) of all records, the headers (source_row 1) included."""
-    text = spark.read.option("lineSep", "\n").text(files).select(
+    with listed_in_few_tasks(spark):
+        text = spark.read.option("lineSep", "\n").text(files)
+    text = text.select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = written(text.mapInArrow(scan_lines, _LINES), "form-lines")
 
@@ -138,7 +153,9 @@ def by_layout(spark: SparkSession, files: list[str]) -> tuple[list[list[str]], D
         "_path", F.transform(F.coalesce("cells", F.array("record")), lambda c: F.ltrim(c, F.lit("\ufeff"))).alias("header"))
     layouts = sorted(r.header for r in headers.select("header").distinct().collect())
     ids = spark.createDataFrame(list(enumerate(layouts)), "layout int, header array<string>")
-    listed = spark.read.format("binaryFile").load(files).select(
+    with listed_in_few_tasks(spark):
+        found = spark.read.format("binaryFile").load(files)
+    listed = found.select(
         F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"))
     known = (listed.join(headers.join(F.broadcast(ids), "header"), "_path", "left")
              .select("_path", "source_file", "layout", F.size("header").alias("expected")))

@@ -83,3 +83,18 @@ def test_no_window_over_a_file(spark, tmp_path):
     (_, frame), = read_forms(spark, [str(tmp_path / "a.csv")]).groups
     assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
     assert frame.select(F.max("source_row")).first()[0] == 2
+
+
+def test_many_paths_are_listed_in_few_tasks(spark, tmp_path):
+    """A path is not a listing task of its own; the session's setting stays as it was."""
+    from ratebook.sources.records import read_records
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    for i in range(80):
+        (tmp_path / f"f{i}.csv").write_text(f"A,B\n{i},x\n")
+    tracker = spark.sparkContext.statusTracker()
+    old = set(tracker.getJobIdsForGroup())
+    read = read_records(spark, [str(tmp_path / f"f{i}.csv") for i in range(80)])
+    new = [tracker.getStageInfo(s) for j in set(tracker.getJobIdsForGroup()) - old for s in tracker.getJobInfo(j).stageIds]
+    assert new and max(s.numTasks for s in new if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert read.where("source_row = 2").count() == 80 and spark.conf.get(name) == before
