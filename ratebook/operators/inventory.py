@@ -306,18 +306,31 @@ def batch_durations(attempts: DataFrame, at: str = "at") -> DataFrame:
     return span.withColumn("seconds", F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")).cast("bigint"))
 
 
-def index_rows(spark: SparkSession, files: DataFrame) -> DataFrame:
+def index_rows(spark: SparkSession, files: DataFrame, sha256: Column | None = None) -> DataFrame:
     """S9 + X30: (path, file_name, size, sha256, mime_type, modified_at, parsed) of each row of
-    ``files`` (path, content, length, modificationTime)."""
-    out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                       F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
+    ``files`` (path, content, length, modificationTime); ``sha256`` stands for the content's hash if given."""
+    out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"),
+                       (F.sha2("content", 256) if sha256 is None else sha256).alias("sha256"),
                        F.col("modificationTime").alias("modified_at"), F.lit(False).alias("parsed"))
     return with_mime_type(spark, out, "file_name")
 
 
 def file_index(spark: SparkSession, path_glob: str) -> DataFrame:
-    """S9 over stored files (each is one row, so of 2 GB at most; Spark's reader fails beyond)."""
-    return index_rows(spark, spark.read.format("binaryFile").load(path_glob))
+    """S9 over stored files: small ones are one row each, large ones are hashed range by range, at once.
+
+    Files the ranges leave out are rows too, of 2 GB at most; Spark's reader fails beyond.
+    """
+    from ratebook.operators.filehash import ranged_sha256
+    files = spark.read.format("binaryFile").load(path_glob)
+    hashes = ranged_sha256(spark, path_glob)
+    if not hashes:
+        return index_rows(spark, files)
+    at = F.col("_metadata.file_path")
+    known = spark.createDataFrame(sorted(hashes.items()), "at string, sha256 string")
+    listed = ("path", "length", "modificationTime")
+    rows = files.where(~at.isin(*hashes)).select(*listed, F.sha2("content", 256).alias("sha256")).unionByName(
+        files.where(at.isin(*hashes)).select(*listed, at.alias("at")).join(known, "at").drop("at"))
+    return index_rows(spark, rows, F.col("sha256"))
 
 
 def prefix_rows(files: DataFrame, n: int = 8192) -> DataFrame:
